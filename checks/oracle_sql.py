@@ -80,3 +80,29 @@ ORACLE = {
         "JOIN (SELECT DISTINCT unnest(deps) AS slug FROM concepts) k ON c.slug = k.slug"
     ),
 }
+
+from checks import oracle_search as _s  # noqa: E402
+
+ORACLE.update(
+    {
+        "tokenize_fts": with_concepts(
+            f"SELECT slug, CAST(len({_s.ftoks('body')}) AS INTEGER) AS n_tokens, "
+            f"sha256(array_to_string({_s.ftoks('body')}, ' ')) AS tokens_sha256 FROM concepts"
+        ),
+        "postings_df": _s.fts_sql("SELECT slug, field, CAST(pos AS INTEGER) AS pos, term FROM postings"),
+        "corpus_stats": _s.fts_sql(
+            "SELECT n_docs, round(avg_len, 6) AS avg_len, (SELECT count(DISTINCT term) FROM postings) AS n_terms FROM cstats"
+        ),
+        "parse_match_query": _s.fts_sql(
+            f"SELECT query_id, CAST(phrase_idx AS INTEGER) AS phrase_idx, phrase, CAST(len({_s.ftoks('phrase')}) AS INTEGER) AS n_tok FROM phr"
+        ),
+        "fts_match": _s.fts_sql("SELECT DISTINCT query_id, slug FROM occ"),
+        "bm25_topk": _s.fts_sql("SELECT query_id, slug, CAST(fts_pos AS INTEGER) AS fts_pos, round(rank, 6) AS rank FROM fts_c"),
+        "embed_documents": _s.embed_docs_sql(),
+        "murmur3_tokens": _s.murmur_tokens_sql(),
+        "knn_cosine": _s.KNN_SQL,
+        "hybrid_merge": _s.merge_sql(),
+        "hybrid_search": _s.search_sql(default_queries=True),
+        "hybrid_search_batch": _s.search_sql(),
+    }
+)

@@ -19,7 +19,10 @@ from quire.schema import EMBEDDING_DIM
 
 # Tokens: runs of ASCII word characters and apostrophes, after lowercasing.
 _SPLIT = re.compile(r"[^A-Za-z0-9_']+")
-_BIGRAM_JOIN = "\x00"
+# Bigrams are hashed with a zero byte between the tokens.  In memory they are
+# joined with a space (never part of a token): pandas' hashing of object
+# strings stops at a NUL character.
+_BIGRAM_JOIN = " "
 
 _C1 = np.uint32(0xCC9E2D51)
 _C2 = np.uint32(0x1B873593)
@@ -114,7 +117,7 @@ def embed_many(texts) -> np.ndarray:
     if feats:
         codes, uniques = pd.factorize(pd.Series(feats, dtype=object), sort=False)
         # Tokens are ASCII after the split, so latin-1 bytes equal UTF-16 low bytes.
-        hashes = murmur3_many([u.encode("latin-1", "replace") for u in uniques])
+        hashes = murmur3_many([u.replace(_BIGRAM_JOIN, "\x00").encode("latin-1", "replace") for u in uniques])
         bins = (hashes % EMBEDDING_DIM).astype(np.int64)
         signs = np.where(hashes & 1, 1.0, -1.0)
         owner_arr = np.asarray(owner, dtype=np.int64)
@@ -138,3 +141,12 @@ def _embed_batch(texts: pd.Series) -> pd.Series:
 
 # Non-deterministic only as an optimisation barrier (evaluated once per row).
 embed_udf = F.pandas_udf(_embed_batch, T.ArrayType(T.FloatType())).asNondeterministic()
+
+
+def _murmur_batch(keys: pd.Series) -> pd.Series:
+    data = [k.encode("utf-16-le")[0::2] if k is not None else b"" for k in keys]
+    return pd.Series(murmur3_many(data).astype(np.int64))
+
+
+# V2 as a column function: hash of each string (low byte of each UTF-16 unit).
+murmur3_udf = F.pandas_udf(_murmur_batch, T.LongType())

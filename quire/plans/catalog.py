@@ -204,3 +204,146 @@ QUERIES = {
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship plan: a filtered, paged concept listing."""
     return q_list_concepts(spark, sf_dir)
+
+
+# --- search ------------------------------------------------------------------
+
+from quire.operators import fts, hybrid, vector  # noqa: E402
+from quire.sources.fixtures import search_queries  # noqa: E402
+
+
+def fixture_queries(spark, sf_dir):
+    return search_queries(read_table(spark, sf_dir, "benchmark"))
+
+
+def q_hybrid_search_batch(spark, sf_dir):
+    c = fixture_concepts(spark, sf_dir)
+    res = hybrid.search_batch(c, fixture_queries(spark, sf_dir))
+    return res.drop("id").withColumn("tags", F.to_json("tags"))
+
+
+def _r6(c):
+    """Round to 6 decimals with negative zero folded to zero."""
+    r = F.round(F.col(c), 6)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+
+
+def _q(spark, sf_dir):
+    return hybrid.with_defaults(fixture_queries(spark, sf_dir))
+
+
+def q_tokenize_fts(spark, sf_dir):
+    from quire.functions.text import fts_tokens
+
+    c = fixture_concepts(spark, sf_dir)
+    toks = fts_tokens(F.col("body"))
+    return c.select("slug", F.size(toks).alias("n_tokens"), F.sha2(F.array_join(toks, " "), 256).alias("tokens_sha256"))
+
+
+def q_postings_df(spark, sf_dir):
+    c = fixture_concepts(spark, sf_dir)
+    p = fts.build_postings(c)
+    return p.join(c.select("id", "slug"), on="id").select("slug", "field", "pos", "term")
+
+
+def q_corpus_stats(spark, sf_dir):
+    c = fixture_concepts(spark, sf_dir)
+    stats = fts.corpus_stats(fts.doc_lengths(c))
+    n_terms = fts.build_postings(c).select(F.count_distinct("term").alias("n_terms")).scalar()
+    return stats.select("n_docs", F.round("avg_len", 6).alias("avg_len"), n_terms.alias("n_terms"))
+
+
+def q_parse_match_query(spark, sf_dir):
+    from quire.functions.text import fts_tokens
+
+    q = fixture_queries(spark, sf_dir)
+    ph = q.select("query_id", F.posexplode(fts.rewrite_query(F.col("query"))).alias("phrase_idx", "phrase"))
+    return ph.select("query_id", "phrase_idx", "phrase", F.size(fts_tokens(F.col("phrase"))).alias("n_tok"))
+
+
+def q_fts_match(spark, sf_dir):
+    c = fixture_concepts(spark, sf_dir)
+    q = _q(spark, sf_dir)
+    hits = fts.phrase_hits(fts.build_postings(c), fts.query_phrases(q.select("query_id", "query")))
+    return hits.select("query_id", "id").distinct().join(c.select("id", "slug"), on="id").drop("id")
+
+
+def q_bm25_topk(spark, sf_dir):
+    c = fixture_concepts(spark, sf_dir)
+    q = _q(spark, sf_dir)
+    ranked = fts.bm25(fts.build_postings(c), fts.doc_lengths(c), fts.query_phrases(q.select("query_id", "query")))
+    top = fts.top_by_rank(ranked.join(q.select("query_id", "cand", "types"), on="query_id"), c, "cand", "types")
+    return top.select("query_id", "slug", "fts_pos", F.round("rank", 6).alias("rank"))
+
+
+def q_embed_documents(spark, sf_dir):
+    c = fixture_concepts(spark, sf_dir)
+    e = c.select("slug", F.posexplode("embedding").alias("bin", "value"))
+    return e.where(F.col("value") != 0).select("slug", "bin", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def q_murmur3_tokens(spark, sf_dir):
+    from quire.functions.embedding import murmur3_udf
+
+    c = fixture_concepts(spark, sf_dir)
+    toks = F.filter(F.split(F.lower(F.col("body")), "[^A-Za-z0-9_']+"), lambda t: t != "")
+    distinct = c.select(F.explode(toks).alias("token")).distinct()
+    h = distinct.withColumn("hash", murmur3_udf(F.col("token")))
+    return h.select(
+        "token", "hash", (F.col("hash") % 256).cast("int").alias("bin"),
+        F.when(F.col("hash") % 2 == 1, 1).otherwise(-1).cast("int").alias("sign"),
+    )
+
+
+def q_knn_cosine(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("slug"), "embedding")
+    queries = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.lit(10).alias("k"))
+    cands = vector.normalise_distance(vector.knn(corpus, queries, k_col="k"))
+    return cands.select(
+        "query_id", F.col("id").alias("vec_id"), "vec_pos", _r6("distance").alias("distance"),
+        _r6("vec_norm").alias("vec_norm"),
+    )
+
+
+def q_hybrid_merge(spark, sf_dir):
+    c = fixture_concepts(spark, sf_dir)
+    q = _q(spark, sf_dir)
+    m = hybrid.merge(hybrid.fts_candidates(c, q), hybrid.vector_candidates(c, q), q)
+    return m.join(c.select("id", "slug"), on="id").select(
+        "query_id", "slug", F.round("score", 6).alias("score"), F.round("fts_norm", 6).alias("fts_norm"),
+        F.round("vec_norm", 6).alias("vec_norm"),
+    )
+
+
+def q_hybrid_search(spark, sf_dir):
+    """Default parameters, one query per benchmark item (its first words)."""
+    c = fixture_concepts(spark, sf_dir)
+    b = read_table(spark, sf_dir, "benchmark")
+    words = F.filter(F.split(F.regexp_replace(F.col("text"), r"[^\p{L}\p{N}\s'-]", " "), r"\s+"), lambda x: x != "")
+    q = b.select(
+        F.col("item_id").alias("query_id"),
+        F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, 2), F.element_at(words, 3)).alias("query"),
+        F.lit(None).cast("array<string>").alias("type"), F.lit(None).cast("array<string>").alias("tags"),
+        F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("int").alias("limit"),
+        F.lit(None).cast("int").alias("offset"),
+    )
+    return hybrid.search_batch(c, q).drop("id").withColumn("tags", F.to_json("tags"))
+
+
+QUERIES.update(
+    {
+        "tokenize_fts": q_tokenize_fts,
+        "postings_df": q_postings_df,
+        "corpus_stats": q_corpus_stats,
+        "parse_match_query": q_parse_match_query,
+        "fts_match": q_fts_match,
+        "bm25_topk": q_bm25_topk,
+        "embed_documents": q_embed_documents,
+        "murmur3_tokens": q_murmur3_tokens,
+        "knn_cosine": q_knn_cosine,
+        "hybrid_merge": q_hybrid_merge,
+        "hybrid_search": q_hybrid_search,
+        "hybrid_search_batch": q_hybrid_search_batch,
+    }
+)

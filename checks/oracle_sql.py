@@ -106,3 +106,60 @@ ORACLE.update(
         "hybrid_search_batch": _s.search_sql(),
     }
 )
+
+_PREFIXES = """
+pre AS (
+  SELECT slug AS child_slug, title AS child_title, type AS child_type, source AS child_source,
+    array_to_string(string_split(slug, '/')[1:i], '/') AS prefix, i AS level
+  FROM concepts, range(1, len(string_split(slug, '/'))) r(i))"""
+_EDGES = """
+edges AS (
+  SELECT slug AS src, unnest(deps) AS dst, generate_subscripts(deps, 1) - 1 AS ord FROM concepts WHERE deps IS NOT NULL)"""
+
+ORACLE.update(
+    {
+        "references": with_concepts(
+            "," + _PREFIXES + "\nSELECT p.slug, c.child_slug AS ref_slug, c.child_title AS ref_title, "
+            "c.child_type AS ref_type FROM concepts p JOIN pre c ON lower(p.slug) = lower(c.prefix) "
+            "AND p.source = c.child_source"
+        ).replace("WITH ", "WITH ", 1).replace(")\n,\npre AS", "),\npre AS"),
+        "referenced_by": with_concepts(
+            "," + _PREFIXES + "\nSELECT c.child_slug AS slug, c.prefix AS ancestor_slug, a.title AS anc_title, "
+            "a.type AS anc_type, CAST(c.level AS INTEGER) AS level FROM pre c JOIN concepts a ON a.slug = c.prefix"
+        ).replace(")\n,\npre AS", "),\npre AS"),
+        "dependencies": with_concepts(
+            "," + _EDGES + "\nSELECT e.src AS slug, e.dst AS dep_slug, CAST(e.ord AS INTEGER) AS ord, c.title AS dep_title "
+            "FROM edges e LEFT JOIN concepts c ON c.slug = e.dst"
+        ).replace(")\n,\nedges AS", "),\nedges AS"),
+        "dependents": with_concepts(
+            "," + _EDGES + "\nSELECT DISTINCT e.dst AS slug, e.src AS dependent_slug, s.title AS dependent_title "
+            "FROM edges e JOIN concepts t ON t.slug = e.dst JOIN concepts s ON s.slug = e.src"
+        ).replace(")\n,\nedges AS", "),\nedges AS"),
+        "resolve_dependencies": with_concepts(
+            "," + _EDGES + """,
+live AS (SELECT DISTINCT e.src, e.dst FROM edges e JOIN concepts c ON c.slug = e.dst),
+r AS (
+  WITH RECURSIVE r(root, slug, depth) USING KEY (root, slug) AS (
+    SELECT src, dst, 1 FROM live WHERE dst <> src
+    UNION
+    SELECT r.root, e.dst, r.depth + 1 FROM r JOIN live e ON e.src = r.slug
+    LEFT JOIN recurring.r AS prev ON prev.root = r.root AND prev.slug = e.dst
+    WHERE prev.slug IS NULL AND e.dst <> r.root)
+  SELECT * FROM r)
+SELECT root, slug, CAST(depth AS INTEGER) AS depth FROM r"""
+        ).replace(")\n,\nedges AS", "),\nedges AS"),
+        "get_concept": with_concepts(
+            "," + _PREFIXES + "," + _EDGES + """
+SELECT slug, 'self' AS relation, slug AS other_slug, 0 AS ord, title, type FROM concepts
+UNION ALL
+SELECT p.slug, 'reference', c.child_slug, 0, c.child_title, c.child_type
+FROM concepts p JOIN pre c ON lower(p.slug) = lower(c.prefix) AND p.source = c.child_source
+UNION ALL
+SELECT c.child_slug, 'referenced_by', c.prefix, CAST(c.level AS INTEGER), a.title, a.type
+FROM pre c JOIN concepts a ON a.slug = c.prefix
+UNION ALL
+SELECT e.src, 'dependency', e.dst, CAST(e.ord AS INTEGER), c.title, NULL
+FROM edges e LEFT JOIN concepts c ON c.slug = e.dst"""
+        ).replace(")\n,\npre AS", "),\npre AS"),
+    }
+)

@@ -347,3 +347,44 @@ QUERIES.update(
         "hybrid_search_batch": q_hybrid_search_batch,
     }
 )
+
+
+# --- graph ---------------------------------------------------------------------
+
+from quire.operators import graph  # noqa: E402
+
+
+def q_references(spark, sf_dir):
+    return graph.references(fixture_concepts(spark, sf_dir))
+
+
+def q_referenced_by(spark, sf_dir):
+    return graph.referenced_by(fixture_concepts(spark, sf_dir))
+
+
+def q_dependencies(spark, sf_dir):
+    return graph.dependencies(fixture_concepts(spark, sf_dir))
+
+
+def q_dependents(spark, sf_dir):
+    return graph.dependents(fixture_concepts(spark, sf_dir))
+
+
+def q_resolve_dependencies(spark, sf_dir):
+    return graph.resolve_dependencies(fixture_concepts(spark, sf_dir))
+
+
+def q_get_concept(spark, sf_dir):
+    return graph.concept_record(fixture_concepts(spark, sf_dir))
+
+
+QUERIES.update(
+    {
+        "references": q_references,
+        "referenced_by": q_referenced_by,
+        "dependencies": q_dependencies,
+        "dependents": q_dependents,
+        "resolve_dependencies": q_resolve_dependencies,
+        "get_concept": q_get_concept,
+    }
+)

@@ -3,13 +3,14 @@ attributes they were rendered from (known without parsing any front matter)."""
 
 NL = "chr(10)"
 
-FILES_CTE = f"""
-fx AS (
+def files_cte(src: str = "documents", name: str = "files", tag: str = "") -> str:
+    return f"""
+fx{tag} AS (
   SELECT doc_id, text, lang, source, doc_id % 10 AS m, doc_id // 10 AS k,
          CAST(doc_id AS VARCHAR) AS ds, CAST(doc_id // 10 AS VARCHAR) AS ks
-  FROM documents
+  FROM {src}
 ),
-fy AS (
+fy{tag} AS (
   SELECT *, concat_ws({NL},
       CASE doc_id % 3 WHEN 0 THEN 'title: Doc ' || ds WHEN 1 THEN 'name: Doc ' || ds END,
       CASE WHEN doc_id % 4 = 0 THEN 'description: About doc ' || ds END,
@@ -24,9 +25,9 @@ fy AS (
           CASE WHEN k % 5 = 0 THEN 'ghost-' || ks END,
           CASE WHEN k > 0 AND k % 7 = 0 THEN 's' || CAST(k // 2 AS VARCHAR) END) || ']' END,
       CASE WHEN doc_id % 6 = 0 THEN 'timestamp: 2024-01-01' END) AS yaml
-  FROM fx
+  FROM fx{tag}
 ),
-files AS (
+{name} AS (
   SELECT doc_id, m, k, ds, ks, lang, source, text,
     CASE m WHEN 0 THEN '/kb/skills/s' || ks || '/SKILL.md'
            WHEN 1 THEN '/kb/skills/s' || ks || '/references/r' || ds || '.md'
@@ -41,9 +42,13 @@ files AS (
                      ELSE '/kb/notes/node_modules/x' || ds || '.md' END END AS file_path,
     CASE WHEN m = 7 THEN text ELSE '---' || {NL} || yaml || {NL} || '---' || {NL} || text END AS content,
     1704067200 + 60 * doc_id AS indexed_at
-  FROM fy
+  FROM fy{tag}
 )"""
 
+
+
+FILES_CTE = files_cte()
+
 HOUSE_RULES_CONTENT_SQL = (
     "'---' || chr(10) || 'title: House rules' || chr(10) || "
     "'description: Conventions for every concept' || chr(10) || '---' || chr(10) || "

@@ -163,3 +163,86 @@ FROM edges e LEFT JOIN concepts c ON c.slug = e.dst"""
         ).replace(")\n,\npre AS", "),\npre AS"),
     }
 )
+
+from checks.oracle_base import files_cte  # noqa: E402
+
+_SLUG = """CASE m WHEN 0 THEN 's' || ks WHEN 1 THEN 's' || ks || '/references/r' || ds
+           WHEN 2 THEN 'agents/a' || ds WHEN 3 THEN 'prompts/p' || ds
+           WHEN 4 THEN 'workflows/w' || ds WHEN 5 THEN 'instructions/i' || ds
+           WHEN 6 THEN source || '/k' || ds WHEN 7 THEN 'notes/n' || ds
+           ELSE lang || '/n' || ds END"""
+
+_PAIR = (
+    "WITH prevdocs AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN text || ' v1' ELSE text END AS text, lang, source "
+    "FROM documents WHERE doc_id % 11 <> 0),\n"
+    "curdocs AS (SELECT * FROM documents WHERE doc_id % 17 <> 0),\n"
+    + files_cte("prevdocs", "pf", "_p") + ",\n" + files_cte("curdocs", "cf", "_c") + f""",
+prev AS (
+  SELECT file_path, {_SLUG} AS slug, sha256(content) AS file_hash,
+    CASE WHEN doc_id % 19 = 0 THEN 'remote' ELSE 'local' END AS source, indexed_at AS created_at,
+    indexed_at AS updated_at, doc_id, m
+  FROM pf WHERE m <> 9),
+cur AS (SELECT file_path, {_SLUG} AS slug, sha256(content) AS file_hash, indexed_at + 86400 AS t, doc_id, m
+        FROM cf WHERE m <> 9),
+diff AS (
+  SELECT coalesce(c.file_path, p.file_path) AS file_path,
+    CASE WHEN c.file_path IS NOT NULL AND p.file_path IS NOT NULL AND c.file_hash = p.file_hash THEN 'skipped'
+         WHEN c.file_path IS NOT NULL AND p.file_path IS NOT NULL THEN 'updated'
+         WHEN c.file_path IS NOT NULL THEN 'added'
+         WHEN p.source = 'local' THEN 'removed' ELSE 'kept' END AS action,
+    coalesce(p.slug, c.slug) AS slug
+  FROM cur c FULL OUTER JOIN prev p ON c.file_path = p.file_path)
+"""
+)
+
+_NEXT = """,
+nxt AS (
+  SELECT p.slug, p.file_path, p.source, coalesce(c.file_hash, p.file_hash) AS file_hash, p.created_at,
+    CASE WHEN c.file_hash IS NOT NULL AND c.file_hash <> p.file_hash THEN c.t ELSE p.updated_at END AS updated_at
+  FROM prev p LEFT JOIN cur c ON c.file_path = p.file_path
+  WHERE c.file_path IS NOT NULL OR p.source <> 'local'
+  UNION ALL
+  SELECT c.slug, c.file_path, 'local', c.file_hash, c.t, c.t
+  FROM cur c LEFT JOIN prev p ON c.file_path = p.file_path WHERE p.file_path IS NULL)
+"""
+
+ORACLE.update(
+    {
+        "diff_snapshot": _PAIR + "SELECT file_path, action, slug FROM diff",
+        "removed_concepts": _PAIR + "SELECT file_path, slug FROM diff WHERE action = 'removed'",
+        "upsert_snapshot": _PAIR + _NEXT.replace(
+            "SELECT p.slug, p.file_path, p.source,", "SELECT p.slug, p.file_path, p.source, p.doc_id,"
+        ).replace("SELECT c.slug, c.file_path, 'local',", "SELECT c.slug, c.file_path, 'local', c.doc_id,")
+        + """SELECT n.slug, n.file_path, n.source, n.file_hash, n.created_at, n.updated_at,
+  CASE WHEN n.doc_id % 3 IN (0, 1) AND n.doc_id % 10 <> 7 THEN 'Doc ' || CAST(n.doc_id AS VARCHAR) ELSE '' END AS title,
+  CASE WHEN n.doc_id % 10 IN (0, 2, 3, 4, 5) THEN
+         CASE n.doc_id % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'deprecated' ELSE 'stable' END
+       WHEN n.doc_id % 10 IN (1, 6) THEN
+         CASE n.doc_id % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'deprecated' WHEN 2 THEN 'bogus' WHEN 3 THEN 'stable' END
+       WHEN n.doc_id % 10 = 8 THEN
+         CASE n.doc_id % 5 WHEN 0 THEN 'draft' WHEN 1 THEN 'deprecated' WHEN 2 THEN 'bogus' ELSE 'stable' END
+  END AS status
+FROM nxt n""",
+        "index_summary": _PAIR + _NEXT + """SELECT
+  CAST(count(*) FILTER (WHERE action = 'added') AS BIGINT) AS added,
+  CAST(count(*) FILTER (WHERE action = 'updated') AS BIGINT) AS updated,
+  CAST(count(*) FILTER (WHERE action = 'removed') AS BIGINT) AS removed,
+  CAST(count(*) FILTER (WHERE action = 'skipped') AS BIGINT) AS skipped,
+  (SELECT count(*) FROM nxt) AS total
+FROM diff""",
+        "index_partial": _PAIR + """SELECT c.file_path,
+  CASE WHEN p.file_path IS NULL THEN 'added' WHEN p.file_hash = c.file_hash THEN 'skipped' ELSE 'updated' END AS action,
+  coalesce(p.slug, c.slug) AS slug
+FROM cur c LEFT JOIN prev p ON c.file_path = p.file_path WHERE c.m IN (7, 8)""",
+        "deindex_slug": _PAIR + """, targets AS (
+  SELECT DISTINCT 's' || CAST(x AS VARCHAR) AS slug FROM prev, unnest([2 * (doc_id // 10) + 1, 2 * (doc_id // 10) + 2,
+    CASE WHEN (doc_id // 10) > 0 AND (doc_id // 10) % 7 = 0 THEN (doc_id // 10) // 2 END]) t(x)
+  WHERE m = 0 AND x IS NOT NULL)
+SELECT slug, source FROM prev WHERE NOT (slug IN (SELECT slug FROM targets) AND source = 'local')""",
+        "deindex_prefix": _PAIR + """SELECT slug, source FROM prev
+WHERE NOT ((file_path ILIKE '/KB/NOTES/%' OR file_path ILIKE '/kb/_gents/%') AND source = 'local')""",
+        "slug_conflicts": with_concepts(
+            "SELECT slug, CAST(2 AS BIGINT) AS n_paths, file_path AS first_path FROM concepts"
+        ),
+    }
+)

@@ -388,3 +388,106 @@ QUERIES.update(
         "get_concept": q_get_concept,
     }
 )
+
+
+# --- incremental maintenance ---------------------------------------------------
+
+from quire.operators import maintain  # noqa: E402
+from quire.sources.fixtures import snapshot_pair  # noqa: E402
+
+DAY = 86400
+
+
+def fixture_previous(spark, sf_dir) -> DataFrame:
+    """The stored snapshot before the run (FIXTURES §4): previous files,
+    rows with doc_id mod 19 = 0 marked as synced from elsewhere."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#previous")
+    path = _SNAPSHOTS.get(key)
+    if path is None:
+        prev_files, _ = snapshot_pair(read_table(spark, sf_dir, "documents"))
+        kept = prev_files.where(paths.scan_keeps(F.col("file_path"), FIXTURE_ROOTS))
+        rows = parse.parse_files(kept, FIXTURE_ROOTS, now="indexed_at", keep=["doc_id"])
+        rows = rows.withColumn("source", F.when(F.col("doc_id") % 19 == 0, "remote").otherwise(F.col("source")))
+        base = f"{checkpoint_dir(spark).rstrip('/')}/quire-previous-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+        path = snapshot.write_snapshot(rows.drop("doc_id"), base)
+        _SNAPSHOTS[key] = path
+    return spark.read.parquet(path)
+
+
+def fixture_current_scan(spark, sf_dir) -> DataFrame:
+    """The current scan, indexed one day after the previous run."""
+    _, cur_files = snapshot_pair(read_table(spark, sf_dir, "documents"))
+    cur = cur_files.where(paths.scan_keeps(F.col("file_path"), FIXTURE_ROOTS))
+    return cur.withColumn("indexed_at", F.col("indexed_at") + DAY)
+
+
+def q_diff_snapshot(spark, sf_dir):
+    d = maintain.diff_snapshot(fixture_previous(spark, sf_dir), fixture_current_scan(spark, sf_dir), FIXTURE_ROOTS)
+    return d.select("file_path", "action", "slug")
+
+
+def q_removed_concepts(spark, sf_dir):
+    d = maintain.diff_snapshot(fixture_previous(spark, sf_dir), fixture_current_scan(spark, sf_dir), FIXTURE_ROOTS)
+    return d.where(F.col("action") == "removed").select("file_path", "slug")
+
+
+def _next_snapshot(spark, sf_dir):
+    prev, cur = fixture_previous(spark, sf_dir), fixture_current_scan(spark, sf_dir)
+    return maintain.upsert_snapshot(prev, cur, FIXTURE_ROOTS, now="indexed_at")
+
+
+def q_upsert_snapshot(spark, sf_dir):
+    nxt = _next_snapshot(spark, sf_dir)
+    return nxt.select("slug", "file_path", "source", "file_hash", "created_at", "updated_at", "title", "status")
+
+
+def q_index_summary(spark, sf_dir):
+    prev, cur = fixture_previous(spark, sf_dir), fixture_current_scan(spark, sf_dir)
+    d = maintain.diff_snapshot(prev, cur, FIXTURE_ROOTS)
+    return maintain.index_summary(d, maintain.upsert_snapshot(prev, cur, FIXTURE_ROOTS, now="indexed_at", diff=d))
+
+
+def q_index_partial(spark, sf_dir):
+    directory = "/kb/notes"
+    scan = maintain.partial_scan(fixture_current_scan(spark, sf_dir), directory)
+    d = maintain.diff_snapshot(fixture_previous(spark, sf_dir), scan, [directory], removals=False)
+    return d.where(F.col("action") != "kept").select("file_path", "action", "slug")
+
+
+def q_deindex_slug(spark, sf_dir):
+    prev = fixture_previous(spark, sf_dir)
+    targets = prev.select(F.explode(parse.dependency_slugs(prev)).alias("slug"))
+    return maintain.deindex_slugs(prev, targets).select("slug", "source")
+
+
+def q_deindex_prefix(spark, sf_dir):
+    prev = fixture_previous(spark, sf_dir)
+    return maintain.deindex_prefixes(prev, ["/KB/NOTES/", "/kb/_gents/"]).select("slug", "source")
+
+
+MIRROR = "/mirror"
+
+
+def q_slug_conflicts(spark, sf_dir):
+    """Index the fixture and a mirrored copy of it: every slug is claimed twice."""
+    files = fixture_files(spark, sf_dir)
+    mirrored = files.withColumn("file_path", F.concat(F.lit(MIRROR), F.col("file_path")))
+    roots = FIXTURE_ROOTS + [MIRROR + r for r in FIXTURE_ROOTS]
+    both = files.unionByName(mirrored)
+    kept = both.where(paths.scan_keeps(F.col("file_path"), roots))
+    slugs = kept.select("file_path", paths.derive_slug(F.col("file_path"), roots).alias("slug"))
+    return maintain.slug_conflicts(slugs)
+
+
+QUERIES.update(
+    {
+        "diff_snapshot": q_diff_snapshot,
+        "removed_concepts": q_removed_concepts,
+        "upsert_snapshot": q_upsert_snapshot,
+        "index_summary": q_index_summary,
+        "index_partial": q_index_partial,
+        "deindex_slug": q_deindex_slug,
+        "deindex_prefix": q_deindex_prefix,
+        "slug_conflicts": q_slug_conflicts,
+    }
+)

@@ -246,3 +246,19 @@ WHERE NOT ((file_path ILIKE '/KB/NOTES/%' OR file_path ILIKE '/kb/_gents/%') AND
         ),
     }
 )
+
+ORACLE.update(
+    {
+        "index_run": with_concepts(
+            "SELECT CAST(1 AS BIGINT) AS run, count(*) AS added, CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS removed, "
+            "CAST(0 AS BIGINT) AS skipped, count(*) AS total FROM concepts UNION ALL "
+            "SELECT 2, 0, 0, 0, count(*), count(*) FROM concepts"
+        ),
+        "stream_ingest": with_concepts("SELECT slug, file_hash, source FROM concepts"),
+        "stream_run_summary": with_concepts(
+            ", g AS (SELECT ((doc_id % 4) + 4) % 4 AS batch_id, count(*) AS added FROM concepts GROUP BY 1)\n"
+            "SELECT CAST(batch_id AS BIGINT) AS batch_id, added, CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS removed, "
+            "CAST(sum(added) OVER (ORDER BY batch_id) AS BIGINT) AS total FROM g"
+        ),
+    }
+)

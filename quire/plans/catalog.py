@@ -491,3 +491,69 @@ QUERIES.update(
         "slug_conflicts": q_slug_conflicts,
     }
 )
+
+
+# --- index runs and streaming ----------------------------------------------------
+
+from quire.plans import index_run  # noqa: E402
+from quire.streaming import ingest  # noqa: E402
+
+STREAM_GROUPS = 4
+
+
+def q_index_run(spark, sf_dir):
+    """Mirror the fixture twice into a fresh snapshot: all added, then all skipped."""
+    files = fixture_files(spark, sf_dir)
+    base = index_run.scratch_base(spark, "quire-index")
+    runs = base + "-runs"
+    index_run.run_index(files, FIXTURE_ROOTS, base, now=FIXTURE_EPOCH, runs_path=runs, batch_id=1)
+    index_run.run_index(files, FIXTURE_ROOTS, base, now=FIXTURE_EPOCH + DAY, runs_path=runs, batch_id=2)
+    return ingest.read_runs(spark, runs).select(
+        F.col("batch_id").alias("run"), "added", "updated", "removed", "skipped", "total"
+    )
+
+
+_STREAMS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _run_stream(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STREAMS:
+        return _STREAMS[key]
+    base = index_run.scratch_base(spark, "quire-stream")
+    src, snap, runs, ckpt = base + "/source", base + "/snapshot", base + "/runs", base + "/checkpoint"
+    files = fixture_files(spark, sf_dir)
+    group = F.pmod(F.col("doc_id"), F.lit(STREAM_GROUPS))
+    records = files.select("file_path", "content", F.col("doc_id").alias("seq"), group.alias("g"))
+    jvm = spark.sparkContext._jvm
+    for g in range(STREAM_GROUPS):
+        out = f"{src}/g{g}"
+        records.where(F.col("g") == g).drop("g").coalesce(1).write.parquet(out)
+        fs_path = jvm.org.apache.hadoop.fs.Path(out)
+        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for st in fs.listStatus(fs_path):
+            fs.setTimes(st.getPath(), 1_700_000_000_000 + g * 1000, -1)
+    source = ingest.file_source(spark, f"{src}/*/*.parquet", max_files_per_trigger=1)
+    q = ingest.start_ingest(spark, source, FIXTURE_ROOTS, snap, runs, ckpt, now=FIXTURE_EPOCH)
+    q.awaitTermination()
+    _STREAMS[key] = (snap, runs)
+    return snap, runs
+
+
+def q_stream_ingest(spark, sf_dir):
+    snap, _ = _run_stream(spark, sf_dir)
+    return snapshot.read_snapshot(spark, snap).select("slug", "file_hash", "source")
+
+
+def q_stream_run_summary(spark, sf_dir):
+    _, runs = _run_stream(spark, sf_dir)
+    return ingest.read_runs(spark, runs).select("batch_id", "added", "updated", "removed", "total")
+
+
+QUERIES.update(
+    {
+        "index_run": q_index_run,
+        "stream_ingest": q_stream_ingest,
+        "stream_run_summary": q_stream_run_summary,
+    }
+)

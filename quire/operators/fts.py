@@ -10,6 +10,8 @@ is broadcast into the join; all heavy work is grouped aggregation.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,6 @@ from quire.schema import BM25_B, BM25_K1, BM25_MIN_IDF, FTS_FIELDS, FTS_WEIGHTS
 
 # Whitespace the query rewrite splits on (JavaScript's \s set).
 JS_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
-# Upper bound on query-phrase tokens broadcast into the postings join.
-MAX_BROADCAST_QUERY_TOKENS = 2_000_000
 TERM_BUCKETS = 64
 
 
@@ -37,32 +37,77 @@ def field_texts(concepts: DataFrame) -> DataFrame:
     return concepts.select("id", F.inline(parts))
 
 
-def build_postings(concepts: DataFrame) -> DataFrame:
-    """``(id, field, pos, term, term_bucket)`` for every token of every field."""
-    fields = field_texts(concepts)
-    return fields.select(
-        "id", "field", F.posexplode(fts_tokens(F.col("text"))).alias("pos", "term")
-    ).withColumn("term_bucket", term_bucket(F.col("term")))
+def index_partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def build_postings(concepts: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(id, field, pos, term)`` for every token of every field.
+
+    The index is partitioned by document id (like search shards): a query
+    batch is broadcast to every partition and every per-document
+    aggregation (phrase positions, term frequencies, BM25 contributions)
+    runs where the postings are, without a shuffle.  A frequent term is
+    spread over all partitions instead of loading one.
+    """
+    n = partitions or index_partitions(concepts.sparkSession)
+    docs = concepts.select("id", *FTS_FIELDS).repartition(n, "id")
+    fields = field_texts(docs)
+    return fields.select("id", "field", F.posexplode(fts_tokens(F.col("text"))).alias("pos", "term"))
 
 
 def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Store postings partitioned by term bucket (the inverted-index layout)."""
-    postings.repartition("term_bucket").write.mode("errorifexists").partitionBy("term_bucket").parquet(path)
+def write_postings_table(postings: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Store the index as a table bucketed by id and sorted by term.
+
+    Reading it back keeps the id partitioning (no shuffle for the
+    per-document aggregations) and the term order gives Parquet row-group
+    statistics that skip everything but the batch's terms.
+    """
+    (
+        postings.write.mode("errorifexists")
+        .bucketBy(buckets, "id")
+        .sortBy("term")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return postings.sparkSession.table(table)
+
+
+def doc_lengths(postings: DataFrame) -> DataFrame:
+    """Tokens per row over all four fields (title included); rows without a
+    token have no entry (their length 0 still counts in the average)."""
+    return postings.groupBy("id").agg(F.count(F.lit(1)).alias("doc_len"))
+
+
+def corpus_stats(concepts: DataFrame, postings: DataFrame) -> DataFrame:
+    """A3: one row ``(n_docs, avg_len)`` over all rows, empty ones included."""
+    n_docs = concepts.select(F.count(F.lit(1))).scalar()
+    return postings.agg(F.count(F.lit(1)).alias("_n")).select(
+        n_docs.alias("n_docs"), (F.col("_n") / n_docs).alias("avg_len")
+    )
+
 
+@dataclass
+class FtsIndex:
+    """The full-text index of a concept snapshot."""
 
-def doc_lengths(concepts: DataFrame) -> DataFrame:
-    """Tokens per row over all four fields (title included)."""
-    fields = field_texts(concepts)
-    return fields.groupBy("id").agg(F.sum(F.size(fts_tokens(F.col("text")))).cast("long").alias("doc_len"))
+    postings: DataFrame
+    doc_len: DataFrame
+    stats: DataFrame
 
 
-def corpus_stats(doc_len: DataFrame) -> DataFrame:
-    """A3: one row ``(n_docs, avg_len)``."""
-    return doc_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+def build_index(concepts: DataFrame, partitions: int | None = None, cache: bool = False) -> FtsIndex:
+    postings = build_postings(concepts, partitions)
+    if cache:
+        postings = postings.cache()
+    doc_len = doc_lengths(postings)
+    if cache:
+        doc_len = doc_len.cache()
+    return FtsIndex(postings, doc_len, corpus_stats(concepts, postings))
 
 
 def rewrite_query(query: Column) -> Column:
@@ -74,63 +119,89 @@ def rewrite_query(query: Column) -> Column:
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
-    """``(query_id, phrase_idx, n_tok, tok_idx, term)`` from ``queries(query_id, query)``.
+    """``(query_id, phrase_idx, pkey, toks)`` from ``queries(query_id, query)``.
 
-    Phrases with no token are dropped (they match nothing).
+    ``toks`` are the phrase's tokens and ``pkey`` their JSON text, the key
+    shared by equal phrases of different queries.  Phrases with no token
+    are dropped (they match nothing).
     """
     ph = queries.select("query_id", F.posexplode(rewrite_query(F.col("query"))).alias("phrase_idx", "phrase"))
     ph = ph.withColumn("toks", fts_tokens(F.col("phrase"))).where(F.size("toks") > 0)
-    return ph.select(
-        "query_id", "phrase_idx", F.size("toks").alias("n_tok"),
-        F.posexplode("toks").alias("tok_idx", "term"),
-    )
+    return ph.select("query_id", "phrase_idx", F.to_json(F.col("toks")).alias("pkey"), "toks")
+
+
+def _small(df: DataFrame, broadcast: bool) -> DataFrame:
+    """Broadcast a query-derived table when the caller has bounded the batch
+    (see ``hybrid.search_batch``); otherwise leave the strategy to AQE."""
+    return F.broadcast(df) if broadcast else df
+
 
+def _phrase_keys(phrases: DataFrame) -> DataFrame:
+    """Distinct phrases of a batch as ``(pkey, n_tok, tok_idx, term)``."""
+    keyed = phrases.select("pkey", "toks").dropDuplicates(["pkey"])
+    return keyed.select("pkey", F.size("toks").alias("n_tok"), F.posexplode("toks").alias("tok_idx", "term"))
 
-def _checked_broadcast(df: DataFrame, max_rows: int, what: str) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        return df  # too large to broadcast: leave the join strategy to AQE
-    return F.broadcast(df)
 
+def query_phrase_keys(phrases: DataFrame) -> DataFrame:
+    """``(query_id, phrase_idx, pkey)``: which distinct phrase each query uses."""
+    return phrases.select("query_id", "phrase_idx", "pkey")
 
-def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """per (query, phrase, id, field) the number of phrase occurrences.
 
-    A posting of token j of a phrase at position p votes for a start p - j;
-    a start with all n tokens is one occurrence.
+def phrase_occurrences(postings: DataFrame, keys: DataFrame, broadcast: bool = True) -> DataFrame:
+    """F4 per distinct phrase: ``(pkey, id, field, occ)``.
+
+    A posting of token j at position p votes for the start p - j; a start
+    with every token of the phrase is one occurrence (a one-token phrase is
+    the same rule with n = 1).  Postings are partitioned by id, so both
+    aggregations run without a shuffle.
     """
-    ph = phrases.withColumn("term_bucket", term_bucket(F.col("term")))
-    ph = _checked_broadcast(ph, MAX_BROADCAST_QUERY_TOKENS, "query tokens")
-    joined = postings.join(ph, on=["term_bucket", "term"], how="inner")
-    starts = joined.groupBy("query_id", "phrase_idx", "id", "field", (F.col("pos") - F.col("tok_idx")).alias("start")).agg(
-        F.count_distinct("tok_idx").alias("k"), F.first("n_tok").alias("n_tok")
+    joined = postings.join(_small(keys, broadcast), on="term", how="inner")
+    return (
+        joined.groupBy("pkey", "n_tok", "id", "field", (F.col("pos") - F.col("tok_idx")).alias("start"))
+        # One posting sits at position start + tok_idx, so a (start, tok_idx)
+        # pair occurs at most once: a plain count equals the distinct count.
+        .agg(F.count(F.lit(1)).alias("k"))
+        .where(F.col("k") == F.col("n_tok"))
+        .groupBy("pkey", "id", "field")
+        .agg(F.count(F.lit(1)).alias("occ"))
     )
-    occ = starts.where(F.col("k") == F.col("n_tok"))
-    return occ.groupBy("query_id", "phrase_idx", "id", "field").agg(F.count(F.lit(1)).alias("occ"))
 
 
-def bm25(postings: DataFrame, doc_len: DataFrame, phrases: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def phrase_hits(postings: DataFrame, phrases: DataFrame, broadcast: bool = True) -> DataFrame:
+    """per (query, phrase, id, field) the number of phrase occurrences."""
+    occ = phrase_occurrences(postings, _phrase_keys(phrases), broadcast)
+    return occ.join(_small(query_phrase_keys(phrases), broadcast), on="pkey").drop("pkey")
+
+
+def bm25(postings: DataFrame, phrases: DataFrame, stats: DataFrame, doc_len: DataFrame | None = None,
+         broadcast: bool = True) -> DataFrame:
     """``(query_id, id, rank)`` for every row matching any phrase.
 
     rank = -sum_p idf_p * f * (k1+1) / (f + k1 * (1 - b + b * D / avgdl)),
     f = sum over fields of weight * occurrences (title weighs 0), idf from the
     number of rows matching the phrase in any field, floored at 1e-6.
+
+    Each phrase's contribution depends on (phrase, row) only, so it is
+    computed once per distinct phrase of the batch; queries then add up the
+    contributions of their phrases at row level.
     """
-    stats = corpus_stats(doc_len) if stats is None else stats
-    hits = phrase_hits(postings, phrases)
+    doc_len = doc_lengths(postings) if doc_len is None else doc_len
+    keys = _phrase_keys(phrases)
+    occ = phrase_occurrences(postings, keys, broadcast)
     weight = F.element_at(F.array(*[F.lit(FTS_WEIGHTS[f]) for f in FTS_FIELDS]), F.col("field") + 1)
-    per = hits.groupBy("query_id", "phrase_idx", "id").agg(F.sum(weight * F.col("occ")).alias("f"))
-    df_p = per.groupBy("query_id", "phrase_idx").agg(F.count(F.lit(1)).alias("n_match"))
+    per = occ.groupBy("pkey", "id").agg(F.sum(weight * F.col("occ")).alias("f"))
     n_docs = stats.select("n_docs").scalar()
     avg_len = stats.select("avg_len").scalar()
+    df_p = per.groupBy("pkey").agg(F.count(F.lit(1)).alias("n_match"))
     idf_raw = F.log((n_docs - F.col("n_match") + 0.5) / (F.col("n_match") + 0.5))
-    idf = df_p.select(
-        "query_id", "phrase_idx", F.when(idf_raw <= 0, F.lit(BM25_MIN_IDF)).otherwise(idf_raw).alias("idf")
-    )
-    scored = per.join(idf, on=["query_id", "phrase_idx"]).join(doc_len, on="id")
+    idf = df_p.select("pkey", F.when(idf_raw <= 0, F.lit(BM25_MIN_IDF)).otherwise(idf_raw).alias("idf"))
     denom = F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / avg_len)
-    term = F.col("idf") * F.col("f") * (BM25_K1 + 1) / denom
-    return scored.groupBy("query_id", "id").agg((-F.sum(term)).alias("rank"))
+    # idf has one row per distinct phrase of the batch: broadcast it.
+    contrib = per.join(F.broadcast(idf), on="pkey").join(doc_len, on="id").select(
+        "pkey", "id", (F.col("idf") * F.col("f") * (BM25_K1 + 1) / denom).alias("c")
+    )
+    qp = _small(query_phrase_keys(phrases), broadcast)
+    return contrib.join(qp, on="pkey").groupBy("query_id", "id").agg((-F.sum("c")).alias("rank"))
 
 
 def top_by_rank(ranked: DataFrame, meta: DataFrame, k_col: Column | str, types_col: str | None = None) -> DataFrame:

@@ -12,6 +12,12 @@ from quire.functions.text import approx_tokens, snippet
 from quire.operators import fts, vector
 from quire.schema import CANDIDATE_FACTOR, MIN_CANDIDATES, SEARCH_DEFAULTS
 
+# Bound on one broadcast query batch: queries and total query characters
+# (a query has at most as many tokens as characters).  Larger batches are
+# processed in chunks of this size.
+MAX_BATCH_QUERIES = 100_000
+MAX_BATCH_CHARS = 20_000_000
+
 QUERY_DDL = "query_id long, query string, type array<string>, tags array<string>, alpha double, limit int, offset int"
 
 
@@ -32,14 +38,14 @@ def with_defaults(queries: DataFrame) -> DataFrame:
     )
 
 
-def fts_candidates(concepts: DataFrame, q: DataFrame, postings: DataFrame | None = None,
-                   doc_len: DataFrame | None = None) -> DataFrame:
+def fts_candidates(concepts: DataFrame, q: DataFrame, index: fts.FtsIndex | None = None,
+                   broadcast: bool = True) -> DataFrame:
     """BM25 candidates per query after the type filter and cut, normalised."""
-    postings = fts.build_postings(concepts) if postings is None else postings
-    doc_len = fts.doc_lengths(concepts) if doc_len is None else doc_len
+    index = fts.build_index(concepts) if index is None else index
     phrases = fts.query_phrases(q.select("query_id", "query"))
-    ranked = fts.bm25(postings, doc_len, phrases)
-    ranked = ranked.join(q.select("query_id", "cand", "types"), on="query_id")
+    ranked = fts.bm25(index.postings, phrases, index.stats, index.doc_len, broadcast)
+    qs = q.select("query_id", "cand", "types")
+    ranked = ranked.join(F.broadcast(qs) if broadcast else qs, on="query_id")
     top = fts.top_by_rank(ranked, concepts, "cand", "types")
     w = Window.partitionBy("query_id")
     norm = 1 - F.abs(F.col("rank")) / F.greatest(F.max(F.abs(F.col("rank"))).over(w), F.lit(1.0))
@@ -82,20 +88,49 @@ def merge(fts_c: DataFrame, vec_c: DataFrame, q: DataFrame, profile: str = "code
     return m.withColumn("score", score)
 
 
-def search_batch(concepts: DataFrame, queries: DataFrame, postings: DataFrame | None = None,
-                 doc_len: DataFrame | None = None, profile: str = "code") -> DataFrame:
+def batch_chunks(queries: DataFrame) -> list[DataFrame]:
+    """Split a query batch so that every chunk is within the broadcast bound.
+
+    One small aggregate over the batch proves the bound; a batch beyond it
+    is cut by a hash of the query id (each chunk then broadcast on its own).
+    """
+    stats = queries.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("query", F.lit("")))).alias("chars")
+    ).first()
+    n, chars = int(stats["n"] or 0), int(stats["chars"] or 0)
+    parts = max(1, -(-n // MAX_BATCH_QUERIES), -(-chars // MAX_BATCH_CHARS))
+    if parts == 1:
+        return [queries]
+    # Hash split: every chunk gets about 1/parts of the batch, no single task.
+    bucket = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    return [queries.where(bucket == i) for i in range(parts)]
+
+
+def search_batch(concepts: DataFrame, queries: DataFrame, index: fts.FtsIndex | None = None,
+                 profile: str = "code") -> DataFrame:
     """H5 for a batch ``queries(query_id, query, type, tags, alpha, limit, offset)``.
 
     Returns one row per result on each query's page: ``query_id, position,
     id, slug, type, title, description, tags, status, source, body_length,
     approx_tokens, score (2 decimals), snippet, total``.
     """
+    chunks = batch_chunks(queries)
+    out = None
+    for chunk in chunks:
+        part = _search_chunk(concepts, chunk, index, profile)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _search_chunk(concepts: DataFrame, queries: DataFrame, index, profile: str) -> DataFrame:
     q = with_defaults(queries)
-    fts_c = fts_candidates(concepts, q, postings, doc_len)
+    fts_c = fts_candidates(concepts, q, index)
     vec_c = vector_candidates(concepts, q)
     merged = merge(fts_c, vec_c, q, profile)
     meta = concepts.select("id", "slug", "type", "title", "description", "tags", "status", "source", "body_length")
-    m = merged.join(meta, on="id").join(q.select("query_id", "want_tags", "limit", "offset"), on="query_id")
+    m = merged.join(meta, on="id").join(
+        F.broadcast(q.select("query_id", "want_tags", "limit", "offset")), on="query_id"
+    )
     m = m.where(F.forall("want_tags", lambda t: F.array_contains(F.col("tags"), t)))
     w_all = Window.partitionBy("query_id")
     order = Window.partitionBy("query_id").orderBy(

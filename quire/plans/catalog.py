@@ -248,9 +248,9 @@ def q_postings_df(spark, sf_dir):
 
 def q_corpus_stats(spark, sf_dir):
     c = fixture_concepts(spark, sf_dir)
-    stats = fts.corpus_stats(fts.doc_lengths(c))
-    n_terms = fts.build_postings(c).select(F.count_distinct("term").alias("n_terms")).scalar()
-    return stats.select("n_docs", F.round("avg_len", 6).alias("avg_len"), n_terms.alias("n_terms"))
+    idx = fts.build_index(c)
+    n_terms = idx.postings.select(F.count_distinct("term").alias("n_terms")).scalar()
+    return idx.stats.select("n_docs", F.round("avg_len", 6).alias("avg_len"), n_terms.alias("n_terms"))
 
 
 def q_parse_match_query(spark, sf_dir):
@@ -271,7 +271,8 @@ def q_fts_match(spark, sf_dir):
 def q_bm25_topk(spark, sf_dir):
     c = fixture_concepts(spark, sf_dir)
     q = _q(spark, sf_dir)
-    ranked = fts.bm25(fts.build_postings(c), fts.doc_lengths(c), fts.query_phrases(q.select("query_id", "query")))
+    idx = fts.build_index(c)
+    ranked = fts.bm25(idx.postings, fts.query_phrases(q.select("query_id", "query")), idx.stats, idx.doc_len)
     top = fts.top_by_rank(ranked.join(q.select("query_id", "cand", "types"), on="query_id"), c, "cand", "types")
     return top.select("query_id", "slug", "fts_pos", F.round("rank", 6).alias("rank"))
 

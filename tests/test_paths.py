@@ -59,3 +59,18 @@ def test_type_rules(spark):
     out = df.select("file_path", paths.infer_type(F.col("file_path"), F.lit(None).cast("string"), roots).alias("t"))
     got = {r.file_path: r.t for r in out.collect()}
     assert got == dict(rows)
+
+
+def test_read_markdown_tree(spark, tmp_path):
+    from quire.sources.markdown import read_markdown
+
+    root = tmp_path / "kb"
+    (root / "skills" / "s1").mkdir(parents=True)
+    (root / "skills" / "s1" / "SKILL.md").write_text("---\ntitle: S\n---\nbody")
+    (root / "node_modules").mkdir()
+    (root / "node_modules" / "x.md").write_text("x")
+    (root / "README.md").write_text("r")
+    (root / "a b.md").write_text("space")
+    (root / "n.txt").write_text("no")
+    got = {r.file_path: r.content for r in read_markdown(spark, [str(root), str(tmp_path / "missing")]).collect()}
+    assert got == {str(root / "skills" / "s1" / "SKILL.md"): "---\ntitle: S\n---\nbody", str(root / "a b.md"): "space"}

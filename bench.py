@@ -87,6 +87,7 @@ def main():
     q["tag_counts"], _ = timed(lambda: catalog.q_tag_counts(spark, sf_dir).collect())
     q["references"], _ = timed(lambda: run_noop(graph.references(concepts)))
     q["closure"], _ = timed(lambda: graph.resolve_dependencies(concepts).count())
+    q["index_previous"], _ = timed(lambda: catalog.fixture_previous(spark, sf_dir))
     q["diff_snapshot"], _ = timed(lambda: run_noop(catalog.q_diff_snapshot(spark, sf_dir)))
     q["upsert_snapshot"], _ = timed(lambda: run_noop(catalog.q_upsert_snapshot(spark, sf_dir)))
 

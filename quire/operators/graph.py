@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.parse import dependency_slugs
-from quire.session import checkpoint_dir
+from quire.session import checkpoint_dir, materialize
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -103,27 +103,37 @@ def resolve_dependencies(concepts: DataFrame, max_rounds: int | None = None,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     existing = concepts.select(F.col("slug").alias("dst"))
     e = edges(concepts).select("src", "dst").distinct().join(existing, on="dst", how="left_semi")
-    e = e.repartition(n, "src").checkpoint()
-    frontier = (
+    e = materialize(e.repartition(n, "src"), "edges")
+    frontier = materialize(
         e.where(F.col("src") != F.col("dst"))
-        .select(F.col("src").alias("root"), F.col("dst").alias("slug"), F.lit(1).alias("depth"))
-        .repartition(n, "root", "slug")
-        .checkpoint()
+        .select(F.col("src").alias("root"), F.col("dst").alias("slug"), F.lit(1).alias("depth")),
+        "closure-level",
     )
-    visited = frontier
+    levels = [frontier]
     depth = 1
     while max_rounds is None or depth < max_rounds:
+        # The visited set is the union of the checkpointed levels: lineage
+        # stays one level deep without writing the whole set every round.
+        visited = _union(levels)
         step = frontier.join(e, frontier["slug"] == e["src"]).select(
             "root", F.col("dst").alias("slug"), (F.col("depth") + 1).alias("depth")
         )
         step = step.where(F.col("slug") != F.col("root")).dropDuplicates(["root", "slug"])
-        nxt = step.join(visited, on=["root", "slug"], how="left_anti").repartition(n, "root", "slug").checkpoint()
+        nxt = step.join(visited.select("root", "slug"), on=["root", "slug"], how="left_anti")
+        nxt = materialize(nxt, "closure-level")
         if nxt.isEmpty():
             break
-        visited = visited.unionByName(nxt).checkpoint()
+        levels.append(nxt)
         frontier = nxt
         depth += 1
-    return visited
+    return _union(levels)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def concept_record(concepts: DataFrame) -> DataFrame:

@@ -78,3 +78,19 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
     _SHIPPED[key] = zpath
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, but computes the plan only
+    once (``checkpoint()`` recomputes an unpersisted input in a second job)
+    and keeps memory free.  The folder is the session's checkpoint folder, so
+    it survives the loss of an executor.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

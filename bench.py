@@ -58,7 +58,7 @@ def main():
     q["build_postings"], _ = timed(lambda: run_noop(fts.build_postings(concepts)))
     index = fts.build_index(concepts, cache=True)
     index.postings.count()
-    index.doc_len.count()
+    index.docs.count()
 
     def one_query():
         words = read_table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
@@ -74,10 +74,11 @@ def main():
 
     def bm25_batch():
         qq = hybrid.with_defaults(batch)
-        ranked = fts.bm25(index.postings, fts.query_phrases(qq.select("query_id", "query")), index.stats,
-                          index.doc_len)
-        top = fts.top_by_rank(ranked.join(qq.select("query_id", "cand", "types"), on="query_id"), concepts,
-                              "cand", "types")
+        ranked = fts.attach_docs(fts.bm25(index.postings, fts.query_phrases(qq.select("query_id", "query")),
+                                          index.stats, index.docs), index.docs)
+        k_max = qq.agg(F.max("cand")).first()[0]
+        top = fts.top_by_rank(ranked.join(F.broadcast(qq.select("query_id", "cand", "types")), on="query_id"),
+                              "cand", "types", k_max=k_max)
         return top.collect()
 
     q["bm25_batch"], _ = timed(bm25_batch)

@@ -41,6 +41,11 @@ def index_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _by_document(concepts: DataFrame, partitions: int | None) -> DataFrame:
+    n = partitions or index_partitions(concepts.sparkSession)
+    return concepts.select("id", "slug", "type", *FTS_FIELDS).repartition(n, "id")
+
+
 def build_postings(concepts: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(id, field, pos, term)`` for every token of every field.
 
@@ -50,8 +55,10 @@ def build_postings(concepts: DataFrame, partitions: int | None = None) -> DataFr
     runs where the postings are, without a shuffle.  A frequent term is
     spread over all partitions instead of loading one.
     """
-    n = partitions or index_partitions(concepts.sparkSession)
-    docs = concepts.select("id", *FTS_FIELDS).repartition(n, "id")
+    return _postings_of(_by_document(concepts, partitions))
+
+
+def _postings_of(docs: DataFrame) -> DataFrame:
     fields = field_texts(docs)
     return fields.select("id", "field", F.posexplode(fts_tokens(F.col("text"))).alias("pos", "term"))
 
@@ -93,21 +100,31 @@ def corpus_stats(concepts: DataFrame, postings: DataFrame) -> DataFrame:
 
 @dataclass
 class FtsIndex:
-    """The full-text index of a concept snapshot."""
+    """The full-text index of a concept snapshot, partitioned by document id.
+
+    ``docs(id, slug, type, doc_len)`` travels with the postings so ranking,
+    type filtering and tie-breaking never join back to the concept table.
+    """
 
     postings: DataFrame
-    doc_len: DataFrame
+    docs: DataFrame
     stats: DataFrame
 
+    @property
+    def doc_len(self) -> DataFrame:
+        return self.docs
+
 
 def build_index(concepts: DataFrame, partitions: int | None = None, cache: bool = False) -> FtsIndex:
-    postings = build_postings(concepts, partitions)
+    base = _by_document(concepts, partitions)
+    postings = _postings_of(base)
     if cache:
         postings = postings.cache()
-    doc_len = doc_lengths(postings)
+    # Both sides are partitioned by id: this join does not shuffle.
+    docs = doc_lengths(postings).join(base.select("id", "slug", "type"), on="id")
     if cache:
-        doc_len = doc_len.cache()
-    return FtsIndex(postings, doc_len, corpus_stats(concepts, postings))
+        docs = docs.cache()
+    return FtsIndex(postings, docs, corpus_stats(concepts, postings))
 
 
 def rewrite_query(query: Column) -> Column:
@@ -204,15 +221,27 @@ def bm25(postings: DataFrame, phrases: DataFrame, stats: DataFrame, doc_len: Dat
     return contrib.join(qp, on="pkey").groupBy("query_id", "id").agg((-F.sum("c")).alias("rank"))
 
 
-def top_by_rank(ranked: DataFrame, meta: DataFrame, k_col: Column | str, types_col: str | None = None) -> DataFrame:
+def attach_docs(ranked: DataFrame, docs: DataFrame) -> DataFrame:
+    """Add ``slug`` and ``type`` from the index's document table (both sides
+    partitioned by id: no shuffle of the concept table)."""
+    return ranked.join(docs.select("id", "slug", "type"), on="id")
+
+
+def top_by_rank(ranked: DataFrame, k_col: Column | str, types_col: str | None = None,
+                k_max: int | None = None) -> DataFrame:
     """Type filter then per-query cut: lowest rank first, ties by slug.
 
-    ``ranked(query_id, id, rank, [k, types])`` joined to ``meta(id, slug, type)``.
-    The window limit runs as a partial top-k before its shuffle.
+    ``ranked(query_id, id, slug, type, rank, [k, types])``.  ``k_max`` (the
+    largest cut of the batch) is a literal bound that lets Spark run the
+    window as a partial top-k in every partition before its shuffle; the
+    exact per-query cut follows.
     """
-    df = ranked.join(meta.select("id", "slug", "type"), on="id")
+    df = ranked
     if types_col:
         df = df.where((F.size(types_col) == 0) | F.array_contains(F.col(types_col), F.col("type")))
     w = Window.partitionBy("query_id").orderBy(F.round("rank", 9), F.col("slug"))
     k = F.col(k_col) if isinstance(k_col, str) else k_col
-    return df.withColumn("fts_pos", F.row_number().over(w)).where(F.col("fts_pos") <= k)
+    out = df.withColumn("fts_pos", F.row_number().over(w))
+    if k_max is not None:
+        out = out.where(F.col("fts_pos") <= F.lit(int(k_max)))
+    return out.where(F.col("fts_pos") <= k)

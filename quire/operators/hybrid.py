@@ -12,11 +12,13 @@ from quire.functions.text import approx_tokens, snippet
 from quire.operators import fts, vector
 from quire.schema import CANDIDATE_FACTOR, MIN_CANDIDATES, SEARCH_DEFAULTS
 
-# Bound on one broadcast query batch: queries and total query characters
-# (a query has at most as many tokens as characters).  Larger batches are
-# processed in chunks of this size.
+# Bound on one broadcast query batch: queries, total query characters (a
+# query has at most as many tokens as characters) and total candidates (each
+# query keeps at most 2 * cand merged rows).  Larger batches are processed in
+# chunks within these bounds.
 MAX_BATCH_QUERIES = 100_000
 MAX_BATCH_CHARS = 20_000_000
+MAX_BATCH_CANDIDATES = 4_000_000
 
 QUERY_DDL = "query_id long, query string, type array<string>, tags array<string>, alpha double, limit int, offset int"
 
@@ -39,26 +41,26 @@ def with_defaults(queries: DataFrame) -> DataFrame:
 
 
 def fts_candidates(concepts: DataFrame, q: DataFrame, index: fts.FtsIndex | None = None,
-                   broadcast: bool = True) -> DataFrame:
+                   broadcast: bool = True, k_max: int | None = None) -> DataFrame:
     """BM25 candidates per query after the type filter and cut, normalised."""
     index = fts.build_index(concepts) if index is None else index
     phrases = fts.query_phrases(q.select("query_id", "query"))
-    ranked = fts.bm25(index.postings, phrases, index.stats, index.doc_len, broadcast)
+    ranked = fts.attach_docs(fts.bm25(index.postings, phrases, index.stats, index.docs, broadcast), index.docs)
     qs = q.select("query_id", "cand", "types")
     ranked = ranked.join(F.broadcast(qs) if broadcast else qs, on="query_id")
-    top = fts.top_by_rank(ranked, concepts, "cand", "types")
+    top = fts.top_by_rank(ranked, "cand", "types", k_max=k_max)
     w = Window.partitionBy("query_id")
     norm = 1 - F.abs(F.col("rank")) / F.greatest(F.max(F.abs(F.col("rank"))).over(w), F.lit(1.0))
     return top.select("query_id", "id", "rank", "fts_pos", norm.alias("fts_norm"))
 
 
-def vector_candidates(concepts: DataFrame, q: DataFrame) -> DataFrame:
+def vector_candidates(concepts: DataFrame, q: DataFrame, k_max: int | None = None) -> DataFrame:
     """Cosine candidates for queries with alpha > 0, normalised (V4)."""
     qv = q.where(F.col("alpha") > 0).select(
         "query_id", embed_udf(F.col("query")).alias("qvec"), F.col("cand").alias("k"), "types"
     )
     c = concepts.select("id", "slug", "type", "embedding")
-    cands = vector.knn(c, qv, k_col="k", types_col="types")
+    cands = vector.knn(c, qv, k_col="k", types_col="types", k_max=k_max)
     return vector.normalise_distance(cands).select("query_id", "id", "distance", "vec_pos", "vec_norm")
 
 
@@ -94,16 +96,19 @@ def batch_chunks(queries: DataFrame) -> list[DataFrame]:
     One small aggregate over the batch proves the bound; a batch beyond it
     is cut by a hash of the query id (each chunk then broadcast on its own).
     """
-    stats = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("query", F.lit("")))).alias("chars")
+    q = with_defaults(queries)
+    stats = q.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("query")).alias("chars"),
+        F.sum(2 * F.col("cand")).alias("cands"), F.max("cand").alias("k_max"),
     ).first()
-    n, chars = int(stats["n"] or 0), int(stats["chars"] or 0)
-    parts = max(1, -(-n // MAX_BATCH_QUERIES), -(-chars // MAX_BATCH_CHARS))
+    n, chars, cands = int(stats["n"] or 0), int(stats["chars"] or 0), int(stats["cands"] or 0)
+    k_max = int(stats["k_max"] or MIN_CANDIDATES)
+    parts = max(1, -(-n // MAX_BATCH_QUERIES), -(-chars // MAX_BATCH_CHARS), -(-cands // MAX_BATCH_CANDIDATES))
     if parts == 1:
-        return [queries]
+        return [(queries, k_max)]
     # Hash split: every chunk gets about 1/parts of the batch, no single task.
     bucket = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    return [queries.where(bucket == i) for i in range(parts)]
+    return [(queries.where(bucket == i), k_max) for i in range(parts)]
 
 
 def search_batch(concepts: DataFrame, queries: DataFrame, index: fts.FtsIndex | None = None,
@@ -116,19 +121,21 @@ def search_batch(concepts: DataFrame, queries: DataFrame, index: fts.FtsIndex |
     """
     chunks = batch_chunks(queries)
     out = None
-    for chunk in chunks:
-        part = _search_chunk(concepts, chunk, index, profile)
+    for chunk, k_max in chunks:
+        part = _search_chunk(concepts, chunk, index, profile, k_max)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _search_chunk(concepts: DataFrame, queries: DataFrame, index, profile: str) -> DataFrame:
+def _search_chunk(concepts: DataFrame, queries: DataFrame, index, profile: str, k_max: int) -> DataFrame:
     q = with_defaults(queries)
-    fts_c = fts_candidates(concepts, q, index)
-    vec_c = vector_candidates(concepts, q)
+    fts_c = fts_candidates(concepts, q, index, k_max=k_max)
+    vec_c = vector_candidates(concepts, q, k_max=k_max)
     merged = merge(fts_c, vec_c, q, profile)
     meta = concepts.select("id", "slug", "type", "title", "description", "tags", "status", "source", "body_length")
-    m = merged.join(meta, on="id").join(
+    # The merged candidates are bounded by the batch check (sum of 2 * cand):
+    # broadcast them so the concept table is scanned, never shuffled.
+    m = F.broadcast(merged.drop("slug")).join(meta, on="id").join(
         F.broadcast(q.select("query_id", "want_tags", "limit", "offset")), on="query_id"
     )
     m = m.where(F.forall("want_tags", lambda t: F.array_contains(F.col("tags"), t)))
@@ -139,7 +146,7 @@ def _search_chunk(concepts: DataFrame, queries: DataFrame, index, profile: str)
     ranked = m.withColumn("total", F.count(F.lit(1)).over(w_all)).withColumn("position", F.row_number().over(order))
     page = ranked.where((F.col("position") > F.col("offset")) & (F.col("position") <= F.col("offset") + F.col("limit")))
     bodies = concepts.select("id", "body")
-    page = page.join(bodies, on="id")
+    page = F.broadcast(page).join(bodies, on="id")
     return page.select(
         "query_id", (F.col("position") - F.col("offset")).alias("position"), "id", "slug", "type", "title",
         "description", "tags", "status", "source", F.coalesce("body_length", F.lit(0)).alias("body_length"),

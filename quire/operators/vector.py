@@ -22,13 +22,15 @@ from quire.session import ship_package
 MAX_QUERY_CHUNK = 4096
 TIE_EPS = 1e-12
 
-CAND_SCHEMA = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("distance", T.DoubleType()),
-    ]
-)
+def _cand_schema(key_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("query_id", T.LongType()),
+            T.StructField("id", T.LongType()),
+            T.StructField("_key", key_type),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
 
 
 def _partition_topk(bq):
@@ -60,6 +62,7 @@ def _partition_topk(bq):
                 {
                     "query_id": qids[cols].astype(np.int64),
                     "id": pdf["id"].values[rows].astype(np.int64),
+                    "_key": pdf["_key"].values[rows],
                     "distance": dist[rows, cols],
                 }
             )
@@ -68,7 +71,7 @@ def _partition_topk(bq):
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str | None = None,
-        id_col: str = "id", key_col: str = "slug") -> DataFrame:
+        id_col: str = "id", key_col: str = "slug", k_max: int | None = None) -> DataFrame:
     """Exact cosine KNN for a batch of query vectors.
 
     corpus: ``(id, <key_col>, embedding[, type])``; queries: ``(query_id,
@@ -78,7 +81,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str
     """
     spark = corpus.sparkSession
     ship_package(spark)
-    cols = [F.col(id_col).alias("id"), F.col("embedding")]
+    key_type = corpus.schema[key_col].dataType
+    cols = [F.col(id_col).alias("id"), F.col(key_col).alias("_key"), F.col("embedding")]
     if types_col:
         cols.append(F.col("type"))
     body = corpus.select(*cols)
@@ -87,17 +91,24 @@ def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str
     chunks = _query_chunks(q, k_col, types_col)
     parts = []
     for chunk in chunks:
+        if len(chunk["ids"]) == 0:
+            continue
+        top_k = int(chunk["k"].max())
+        k_max = top_k if k_max is None else max(k_max, top_k)
         bq = spark.sparkContext.broadcast(chunk)
-        parts.append(body.mapInPandas(_partition_topk(bq), CAND_SCHEMA))
+        parts.append(body.mapInPandas(_partition_topk(bq), _cand_schema(key_type)))
     if not parts:
         return spark.createDataFrame([], "query_id long, id long, distance double, vec_pos int")
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    keyed = cand.join(corpus.select(F.col(id_col).alias("id"), F.col(key_col).alias("_key")), on="id")
-    kq = q.select("query_id", F.col(k_col).alias("_k"))
+    # The key travels with each candidate: no join back to the corpus.
+    kq = F.broadcast(q.select("query_id", F.col(k_col).alias("_k")))
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), F.col("_key"))
-    ranked = keyed.withColumn("vec_pos", F.row_number().over(w)).join(kq, on="query_id")
+    ranked = cand.withColumn("vec_pos", F.row_number().over(w))
+    if k_max is not None:  # literal bound: partial top-k before the shuffle
+        ranked = ranked.where(F.col("vec_pos") <= F.lit(int(k_max)))
+    ranked = ranked.join(kq, on="query_id")
     return ranked.where(F.col("vec_pos") <= F.col("_k")).select("query_id", "id", "distance", "vec_pos")
 
 

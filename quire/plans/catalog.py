@@ -272,8 +272,9 @@ def q_bm25_topk(spark, sf_dir):
     c = fixture_concepts(spark, sf_dir)
     q = _q(spark, sf_dir)
     idx = fts.build_index(c)
-    ranked = fts.bm25(idx.postings, fts.query_phrases(q.select("query_id", "query")), idx.stats, idx.doc_len)
-    top = fts.top_by_rank(ranked.join(q.select("query_id", "cand", "types"), on="query_id"), c, "cand", "types")
+    ranked = fts.attach_docs(fts.bm25(idx.postings, fts.query_phrases(q.select("query_id", "query")), idx.stats,
+                                      idx.docs), idx.docs)
+    top = fts.top_by_rank(ranked.join(q.select("query_id", "cand", "types"), on="query_id"), "cand", "types")
     return top.select("query_id", "slug", "fts_pos", F.round("rank", 6).alias("rank"))
 
 

@@ -17,12 +17,9 @@ from pyspark.sql import types as T
 
 from quire.schema import EMBEDDING_DIM
 
-# Tokens: runs of ASCII word characters and apostrophes, after lowercasing.
-_SPLIT = re.compile(r"[^A-Za-z0-9_']+")
-# Bigrams are hashed with a zero byte between the tokens.  In memory they are
-# joined with a space (never part of a token): pandas' hashing of object
-# strings stops at a NUL character.
-_BIGRAM_JOIN = " "
+# Tokens: runs of ASCII word characters and apostrophes, after lowercasing
+# (the same as splitting on everything else and dropping empty pieces).
+_TOKEN = re.compile(r"[A-Za-z0-9_']+")
 
 _C1 = np.uint32(0xCC9E2D51)
 _C2 = np.uint32(0x1B873593)
@@ -37,18 +34,27 @@ def _rotl(x: np.ndarray, r: int) -> np.ndarray:
 
 
 def murmur3_many(keys: list[bytes], seed: int = 0) -> np.ndarray:
-    """MurmurHash3 x86-32 of every key (bytes), as uint32, in input order.
-
-    Keys are processed block by block over the active prefix of a
-    length-sorted order, so the cost is proportional to the total bytes.
-    """
+    """MurmurHash3 x86-32 of every key (bytes), as uint32, in input order."""
     n = len(keys)
     if n == 0:
         return np.zeros(0, dtype=np.uint32)
     lens = np.fromiter((len(k) for k in keys), dtype=np.int64, count=n)
-    buf = np.frombuffer(b"".join(keys) + b"\x00\x00\x00\x00", dtype=np.uint8)
+    buf = np.frombuffer(b"".join(keys), dtype=np.uint8)
     offs = np.zeros(n, dtype=np.int64)
     np.cumsum(lens[:-1], out=offs[1:])
+    return murmur3_packed(buf, offs, lens, seed)
+
+
+def murmur3_packed(buf: np.ndarray, offs: np.ndarray, lens: np.ndarray, seed: int = 0) -> np.ndarray:
+    """MurmurHash3 x86-32 of the keys ``buf[offs[i]:offs[i] + lens[i]]``.
+
+    Keys are processed block by block over the active prefix of a
+    length-sorted order, so the cost is proportional to the total bytes.
+    """
+    n = len(lens)
+    if n == 0:
+        return np.zeros(0, dtype=np.uint32)
+    buf = np.concatenate([buf, np.zeros(4, dtype=np.uint8)])
     nblocks = lens // 4
     order = np.argsort(-nblocks, kind="stable")
     sb = nblocks[order]
@@ -56,7 +62,7 @@ def murmur3_many(keys: list[bytes], seed: int = 0) -> np.ndarray:
     neg = -sb
     h = np.full(n, np.uint32(seed), dtype=np.uint32)
     with np.errstate(over="ignore"):
-        for b in range(int(sb[0]) if n else 0):
+        for b in range(int(sb[0])):
             active = int(np.searchsorted(neg, -b, side="left"))
             idx = so[:active] + 4 * b
             k = (
@@ -73,7 +79,7 @@ def murmur3_many(keys: list[bytes], seed: int = 0) -> np.ndarray:
         k = np.zeros(n, dtype=np.uint32)
         for j in (2, 1, 0):
             has = rem > j
-            k = np.where(has, (k << np.uint32(8)) | buf[tail_at + j].astype(np.uint32), k)
+            k = np.where(has, (k << np.uint32(8)) | buf[np.minimum(tail_at + j, len(buf) - 1)].astype(np.uint32), k)
         k = _rotl(k * _C1, 15) * _C2
         h = np.where(rem > 0, h ^ k, h)
         h ^= lens[order].astype(np.uint32)
@@ -87,6 +93,13 @@ def murmur3_many(keys: list[bytes], seed: int = 0) -> np.ndarray:
     return out
 
 
+def _ragged_arange(lengths: np.ndarray) -> np.ndarray:
+    """Concatenation of arange(l) for every l in lengths."""
+    total = int(lengths.sum())
+    starts = np.cumsum(lengths) - lengths
+    return np.arange(total, dtype=np.int64) - np.repeat(starts, lengths)
+
+
 def murmur3(key: str, seed: int = 0) -> int:
     """Hash of one string, taking the low byte of each UTF-16 code unit."""
     units = key.encode("utf-16-le")
@@ -96,35 +109,56 @@ def murmur3(key: str, seed: int = 0) -> int:
 def tokens(text: str | None) -> list[str]:
     if not text:
         return []
-    return [t for t in _SPLIT.split(text.lower()) if t]
+    return _TOKEN.findall(text.lower())
 
 
 def embed_many(texts) -> np.ndarray:
-    """Matrix (len(texts), 256) float32 of L2-normalised hashed features."""
+    """Matrix (len(texts), 256) float32 of L2-normalised hashed features.
+
+    Unigrams are hashed once per distinct token of the batch; bigrams once
+    per distinct token pair, their bytes (token, zero byte, token) assembled
+    with numpy gathers rather than Python string building.
+    """
     texts = list(texts)
     n = len(texts)
-    feats: list[str] = []
-    owner: list[int] = []
-    for i, text in enumerate(texts):
-        toks = tokens(text)
-        if not toks:
-            continue
-        bigrams = [a + _BIGRAM_JOIN + b for a, b in zip(toks, toks[1:])]
-        feats.extend(toks)
-        feats.extend(bigrams)
-        owner.extend([i] * (len(toks) + len(bigrams)))
     mat = np.zeros((n, EMBEDDING_DIM), dtype=np.float64)
-    if feats:
-        codes, uniques = pd.factorize(pd.Series(feats, dtype=object), sort=False)
+    tok_lists = [tokens(t) for t in texts]
+    lens = np.fromiter((len(t) for t in tok_lists), dtype=np.int64, count=n)
+    total = int(lens.sum())
+    if total:
+        flat = np.empty(total, dtype=object)
+        flat[:] = [t for toks in tok_lists for t in toks]
+        codes, uniq = pd.factorize(flat, sort=False)
+        codes = codes.astype(np.int64)
         # Tokens are ASCII after the split, so latin-1 bytes equal UTF-16 low bytes.
-        hashes = murmur3_many([u.replace(_BIGRAM_JOIN, "\x00").encode("latin-1", "replace") for u in uniques])
-        bins = (hashes % EMBEDDING_DIM).astype(np.int64)
-        signs = np.where(hashes & 1, 1.0, -1.0)
-        owner_arr = np.asarray(owner, dtype=np.int64)
-        flat = np.bincount(
-            owner_arr * EMBEDDING_DIM + bins[codes], weights=signs[codes], minlength=n * EMBEDDING_DIM
-        )
-        mat = flat.reshape(n, EMBEDDING_DIM)
+        ub = [u.encode("latin-1", "replace") for u in uniq]
+        tlen = np.fromiter((len(b) for b in ub), dtype=np.int64, count=len(ub))
+        tbuf = np.frombuffer(b"".join(ub), dtype=np.uint8)
+        toff = np.cumsum(tlen) - tlen
+        uh = murmur3_packed(tbuf, toff, tlen)
+        doc = np.repeat(np.arange(n, dtype=np.int64), lens)
+        keys = [doc * EMBEDDING_DIM + (uh[codes] % EMBEDDING_DIM).astype(np.int64)]
+        weights = [np.where(uh[codes] & 1, 1.0, -1.0)]
+        # Bigrams: consecutive tokens of the same document.
+        same_doc = doc[:-1] == doc[1:]
+        if same_doc.any():
+            nu = len(uniq)
+            pair = codes[:-1][same_doc] * nu + codes[1:][same_doc]
+            upair, pinv = np.unique(pair, return_inverse=True)
+            pa, pb = upair // nu, upair % nu
+            la, lb = tlen[pa], tlen[pb]
+            plen = la + 1 + lb
+            poff = np.cumsum(plen) - plen
+            pbuf = np.zeros(int(plen.sum()), dtype=np.uint8)
+            ra = _ragged_arange(la)
+            pbuf[np.repeat(poff, la) + ra] = tbuf[np.repeat(toff[pa], la) + ra]
+            rb = _ragged_arange(lb)
+            pbuf[np.repeat(poff + la + 1, lb) + rb] = tbuf[np.repeat(toff[pb], lb) + rb]
+            ph = murmur3_packed(pbuf, poff, plen)[pinv.reshape(-1)]
+            keys.append(doc[:-1][same_doc] * EMBEDDING_DIM + (ph % EMBEDDING_DIM).astype(np.int64))
+            weights.append(np.where(ph & 1, 1.0, -1.0))
+        flat_counts = np.bincount(np.concatenate(keys), weights=np.concatenate(weights), minlength=n * EMBEDDING_DIM)
+        mat = flat_counts.reshape(n, EMBEDDING_DIM)
     norms = np.sqrt((mat * mat).sum(axis=1, keepdims=True))
     np.divide(mat, norms, out=mat, where=norms > 0)
     return mat.astype(np.float32)

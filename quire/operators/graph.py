@@ -4,7 +4,7 @@ The reference answers one slug at a time with N+1 point lookups; here every
 relation is computed for all concepts at once: prefixes are exploded and
 equi-joined (no theta or LIKE joins), dependencies are an exploded edge
 table, and the transitive closure is a frontier loop of shuffle joins with
-the visited set, cut by ``checkpoint()`` each round.
+the visited set, each level written to the checkpoint folder.
 """
 
 from __future__ import annotations

@@ -18,17 +18,26 @@ from quire.schema import CONCEPT_COLUMNS
 LOCAL = "local"
 
 
+# Changed or removed paths broadcast into the carry-over anti join; above
+# this many, the anti join shuffles instead.
+MAX_BROADCAST_PATHS = 2_000_000
+
+
 def diff_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], removals: bool = True) -> DataFrame:
-    """U1+U2: ``(file_path, action, slug, id)`` for every scanned or stored path.
+    """U1+U2: ``(file_path, action, slug, id, source, created_at, last_synced_at)``.
 
     action: 'skipped' (same hash), 'updated', 'added', 'removed' (stored,
     local, not scanned), or 'kept' (stored, not local, not scanned).  The
-    slug is the stored one for existing rows, the derived one for new rows.
+    slug is the stored one for existing rows, the derived one for new rows;
+    the identity columns of existing rows ride along so that the upsert
+    never joins the full snapshot again.  Only narrow columns of the
+    snapshot are read (path, hash, identity), never bodies or embeddings.
     """
     s = scan.select("file_path", F.sha2(F.col("content"), 256).alias("new_hash"))
     t = stored.select(
-        "file_path", F.col("file_hash").alias("old_hash"), F.col("slug").alias("old_slug"), "id", "source"
-    )
+        "file_path", F.col("file_hash").alias("old_hash"), F.col("slug").alias("old_slug"), "id", "source",
+        "created_at", "last_synced_at",
+    ).where(F.col("file_path").isNotNull())
     j = s.join(t, on="file_path", how="full_outer")
     in_scan = F.col("new_hash").isNotNull()
     in_store = F.col("old_hash").isNotNull() | F.col("id").isNotNull()
@@ -40,26 +49,34 @@ def diff_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], removals
         .otherwise("kept")
     )
     slug = F.when(in_store, F.col("old_slug")).otherwise(paths.derive_slug(F.col("file_path"), roots))
-    return j.select("file_path", action.alias("action"), slug.alias("slug"), "id")
+    return j.select(
+        "file_path", action.alias("action"), slug.alias("slug"), "id", "source", "created_at", "last_synced_at"
+    )
+
+
+def _small_paths(paths_df: DataFrame) -> DataFrame:
+    """Broadcast a path set when its size is proven small, else leave it."""
+    n = paths_df.limit(MAX_BROADCAST_PATHS + 1).count()
+    return F.broadcast(paths_df) if n <= MAX_BROADCAST_PATHS else paths_df
 
 
 def upsert_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], now, removals: bool = True,
                     diff: DataFrame | None = None) -> DataFrame:
     """The next snapshot (same schema as ``stored``).
 
-    Unchanged and foreign rows are carried over as stored; updated rows keep
-    id, slug, file_path, source and created_at and take the new content and
-    ``updated_at = now``; added rows get ``id = xxhash64(slug)``.
+    Unchanged and foreign rows are carried over as stored (an anti join with
+    the changed/removed paths: the snapshot is scanned, not shuffled);
+    updated rows keep id, slug, file_path, source and created_at and take
+    the new content and ``updated_at = now``; added rows get
+    ``id = xxhash64(slug)``.  Only new or changed files are parsed.
     """
     d = diff_snapshot(stored, scan, roots, removals) if diff is None else diff
-    changed = d.where(F.col("action").isin("added", "updated")).select("file_path", "action")
-    to_parse = scan.join(changed, on="file_path", how="left_semi")
+    changed = d.where(F.col("action").isin("added", "updated"))
+    to_parse = scan.join(changed.select("file_path"), on="file_path", how="left_semi")
     fresh = parse_files(to_parse, roots, now=now)
-    keep_paths = d.where(F.col("action").isin("skipped", "kept")).select("file_path")
-    carried = stored.join(keep_paths, on="file_path", how="left_semi")
-    # Rows stored without a path are never matched by a scan: keep them.
-    pathless = stored.where(F.col("file_path").isNull())
-    old = stored.select(
+    replaced = d.where(F.col("action").isin("updated", "removed")).select("file_path")
+    carried = stored.join(_small_paths(replaced), on="file_path", how="left_anti")
+    old = changed.where(F.col("action") == "updated").select(
         "file_path", F.col("id").alias("_id"), F.col("slug").alias("_slug"), F.col("source").alias("_source"),
         F.col("created_at").alias("_created"), F.col("last_synced_at").alias("_synced"),
     )
@@ -75,7 +92,7 @@ def upsert_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], now, r
             for c in CONCEPT_COLUMNS
         ]
     )
-    return carried.select(*CONCEPT_COLUMNS).unionByName(pathless.select(*CONCEPT_COLUMNS)).unionByName(updated)
+    return carried.select(*CONCEPT_COLUMNS).unionByName(updated)
 
 
 def index_summary(diff: DataFrame, next_snapshot: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import paths
 from quire.operators import maintain
 from quire.schema import CONCEPT_SCHEMA
-from quire.session import checkpoint_dir
+from quire.session import checkpoint_dir, materialize
 from quire.sources import snapshot
 
 RUN_DDL = "run_id string, batch_id long, now long, added long, updated long, removed long, skipped long, total long"
@@ -41,7 +41,7 @@ def run_index(files: DataFrame, roots: list[str], snapshot_base: str, now, runs_
     checkpoint_dir(spark)
     stored = current_or_empty(spark, snapshot_base)
     scan = files.where(paths.scan_keeps(F.col("file_path"), roots))
-    diff = maintain.diff_snapshot(stored, scan, roots, removals).checkpoint()
+    diff = materialize(maintain.diff_snapshot(stored, scan, roots, removals), "diff")
     maintain.check_slug_conflicts(next_slugs(stored, diff), on_conflict)
     nxt = maintain.upsert_snapshot(stored, scan, roots, now, removals, diff=diff)
     path = snapshot.write_snapshot(nxt, snapshot_base, version=version)

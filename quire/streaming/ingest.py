@@ -32,7 +32,7 @@ def _version_of(batch_id: int) -> int:
 def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_base: str, runs_path: str,
                   now=None) -> None:
     spark = batch.sparkSession
-    from quire.session import checkpoint_dir
+    from quire.session import checkpoint_dir, materialize
 
     checkpoint_dir(spark)
     versions = snapshot.list_versions(spark, snapshot_base)
@@ -45,14 +45,15 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
     latest = latest_per_path(batch)
     from quire.functions import paths
 
-    latest = latest.where(paths.scan_keeps(F.col("file_path"), roots)).checkpoint()
+    latest = materialize(latest.where(paths.scan_keeps(F.col("file_path"), roots)), "stream-batch")
     upserts = latest.where(F.col("content").isNotNull()).select("file_path", "content")
     deletes = latest.where(F.col("content").isNull()).select("file_path")
     diff = maintain.diff_snapshot(stored, upserts, roots, removals=False)
     gone = stored.join(deletes, on="file_path", how="left_semi").where(F.col("source") == maintain.LOCAL)
-    diff = diff.join(gone.select("file_path"), on="file_path", how="left_anti").unionByName(
-        gone.select("file_path", F.lit("removed").alias("action"), "slug", "id")
-    ).checkpoint()
+    diff = materialize(diff.join(gone.select("file_path"), on="file_path", how="left_anti").unionByName(
+        gone.select("file_path", F.lit("removed").alias("action"), "slug", "id", "source", "created_at",
+                    "last_synced_at")
+    ), "stream-diff")
     maintain.check_slug_conflicts(next_slugs(stored, diff))
     base_rows = stored.join(gone.select("file_path"), on="file_path", how="left_anti")
     clock = now if now is not None else F.unix_timestamp()

@@ -51,6 +51,9 @@ def main():
     files = catalog.fixture_files(spark, sf_dir)
 
     q["embed"], _ = timed(lambda: run_noop(docs.repartition(cpus).select(embed_udf(F.col("text")).alias("e"))))
+    turns = read_table(spark, sf_dir, "conversations")
+    n_turns = turns.count()
+    q["embed_short"], _ = timed(lambda: run_noop(turns.repartition(cpus).select(embed_udf(F.col("text")).alias("e"))))
     q["index"], concepts = timed(lambda: catalog.fixture_concepts(spark, sf_dir))
     concepts = concepts.cache()
     concepts.count()
@@ -104,6 +107,8 @@ def main():
         "index_docs_per_sec": round(n_docs / q["index"], 1),
         "embed_docs_per_sec": round(n_docs / q["embed"], 1),
         "embed_us_per_doc": round(1e6 * q["embed"] / n_docs, 1),
+        "embed_us_per_short_text": round(1e6 * q["embed_short"] / max(n_turns, 1), 1),
+        "short_texts": n_turns,
         "cpus": cpus,
     }
     print(json.dumps(out))

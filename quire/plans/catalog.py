@@ -274,7 +274,9 @@ def q_bm25_topk(spark, sf_dir):
     idx = fts.build_index(c)
     ranked = fts.attach_docs(fts.bm25(idx.postings, fts.query_phrases(q.select("query_id", "query")), idx.stats,
                                       idx.docs), idx.docs)
-    top = fts.top_by_rank(ranked.join(q.select("query_id", "cand", "types"), on="query_id"), "cand", "types")
+    k_max = q.agg(F.max("cand")).first()[0]
+    top = fts.top_by_rank(ranked.join(F.broadcast(q.select("query_id", "cand", "types")), on="query_id"), "cand",
+                          "types", k_max=k_max)
     return top.select("query_id", "slug", "fts_pos", F.round("rank", 6).alias("rank"))
 
 

@@ -69,12 +69,11 @@ def list_concepts(concepts: DataFrame, type=None, tags=None, status=None, limit=
     offset = offset or 0
     filtered = filter_concepts(concepts, type=type, status=status, tags=tags)
     total = filtered.select(F.count(F.lit(1))).scalar()
-    page = (
-        filtered.select(*LIST_COLUMNS)
-        .orderBy(F.col("updated_at").desc(), F.col("slug"))
-        .offset(offset)
-        .limit(limit)
-    )
+    order = [F.col("updated_at").desc(), F.col("slug")]
+    if offset + limit <= DEEP_PAGE:
+        page = filtered.select(*LIST_COLUMNS).orderBy(*order).offset(offset).limit(limit)
+    else:
+        page = deep_page(filtered.select(*LIST_COLUMNS), order, offset, limit)
     return page.select(
         *LIST_COLUMNS,
         approx_tokens(F.col("body_length")).alias("approx_tokens"),
@@ -82,6 +81,37 @@ def list_concepts(concepts: DataFrame, type=None, tags=None, status=None, limit=
     )
 
 
+# Pages ending beyond this position are cut by a distributed global
+# position instead of a driver-side top-k merge.
+DEEP_PAGE = 100_000
+
+
+def deep_page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset <= position < offset + limit`` of ``df`` sorted by ``order``.
+
+    A range-partitioned global sort, per-partition row counts (one row per
+    partition), cumulative partition starts, and each row's position inside
+    its partition: no row count on the driver, no single task.
+    """
+    from pyspark.sql import Window
+
+    from quire.session import materialize
+
+    # Written once, so the counts and the positions see the same partitions
+    # (AQE may coalesce a re-planned sort differently).
+    sorted_df = materialize(df.orderBy(*order).withColumn("_pid", F.spark_partition_id()), "deep-page")
+    counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(
+        "_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_start")
+    )  # one row per partition
+    w = Window.partitionBy("_pid").orderBy(*order)
+    pos = sorted_df.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(starts), on="_pid")
+    pos = pos.withColumn("_pos", F.col("_start") + F.col("_rn") - 1)
+    return pos.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit)).drop(
+        "_pid", "_rn", "_start", "_pos"
+    )
+
+
 def changes_since(concepts: DataFrame, since) -> DataFrame:
     """Q5: concepts updated strictly after ``since`` (epoch s or date text)."""
     if isinstance(since, (int, float)):

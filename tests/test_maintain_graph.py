@@ -96,3 +96,15 @@ def test_references_are_case_insensitive_and_same_source(spark):
     assert refs == {("Top", "top/child"), ("Top", "top/child/leaf"), ("top/child", "top/child/leaf")}
     anc = {(r.slug, r.ancestor_slug, r.level) for r in graph.referenced_by(concepts).collect()}
     assert anc == {("top/child/leaf", "top/child", 2), ("Top/remote", "Top", 1)}
+
+
+def test_deep_page_equals_take_ordered(spark):
+    from quire.operators import browse
+
+    df = spark.range(0, 5000).select(
+        (F.col("id") % 97).alias("updated_at"), F.format_string("s%05d", "id").alias("slug")
+    ).repartition(7)
+    order = [F.col("updated_at").desc(), F.col("slug")]
+    want = [r.slug for r in df.orderBy(*order).offset(1234).limit(300).collect()]
+    got = browse.deep_page(df, order, 1234, 300)
+    assert [r.slug for r in got.orderBy(*order).collect()] == want

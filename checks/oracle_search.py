@@ -214,7 +214,16 @@ scored AS (
   FROM merged m JOIN q USING (query_id))"""
 
 
-def _search_sql(queries_cte: str, select: str) -> str:
+CONV_CONCEPTS_CTE = """
+concepts AS (
+  SELECT CAST(conv_id AS VARCHAR) || '/' || role || '-' || CAST(turn AS VARCHAR) AS slug, 'reference' AS type,
+    '' AS title, '' AS description, []::VARCHAR[] AS tags, CAST(NULL AS VARCHAR) AS status, 'local' AS source,
+    text AS body,
+    CAST(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS INTEGER) AS body_length
+  FROM conversations)"""
+
+
+def _search_sql(queries_cte: str, select: str, concepts_cte: str = CONCEPTS_CTE) -> str:
     # The embedding CTEs reference ``hashed`` (built from ``feat``), which
     # needs the token tables first; DuckDB resolves CTEs in order.
     emb_d = embed_ctes('concepts', 'slug', 'body', 'd')
@@ -223,7 +232,7 @@ def _search_sql(queries_cte: str, select: str) -> str:
     q_tok, q_rest = emb_q.split("),\n", 1)
     vec_rest = VEC_CTES.replace(emb_d, "").replace(emb_q, "").lstrip(",\n")
     return (
-        "WITH " + CONCEPTS_CTE + ",\n" + queries_cte + ",\n" + FTS_CTES + ",\n"
+        "WITH " + concepts_cte + ",\n" + queries_cte + ",\n" + FTS_CTES + ",\n"
         + d_tok + "),\n" + q_tok + "),\n" + SEARCH_FEAT + ",\n" + MURMUR_CTES + ",\n"
         + d_rest + ",\n" + q_rest + ",\n" + vec_rest + ",\n" + MERGE_CTES + "\n" + select
     )
@@ -245,9 +254,9 @@ SELECT query_id, CAST(position - off AS INTEGER) AS position, slug, type, title,
 FROM final WHERE position > off AND position <= off + lim"""
 
 
-def search_sql(default_queries: bool = False) -> str:
+def search_sql(default_queries: bool = False, concepts_cte: str = CONCEPTS_CTE) -> str:
     qcte = DEFAULT_QUERIES_CTE if default_queries else QUERIES_CTE
-    body = _search_sql(qcte, "")
+    body = _search_sql(qcte, "", concepts_cte)
     # PAGE_SELECT begins with an extra CTE.
     return body + PAGE_SELECT
 

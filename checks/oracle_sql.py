@@ -262,3 +262,5 @@ ORACLE.update(
         ),
     }
 )
+
+ORACLE["conversation_search"] = _s.search_sql(default_queries=True, concepts_cte=_s.CONV_CONCEPTS_CTE)

@@ -323,16 +323,7 @@ def q_hybrid_merge(spark, sf_dir):
 def q_hybrid_search(spark, sf_dir):
     """Default parameters, one query per benchmark item (its first words)."""
     c = fixture_concepts(spark, sf_dir)
-    b = read_table(spark, sf_dir, "benchmark")
-    words = F.filter(F.split(F.regexp_replace(F.col("text"), r"[^\p{L}\p{N}\s'-]", " "), r"\s+"), lambda x: x != "")
-    q = b.select(
-        F.col("item_id").alias("query_id"),
-        F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, 2), F.element_at(words, 3)).alias("query"),
-        F.lit(None).cast("array<string>").alias("type"), F.lit(None).cast("array<string>").alias("tags"),
-        F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("int").alias("limit"),
-        F.lit(None).cast("int").alias("offset"),
-    )
-    return hybrid.search_batch(c, q).drop("id").withColumn("tags", F.to_json("tags"))
+    return hybrid.search_batch(c, _default_queries(spark, sf_dir)).drop("id").withColumn("tags", F.to_json("tags"))
 
 
 QUERIES.update(
@@ -561,3 +552,42 @@ QUERIES.update(
         "stream_run_summary": q_stream_run_summary,
     }
 )
+
+
+# --- second corpus -------------------------------------------------------------
+
+from quire.sources.fixtures import CHAT_ROOT, files_from_conversations  # noqa: E402
+
+
+def conversation_concepts(spark, sf_dir) -> DataFrame:
+    """Concept snapshot of every conversation turn (built once per session)."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#conversations")
+    path = _SNAPSHOTS.get(key)
+    if path is None:
+        files = files_from_conversations(read_table(spark, sf_dir, "conversations"))
+        concepts = parse.build_concepts(files, [CHAT_ROOT], now="indexed_at")
+        base = f"{checkpoint_dir(spark).rstrip('/')}/quire-chat-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+        path = snapshot.write_snapshot(concepts, base)
+        _SNAPSHOTS[key] = path
+    return spark.read.parquet(path)
+
+
+def _default_queries(spark, sf_dir):
+    b = read_table(spark, sf_dir, "benchmark")
+    words = F.filter(F.split(F.regexp_replace(F.col("text"), r"[^\p{L}\p{N}\s'-]", " "), r"\s+"), lambda x: x != "")
+    return b.select(
+        F.col("item_id").alias("query_id"),
+        F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, 2), F.element_at(words, 3)).alias("query"),
+        F.lit(None).cast("array<string>").alias("type"), F.lit(None).cast("array<string>").alias("tags"),
+        F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("int").alias("limit"),
+        F.lit(None).cast("int").alias("offset"),
+    )
+
+
+def q_conversation_search(spark, sf_dir):
+    """Hybrid search with default parameters over the conversation corpus."""
+    c = conversation_concepts(spark, sf_dir)
+    return hybrid.search_batch(c, _default_queries(spark, sf_dir)).drop("id").withColumn("tags", F.to_json("tags"))
+
+
+QUERIES["conversation_search"] = q_conversation_search

@@ -172,3 +172,22 @@ def search_queries(benchmark: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def files_from_conversations(conversations: DataFrame) -> DataFrame:
+    """One Markdown file per conversation turn: ``/chat/{conv_id}/{role}-{turn}.md``.
+
+    The second search corpus: short texts without front matter.
+    """
+    path = F.concat(
+        F.lit(CHAT_ROOT + "/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("role"), F.lit("-"),
+        F.col("turn").cast("string"), F.lit(".md"),
+    )
+    files = conversations.select(
+        path.alias("file_path"), F.col("text").alias("content"),
+        (F.lit(FIXTURE_EPOCH) + 60 * F.col("conv_id") + F.col("turn")).cast("long").alias("indexed_at"),
+    )
+    return files.repartition(spread_partitions(conversations.sparkSession), "file_path")
+
+
+CHAT_ROOT = "/chat"

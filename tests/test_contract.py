@@ -18,7 +18,7 @@ def test_every_oracle_has_a_query():
 
 def test_oracles_parse_in_duckdb():
     con = duckdb.connect()
-    for t in ["documents", "benchmark", "embeddings"]:
+    for t in ["documents", "benchmark", "embeddings", "conversations"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
     for name, sql in E.oracle_sql().items():
         con.execute("EXPLAIN " + sql)
@@ -28,7 +28,7 @@ def test_some_plans_match_oracle_on_smallest_tables(spark):
     from checks.compare import rows_of
 
     con = duckdb.connect()
-    for t in ["documents", "benchmark", "embeddings"]:
+    for t in ["documents", "benchmark", "embeddings", "conversations"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
     for name in ["stats_by_type", "list_concepts", "bm25_topk", "hybrid_search", "resolve_dependencies",
                  "diff_snapshot"]:

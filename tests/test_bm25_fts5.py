@@ -63,3 +63,24 @@ def test_hybrid_single_query_pages(spark):
     assert {r.slug for r in only_tags} == {"s1"}
     none = hybrid.search(concepts, "   ", alpha=0.0).collect()
     assert none == []
+
+
+def test_stored_bucketed_index_ranks_the_same(spark):
+    import uuid
+
+    from quire.session import checkpoint_dir
+
+    concepts = spark.createDataFrame(
+        [(i, f"s{i}", "reference", ti, de, tg, bo) for i, ti, de, tg, bo in DOCS],
+        "id long, slug string, type string, title string, description string, tags array<string>, body string",
+    )
+    idx = fts.build_index(concepts)
+    name = "postings_" + uuid.uuid4().hex[:8]
+    stored = fts.write_postings_table(idx.postings, name, f"{checkpoint_dir(spark)}/{name}", 4)
+    q = spark.createDataFrame([(0, "alpha beta-gamma"), (1, "delta")], "query_id long, query string")
+    ph = fts.query_phrases(q)
+    a = {(r.query_id, r.id): r.rank for r in fts.bm25(stored, ph, idx.stats).collect()}
+    b = {(r.query_id, r.id): r.rank for r in fts.bm25(idx.postings, ph, idx.stats).collect()}
+    assert set(a) == set(b) and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
+    plan = fts.bm25(stored, ph, idx.stats)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan

@@ -1,11 +1,11 @@
 """Full-text side: tokenised postings (F1/F2), corpus statistics (A3),
 query rewrite (F3), phrase matching (F4) and BM25 ranking (F5).
 
-Postings are an ordinary DataFrame ``(id, field, pos, term)``, built once
-from a concept snapshot and optionally stored partitioned by a term bucket so
-that a query batch prunes partitions (dynamic partition pruning) instead of
-scanning every posting.  Query phrases are a small, size-checked table that
-is broadcast into the join; all heavy work is grouped aggregation.
+Postings are an ordinary DataFrame ``(id, field, pos, term)`` partitioned
+by document id, built once from a concept snapshot and optionally stored as a
+table bucketed by id and sorted by term.  A query batch's phrases are a
+small table (bounded per batch) broadcast into every partition; all heavy
+work is aggregation local to a document partition.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from quire.schema import BM25_B, BM25_K1, BM25_MIN_IDF, FTS_FIELDS, FTS_WEIGHTS
 
 # Whitespace the query rewrite splits on (JavaScript's \s set).
 JS_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
-TERM_BUCKETS = 64
 
 
 def field_texts(concepts: DataFrame) -> DataFrame:
@@ -63,10 +62,6 @@ def _postings_of(docs: DataFrame) -> DataFrame:
     return fields.select("id", "field", F.posexplode(fts_tokens(F.col("text"))).alias("pos", "term"))
 
 
-def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
 def write_postings_table(postings: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """Store the index as a table bucketed by id and sorted by term.
 

@@ -117,9 +117,11 @@ def build_index(concepts: DataFrame, partitions: int | None = None, cache: bool
         postings = postings.cache()
     # Both sides are partitioned by id: this join does not shuffle.
     docs = doc_lengths(postings).join(base.select("id", "slug", "type"), on="id")
+    stats = corpus_stats(concepts, postings)
     if cache:
         docs = docs.cache()
-    return FtsIndex(postings, docs, corpus_stats(concepts, postings))
+        stats = stats.cache()  # one row; saves re-counting the postings per query
+    return FtsIndex(postings, docs, stats)
 
 
 def rewrite_query(query: Column) -> Column:

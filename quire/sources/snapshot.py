@@ -36,14 +36,24 @@ def list_versions(spark: SparkSession, base: str) -> list[str]:
     return sorted(names)
 
 
+# Row order inside each written file: the common list filters (type =,
+# updated_at >) then skip row groups by their min/max statistics.
+SORT_WITHIN = ["type", "updated_at"]
+
+
 def write_snapshot(df: DataFrame, base: str, version: int | None = None) -> str:
-    """Write ``df`` as a new version under ``base``; return its path."""
+    """Write ``df`` as a new version under ``base``; return its path.
+
+    No shuffle: each task sorts its own rows before writing.
+    """
     spark = df.sparkSession
     if version is None:
         existing = list_versions(spark, base)
         version = int(existing[-1][len(VERSION_PREFIX):].split("-")[0]) + 1 if existing else 1
     path = f"{base.rstrip('/')}/{VERSION_PREFIX}{version:09d}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("errorifexists").parquet(path)
+    cols = [c for c in SORT_WITHIN if c in df.columns]
+    out = df.sortWithinPartitions(*cols) if cols else df
+    out.write.mode("errorifexists").parquet(path)
     return path
 
 

@@ -7,16 +7,29 @@ rendered as JSON text / rounded doubles so that other engines can compare.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import hashlib
-
-from quire.operators import browse, parse
+from quire.functions import paths, text
+from quire.functions.embedding import murmur3_udf
+from quire.functions.text import fts_tokens
+from quire.operators import browse, fts, graph, hybrid, maintain, parse, vector
+from quire.plans import index_run
 from quire.session import checkpoint_dir
 from quire.sources import snapshot
-from quire.sources.fixtures import FIXTURE_EPOCH, FIXTURE_ROOTS, files_from_documents, read_table
-from quire.functions import paths, text
+from quire.sources.fixtures import (
+    CHAT_ROOT,
+    FIXTURE_EPOCH,
+    FIXTURE_ROOTS,
+    files_from_conversations,
+    files_from_documents,
+    read_table,
+    search_queries,
+    snapshot_pair,
+)
+from quire.streaming import ingest
 
 
 def fixture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,9 +221,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- search ------------------------------------------------------------------
 
-from quire.operators import fts, hybrid, vector  # noqa: E402
-from quire.sources.fixtures import search_queries  # noqa: E402
-
 
 def fixture_queries(spark, sf_dir):
     return search_queries(read_table(spark, sf_dir, "benchmark"))
@@ -233,8 +243,6 @@ def _q(spark, sf_dir):
 
 
 def q_tokenize_fts(spark, sf_dir):
-    from quire.functions.text import fts_tokens
-
     c = fixture_concepts(spark, sf_dir)
     toks = fts_tokens(F.col("body"))
     return c.select("slug", F.size(toks).alias("n_tokens"), F.sha2(F.array_join(toks, " "), 256).alias("tokens_sha256"))
@@ -254,8 +262,6 @@ def q_corpus_stats(spark, sf_dir):
 
 
 def q_parse_match_query(spark, sf_dir):
-    from quire.functions.text import fts_tokens
-
     q = fixture_queries(spark, sf_dir)
     ph = q.select("query_id", F.posexplode(fts.rewrite_query(F.col("query"))).alias("phrase_idx", "phrase"))
     return ph.select("query_id", "phrase_idx", "phrase", F.size(fts_tokens(F.col("phrase"))).alias("n_tok"))
@@ -287,8 +293,6 @@ def q_embed_documents(spark, sf_dir):
 
 
 def q_murmur3_tokens(spark, sf_dir):
-    from quire.functions.embedding import murmur3_udf
-
     c = fixture_concepts(spark, sf_dir)
     toks = F.filter(F.split(F.lower(F.col("body")), "[^A-Za-z0-9_']+"), lambda t: t != "")
     distinct = c.select(F.explode(toks).alias("token")).distinct()
@@ -346,8 +350,6 @@ QUERIES.update(
 
 # --- graph ---------------------------------------------------------------------
 
-from quire.operators import graph  # noqa: E402
-
 
 def q_references(spark, sf_dir):
     return graph.references(fixture_concepts(spark, sf_dir))
@@ -387,8 +389,6 @@ QUERIES.update(
 
 # --- incremental maintenance ---------------------------------------------------
 
-from quire.operators import maintain  # noqa: E402
-from quire.sources.fixtures import snapshot_pair  # noqa: E402
 
 DAY = 86400
 
@@ -490,8 +490,6 @@ QUERIES.update(
 
 # --- index runs and streaming ----------------------------------------------------
 
-from quire.plans import index_run  # noqa: E402
-from quire.streaming import ingest  # noqa: E402
 
 STREAM_GROUPS = 4
 
@@ -556,8 +554,6 @@ QUERIES.update(
 
 # --- second corpus -------------------------------------------------------------
 
-from quire.sources.fixtures import CHAT_ROOT, files_from_conversations  # noqa: E402
-
 
 def conversation_concepts(spark, sf_dir) -> DataFrame:
     """Concept snapshot of every conversation turn (built once per session)."""

@@ -89,9 +89,13 @@ def derive_slug(path: Column, roots: list[str]) -> Column:
     bases = [_strip_trailing_slashes(r) for r in roots]
     lasts = [([s for s in b.split("/") if s] or [""])[-1] for b in bases]
     idx = _root_index(path, roots)
+    # Look up with a non-null index: generated code may evaluate the lookup
+    # for rows without a root (idx null -> slot value 0, an ANSI error).
+    # Those rows take the fallback below anyway.
+    safe_idx = F.coalesce(idx, F.lit(1))
 
     def pick(values):
-        return F.element_at(F.array(*[F.lit(v) for v in values]), idx)
+        return F.element_at(F.array(*[F.lit(v) for v in values]), safe_idx)
 
     base = pick(bases)
     inside = pick([b + "/" if b != "/" else "/" for b in bases])

@@ -134,9 +134,9 @@ def search_queries(benchmark: DataFrame) -> DataFrame:
     words = F.split(F.regexp_replace(F.col("text"), r"[^\p{L}\p{N}\s'-]", " "), r"\s+")
     w = F.filter(words, lambda x: x != "")
     b = benchmark.select(F.col("item_id"), w.alias("w"))
-    first = F.element_at("w", 1)
-    second = F.coalesce(F.element_at("w", 2), first)
-    third = F.coalesce(F.element_at("w", 3), first)
+    first = F.try_element_at("w", F.lit(1))
+    second = F.coalesce(F.try_element_at("w", F.lit(2)), first)
+    third = F.coalesce(F.try_element_at("w", F.lit(3)), first)
     longest = F.expr("aggregate(w, '', (acc, x) -> CASE WHEN length(x) > length(acc) THEN x ELSE acc END)")
     no_types = F.array().cast("array<string>")
     no_tags = F.array().cast("array<string>")

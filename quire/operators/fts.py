@@ -89,7 +89,7 @@ def corpus_stats(concepts: DataFrame, postings: DataFrame) -> DataFrame:
     """A3: one row ``(n_docs, avg_len)`` over all rows, empty ones included."""
     n_docs = concepts.select(F.count(F.lit(1))).scalar()
     return postings.agg(F.count(F.lit(1)).alias("_n")).select(
-        n_docs.alias("n_docs"), (F.col("_n") / n_docs).alias("avg_len")
+        n_docs.alias("n_docs"), F.try_divide(F.col("_n"), n_docs).alias("avg_len")
     )
 
 

@@ -84,3 +84,11 @@ def test_stored_bucketed_index_ranks_the_same(spark):
     assert set(a) == set(b) and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
     plan = fts.bm25(stored, ph, idx.stats)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
+
+
+def test_empty_corpus_search_is_empty(spark):
+    concepts = spark.createDataFrame(
+        [], "id long, slug string, type string, title string, description string, tags array<string>, "
+            "status string, source string, body_length int, body string, embedding array<float>",
+    )
+    assert hybrid.search(concepts, "alpha beta").collect() == []

@@ -80,8 +80,8 @@ def main():
         ranked = fts.attach_docs(fts.bm25(index.postings, fts.query_phrases(qq.select("query_id", "query")),
                                           index.stats, index.docs), index.docs)
         k_max = qq.agg(F.max("cand")).first()[0]
-        top = fts.top_by_rank(ranked.join(F.broadcast(qq.select("query_id", "cand", "types")), on="query_id"),
-                              "cand", "types", k_max=k_max)
+        qs = fts._small(qq.select("query_id", "cand", "types"), None)
+        top = fts.top_by_rank(ranked.join(qs, on="query_id"), "cand", "types", k_max=k_max)
         return top.collect()
 
     q["bm25_batch"], _ = timed(bm25_batch)

@@ -144,9 +144,20 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return ph.select("query_id", "phrase_idx", F.to_json(F.col("toks")).alias("pkey"), "toks")
 
 
-def _small(df: DataFrame, broadcast: bool) -> DataFrame:
-    """Broadcast a query-derived table when the caller has bounded the batch
-    (see ``hybrid.search_batch``); otherwise leave the strategy to AQE."""
+# Rows of a query-derived table (phrase tokens, phrases, per-query rows)
+# that may be broadcast after a count check.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def _small(df: DataFrame, broadcast: bool | None) -> DataFrame:
+    """Broadcast a query-derived table only behind a proven size bound.
+
+    ``True``: the caller proved the bound (``hybrid.search_batch`` checks
+    the whole batch once); ``None``: count it here (at most bound + 1 rows
+    are read); ``False`` or beyond the bound: leave the join to AQE.
+    """
+    if broadcast is None:
+        broadcast = df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     return F.broadcast(df) if broadcast else df
 
 
@@ -161,7 +172,7 @@ def query_phrase_keys(phrases: DataFrame) -> DataFrame:
     return phrases.select("query_id", "phrase_idx", "pkey")
 
 
-def phrase_occurrences(postings: DataFrame, keys: DataFrame, broadcast: bool = True) -> DataFrame:
+def phrase_occurrences(postings: DataFrame, keys: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """F4 per distinct phrase: ``(pkey, id, field, occ)``.
 
     A posting of token j at position p votes for the start p - j; a start
@@ -181,14 +192,14 @@ def phrase_occurrences(postings: DataFrame, keys: DataFrame, broadcast: bool = T
     )
 
 
-def phrase_hits(postings: DataFrame, phrases: DataFrame, broadcast: bool = True) -> DataFrame:
+def phrase_hits(postings: DataFrame, phrases: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """per (query, phrase, id, field) the number of phrase occurrences."""
     occ = phrase_occurrences(postings, _phrase_keys(phrases), broadcast)
     return occ.join(_small(query_phrase_keys(phrases), broadcast), on="pkey").drop("pkey")
 
 
 def bm25(postings: DataFrame, phrases: DataFrame, stats: DataFrame, doc_len: DataFrame | None = None,
-         broadcast: bool = True) -> DataFrame:
+         broadcast: bool | None = None) -> DataFrame:
     """``(query_id, id, rank)`` for every row matching any phrase.
 
     rank = -sum_p idf_p * f * (k1+1) / (f + k1 * (1 - b + b * D / avgdl)),
@@ -210,8 +221,8 @@ def bm25(postings: DataFrame, phrases: DataFrame, stats: DataFrame, doc_len: Dat
     idf_raw = F.log((n_docs - F.col("n_match") + 0.5) / (F.col("n_match") + 0.5))
     idf = df_p.select("pkey", F.when(idf_raw <= 0, F.lit(BM25_MIN_IDF)).otherwise(idf_raw).alias("idf"))
     denom = F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / avg_len)
-    # idf has one row per distinct phrase of the batch: broadcast it.
-    contrib = per.join(F.broadcast(idf), on="pkey").join(doc_len, on="id").select(
+    # idf has one row per distinct phrase of the batch (same bound as keys).
+    contrib = per.join(_small(idf, broadcast), on="pkey").join(doc_len, on="id").select(
         "pkey", "id", (F.col("idf") * F.col("f") * (BM25_K1 + 1) / denom).alias("c")
     )
     qp = _small(query_phrase_keys(phrases), broadcast)

@@ -41,13 +41,12 @@ def with_defaults(queries: DataFrame) -> DataFrame:
 
 
 def fts_candidates(concepts: DataFrame, q: DataFrame, index: fts.FtsIndex | None = None,
-                   broadcast: bool = True, k_max: int | None = None) -> DataFrame:
+                   broadcast: bool | None = None, k_max: int | None = None) -> DataFrame:
     """BM25 candidates per query after the type filter and cut, normalised."""
     index = fts.build_index(concepts) if index is None else index
     phrases = fts.query_phrases(q.select("query_id", "query"))
     ranked = fts.attach_docs(fts.bm25(index.postings, phrases, index.stats, index.docs, broadcast), index.docs)
-    qs = q.select("query_id", "cand", "types")
-    ranked = ranked.join(F.broadcast(qs) if broadcast else qs, on="query_id")
+    ranked = ranked.join(fts._small(q.select("query_id", "cand", "types"), broadcast), on="query_id")
     top = fts.top_by_rank(ranked, "cand", "types", k_max=k_max)
     w = Window.partitionBy("query_id")
     norm = 1 - F.abs(F.col("rank")) / F.greatest(F.max(F.abs(F.col("rank"))).over(w), F.lit(1.0))
@@ -129,7 +128,8 @@ def search_batch(concepts: DataFrame, queries: DataFrame, index: fts.FtsIndex |
 
 def _search_chunk(concepts: DataFrame, queries: DataFrame, index, profile: str, k_max: int) -> DataFrame:
     q = with_defaults(queries)
-    fts_c = fts_candidates(concepts, q, index, k_max=k_max)
+    # The batch bound is proven (batch_chunks): query-derived tables broadcast.
+    fts_c = fts_candidates(concepts, q, index, broadcast=True, k_max=k_max)
     vec_c = vector_candidates(concepts, q, k_max=k_max)
     merged = merge(fts_c, vec_c, q, profile)
     meta = concepts.select("id", "slug", "type", "title", "description", "tags", "status", "source", "body_length")

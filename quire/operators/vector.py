@@ -21,6 +21,8 @@ from quire.session import ship_package
 # Queries per broadcast chunk (x dims x 4 bytes: 256 dims -> ~4 MB per 4096).
 MAX_QUERY_CHUNK = 4096
 TIE_EPS = 1e-12
+# Per-query cut table (query_id, k) broadcast up to this many queries.
+MAX_BROADCAST_QUERIES = 2_000_000
 
 def _cand_schema(key_type: T.DataType) -> T.StructType:
     return T.StructType(
@@ -90,7 +92,9 @@ def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str
     q = queries.select(*qcols)
     chunks = _query_chunks(q, k_col, types_col)
     parts = []
+    n_queries = 0
     for chunk in chunks:
+        n_queries += len(chunk["ids"])
         if len(chunk["ids"]) == 0:
             continue
         top_k = int(chunk["k"].max())
@@ -103,7 +107,9 @@ def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str
     for p in parts[1:]:
         cand = cand.unionByName(p)
     # The key travels with each candidate: no join back to the corpus.
-    kq = F.broadcast(q.select("query_id", F.col(k_col).alias("_k")))
+    kq = q.select("query_id", F.col(k_col).alias("_k"))
+    if n_queries <= MAX_BROADCAST_QUERIES:  # counted while collecting the chunks
+        kq = F.broadcast(kq)
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), F.col("_key"))
     ranked = cand.withColumn("vec_pos", F.row_number().over(w))
     if k_max is not None:  # literal bound: partial top-k before the shuffle

@@ -281,8 +281,8 @@ def q_bm25_topk(spark, sf_dir):
     ranked = fts.attach_docs(fts.bm25(idx.postings, fts.query_phrases(q.select("query_id", "query")), idx.stats,
                                       idx.docs), idx.docs)
     k_max = q.agg(F.max("cand")).first()[0]
-    top = fts.top_by_rank(ranked.join(F.broadcast(q.select("query_id", "cand", "types")), on="query_id"), "cand",
-                          "types", k_max=k_max)
+    qs = fts._small(q.select("query_id", "cand", "types"), None)
+    top = fts.top_by_rank(ranked.join(qs, on="query_id"), "cand", "types", k_max=k_max)
     return top.select("query_id", "slug", "fts_pos", F.round("rank", 6).alias("rank"))
 
 

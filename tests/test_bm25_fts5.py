@@ -92,3 +92,30 @@ def test_empty_corpus_search_is_empty(spark):
             "status string, source string, body_length int, body string, embedding array<float>",
     )
     assert hybrid.search(concepts, "alpha beta").collect() == []
+
+
+def test_knn_query_blocks_match_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from quire.operators import vector
+
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(1)
+    docs = rng.normal(size=(40, 8)).astype(np.float32)
+    docs[5] = 0  # zero vector: left out
+    qs = rng.normal(size=(7, 8)).astype(np.float32)
+    corpus = spark.createDataFrame(
+        [(i, f"d{i:02d}", "skill" if i % 2 else "agent", docs[i].tolist()) for i in range(40)],
+        "id long, slug string, type string, embedding array<float>",
+    )
+    queries = spark.createDataFrame(
+        [(j, qs[j].tolist(), 4, ["skill"] if j % 3 == 0 else []) for j in range(7)],
+        "query_id long, qvec array<float>, k int, types array<string>",
+    )
+    got = {(r.query_id, r.vec_pos): r.id for r in vector.knn(corpus, queries, types_col="types").collect()}
+    d64, q64 = docs.astype(np.float64), qs.astype(np.float64)
+    for j in range(7):
+        cand = [i for i in range(40) if i != 5 and (j % 3 != 0 or i % 2 == 1)]
+        dist = {i: 1 - d64[i] @ q64[j] / (np.linalg.norm(d64[i]) * np.linalg.norm(q64[j])) for i in cand}
+        want = sorted(cand, key=lambda i: (round(dist[i], 12), f"d{i:02d}"))[:4]
+        assert [got[(j, p)] for p in range(1, 5)] == want

@@ -144,7 +144,9 @@ def _query_chunks(q: DataFrame, k_col: str, types_col: str | None):
     A query batch is driver-sized by construction (it is a list of user
     queries); chunking bounds every broadcast regardless of the batch size.
     """
-    rows = q.where(F.col("qvec").isNotNull()).toLocalIterator(prefetchPartitions=True)
+    # The sort's shuffle lets AQE coalesce the (small) batch into few
+    # partitions, so the iterator runs few jobs.
+    rows = q.where(F.col("qvec").isNotNull()).orderBy("query_id").toLocalIterator()
     chunk: list = []
     for r in rows:
         chunk.append(r)

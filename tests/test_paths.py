@@ -74,3 +74,28 @@ def test_read_markdown_tree(spark, tmp_path):
     (root / "n.txt").write_text("no")
     got = {r.file_path: r.content for r in read_markdown(spark, [str(root), str(tmp_path / "missing")]).collect()}
     assert got == {str(root / "skills" / "s1" / "SKILL.md"): "---\ntitle: S\n---\nbody", str(root / "a b.md"): "space"}
+
+
+def test_index_a_real_tree_then_edit_it(spark, tmp_path):
+    from quire.plans import index_run
+    from quire.sources.markdown import read_markdown
+
+    root = tmp_path / "kb"
+    (root / "skills" / "s1").mkdir(parents=True)
+    (root / "skills" / "s1" / "SKILL.md").write_text("---\ntitle: S1\ndependencies: [s2]\n---\none")
+    (root / "agents").mkdir()
+    (root / "agents" / "helper.md").write_text("---\nstatus: draft\n---\nhelps")
+    roots = [str(root / "skills"), str(root / "agents")]
+    base = index_run.scratch_base(spark, "t-tree")
+    _, s1 = index_run.run_index(read_markdown(spark, roots), roots, base, now=1)
+    assert s1.first().added == 2
+    (root / "agents" / "helper.md").write_text("---\nstatus: stable\n---\nhelps more")
+    (root / "skills" / "s1" / "SKILL.md").unlink()
+    (root / "agents" / "new.md").write_text("new")
+    path, s2 = index_run.run_index(read_markdown(spark, roots), roots, base, now=2)
+    r = s2.first()
+    assert (r.added, r.updated, r.removed, r.total) == (1, 1, 1, 2)
+    rows = {x.slug: x for x in spark.read.parquet(path).collect()}
+    assert set(rows) == {"agents/helper", "agents/new"}
+    assert rows["agents/helper"].status == "stable" and rows["agents/helper"].created_at == 1
+    assert rows["agents/helper"].updated_at == 2 and rows["agents/helper"].type == "agent"

@@ -144,6 +144,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
     while sign[0]:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(low, name)  # written, so that the join's sides are plain exchanges and a hub can be split
         large = both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.distinct(), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import setsketch_dedup
+from quire.llm import setsketch_dedup, subspace_dedup
 
-_MODULES = (setsketch_dedup,)
+_MODULES = (setsketch_dedup, subspace_dedup)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.session import checkpoint_dir, materialize, ship_package
 
 __all__ = ["table", "checkpoint_dir", "materialize", "ship_package", "components", "word_hashes", "mix64",
-           "NOT_SPACE", "ALNUM", "text_slices", "gapless"]
+           "NOT_SPACE", "ALNUM", "text_slices", "running", "parts_for"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,22 +160,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
 
 # ---------------------------------------------------------------- positions
 
-def gapless(df: DataFrame, group: list[str], order: list[str], part, out: str) -> DataFrame:
-    """Number the rows of each group from 0, without a window over a whole group.
+def running(df: DataFrame, group: list[str], order: list, part, value, out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of a group, without a window over a whole group.
 
     ``part`` is a column expression that splits every group into parts of
     bounded size; parts follow each other in its order, and ``order`` orders the
-    rows of a part.  Parts are numbered by windows of their own and shifted by the
-    counts of earlier parts.  Group columns and ``part`` hold no nulls.
+    rows of a part.  Parts are summed by windows of their own and shifted by the
+    totals of earlier parts.  Group columns and ``part`` hold no nulls.
     """
     keys = [*group, "_part"]
-    parts = df.withColumn("_part", part)
-    counts = parts.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = parts.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return (numbered.join(shift, keys).withColumn(out, (F.col("_rn") + F.col("_before")).cast("long"))
-            .drop("_part", "_rn", "_before"))
+    parts = df.withColumn("_part", part).withColumn("_value", value)
+    totals = parts.groupBy(*keys).agg(F.sum("_value").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = parts.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return (summed.join(shift, keys).withColumn(out, (F.col("_own") + F.col("_before")).cast("long"))
+            .drop("_part", "_value", "_own", "_before"))
 
 
 def parts_for(rows: int, each: int) -> int:

@@ -142,16 +142,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: in
     return fit(*sides, counts=(counts.get(1, 0), counts.get(0, 0)), **options)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (probability of label 1) and ``predicted``."""
+def score(docs: DataFrame, model: Model, to: str = "score", accepted: str = "predicted") -> DataFrame:
+    """``docs`` with ``score`` (probability of label 1) and ``predicted``, or columns of other names."""
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coders = model.coders()
         for texts in batches:
             yield pd.Series(model.score(features([(t or "").encode() for t in texts], coders)))
 
-    out = docs.drop("score", "predicted").withColumn("score", scored("text"))
-    return out.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+    out = docs.drop(to, accepted).withColumn(to, scored("text"))
+    return out.withColumn(accepted, (F.col(to) >= ACCEPT).cast("int"))
 
 
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import bin_pack, compress_quality, setsketch_dedup, source_mix, subspace_dedup
+from quire.llm import bin_pack, cgk_decontaminate, compress_quality, setsketch_dedup, source_mix, subspace_dedup
 
-_MODULES = (bin_pack, compress_quality, source_mix, setsketch_dedup, subspace_dedup)
+_MODULES = (cgk_decontaminate, bin_pack, compress_quality, source_mix, setsketch_dedup, subspace_dedup)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}

@@ -154,11 +154,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     The fraction of a pass left over becomes a whole copy with that
     probability, by a hash of the row, so a source keeps its target in expectation.
     """
-    mix = Mix(docs, **options)
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    packed = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("_"), *others).alias("_others"))
+    mix = Mix(packed, **options)
     times = F.col("taken") / F.greatest("size", F.lit(1))
     coin = F.pmod(F.xxhash64(F.lit(mix.seed), F.lit("copies"), "src", "start"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(times + coin).cast("int")
-    return mix.taken().withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    out = mix.taken().withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return out.select(*[F.col(c) if c not in others else F.col("_others").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,42 +150,51 @@ def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def search(words: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
-    """(item, edits, first word, end word) of the leaks in one sequence of words."""
-    if len(words) < 2 or not len(index.keys):
-        return []
-    pairs = pair_hashes(words)
-    hit = index.sieve[(pairs >> np.uint64(44)).astype(np.int64)]
-    maybe = np.flatnonzero(hit)
-    hit[maybe] = np.isin(pairs[maybe], index.pairs)
-    return search_hits(words, hit, index)
-
+def search(doc: np.ndarray, words: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, edits, first word, end word) of the leaks in a run of documents.
 
-def search_hits(words: np.ndarray, hit: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
+    ``doc``: the ascending document number of each word; places count from the document's first word.
+    Documents are searched together, with a word that is none between them, at which walks stop.
+    """
+    if not len(words) or not len(index.keys):
+        return []
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    at = np.arange(len(words)) + np.cumsum(new) - 1
+    line = np.zeros(at[-1] + 2, np.uint64)
+    line[at] = words
+    begins = at[new]
+    ends = np.append(begins[1:] - 1, len(line) - 1)
+    names = doc[new]
+    pairs = pair_hashes(line)
+    maybe = np.flatnonzero(index.sieve[(pairs >> np.uint64(44)).astype(np.int64)] & (line[:-1] != 0) & (line[1:] != 0))
+    maybe = maybe[np.isin(pairs[maybe], index.pairs)]
+    hit = np.zeros(len(pairs), bool)
+    hit[maybe] = True
     total = np.concatenate([[0], np.cumsum(hit)])
-    found: dict[int, set[int]] = {}
+    found: dict[tuple[int, int], set[int]] = {}
     for floor, (need, wide) in index.classes.items():
         if total[-1] < need:
             continue
-        end = np.minimum(np.arange(len(hit)) + wide, len(hit))
-        starts = np.flatnonzero(total[end] - total[:-1] >= need)
-        for at in range(0, len(starts), 65_536):
-            some = starts[at : at + 65_536]
-            for key in walk_keys(words, some, floor, index):
-                lo, hi = np.searchsorted(index.keys, key, "left"), np.searchsorted(index.keys, key, "right")
-                for i in np.flatnonzero(hi > lo):
-                    for item in index.owner[lo[i] : hi[i]]:
-                        found.setdefault(int(item), set()).add(int(some[i]))
+        window = np.minimum(np.arange(len(hit)) + wide, len(hit))
+        starts = np.flatnonzero((total[window] - total[:-1] >= need) & (line[:-1] != 0))
+        for lo in range(0, len(starts), 65_536):
+            some = starts[lo : lo + 65_536]
+            for key in walk_keys(line, some, floor, index):
+                first, last = np.searchsorted(index.keys, key, "left"), np.searchsorted(index.keys, key, "right")
+                for i in np.flatnonzero(last > first):
+                    own = int(np.searchsorted(begins, some[i], "right")) - 1
+                    for item in index.owner[first[i] : last[i]]:
+                        found.setdefault((own, int(item)), set()).add(int(some[i]))
     out = []
-    for item, starts in found.items():
+    for (own, item), starts in found.items():
         target = index.words[item]
         n, k = len(target), edits(len(target), index.similarity)
         order = np.array(sorted(starts))
         for run in np.split(order, np.flatnonzero(np.diff(order) > k + 1) + 1):
-            lo, hi = max(0, int(run[0]) - k), min(len(words), int(run[-1]) + n + 2 * k)
-            cost, a, b = best_span(target, words[lo:hi])
+            lo, hi = max(begins[own], run[0] - k), min(ends[own], run[-1] + n + 2 * k)
+            cost, a, b = best_span(target, line[lo:hi])
             if cost <= k:
-                out.append((item, cost, lo + a, lo + b))
+                out.append((int(names[own]), item, cost, int(lo + a - begins[own]), int(lo + b - begins[own])))
     return out
 
 
@@ -206,23 +215,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, b
 
         def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             index = shipped.value
-            fewest = min((need for need, _ in index.classes.values()), default=0)
             for pdf in batches:
                 texts, idents = [(t or "").encode().lower() for t in pdf["text"]], pdf["doc_id"].to_numpy(object)
                 out = []
                 for a, _, doc, words in words_of_many(texts, ALNUM):
-                    if len(words) < 2 or not index.ids:
-                        continue
-                    pairs = pair_hashes(words)
-                    maybe = np.flatnonzero(index.sieve[(pairs >> np.uint64(44)).astype(np.int64)] & (doc[1:] == doc[:-1]))
-                    maybe = maybe[np.isin(pairs[maybe], index.pairs)]
-                    for d in np.flatnonzero(np.bincount(doc[maybe], minlength=1) >= fewest):
-                        lo, hi = np.searchsorted(doc, [d, d + 1])
-                        hit = np.zeros(hi - lo - 1, bool)
-                        hit[maybe[(maybe >= lo) & (maybe < hi - 1)] - lo] = True
-                        for item, cost, first, end in search_hits(words[lo:hi], hit, index):
-                            n = len(index.words[item])
-                            out.append((idents[a + d], index.ids[item], cost, 1 - cost / n, first, end - first))
+                    for d, item, cost, first, end in search(doc, words, index):
+                        n = len(index.words[item])
+                        out.append((idents[a + d], index.ids[item], cost, 1 - cost / n, first, end - first))
                 got = pd.DataFrame(out, columns=["doc_id", "item_id", "edits", "similarity", "first_word", "n_words"])
                 yield got.astype({"doc_id": "Int64", "item_id": "Int64"})
 

@@ -50,22 +50,23 @@ def test_span_of_fewest_edits_equals_the_plain_table():
 def test_recall_at_the_permitted_edits(share, least):
     rng = random.Random(7)
     vocabulary = [f"v{i}" for i in range(3000)] + ["the", "of", "and"] * 500
-    items = [[rng.choice(vocabulary) for _ in range(rng.randint(8, 60))] for _ in range(200)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(8, 60))] for _ in range(150)]
     index = C.build_index([(i, " ".join(w)) for i, w in enumerate(items)])
     hit = seen = 0
     for i, item in enumerate(items):
-        for _ in range(3):
+        for _ in range(1):
             w = edit(rng, item, int(share * len(item)), vocabulary)
             text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))] + w + [rng.choice(vocabulary) for _ in range(30)]
             if sellers(item, text) <= C.edits(len(item), 0.8):
                 seen += 1
-                got = C.search(C.word_hashes(" ".join(text).encode(), C.ALNUM)[2], index)
-                hit += any(index.ids[g[0]] == i for g in got)
+                found = C.word_hashes(" ".join(text).encode(), C.ALNUM)[2]
+                got = C.search(np.zeros(len(found), np.int64), found, index)
+                hit += any(index.ids[g[1]] == i for g in got)
     assert hit >= least * seen, (hit, seen)
 
 
 def test_leaks_equal_brute_force_on_documents(spark):
-    docs = spark.read.parquet(f"{SF0001}/documents.parquet").limit(120)
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").where("n_chars < 1500")
     benchmark = spark.read.parquet(f"{SF0001}/benchmark.parquet")
     items = [(r.item_id, words(r.text)) for r in benchmark.collect()]
     want = set()

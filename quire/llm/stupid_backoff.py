@@ -54,19 +54,23 @@ def chunk_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(docs), np.concatenate(words)) if docs else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
-def pack_hashes(hashes: np.ndarray, bits: int) -> bytes:
-    """Sorted hashes without their leading ``bits``, cut to 40 bits."""
-    rest = (hashes << np.uint64(bits)) >> np.uint64(24)
-    return np.ascontiguousarray(rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of integers, byte plane by byte plane: leading planes of sorted or
+    small numbers are long runs, which the shuffle's compression removes."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T).tobytes()
 
 
-def unpack_hashes(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 3:] = raw
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, 8 - width :] = np.frombuffer(data, np.uint8).reshape(width, -1).T
     return wide.view(">u8").reshape(-1).astype(np.uint64)
 
 
+def cut_hashes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Sorted hashes without their leading ``bits``, cut to 40 bits."""
+    return (hashes << np.uint64(bits)) >> np.uint64(24)
+
+
 def log_scores(doc: np.ndarray, n_docs: int, totals: list[np.ndarray], places: list[np.ndarray], grams_of: list[np.ndarray],
                corpus: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per document: sum of the log scores, words, and words scored by an n-gram of the full order.
@@ -96,7 +100,7 @@ def log_scores(doc: np.ndarray, n_docs: int, totals: list[np.ndarray], places: l
     return np.bincount(doc, best, minlength=n_docs), size, np.bincount(doc, full, minlength=n_docs).astype(np.int64)
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int = 4 << 20,
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int = 8 << 20,
                    range_entries: int = 1 << 21) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score, full_order`` of every row of ``docs``."""
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
@@ -124,17 +128,17 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_by
             for p in range(1 << bits):
                 if cut[p + 1] > cut[p]:
                     part = slice(cut[p], cut[p + 1])
-                    rows.append((p, n, pdf["chunk"].iloc[0], pack_hashes(values[part], bits),
-                                 counts[part].astype("<u4").tobytes()))
+                    rows.append((p, n, pdf["chunk"].iloc[0], planes(cut_hashes(values[part], bits), 5),
+                                 planes(counts[part], 4)))
         return pd.DataFrame(rows, columns=["part", "n", "chunk", "hashes", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [unpack_hashes(h) for h in pdf["hashes"]]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]])
+        hashes = [from_planes(h, 5) for h in pdf["hashes"]]
+        counts = np.concatenate([from_planes(c, 4) for c in pdf["counts"]])
         _, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(back, counts).astype("<u8")[back]
+        total = np.bincount(back, counts)[back].astype(np.int64)
         cut = np.cumsum([0] + [len(h) for h in hashes])
-        answer = [total[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        answer = [planes(total[a:b], 6) for a, b in zip(cut, cut[1:])]
         return pd.DataFrame({"chunk": pdf["chunk"], "n": pdf["n"], "part": pdf["part"], "totals": answer})
 
     requests = dealt.groupBy("chunk").applyInPandas(ask, "part int, n int, chunk long, hashes binary, counts binary")
@@ -144,7 +148,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_by
         totals, places, numbers, doc = [], [], [], np.empty(0, np.int64)
         for n, (doc, at, values, back, _) in enumerate(distinct(list(own["text"])), 1):
             parts = got[got["n"] == n].sort_values("part")["totals"]
-            totals.append(np.frombuffer(b"".join(parts), "<u8").astype(np.int64))
+            totals.append(np.concatenate([*(from_planes(t, 6) for t in parts), np.empty(0, np.uint64)]).astype(np.int64))
             places.append(at)
             numbers.append(back)
         total, size, full = log_scores(doc, len(own), totals, places, numbers, corpus, alpha)

@@ -105,12 +105,12 @@ bw AS (
                               lambda x: x <> '') AS w
   FROM benchmark),
 bq AS (
-  SELECT item_id, w[1] AS w1, coalesce(w[2], w[1]) AS w2, coalesce(w[3], w[1]) AS w3,
+  SELECT item_id, w, w[1] AS w1, coalesce(w[2], w[1]) AS w2, coalesce(w[3], w[1]) AS w3,
     list_reduce(w, lambda acc, x: CASE WHEN length(x) > length(acc) THEN x ELSE acc END, '') AS wl
   FROM bw),
 rawq AS (
   SELECT item_id * 100 + v AS query_id,
-    CASE v WHEN 0 THEN w1 WHEN 1 THEN wl WHEN 2 THEN concat_ws(' ', w1, w2, w3) WHEN 3 THEN concat_ws('-', w1, w2)
+    CASE v WHEN 0 THEN w1 WHEN 1 THEN wl WHEN 2 THEN array_to_string(w, ' ') WHEN 3 THEN concat_ws('-', w1, w2)
            WHEN 4 THEN concat_ws(' ', w2, w2) WHEN 5 THEN '"' || w1 || '''s ' || w3
            WHEN 6 THEN concat_ws(' ', w1, w3) WHEN 7 THEN concat_ws(' ', w2, w3) WHEN 8 THEN concat_ws(' ', w1, w2)
            WHEN 9 THEN '   ' WHEN 10 THEN 'café cafe' WHEN 11 THEN concat_ws(' ', w1, 'doc')
@@ -129,7 +129,7 @@ bw AS (
                               lambda x: x <> '') AS w
   FROM benchmark),
 q AS (
-  SELECT item_id AS query_id, concat_ws(' ', w[1], w[2], w[3]) AS query, []::VARCHAR[] AS types,
+  SELECT item_id AS query_id, array_to_string(w, ' ') AS query, []::VARCHAR[] AS types,
          []::VARCHAR[] AS want_tags, 0.3 AS alpha, 10 AS lim, 0 AS off, 50 AS cand
   FROM bw)"""
 

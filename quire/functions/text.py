@@ -14,11 +14,12 @@ FTS_TOKEN_RE = r"[\p{L}\p{N}\p{Co}]+"
 def _fold_table() -> tuple[str, str]:
     """Latin letters carrying exactly one diacritic -> their base letter.
 
-    Built from the Unicode decomposition of the Latin-1 Supplement and Latin
-    Extended-A/B blocks, which is what the tokeniser's diacritic removal does.
+    Built from the Unicode decomposition of the Latin-1 Supplement, Latin
+    Extended-A/B and Latin Extended Additional blocks, which is what the
+    tokeniser's diacritic removal does.
     """
     src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    for cp in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
         ch = chr(cp)
         nfd = unicodedata.normalize("NFD", ch)
         if len(nfd) == 2 and nfd[0].isascii() and nfd[0].isalpha() and unicodedata.category(nfd[1]) == "Mn":
@@ -31,8 +32,8 @@ FOLD_FROM, FOLD_TO = _fold_table()
 
 
 def fold(text: Column) -> Column:
-    """Lowercase, then strip single diacritics from Latin letters."""
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    """Lowercase, drop combining marks, then strip single diacritics from Latin letters."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), FOLD_FROM, FOLD_TO)
 
 
 def fts_tokens(text: Column) -> Column:

@@ -8,6 +8,8 @@ the whole table on one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,13 @@ def tags_like_all(tags: list[str]) -> Column:
     LIKE there is ASCII-case-insensitive and keeps '%' and '_' as wildcards,
     so the tag is used as a pattern, not a literal.
     """
-    js = F.to_json(F.col("tags"))
+    from quire.operators.maintain import like_pattern
+    from quire.operators.graph import ascii_lower
+
+    js = ascii_lower(F.to_json(F.col("tags")))
     cond = F.lit(True)
     for t in tags:
-        cond = cond & js.ilike(f'%"{t}"%')
+        cond = cond & js.rlike(like_pattern(f'%"{t}"%'))
     return cond
 
 
@@ -107,20 +112,27 @@ def deep_page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     w = Window.partitionBy("_pid").orderBy(*order)
     pos = sorted_df.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(starts), on="_pid")
     pos = pos.withColumn("_pos", F.col("_start") + F.col("_rn") - 1)
-    return pos.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit)).drop(
-        "_pid", "_rn", "_start", "_pos"
-    )
+    page = pos.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit))
+    # The page itself is sorted last: it has ``limit`` rows.
+    return page.orderBy("_pos").drop("_pid", "_rn", "_start", "_pos")
 
 
 def changes_since(concepts: DataFrame, since) -> DataFrame:
-    """Q5: concepts updated strictly after ``since`` (epoch s or date text)."""
+    """Q5: concepts updated strictly after ``since`` (epoch s or date text in UTC), the latest first.
+
+    Text that is no date yields no rows.
+    """
     if isinstance(since, (int, float)):
         ts = F.lit(int(since))
     else:
-        ts = F.unix_timestamp(F.to_timestamp(F.lit(str(since))))
+        text = str(since).strip()
+        zoned = text if re.search(r"(?:Z|[+-]\d\d:?\d\d)$", text) else text + (
+            " 00:00:00Z" if re.fullmatch(r"\d{4}-\d\d-\d\d", text) else "Z")
+        ts = F.unix_timestamp(F.try_to_timestamp(F.lit(zoned)))
     return (
         concepts.where(F.col("updated_at") > ts)
         .select("id", "slug", "type", "title", "status", "updated_at")
+        .orderBy(F.col("updated_at").desc(), "slug")
     )
 
 
@@ -134,15 +146,15 @@ def get_by_keys(concepts: DataFrame, keys: DataFrame, key: str = "slug") -> Data
 
 
 def stats_by_type(concepts: DataFrame) -> DataFrame:
-    """A1: count per type (with the grand total), partial aggregation first."""
+    """A1: count per type (with the grand total), the largest first."""
     total = concepts.select(F.count(F.lit(1))).scalar()
     return concepts.groupBy("type").agg(F.count(F.lit(1)).alias("count")).select(
         "type", "count", total.alias("total")
-    )
+    ).orderBy(F.col("count").desc(), "type")
 
 
 def tag_counts(concepts: DataFrame, type=None, mode: str = "distinct_arrays") -> DataFrame:
-    """A2: tag -> count.
+    """A2: tag -> count, the most frequent first.
 
     ``distinct_arrays`` (default, the reference's behaviour) counts distinct
     tag arrays; ``concepts`` counts concepts carrying the tag.
@@ -155,4 +167,5 @@ def tag_counts(concepts: DataFrame, type=None, mode: str = "distinct_arrays") ->
         tags = tags.distinct()
     elif mode != "concepts":
         raise ValueError(f"unknown mode {mode!r}")
-    return tags.select(F.explode("tags").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("count"))
+    return tags.select(F.explode("tags").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("count")).orderBy(
+        F.col("count").desc(), "name")

@@ -15,7 +15,7 @@ from quire.schema import CANDIDATE_FACTOR, MIN_CANDIDATES, SEARCH_DEFAULTS
 # Bound on one broadcast query batch: queries, total query characters (a
 # query has at most as many tokens as characters) and total candidates (each
 # query keeps at most 2 * cand merged rows).  Larger batches are processed in
-# chunks within these bounds.
+# chunks without broadcast hints.
 MAX_BATCH_QUERIES = 100_000
 MAX_BATCH_CHARS = 20_000_000
 MAX_BATCH_CANDIDATES = 4_000_000
@@ -89,11 +89,13 @@ def merge(fts_c: DataFrame, vec_c: DataFrame, q: DataFrame, profile: str = "code
     return m.withColumn("score", score)
 
 
-def batch_chunks(queries: DataFrame) -> list[DataFrame]:
-    """Split a query batch so that every chunk is within the broadcast bound.
+def batch_chunks(queries: DataFrame) -> list[tuple[DataFrame, int, bool]]:
+    """``(chunk, largest cut, proven)`` for the parts of a query batch.
 
-    One small aggregate over the batch proves the bound; a batch beyond it
-    is cut by a hash of the query id (each chunk then broadcast on its own).
+    One small aggregate over the batch proves the broadcast bound for all of it.
+    A batch beyond the bound is cut by a hash of the query id to keep the
+    cuts apart; a part may still hold one very deep query, so nothing of it is
+    hinted and its joins are left to adaptive execution.
     """
     q = with_defaults(queries)
     stats = q.agg(
@@ -104,10 +106,10 @@ def batch_chunks(queries: DataFrame) -> list[DataFrame]:
     k_max = int(stats["k_max"] or MIN_CANDIDATES)
     parts = max(1, -(-n // MAX_BATCH_QUERIES), -(-chars // MAX_BATCH_CHARS), -(-cands // MAX_BATCH_CANDIDATES))
     if parts == 1:
-        return [(queries, k_max)]
+        return [(queries, k_max, True)]
     # Hash split: every chunk gets about 1/parts of the batch, no single task.
     bucket = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    return [(queries.where(bucket == i), k_max) for i in range(parts)]
+    return [(queries.where(bucket == i), k_max, False) for i in range(parts)]
 
 
 def search_batch(concepts: DataFrame, queries: DataFrame, index: fts.FtsIndex | None = None,
@@ -120,23 +122,23 @@ def search_batch(concepts: DataFrame, queries: DataFrame, index: fts.FtsIndex |
     """
     chunks = batch_chunks(queries)
     out = None
-    for chunk, k_max in chunks:
-        part = _search_chunk(concepts, chunk, index, profile, k_max)
+    for chunk, k_max, proven in chunks:
+        part = _search_chunk(concepts, chunk, index, profile, k_max, proven)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _search_chunk(concepts: DataFrame, queries: DataFrame, index, profile: str, k_max: int) -> DataFrame:
+def _search_chunk(concepts: DataFrame, queries: DataFrame, index, profile: str, k_max: int, proven: bool) -> DataFrame:
     q = with_defaults(queries)
-    # The batch bound is proven (batch_chunks): query-derived tables broadcast.
-    fts_c = fts_candidates(concepts, q, index, broadcast=True, k_max=k_max)
+    # Query-derived tables are broadcast only where the batch's bound is proven (batch_chunks).
+    small = F.broadcast if proven else (lambda df: df)
+    fts_c = fts_candidates(concepts, q, index, broadcast=proven, k_max=k_max)
     vec_c = vector_candidates(concepts, q, k_max=k_max)
     merged = merge(fts_c, vec_c, q, profile)
     meta = concepts.select("id", "slug", "type", "title", "description", "tags", "status", "source", "body_length")
-    # The merged candidates are bounded by the batch check (sum of 2 * cand):
-    # broadcast them so the concept table is scanned, never shuffled.
-    m = F.broadcast(merged.drop("slug")).join(meta, on="id").join(
-        F.broadcast(q.select("query_id", "want_tags", "limit", "offset")), on="query_id"
+    # Within the bound (sum of 2 * cand) the concept table is scanned, never shuffled.
+    m = small(merged.drop("slug")).join(meta, on="id").join(
+        small(q.select("query_id", "want_tags", "limit", "offset")), on="query_id"
     )
     m = m.where(F.forall("want_tags", lambda t: F.array_contains(F.col("tags"), t)))
     w_all = Window.partitionBy("query_id")
@@ -146,7 +148,7 @@ def _search_chunk(concepts: DataFrame, queries: DataFrame, index, profile: str,
     ranked = m.withColumn("total", F.count(F.lit(1)).over(w_all)).withColumn("position", F.row_number().over(order))
     page = ranked.where((F.col("position") > F.col("offset")) & (F.col("position") <= F.col("offset") + F.col("limit")))
     bodies = concepts.select("id", "body")
-    page = F.broadcast(page).join(bodies, on="id")
+    page = small(page).join(bodies, on="id")
     return page.select(
         "query_id", (F.col("position") - F.col("offset")).alias("position"), "id", "slug", "type", "title",
         "description", "tags", "status", "source", F.coalesce("body_length", F.lit(0)).alias("body_length"),

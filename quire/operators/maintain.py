@@ -33,7 +33,8 @@ def diff_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], removals
     never joins the full snapshot again.  Only narrow columns of the
     snapshot are read (path, hash, identity), never bodies or embeddings.
     """
-    s = scan.select("file_path", F.sha2(F.col("content"), 256).alias("new_hash"))
+    # A path that the scan holds twice is one file: the copy with the smallest hash.
+    s = scan.groupBy("file_path").agg(F.min(F.sha2(F.col("content"), 256)).alias("new_hash"))
     t = stored.select(
         "file_path", F.col("file_hash").alias("old_hash"), F.col("slug").alias("old_slug"), "id", "source",
         "created_at", "last_synced_at",
@@ -73,6 +74,10 @@ def upsert_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], now, r
     d = diff_snapshot(stored, scan, roots, removals) if diff is None else diff
     changed = d.where(F.col("action").isin("added", "updated"))
     to_parse = scan.join(changed.select("file_path"), on="file_path", how="left_semi")
+    # Only changed files are moved; of a path's copies the one that the diff compared.
+    hashed = F.sha2(F.col("content"), 256)
+    once = F.struct(*[F.col(c) for c in scan.columns if c != "file_path"])
+    to_parse = to_parse.groupBy("file_path").agg(F.min_by(once, hashed).alias("_file")).select("file_path", "_file.*")
     fresh = parse_files(to_parse, roots, now=now)
     replaced = d.where(F.col("action").isin("updated", "removed")).select("file_path")
     carried = stored.join(_small_paths(replaced), on="file_path", how="left_anti")
@@ -121,9 +126,13 @@ def like_prefix(path: Column, prefix: str) -> Column:
     '%' / '_' in the prefix acting as wildcards."""
     from quire.operators.graph import ascii_lower
 
-    folded = prefix.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    pattern = "".join(".*" if ch == "%" else "." if ch == "_" else _re_escape(ch) for ch in folded)
-    return ascii_lower(path).rlike("(?s)^" + pattern)
+    return ascii_lower(path).rlike(like_pattern(prefix + "%"))
+
+
+def like_pattern(pattern: str) -> str:
+    """The regular expression of a LIKE pattern over ASCII-lower-cased text; a backslash is itself."""
+    folded = pattern.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return "(?s)^" + "".join(".*" if ch == "%" else "." if ch == "_" else _re_escape(ch) for ch in folded) + "$"
 
 
 def _re_escape(ch: str) -> str:

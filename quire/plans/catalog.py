@@ -325,7 +325,7 @@ def q_hybrid_merge(spark, sf_dir):
 
 
 def q_hybrid_search(spark, sf_dir):
-    """Default parameters, one query per benchmark item (its first words)."""
+    """Default parameters, one query per benchmark item (its whole text)."""
     c = fixture_concepts(spark, sf_dir)
     return hybrid.search_batch(c, _default_queries(spark, sf_dir)).drop("id").withColumn("tags", F.to_json("tags"))
 
@@ -573,7 +573,7 @@ def _default_queries(spark, sf_dir):
     words = F.filter(F.split(F.regexp_replace(F.col("text"), r"[^\p{L}\p{N}\s'-]", " "), r"\s+"), lambda x: x != "")
     return b.select(
         F.col("item_id").alias("query_id"),
-        F.concat_ws(" ", *[F.try_element_at(words, F.lit(i)) for i in (1, 2, 3)]).alias("query"),
+        F.array_join(words, " ").alias("query"),
         F.lit(None).cast("array<string>").alias("type"), F.lit(None).cast("array<string>").alias("tags"),
         F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("int").alias("limit"),
         F.lit(None).cast("int").alias("offset"),

@@ -41,16 +41,29 @@ def list_versions(spark: SparkSession, base: str) -> list[str]:
 SORT_WITHIN = ["type", "updated_at"]
 
 
-def write_snapshot(df: DataFrame, base: str, version: int | None = None) -> str:
+def tag_of(version: str) -> str:
+    """What a version was written for (``write_snapshot``'s tag), or an empty string."""
+    return version.partition("~")[2]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath, _ = _fs(spark, path)
+    return fs.exists(jpath)
+
+
+def write_snapshot(df: DataFrame, base: str, version: int | None = None, tag: str = "") -> str:
     """Write ``df`` as a new version under ``base``; return its path.
 
+    ``tag`` names what the version is written for, so that a repeated
+    attempt can find it.
+
     No shuffle: each task sorts its own rows before writing.
     """
     spark = df.sparkSession
     if version is None:
         existing = list_versions(spark, base)
         version = int(existing[-1][len(VERSION_PREFIX):].split("-")[0]) + 1 if existing else 1
-    path = f"{base.rstrip('/')}/{VERSION_PREFIX}{version:09d}-{uuid.uuid4().hex[:8]}"
+    path = f"{base.rstrip('/')}/{VERSION_PREFIX}{version:09d}-{uuid.uuid4().hex[:8]}{'~' + tag if tag else ''}"
     cols = [c for c in SORT_WITHIN if c in df.columns]
     out = df.sortWithinPartitions(*cols) if cols else df
     out.write.mode("errorifexists").parquet(path)

@@ -3,13 +3,15 @@
 Records ``(file_path, content, seq)`` arrive as files in a folder (or any
 streaming source with that schema).  Each micro-batch keeps the latest record
 per path (highest ``seq``; null content deletes), upserts it into the concept
-snapshot as a new version, and appends one summary row per batch to the runs
-table.  The version written for a batch is named by its ``batch_id``, so a
-replayed batch finds its version complete and does not write twice.
+snapshot as the next version, and appends one summary row per batch to the runs
+table.  The version's name carries the stream and batch it was written for, so a
+replayed batch neither writes twice nor mistakes another run's version for its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,26 +27,29 @@ def latest_per_path(batch: DataFrame) -> DataFrame:
     return batch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def _version_of(batch_id: int) -> int:
-    return batch_id + 1
-
-
 def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_base: str, runs_path: str,
-                  now=None) -> None:
+                  now=None, stream: str = "stream") -> None:
+    """Upsert one micro-batch as a new version and record its run.
+
+    ``(stream, batch_id)`` identifies the batch and is part of the version's
+    name, apart from its number, which follows whatever versions exist.  A
+    replay finds its version and writes only what is missing: the run row
+    if the first attempt ended between the two writes.
+    """
     spark = batch.sparkSession
+    from quire.functions import paths
     from quire.session import checkpoint_dir, materialize
 
     checkpoint_dir(spark)
+    run_id = f"{stream}-{batch_id}"
+    base = snapshot_base.rstrip("/")
     versions = snapshot.list_versions(spark, snapshot_base)
-    mine = f"{snapshot.VERSION_PREFIX}{_version_of(batch_id):09d}"
-    if any(v.startswith(mine) for v in versions):
-        return  # replay of a batch whose version is complete
-    earlier = [v for v in versions if v < mine]
-    stored = (spark.read.parquet(f"{snapshot_base.rstrip('/')}/{earlier[-1]}") if earlier
-              else current_or_empty(spark, snapshot_base))
+    mine = next((v for v in versions if snapshot.tag_of(v) == run_id), None)
+    if mine and _has_run(spark, runs_path, run_id):
+        return
+    earlier = [v for v in versions if mine is None or v < mine]
+    stored = spark.read.parquet(f"{base}/{earlier[-1]}") if earlier else current_or_empty(spark, f"{base}/none")
     latest = latest_per_path(batch)
-    from quire.functions import paths
-
     latest = materialize(latest.where(paths.scan_keeps(F.col("file_path"), roots)), "stream-batch")
     upserts = latest.where(F.col("content").isNotNull()).select("file_path", "content")
     deletes = latest.where(F.col("content").isNull()).select("file_path")
@@ -54,25 +59,34 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
         gone.select("file_path", F.lit("removed").alias("action"), "slug", "id", "source", "created_at",
                     "last_synced_at")
     ), "stream-diff")
-    maintain.check_slug_conflicts(next_slugs(stored, diff))
-    base_rows = stored.join(gone.select("file_path"), on="file_path", how="left_anti")
-    clock = now if now is not None else F.unix_timestamp()
-    nxt = maintain.upsert_snapshot(base_rows, upserts, roots, clock, removals=False)
-    path = snapshot.write_snapshot(nxt, snapshot_base, version=_version_of(batch_id))
-    written = spark.read.parquet(path)
-    summary = maintain.index_summary(diff, written).select(
-        F.lit(f"stream-{batch_id}").alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"),
+    if mine:
+        path = f"{base}/{mine}"
+    else:
+        maintain.check_slug_conflicts(next_slugs(stored, diff))
+        clock = now if now is not None else F.unix_timestamp()
+        nxt = maintain.upsert_snapshot(stored, upserts, roots, clock, removals=False, diff=diff)
+        path = snapshot.write_snapshot(nxt, snapshot_base, tag=run_id)
+    summary = maintain.index_summary(diff, spark.read.parquet(path)).select(
+        F.lit(run_id).alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"),
         F.lit(None).cast("long").alias("now"), "added", "updated", "removed", "skipped", "total",
     )
     summary.write.mode("append").parquet(runs_path)
 
 
+def _has_run(spark: SparkSession, runs_path: str, run_id: str) -> bool:
+    if not snapshot.exists(spark, runs_path):
+        return False
+    return not read_runs(spark, runs_path).where(F.col("run_id") == run_id).isEmpty()
+
+
 def start_ingest(spark: SparkSession, source: DataFrame, roots: list[str], snapshot_base: str, runs_path: str,
                  checkpoint_location: str, available_now: bool = True, processing_time: str | None = None,
                  now=None):
     """Start the ingest query over a streaming ``source`` with RECORD_DDL columns."""
+    # The checkpoint location is what identifies a stream over restarts.
+    stream = "stream-" + hashlib.sha1(checkpoint_location.rstrip("/").encode()).hexdigest()[:10]
     writer = source.writeStream.foreachBatch(
-        lambda df, bid: process_batch(df, bid, roots, snapshot_base, runs_path, now)
+        lambda df, bid: process_batch(df, bid, roots, snapshot_base, runs_path, now, stream)
     ).option("checkpointLocation", checkpoint_location)
     if available_now:
         writer = writer.trigger(availableNow=True)

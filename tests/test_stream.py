@@ -29,3 +29,44 @@ def test_stream_latest_record_wins_and_deletes(spark):
     assert final == {"/kb/a.md": "two", "/kb/c.md": "sea"}
     summary = sorted((r.batch_id, r.added, r.removed, r.total) for r in ingest.read_runs(spark, runs).collect())
     assert summary == [(0, 2, 0, 2), (1, 1, 1, 2)]
+
+
+def _batch(spark, rows):
+    return spark.createDataFrame(rows, ingest.RECORD_DDL)
+
+
+def test_stream_on_a_snapshot_that_batch_runs_wrote(spark):
+    base = index_run.scratch_base(spark, "t-after")
+    snap, runs = base + "/snap", base + "/runs"
+    index_run.run_index(files_df(spark, [("/kb/a.md", "one")]), ["/kb"], snap, now=1)
+    index_run.run_index(files_df(spark, [("/kb/a.md", "one"), ("/kb/b.md", "two")]), ["/kb"], snap, now=2)
+    for _ in range(2):  # the second time is a replay
+        ingest.process_batch(_batch(spark, [("/kb/c.md", "three", 1)]), 0, ["/kb"], snap, runs, now=3)
+    assert {r.file_path for r in snapshot.read_snapshot(spark, snap).collect()} == {"/kb/a.md", "/kb/b.md", "/kb/c.md"}
+    assert [(r.batch_id, r.added, r.total) for r in ingest.read_runs(spark, runs).collect()] == [(0, 1, 3)]
+    assert len(snapshot.list_versions(spark, snap)) == 3
+    # another stream's batch 0 is not a replay of this one
+    ingest.process_batch(_batch(spark, [("/kb/d.md", "four", 1)]), 0, ["/kb"], snap, runs, now=4, stream="other")
+    assert snapshot.read_snapshot(spark, snap).count() == 4
+
+
+def test_a_replay_writes_a_missing_run_row(spark):
+    base = index_run.scratch_base(spark, "t-crash")
+    snap, runs = base + "/snap", base + "/runs"
+    ingest.process_batch(_batch(spark, [("/kb/a.md", "one", 1)]), 0, ["/kb"], snap, runs, now=1)
+    batch = _batch(spark, [("/kb/b.md", "two", 2), ("/kb/a.md", None, 3)])
+    ingest.process_batch(batch, 1, ["/kb"], snap, base + "/lost", now=2)  # ends before its row reaches ``runs``
+    ingest.process_batch(batch, 1, ["/kb"], snap, runs, now=2)
+    got = {r.batch_id: (r.added, r.removed, r.total) for r in ingest.read_runs(spark, runs).collect()}
+    assert got == {0: (1, 0, 1), 1: (1, 1, 1)} and len(snapshot.list_versions(spark, snap)) == 2
+
+
+def test_a_path_scanned_twice_is_one_file(spark):
+    base = index_run.scratch_base(spark, "t-twice")
+    files = files_df(spark, [("/kb/a.md", "one"), ("/kb/a.md", "one"), ("/kb/b.md", "x"), ("/kb/b.md", "y")])
+    path, summary = index_run.run_index(files, ["/kb"], base + "/snap", now=1)
+    assert summary.first().added == 2
+    rows = spark.read.parquet(path).collect()
+    assert sorted(r.file_path for r in rows) == ["/kb/a.md", "/kb/b.md"]
+    _, again = index_run.run_index(files, ["/kb"], base + "/snap", now=2)
+    assert (again.first().added, again.first().updated, again.first().skipped) == (0, 0, 2)

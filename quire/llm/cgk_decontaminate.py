@@ -180,11 +180,12 @@ def search(doc: np.ndarray, words: np.ndarray, index: Index) -> list[tuple[int,
         for lo in range(0, len(starts), 65_536):
             some = starts[lo : lo + 65_536]
             for key in walk_keys(line, some, floor, index):
-                first, last = np.searchsorted(index.keys, key, "left"), np.searchsorted(index.keys, key, "right")
-                for i in np.flatnonzero(last > first):
-                    own = int(np.searchsorted(begins, some[i], "right")) - 1
-                    for item in index.owner[first[i] : last[i]]:
-                        found.setdefault((own, int(item)), set()).add(int(some[i]))
+                first = np.searchsorted(index.keys, key)
+                met = np.flatnonzero(index.keys[np.minimum(first, len(index.keys) - 1)] == key)
+                last, owns = np.searchsorted(index.keys, key[met], "right"), np.searchsorted(begins, some[met], "right") - 1
+                for lo_key, hi_key, own, start in zip(first[met], last, owns.tolist(), some[met].tolist()):
+                    for item in index.owner[lo_key:hi_key].tolist():
+                        found.setdefault((own, item), set()).add(start)
     out = []
     for (own, item), starts in found.items():
         target = index.words[item]
@@ -192,6 +193,9 @@ def search(doc: np.ndarray, words: np.ndarray, index: Index) -> list[tuple[int,
         order = np.array(sorted(starts))
         for run in np.split(order, np.flatnonzero(np.diff(order) > k + 1) + 1):
             lo, hi = max(begins[own], run[0] - k), min(ends[own], run[-1] + n + 2 * k)
+            # k edits destroy at most 2k of the item's own pairs: fewer left, no leak
+            if np.isin(pair_hashes(target), pairs[lo : hi - 1]).sum() < n - 1 - 2 * k:
+                continue
             cost, a, b = best_span(target, line[lo:hi])
             if cost <= k:
                 out.append((int(names[own]), item, cost, int(lo + a - begins[own]), int(lo + b - begins[own])))

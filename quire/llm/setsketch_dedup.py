@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # Candidate classes: sets that share a band with its smallest set.
     banded = sets.select("rep", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail")
-    stars = banded.join(heads.select("band", "head"), "band").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    # Both sides grow with the corpus, and size estimates do not see exploded rows.
+    stars = banded.hint("merge").join(heads.select("band", "head"), "band").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     candidate = components(stars, name="candidates").withColumnRenamed("node", "rep")
 
     # Shares of each class: chunks of bounded rows and payload.

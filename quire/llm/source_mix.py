@@ -140,7 +140,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """The streams with ``taken``: the words of each row that the mix takes, repeats counted."""
         times = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
-        took = self.pieces().join(times, ["src", "block"]).groupBy("src", "start").agg(
+        # Both sides grow with the corpus; a size estimate does not see the exploded rows, so it must not choose.
+        took = self.pieces().hint("merge").join(times, ["src", "block"]).groupBy("src", "start").agg(
             F.sum(F.col("words") * F.col("times")).alias("taken"))
         took = took.select(F.col("src").alias("_src"), F.col("start").alias("_start"), "taken")
         on = (F.col("src") == F.col("_src")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)

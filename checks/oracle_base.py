@@ -3,6 +3,10 @@ attributes they were rendered from (known without parsing any front matter)."""
 
 NL = "chr(10)"
 
+# The longest prefix of at most 200 UTF-16 units: a character beyond U+FFFF counts twice.
+SNIPPET = r"""CASE WHEN description <> '' THEN description ELSE replace(substr(body, 1, list_max(list_filter(range(100, 201),
+  lambda n: n + length(regexp_replace(substr(body, 1, n), '[^\x{10000}-\x{10FFFF}]', '', 'g')) <= 200))), chr(10), ' ') END AS snippet"""
+
 def files_cte(src: str = "documents", name: str = "files", tag: str = "") -> str:
     return f"""
 fx{tag} AS (

@@ -2,7 +2,7 @@
 feature hashing, cosine KNN and the hybrid merge, written independently of
 the Spark code (same definitions, plain SQL)."""
 
-from checks.oracle_base import CONCEPTS_CTE
+from checks.oracle_base import CONCEPTS_CTE, SNIPPET
 
 M32 = 4294967296
 C1, C2 = 0xCC9E2D51, 0x1B873593
@@ -249,9 +249,9 @@ PAGE_SELECT = """
 SELECT query_id, CAST(position - off AS INTEGER) AS position, slug, type, title, description,
   CAST(to_json(tags) AS VARCHAR) AS tags, status, source, body_length,
   CAST(floor((body_length + 2) / 4) AS BIGINT) AS approx_tokens, round(score, 2) AS score,
-  CASE WHEN description <> '' THEN description ELSE replace(substr(body, 1, 200), chr(10), ' ') END AS snippet,
+  @SNIPPET@,
   total
-FROM final WHERE position > off AND position <= off + lim"""
+FROM final WHERE position > off AND position <= off + lim""".replace("@SNIPPET@", SNIPPET)
 
 
 def search_sql(default_queries: bool = False, concepts_cte: str = CONCEPTS_CTE) -> str:

@@ -1,6 +1,6 @@
 """DuckDB oracle SQL, one statement per registered plan."""
 
-from checks.oracle_base import with_concepts, with_files
+from checks.oracle_base import SNIPPET, with_concepts, with_files
 
 TAGS = "CAST(to_json(tags) AS VARCHAR) AS tags"
 APPROX = "CAST(floor((body_length + 2) / 4) AS BIGINT)"
@@ -31,8 +31,7 @@ ORACLE = {
     "content_hash": with_concepts("SELECT file_path, file_hash FROM concepts"),
     "token_estimate": with_concepts(f"SELECT slug, body_length, {APPROX} AS approx_tokens FROM concepts"),
     "snippet": with_concepts(
-        "SELECT slug, CASE WHEN description <> '' THEN description "
-        "ELSE replace(substr(body, 1, 200), chr(10), ' ') END AS snippet FROM concepts"
+        f"SELECT slug, {SNIPPET} FROM concepts"
     ),
     "render_context": with_concepts(
         "SELECT slug, '(' || type || ') ' || slug || ': ' || title || chr(10) || chr(10) || body AS context "
@@ -150,15 +149,17 @@ SELECT root, slug, CAST(depth AS INTEGER) AS depth FROM r"""
         ).replace(")\n,\nedges AS", "),\nedges AS"),
         "get_concept": with_concepts(
             "," + _PREFIXES + "," + _EDGES + """
-SELECT slug, 'self' AS relation, slug AS other_slug, 0 AS ord, title, type FROM concepts
-UNION ALL
-SELECT p.slug, 'reference', c.child_slug, 0, c.child_title, c.child_type
+SELECT slug, 'self' AS relation, slug AS other_slug, 0 AS ord, title, type, description,
+  CAST(to_json(tags) AS VARCHAR) AS tags, status, source, timestamp, resource, body_length,
+  CAST(floor((body_length + 2) / 4) AS BIGINT) AS approx_tokens, body FROM concepts
+UNION ALL BY NAME
+SELECT p.slug, 'reference' AS relation, c.child_slug AS other_slug, 0 AS ord, c.child_title AS title, c.child_type AS type
 FROM concepts p JOIN pre c ON lower(p.slug) = lower(c.prefix) AND p.source = c.child_source
-UNION ALL
-SELECT c.child_slug, 'referenced_by', c.prefix, CAST(c.level AS INTEGER), a.title, a.type
+UNION ALL BY NAME
+SELECT c.child_slug AS slug, 'referenced_by' AS relation, c.prefix AS other_slug, CAST(c.level AS INTEGER) AS ord, a.title, a.type
 FROM pre c JOIN concepts a ON a.slug = c.prefix
-UNION ALL
-SELECT e.src, 'dependency', e.dst, CAST(e.ord AS INTEGER), c.title, NULL
+UNION ALL BY NAME
+SELECT e.src AS slug, 'dependency' AS relation, e.dst AS other_slug, CAST(e.ord AS INTEGER) AS ord, c.title
 FROM edges e LEFT JOIN concepts c ON c.slug = e.dst"""
         ).replace(")\n,\npre AS", "),\npre AS"),
     }

@@ -51,10 +51,20 @@ def approx_tokens(body_length: Column) -> Column:
     return F.floor((F.coalesce(body_length, F.lit(0)) + 2) / 4).cast("long")
 
 
+def utf16_prefix(text: Column, units: int) -> Column:
+    """The longest prefix of at most ``units`` UTF-16 code units.
+
+    A surrogate pair that the cut would split is left out, as half of one is no character.
+    """
+    head = F.substring(F.encode(F.substring(text, 1, units), "UTF-16BE"), 1, 2 * units)
+    split_pair = F.hex(F.substring(head, 2 * units - 1, 1)).between("D8", "DB")
+    return F.decode(F.when(split_pair, F.substring(head, 1, 2 * units - 2)).otherwise(head), "UTF-16BE")
+
+
 def snippet(description: Column, body: Column) -> Column:
-    """The description when non-empty, else the first 200 body chars."""
+    """The description when non-empty, else the first 200 UTF-16 units of the body."""
     return F.when(F.coalesce(description, F.lit("")) != "", description).otherwise(
-        F.translate(F.substring(F.coalesce(body, F.lit("")), 1, 200), "\n", " ")
+        F.translate(utf16_prefix(F.coalesce(body, F.lit("")), 200), "\n", " ")
     )
 
 

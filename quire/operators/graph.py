@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import approx_tokens
 from quire.operators.parse import dependency_slugs
 from quire.session import checkpoint_dir, materialize
 
@@ -40,11 +41,18 @@ def _prefix_rows(concepts: DataFrame) -> DataFrame:
     ).where(F.col("prefix").isNotNull())
 
 
-def references(concepts: DataFrame) -> DataFrame:
-    """G1: for every concept, the concepts below ``slug/`` (any depth) with the
-    same source; prefix matching is ASCII-case-insensitive like LIKE."""
+def _keyed(df: DataFrame, slugs: DataFrame | None, column: str = "slug") -> DataFrame:
+    """The rows whose ``column`` is in the key batch ``slugs(slug)``; all rows without one."""
+    if slugs is None:
+        return df
+    return df.join(slugs.select(F.col("slug").alias(column)).distinct(), on=column, how="left_semi")
+
+
+def references(concepts: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
+    """G1: for every concept (of the key batch), the concepts below ``slug/`` (any depth) with
+    the same source; prefix matching is ASCII-case-insensitive like LIKE."""
     kids = _prefix_rows(concepts).withColumn("key", ascii_lower(F.col("prefix")))
-    parents = concepts.select("slug", "source", ascii_lower(F.col("slug")).alias("key"))
+    parents = _keyed(concepts, slugs).select("slug", "source", ascii_lower(F.col("slug")).alias("key"))
     j = parents.join(kids, on="key").where(F.col("source") == F.col("child_source"))
     return j.select(
         "slug", F.col("child_slug").alias("ref_slug"), F.col("child_title").alias("ref_title"),
@@ -52,9 +60,9 @@ def references(concepts: DataFrame) -> DataFrame:
     )
 
 
-def referenced_by(concepts: DataFrame) -> DataFrame:
+def referenced_by(concepts: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
     """Every existing proper prefix of each slug, root first (any source)."""
-    pre = _prefix_rows(concepts)
+    pre = _prefix_rows(_keyed(concepts, slugs))
     anc = concepts.select(
         F.col("slug").alias("prefix"), F.col("title").alias("anc_title"), F.col("type").alias("anc_type")
     )
@@ -72,26 +80,40 @@ def edges(concepts: DataFrame) -> DataFrame:
     ).where(F.col("dst").isNotNull())
 
 
-def dependencies(concepts: DataFrame) -> DataFrame:
+def dependencies(concepts: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
     """Each declared dependency in order, with its title or null."""
     titles = concepts.select(F.col("slug").alias("dst"), F.col("title").alias("dep_title"))
-    e = edges(concepts).join(titles, on="dst", how="left")
+    e = edges(_keyed(concepts, slugs)).join(titles, on="dst", how="left")
     return e.select(F.col("src").alias("slug"), F.col("dst").alias("dep_slug"), "ord", "dep_title")
 
 
-def dependents(concepts: DataFrame) -> DataFrame:
+def dependents(concepts: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
     """For every existing concept, the concepts that declare it."""
     e = edges(concepts).select("src", "dst").distinct()
     src = concepts.select(F.col("slug").alias("src"), F.col("title").alias("dependent_title"))
-    tgt = concepts.select(F.col("slug").alias("dst"))
+    tgt = _keyed(concepts, slugs).select(F.col("slug").alias("dst"))
     j = e.join(tgt, on="dst", how="left_semi").join(src, on="src")
     return j.select(F.col("dst").alias("slug"), F.col("src").alias("dependent_slug"), "dependent_title")
 
 
+def get_deps(concepts: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
+    """Both directions at once: ``(slug, relation, other_slug, ord, title)`` with the declared
+    dependencies in order and, unordered (``ord`` null), the concepts that declare the slug."""
+    deps = dependencies(concepts, slugs).select(
+        "slug", F.lit("dependency").alias("relation"), F.col("dep_slug").alias("other_slug"), "ord",
+        F.col("dep_title").alias("title"),
+    )
+    users = dependents(concepts, slugs).select(
+        "slug", F.lit("dependent").alias("relation"), F.col("dependent_slug").alias("other_slug"),
+        F.lit(None).cast("int").alias("ord"), F.col("dependent_title").alias("title"),
+    )
+    return deps.unionByName(users)
+
+
 def resolve_dependencies(concepts: DataFrame, max_rounds: int | None = None,
-                         partitions: int | None = None) -> DataFrame:
-    """Every existing concept reachable from each root through declared
-    dependencies, with its shortest depth; cycles safe, the root never listed,
+                         partitions: int | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """Every existing concept reachable from each root (of the key batch
+    ``roots(slug)``, else from every concept) through declared dependencies, with its shortest depth; cycles safe, the root never listed,
     missing slugs omitted.
 
     Breadth-first: each round joins the frontier with the edges, drops pairs
@@ -105,7 +127,7 @@ def resolve_dependencies(concepts: DataFrame, max_rounds: int | None = None,
     e = edges(concepts).select("src", "dst").distinct().join(existing, on="dst", how="left_semi")
     e = materialize(e.repartition(n, "src"), "edges")
     frontier = materialize(
-        e.where(F.col("src") != F.col("dst"))
+        _keyed(e.where(F.col("src") != F.col("dst")), roots, "src")
         .select(F.col("src").alias("root"), F.col("dst").alias("slug"), F.lit(1).alias("depth")),
         "closure-level",
     )
@@ -136,27 +158,46 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def concept_record(concepts: DataFrame) -> DataFrame:
-    """The full record of every concept in long form.
+# Columns of the concept itself, on the 'self' rows of a record.
+RECORD_COLUMNS = ["id", "description", "tags", "status", "source", "timestamp", "resource", "body_length", "approx_tokens",
+                  "frontmatter", "body"]
+
+
+def concept_record(concepts: DataFrame, slugs: DataFrame | None = None, resolve: bool = False) -> DataFrame:
+    """The full record of every concept (of the key batch) in long form.
 
     One row per (slug, relation, other): relation is 'self', 'reference',
-    'referenced_by' or 'dependency'.  Long form keeps every group unbounded
-    in rows rather than packed into one value.
+    'referenced_by', 'dependency' or, with ``resolve``, 'resolved' (a reachable
+    concept; ``ord`` is its depth).  'self' rows carry the concept's own fields;
+    they are null elsewhere.  Long form keeps every group unbounded in rows
+    rather than packed into one value.
     """
-    me = concepts.select(
+    tokens = approx_tokens(F.col("body_length")).alias("approx_tokens")
+    me = _keyed(concepts, slugs).select(
         "slug", F.lit("self").alias("relation"), F.col("slug").alias("other_slug"),
-        F.lit(0).alias("ord"), "title", "type",
+        F.lit(0).alias("ord"), "title", "type", *[tokens if c == "approx_tokens" else c for c in RECORD_COLUMNS],
     )
-    refs = references(concepts).select(
+    refs = references(concepts, slugs).select(
         "slug", F.lit("reference").alias("relation"), F.col("ref_slug").alias("other_slug"),
         F.lit(0).alias("ord"), F.col("ref_title").alias("title"), F.col("ref_type").alias("type"),
     )
-    anc = referenced_by(concepts).select(
+    anc = referenced_by(concepts, slugs).select(
         "slug", F.lit("referenced_by").alias("relation"), F.col("ancestor_slug").alias("other_slug"),
         F.col("level").alias("ord"), F.col("anc_title").alias("title"), F.col("anc_type").alias("type"),
     )
-    deps = dependencies(concepts).select(
+    deps = dependencies(concepts, slugs).select(
         "slug", F.lit("dependency").alias("relation"), F.col("dep_slug").alias("other_slug"),
         F.col("ord"), F.col("dep_title").alias("title"), F.lit(None).cast("string").alias("type"),
     )
-    return me.unionByName(refs).unionByName(anc).unionByName(deps)
+    parts = [refs, anc, deps]
+    if resolve:
+        named = concepts.select("slug", "title", "type").withColumnRenamed("slug", "other_slug")
+        reached = resolve_dependencies(concepts, roots=slugs).select(
+            F.col("root").alias("slug"), F.lit("resolved").alias("relation"), F.col("slug").alias("other_slug"),
+            F.col("depth").alias("ord"),
+        )
+        parts.append(reached.join(named, on="other_slug").select(*refs.columns))
+    out = me
+    for p in parts:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

@@ -115,10 +115,24 @@ def partial_scan(files: DataFrame, directory: str) -> DataFrame:
     return files.where(F.col("file_path").rlike(paths.walk_regex([directory])))
 
 
+def path_diff(stored: DataFrame, scan: DataFrame, path: str, roots: list[str]) -> DataFrame:
+    """U4 (all forms): the diff of one path, without the rows it leaves alone.
+
+    A file (``scan`` holds the path itself) is compared as is, whatever its name, and
+    takes its slug from ``roots``; a directory is walked and takes slugs from itself;
+    a path that is neither removes the local row stored under it.
+    """
+    path = path.rstrip("/") or "/"
+    single = scan.where(F.col("file_path") == path)
+    file = diff_snapshot(stored.where(F.col("file_path") == path), single, roots, removals=True)
+    below = diff_snapshot(stored, partial_scan(scan, path), [path], removals=False)
+    return file.unionByName(below).where(F.col("action") != "kept")
+
+
 def deindex_slugs(stored: DataFrame, slugs: DataFrame) -> DataFrame:
     """Drop local rows whose slug is in ``slugs(slug)`` (a key batch)."""
-    hit = stored.join(slugs.select("slug").distinct(), on="slug", how="left_semi").where(F.col("source") == LOCAL)
-    return stored.join(hit.select("id", "slug"), on=["id", "slug"], how="left_anti")
+    keys = slugs.select(F.col("slug").alias("_key")).distinct()
+    return stored.join(keys, (F.col("slug") == F.col("_key")) & (F.col("source") == LOCAL), how="left_anti")
 
 
 def like_prefix(path: Column, prefix: str) -> Column:
@@ -152,6 +166,23 @@ def deindex_prefixes(stored: DataFrame, prefixes: list[str]) -> DataFrame:
     return stored.where(~(hit & (F.col("source") == LOCAL)) | F.col("file_path").isNull())
 
 
+def deindex(stored: DataFrame, slugs: DataFrame | None = None,
+            prefixes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """U5+U6 together: ``(rows that stay, removed(slug))``; slugs win over prefixes, neither removes nothing."""
+    if slugs is not None:
+        stay = deindex_slugs(stored, slugs)
+        gone = stored.where(F.col("source") == LOCAL).join(slugs.select("slug").distinct(), on="slug", how="left_semi")
+    elif prefixes:
+        stay = deindex_prefixes(stored, prefixes)
+        hit = F.lit(False)
+        for p in prefixes:
+            hit = hit | like_prefix(F.col("file_path"), p)
+        gone = stored.where(hit & (F.col("source") == LOCAL))
+    else:
+        return stored, stored.select("slug").limit(0)
+    return stay, gone.select("slug")
+
+
 def slug_conflicts(snapshot: DataFrame) -> DataFrame:
     """Slugs carried by more than one path, with the paths counted."""
     return (

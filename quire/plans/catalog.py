@@ -372,7 +372,8 @@ def q_resolve_dependencies(spark, sf_dir):
 
 
 def q_get_concept(spark, sf_dir):
-    return graph.concept_record(fixture_concepts(spark, sf_dir))
+    record = graph.concept_record(fixture_concepts(spark, sf_dir))
+    return record.drop("id", "frontmatter").withColumn("tags", F.to_json("tags"))
 
 
 QUERIES.update(

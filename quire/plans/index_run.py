@@ -34,10 +34,15 @@ def next_slugs(stored: DataFrame, diff: DataFrame) -> DataFrame:
 
 def run_index(files: DataFrame, roots: list[str], snapshot_base: str, now, runs_path: str | None = None,
               removals: bool = True, on_conflict: str = "fail", batch_id: int | None = None,
-              version: int | None = None) -> tuple[str, DataFrame]:
+              version: int | None = None, slugs_path: str | None = None) -> tuple[str, DataFrame]:
     """Mirror ``files(file_path, content)`` found under ``roots`` into a new
-    snapshot version; returns ``(version path, summary DataFrame)``."""
+    snapshot version; returns ``(version path, summary DataFrame)``.
+
+    The run's ``(run_id, action, slug)`` of every added, updated and removed
+    concept is appended to ``slugs_path``, the summary row to ``runs_path``.
+    """
     spark = files.sparkSession
+    run_id = uuid.uuid4().hex
     checkpoint_dir(spark)
     stored = current_or_empty(spark, snapshot_base)
     scan = files.where(paths.scan_keeps(F.col("file_path"), roots))
@@ -47,10 +52,13 @@ def run_index(files: DataFrame, roots: list[str], snapshot_base: str, now, runs_
     path = snapshot.write_snapshot(nxt, snapshot_base, version=version)
     written = spark.read.parquet(path)
     summary = maintain.index_summary(diff, written).select(
-        F.lit(uuid.uuid4().hex).alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"),
+        F.lit(run_id).alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"),
         F.lit(now if isinstance(now, int) else None).cast("long").alias("now"),
         "added", "updated", "removed", "skipped", "total",
     )
+    if slugs_path:
+        changed = diff.where(F.col("action").isin("added", "updated", "removed"))
+        changed.select(F.lit(run_id).alias("run_id"), "action", "slug").write.mode("append").parquet(slugs_path)
     if runs_path:
         summary.write.mode("append").parquet(runs_path)
     return path, summary

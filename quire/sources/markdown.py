@@ -1,25 +1,36 @@
 """S1/S2 on storage: read the Markdown files under a list of roots.
 
-One ``binaryFile`` scan over the existing roots lists and reads the files in
-parallel.  The walk rules of ``functions.paths`` are applied to the decoded
-paths afterwards, so the result is the same ``files(file_path, content)``
-DataFrame the fixtures and streams produce.  Spark's file index drops names
-starting with '_' or '.', which the walk would keep; such files need another
-listing (or the streaming source) to be indexed.
+Roots on a mounted file system (``file:``) are walked by tasks, one level of
+directories per job, and their files are read by tasks too: the driver holds
+no listing, and the walk's own rules decide which names count.  Directories that
+the walk skips are never opened.
+
+Roots in other stores are listed by Spark's ``binaryFile`` source, which leaves
+out names that start with '_' or '.'; to index those, mount the store.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import paths
+from quire.schema import SKIP_DIR_NAMES
+from quire.session import materialize
+
+FILES_DDL = "file_path string, content string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _qualified(spark: SparkSession, path: str) -> str | None:
+    """The root with its scheme, or None where it does not exist."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toString() if fs.exists(p) else None
 
 
 def decoded_path(uri):
@@ -27,20 +38,65 @@ def decoded_path(uri):
     return F.url_decode(F.replace(F.regexp_replace(uri, "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
 
 
+def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The Markdown files and walkable directories directly inside each directory."""
+    for pdf in batches:
+        for top in pdf["path"]:
+            found = []
+            with os.scandir(top) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        if not e.name.startswith(".") and e.name not in SKIP_DIR_NAMES:
+                            found.append((e.path, True))
+                    elif e.is_file(follow_symlinks=False) and e.name.endswith(".md"):
+                        found.append((e.path, False))
+            yield pd.DataFrame(found, columns=["path", "is_dir"]).astype({"is_dir": bool})
+
+
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path in pdf["path"]:
+            with open(path, "rb") as f:  # one file at a time: memory is bounded by the largest
+                yield pd.DataFrame({"file_path": [path], "content": [f.read().decode("utf-8", "replace")]})
+
+
+def walk_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """``files(path)`` below mounted roots; a root that is a file is itself."""
+    found = [spark.createDataFrame([(r,) for r in roots if paths.is_file_root(r)], "path string")]
+    level = spark.createDataFrame([(r,) for r in roots if not paths.is_file_root(r)], "path string")
+    while not level.isEmpty():
+        # Dealt by path: listing is latency, so a level's directories spread over all tasks.
+        inside = level.repartition("path").mapInPandas(_list_level, "path string, is_dir boolean")
+        inside = materialize(inside, "walk")
+        found.append(inside.where("not is_dir").select("path"))
+        level = inside.where("is_dir").select("path")
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()
+
+
 def read_markdown(spark: SparkSession, roots: list[str]) -> DataFrame:
     """``files(file_path, content)`` for every file the roots' walk finds.
 
     Missing roots are skipped; a root that is a file is read as is.
     """
-    existing = [r for r in roots if _exists(spark, r)]
-    schema = "file_path string, content string"
-    if not existing:
-        return spark.createDataFrame([], schema)
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
-        .load(existing)
-    )
-    files = raw.select(decoded_path(F.col("path")).alias("file_path"), F.decode("content", "UTF-8").alias("content"))
-    return files.where(paths.scan_keeps(F.col("file_path"), roots))
+    known = {r: q for r in roots if (q := _qualified(spark, r))}
+    local = [r for r, q in known.items() if q.startswith("file:")]
+    remote = [r for r in known if r not in local]
+    files = spark.createDataFrame([], FILES_DDL)
+    if local:
+        plain = [r.removeprefix("file://").removeprefix("file:") for r in local]
+        listed = walk_files(spark, [p if paths.is_file_root(p) else p.rstrip("/") or "/" for p in plain])
+        listed = listed.where(paths.scan_keeps(F.col("path"), plain))
+        files = files.union(listed.repartition("path").mapInPandas(_read_files, FILES_DDL))
+    if remote:
+        raw = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.md")
+            .load(remote)
+        )
+        found = raw.select(decoded_path(F.col("path")).alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+        files = files.union(found.where(paths.scan_keeps(F.col("file_path"), remote)))
+    return files

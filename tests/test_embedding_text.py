@@ -79,3 +79,9 @@ def test_text_helpers(spark):
     ).collect()
     assert r[0].n == 3 and r[0].k == 2 and r[0].s == "line1 line2"
     assert r[1].n == 10 and r[1].s == "Desc"
+
+
+def test_snippet_counts_utf16_units(spark):
+    rows = [("😀" * 300,), ("a" + "😀" * 300,), ("é" * 300,), ("x" * 199 + "😀",), (None,)]
+    got = [r.s for r in spark.createDataFrame(rows, "b string").select(snippet(F.lit(""), F.col("b")).alias("s")).collect()]
+    assert got == ["😀" * 100, "a" + "😀" * 99, "é" * 200, "x" * 199, ""]

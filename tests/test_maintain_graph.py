@@ -108,3 +108,54 @@ def test_deep_page_equals_take_ordered(spark):
     want = [r.slug for r in df.orderBy(*order).offset(1234).limit(300).collect()]
     got = browse.deep_page(df, order, 1234, 300)
     assert [r.slug for r in got.orderBy(*order).collect()] == want
+
+
+def test_graph_by_key(spark):
+    rows = [
+        ("/kb/a.md", "---\ntitle: A\ndescription: first\ndependencies: [kb/b]\n---\nbody of a"),
+        ("/kb/b.md", "---\ntitle: B\ndependencies: [kb/c, ghost]\n---\n"),
+        ("/kb/c.md", "---\ntitle: C\n---\n"),
+        ("/kb/d.md", "---\ntitle: D\ndependencies: [kb/a]\n---\n"),
+    ]
+    concepts = parse_files(files_df(spark, rows), ["/kb"], now=0, with_embedding=False)
+    key = spark.createDataFrame([("kb/a",), ("kb/a",), ("missing",)], "slug string")
+    reached = {(r.root, r.slug, r.depth) for r in graph.resolve_dependencies(concepts, roots=key).collect()}
+    assert reached == {("kb/a", "kb/b", 1), ("kb/a", "kb/c", 2)}
+    deps = {(r.slug, r.relation, r.other_slug, r.title) for r in graph.get_deps(concepts, key).collect()}
+    assert deps == {("kb/a", "dependency", "kb/b", "B"), ("kb/a", "dependent", "kb/d", "D")}
+    record = graph.concept_record(concepts, key, resolve=True).collect()
+    assert {(r.slug, r.relation, r.other_slug, r.title) for r in record} == {
+        ("kb/a", "self", "kb/a", "A"), ("kb/a", "dependency", "kb/b", "B"),
+        ("kb/a", "resolved", "kb/b", "B"), ("kb/a", "resolved", "kb/c", "C")}
+    me = next(r for r in record if r.relation == "self")
+    assert (me.body, me.description, me.body_length, me.approx_tokens, me.source) == ("body of a", "first", 9, 2, "local")
+
+
+def test_path_diff_and_deindex(spark):
+    from quire.operators import maintain
+
+    roots = ["/kb"]
+    old = [("/kb/a.md", "1"), ("/kb/gone.md", "2"), ("/kb/n/x.md", "3"), ("/kb/n/y.md", "4")]
+    stored = parse_files(files_df(spark, old), roots, now=0, with_embedding=False).withColumn(
+        "last_synced_at", F.lit(None).cast("long"))
+    scan = files_df(spark, [("/kb/a.md", "new"), ("/kb/n/x.md", "3"), ("/kb/n/z.md", "5"), ("/kb/README.md", "r")])
+
+    def actions(path):
+        return {(r.file_path, r.action) for r in maintain.path_diff(stored, scan, path, roots).collect()}
+
+    assert actions("/kb/a.md") == {("/kb/a.md", "updated")}
+    assert actions("/kb/README.md") == {("/kb/README.md", "added")}
+    assert actions("/kb/gone.md") == {("/kb/gone.md", "removed")}
+    assert actions("/kb/n/") == {("/kb/n/x.md", "skipped"), ("/kb/n/z.md", "added")}
+    assert actions("/kb/never.md") == set()
+
+    def left(**how):
+        stay, gone = maintain.deindex(stored, **how)
+        return sorted(r.slug for r in stay.collect()), sorted(r.slug for r in gone.collect())
+
+    slugs = sorted(r.slug for r in stored.collect())
+    key = spark.createDataFrame([(slugs[0],)], "slug string")
+    assert left() == (slugs, [])
+    assert left(slugs=key, prefixes=["/kb/"]) == (slugs[1:], slugs[:1])
+    stay, gone = left(prefixes=["/KB/n/"])
+    assert len(stay) == 2 and len(gone) == 2

@@ -99,3 +99,23 @@ def test_index_a_real_tree_then_edit_it(spark, tmp_path):
     assert set(rows) == {"agents/helper", "agents/new"}
     assert rows["agents/helper"].status == "stable" and rows["agents/helper"].created_at == 1
     assert rows["agents/helper"].updated_at == 2 and rows["agents/helper"].type == "agent"
+
+
+def test_walk_keeps_hidden_files_and_underscore_names(spark, tmp_path):
+    from quire.plans import index_run
+    from quire.sources.markdown import read_markdown
+
+    root = tmp_path / "kb"
+    for name in ("a.md", "_b.md", ".c.md", "_drafts/d.md", "sub/deep/e.md", ".git/x.md", "node_modules/y.md",
+                 "sub/node_modules/z.md", "sub/CHANGELOG.md", "100%25.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    roots = [str(root)]
+    found = {r.file_path.removeprefix(f"{root}/"): r.content for r in read_markdown(spark, roots).collect()}
+    want = ["a.md", "_b.md", ".c.md", "_drafts/d.md", "sub/deep/e.md", "100%25.md"]
+    assert found == {n: n for n in want}
+    base, slugs = index_run.scratch_base(spark, "t-hidden"), index_run.scratch_base(spark, "t-slugs")
+    index_run.run_index(read_markdown(spark, roots), roots, base, now=1, slugs_path=slugs)
+    _, again = index_run.run_index(read_markdown(spark, roots), roots, base, now=2, slugs_path=slugs)
+    assert (again.first().removed, again.first().total) == (0, 6)
+    assert sorted(r.action for r in spark.read.parquet(slugs).collect()) == ["added"] * 6

@@ -43,6 +43,7 @@ def test_rules_priority_and_containment():
     assert say("Licensed under CC BY-NC 4.0.") == "cc-by,cc-by-nc-4.0"
     assert say("the GNU Lesser General Public License, version 2.1") == "lgpl-2.1"
     assert say("All rights\n reserved.") == "proprietary" and say("mit der Bahn, gnus und Apachen") == ""
+    assert say("MIT \n  License") == "mit" and say("under cc - by") == "cc-by" and say("ISC\nLicence") == "isc"
     full, mention = (L.scan_text(t)[6] for t in ("Released under the MIT License.", "the MIT License"))
     assert 0.5 < mention < full <= 1 and L.scan_text("nothing here")[6] == 0
 

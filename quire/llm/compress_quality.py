@@ -14,7 +14,7 @@ what is scored: every text is scored whole.
 
 Defined results: an empty or null text gets the calibrated score of an empty
 text (rates 1, difference 0); duplicate labels of a document count once, the
-smaller; with labels of one class only every text
+smaller, and its repeated rows are one row of the sample; with labels of one class only every text
 gets that class, without any a score of 0.5;
 null ids are scored and count as not held out; repeated rows are scored alike; an empty
 table gives no rows; other columns are kept by ``score``.
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import materialize, table
 
 ACCEPT = 0.7
 
@@ -131,18 +131,24 @@ def held_out(ident: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, longest: int = 16 << 10, **options) -> Model:
     """A model from the labelled documents that are not held out."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & (F.octet_length("text") <= longest)
-                                               & (F.octet_length("text") > 0)).join(known, "doc_id")
-    rows = rows.where("_quality in (0, 1)")
+    text = F.xxhash64("text").alias("_text")
+    near = ~held_out(F.col("doc_id")) & (F.octet_length("text") <= longest) & (F.octet_length("text") > 0)
+    # Ids and hashes alone are joined with the labels; texts are read again for the sample only.
+    rows = docs.where(near).select("doc_id", text).join(known, "doc_id").where("_quality in (0, 1)").distinct()
+    rows = materialize(rows, "labelled")
     counts = {r["_quality"]: r["count"] for r in rows.groupBy("_quality").count().collect()}
-    sides, grain = [], 1 << 40
+    grain, picks = 1 << 40, []
     for value in (1, 0):
-        side = rows.where(F.col("_quality") == value)
         # Rows with a small hash, about half as many again as are taken: no task sends a whole sample.
         share = min(1.0, 3.0 * per_class / max(counts.get(value, 0), 1))
         order = F.pmod(F.xxhash64("doc_id"), F.lit(grain))
-        side = side.where(order <= int(share * grain)).orderBy(order, "doc_id", "text").limit(2 * per_class)
-        sides.append([r.text.encode() for r in side.select("text").collect()])
+        side = rows.where((F.col("_quality") == value) & (order <= int(share * grain)))
+        picks.append(side.orderBy(order, "doc_id", "_text").limit(2 * per_class).withColumn("_order", order))
+    picked = picks[0].union(picks[1])  # at most 4 * per_class narrow rows, so it may be broadcast
+    texts = docs.where(near).select("doc_id", text, "text").join(F.broadcast(picked), ["doc_id", "_text"])
+    texts = texts.groupBy("_quality", "_order", "doc_id", "_text").agg(F.min("text").alias("text")).collect()
+    texts.sort(key=lambda r: (r["_order"], r.doc_id, r["_text"]))
+    sides = [[r.text.encode() for r in texts if r["_quality"] == value] for value in (1, 0)]
     return fit(*sides, counts=(counts.get(1, 0), counts.get(0, 0)), **options)
 
 

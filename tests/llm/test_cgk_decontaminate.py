@@ -65,6 +65,23 @@ def test_recall_at_the_permitted_edits(share, least):
     assert hit >= least * seen, (hit, seen)
 
 
+@pytest.mark.parametrize("n", [65, 250, 500, 1000])
+def test_recall_of_long_items_at_the_permitted_edits(n):
+    rng = random.Random(n)
+    vocabulary = [f"v{i}" for i in range(3000)] + ["the", "of", "and"] * 500
+    items = [[rng.choice(vocabulary) for _ in range(n)] for _ in range(20)]
+    index = C.build_index([(i, " ".join(w)) for i, w in enumerate(items)])
+    hit = 0
+    for i, item in enumerate(items):
+        w = edit(rng, item, C.edits(n, 0.8), vocabulary)
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))] + w + [rng.choice(vocabulary) for _ in range(30)]
+        found = C.word_hashes(" ".join(text).encode(), C.ALNUM)[2]
+        got = [g for g in C.search(np.zeros(len(found), np.int64), found, index) if index.ids[g[1]] == i]
+        # the span of fewest edits, wherever in the item the pieces were found
+        hit += bool(got) and min(g[2] for g in got) == C.best_span(index.words[i], found)[0]
+    assert hit >= 0.95 * len(items), hit
+
+
 def test_leaks_equal_brute_force_on_documents(spark):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").where("n_chars < 1500")
     benchmark = spark.read.parquet(f"{SF0001}/benchmark.parquet")

@@ -1,7 +1,8 @@
 """Benchmark decontamination by CGK embedding (operator 2).
 
 Items and documents are sequences of lower-cased words (runs of ASCII letters,
-digits and non-ASCII characters).  A document leaks an item of ``n`` words if some
+digits and non-ASCII characters; in scripts written without spaces every character is a word,
+and full-width punctuation is none).  A document leaks an item of ``n`` words if some
 of its consecutive words are within ``k = floor((1 - similarity) * n)`` word edits
 of the item.
 
@@ -23,14 +24,17 @@ The defaults reach a recall of 0.99 and more at half the permitted edits and 0.9
 all of them, for items of 8 to 1000 words (tests).  The documents are read once per block of ``block_items`` items;
 only one block's index is shipped at a time, and no document is shuffled.
 
-Defined results: null or empty texts and documents match nothing; items of fewer
-than ``min_words`` words are left out, as they are too short to show a leak; null ids are
+Items of fewer than ``min_words`` words that permit no edit are too short for keys; they are found exactly,
+as whole word sequences.
+
+Defined results: null or empty texts and documents match nothing; null ids are
 values of their own; repeated documents or items give one row per pair of ids;
 empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +48,18 @@ from quire.llm.common import ALNUM, mix64, parts_for, table, word_hashes, words_
 _RNG = np.random.default_rng(2)
 _ODD = _RNG.integers(1, 1 << 63, 1 << 14, dtype=np.uint64) | np.uint64(1)
 _PAIR = _ODD[:2]
+# Han, kana, Bopomofo, Thai, Lao, Tibetan, Myanmar and Khmer: no spaces between words.
+_SPACELESS = re.compile("([\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3041-\u312f\u31a0-\u31bf"
+                        "\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff])")
+_WIDE_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
+def spaced(text: str | None) -> bytes:
+    """The text in lower case with white space around the characters of scripts without spaces."""
+    text = text or ""
+    if not text.isascii():
+        text = _SPACELESS.sub(r" \1 ", _WIDE_MARKS.sub(" ", text))
+    return text.encode().lower()
 
 
 def pair_hashes(words: np.ndarray) -> np.ndarray:
@@ -81,6 +97,16 @@ class Index:
     walks: int
     samples: int
     width: int
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # number of words -> (sorted sequence hashes, item of each)
+
+
+def sequence_hashes(line: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the ``n`` words from every place of a line."""
+    out = np.full(len(line) - n + 1, n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = mix64(out * _PAIR[0] + line[j : len(line) - n + 1 + j])
+    return out
 
 
 def walk_keys(words: np.ndarray, starts: np.ndarray, floor: int, index: Index) -> Iterator[np.ndarray]:
@@ -108,23 +134,31 @@ def build_index(items: list[tuple], similarity: float = 0.8, walks: int = 8, sam
                 min_words: int = 5, piece_words: int = 48) -> Index:
     ids, words = [], []
     for ident, text in items:
-        w = word_hashes((text or "").encode().lower(), ALNUM)[2]
-        if len(w) >= min_words:
+        w = word_hashes(spaced(text), ALNUM)[2]
+        if len(w):
             ids.append(ident)
             words.append(w)
+    # items without a permitted edit that are too short for keys
+    brief = [len(w) < min_words and edits(len(w), similarity) == 0 for w in words]
+    short = {}
+    for n in sorted({len(w) for w, b in zip(words, brief) if b}):
+        own = np.array([i for i, w in enumerate(words) if brief[i] and len(w) == n])
+        hashes = np.concatenate([sequence_hashes(words[i], n) for i in own])
+        order = np.argsort(hashes, kind="stable")
+        short[n] = (hashes[order], own[order])
     # up to a third above piece_words an item stays whole, so that pieces are never short
-    counts = [1 if len(w) <= piece_words * 4 // 3 else -(-len(w) // piece_words) for w in words]
-    cuts = [np.arange(c + 1) * len(w) // c for w, c in zip(words, counts)]
+    counts = [0 if b else 1 if len(w) <= piece_words * 4 // 3 else -(-len(w) // piece_words) for w, b in zip(words, brief)]
+    cuts = [np.arange(c + 1) * len(w) // max(c, 1) for w, c in zip(words, counts)]
     pieces = [w[a:b] for w, cut in zip(words, cuts) for a, b in zip(cut[:-1], cut[1:])]
     slack = [edits(len(w), similarity) + (edits(b - a, similarity) if c > 1 else 0)
              for w, c, cut in zip(words, counts, cuts) for a, b in zip(cut[:-1], cut[1:])]
     index = Index(ids, words, {}, np.empty(0, np.uint64), np.zeros(1 << 20, bool), np.empty(0, np.uint64),
                   np.empty(0, np.int64), np.repeat(np.arange(len(words)), np.array(counts, np.int64)),
                   np.concatenate([np.empty(0, np.int64), *(cut[:-1] for cut in cuts)]), np.array(slack, np.int64),
-                  similarity, walks, samples, width)
-    if not ids:
+                  similarity, walks, samples, width, short)
+    if not pieces:
         return index
-    index.pairs = np.unique(np.concatenate([pair_hashes(w) for w in words]))
+    index.pairs = np.unique(np.concatenate([pair_hashes(w) for w, b in zip(words, brief) if not b]))
     index.sieve[(index.pairs >> np.uint64(44)).astype(np.int64)] = True
     floors = np.array([class_floor(len(w)) for w in pieces])
     keys, owner = [], []
@@ -172,7 +206,7 @@ def search(doc: np.ndarray, words: np.ndarray, index: Index) -> list[tuple[int,
     ``doc``: the ascending document number of each word; places count from the document's first word.
     Documents are searched together, with a word that is none between them, at which walks stop.
     """
-    if not len(words) or not len(index.keys):
+    if not len(words) or not (len(index.keys) or index.short):
         return []
     new = np.concatenate([[True], doc[1:] != doc[:-1]])
     at = np.arange(len(words)) + np.cumsum(new) - 1
@@ -205,6 +239,17 @@ def search(doc: np.ndarray, words: np.ndarray, index: Index) -> list[tuple[int,
                         begin = start - int(index.piece_at[piece])
                         spots[begin] = max(spots.get(begin, 0), int(index.piece_slack[piece]))
     out = []
+    for n, (hashes, items) in index.short.items():
+        if len(line) < n:
+            continue
+        key = sequence_hashes(line, n)
+        first = np.searchsorted(hashes, key)
+        met = np.flatnonzero(hashes[np.minimum(first, len(hashes) - 1)] == key)
+        owns = np.searchsorted(begins, met, "right") - 1
+        for at_hash, last, own, start in zip(first[met].tolist(), np.searchsorted(hashes, key[met], "right").tolist(), owns, met):
+            for item in items[at_hash:last].tolist():
+                if np.array_equal(index.words[item], line[start : start + n]):
+                    out.append((int(names[own]), item, 0, int(start - begins[own]), int(start + n - begins[own])))
     for (own, item), spots in found.items():
         target = index.words[item]
         n, k = len(target), edits(len(target), index.similarity)
@@ -238,7 +283,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, b
         def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             index = shipped.value
             for pdf in batches:
-                texts, idents = [(t or "").encode().lower() for t in pdf["text"]], pdf["doc_id"].to_numpy(object)
+                texts, idents = [spaced(t) for t in pdf["text"]], pdf["doc_id"].to_numpy(object)
                 out = []
                 for a, _, doc, words in words_of_many(texts, ALNUM):
                     for d, item, cost, first, end in search(doc, words, index):

@@ -111,3 +111,14 @@ def test_blocks_repeats_nulls_and_clashing_columns(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert C.find_leaks(df, none).collect() == []
     assert C.find_leaks(spark.createDataFrame([], "doc_id long, text string"), bm).collect() == []
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    long_cn = "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f\u662f\u5317\u4eac\uff0c\u4e0d\u662f\u4e0a\u6d77\u3002"
+    docs = [(1, "x the Answer, is y the answer is"), (2, "the answers is"), (3, "q" + long_cn + "z"),
+            (4, "\u4ed6\u8bf4" + long_cn.replace("\u54ea\u91cc", "\u54ea\u513f").replace("\uff0c", "") + "\u597d\u7684"),
+            (5, "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e\u0e2f"), (6, "the answer"), (7, "is the"), (8, "answer")]
+    bench = [(10, "The answer is"), (11, long_cn), (12, "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e"), (13, "?!"), (14, "\u5317\u4eac")]
+    got = C.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.edits, r.first_word, r.n_words, r.n_spans) for r in got.collect()} == {
+        (1, 10, 0, 1, 3, 2), (3, 11, 0, 1, 15, 1), (4, 11, 1, 2, 15, 1), (5, 12, 0, 0, 7, 1), (3, 14, 0, 10, 2, 1), (4, 14, 0, 11, 2, 1)}

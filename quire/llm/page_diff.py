@@ -37,7 +37,7 @@ from quire.llm.common import materialize, table
 
 # Elements without readable text, chrome elements, elements that end a block, elements without an end.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "textarea", "select",
-          "button", "math", "audio", "video"}
+          "button", "annotation", "annotation-xml", "audio", "video"}
 CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 MAIN = {"article", "main"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt",
@@ -46,6 +46,8 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title"}
+# What may stand in a head; any other element, and any text, ends it.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "script", "style", "template", "head", "object"}
 # Words of class, id and role values that mark chrome.
 CHROME_WORDS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "header", "masthead", "banner",
@@ -99,6 +101,8 @@ def page_lines(source: str) -> list[tuple[str, int]]:
         lt = source.find("<", at)
         if lt < 0:
             lt = size
+        if lt > at and stack and stack[-1][0] == "head" and not source[at:lt].isspace():
+            stack.pop()
         if lt > at and not (stack and stack[-1][1]):
             text.append(source[at:lt])
         if lt == size:
@@ -121,6 +125,11 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                     del stack[k:]
                     break
             continue
+        if tag not in HEAD and stack and (stack[-1][0] == "head" or tag == "body"):
+            for k, entry in enumerate(stack):
+                if entry[0] == "head":
+                    del stack[k:]
+                    break
         if tag == "br":
             text.append(" ")
             continue

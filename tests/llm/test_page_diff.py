@@ -76,3 +76,13 @@ def test_very_long_pages():
     at = P.common(lines, other)
     assert len(at) >= 5500 and [lines[i] for i in at] == [x for x in (lines[i] for i in at)]
     assert len(P.page_lines("<p>" + "word " * 400_000 + "<p>b<c" + "<" * 2000)) >= 2
+
+
+def test_a_head_without_its_end_and_formulas():
+    kept = lambda page: [x for x, k in P.page_lines(page) if k != P.CHROME_LINE]
+    start = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><script>1</script>"
+    assert kept(start + "<body><p>one<p>two") == ["one", "two"]
+    assert kept(start + "<div><p>one</div>two") == ["one", "two"] and kept(start + " bare text<p>one") == ["bare text", "one"]
+    assert kept("<head><title>T</title><link rel=x></head><body>a") == ["a"] and kept("<head><title>T") == []
+    formula = "<math><semantics><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='t'>E=m</annotation></semantics></math>"
+    assert kept(f"<article><p>so {formula} holds</article>") == ["so E=m holds"]

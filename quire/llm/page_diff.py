@@ -2,7 +2,8 @@
 
 A page is cut into blocks of text (its lines).  Lines inside menus, page headers,
 footers, sidebars, notices, adverts, forms, reader comments and other non-text elements are
-marked as chrome by their element, class or id.  What markup does not tell
+marked as chrome by their element, class or id, unless the element so marked wraps the page's
+``article`` or ``main``, or most of the text of a page (or article) without any outside it.  What markup does not tell
 is told by the nearest page: pages of a host are ordered by URL path, each is paired with
 the neighbour that shares the longer path prefix, the lines of both are aligned by
 longest common subsequence, and aligned (shared) lines are template text and are deleted.
@@ -62,38 +63,102 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+# A class that says which parts the page has, as in has-header or no-sidebar, is no mark.
+ABOUT = {"has", "no", "with", "without"}
+READERS = {"comment", "comments", "respond", "disqus", "replies"}
 CHROME_LINE, OPEN_LINE, MAIN_LINE = 0, 1, 2
+NONE, WEAK, STRONG = 0, 1, 2
 
 
-def is_chrome(tag: str, rest: str, in_main: bool) -> bool:
+def chrome_mark(tag: str, rest: str, in_main: bool) -> int:
+    """How surely an element is chrome: WEAK marks are also found on wrappers of whole pages."""
     if tag in CHROME and not (tag == "header" and in_main):
-        return True
+        return WEAK if tag in ("form", "header") else STRONG
     if tag in ("html", "body") or tag in MAIN or not rest:
-        return False
+        return NONE
+    mark = NONE
     for name, a, b, c in _ATTR.findall(rest):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return STRONG
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif not (in_main and tag in ("h1", "h2", "h3", "header")) and CHROME_WORDS.intersection(_WORDS.findall(value)):
-            return True
-    return False
+                return STRONG
+        elif not (in_main and tag in ("h1", "h2", "h3", "header")):
+            for one in value.split():
+                words = _WORDS.findall(one)
+                if words and words[0] not in ABOUT and CHROME_WORDS.intersection(words):
+                    mark = max(mark, STRONG if in_main and READERS.intersection(words) else WEAK)
+    return mark
+
+
+def line_kinds(parent: list[int], tags: list[str], marks: list[int], lines: list[tuple[str, int]]) -> list[int]:
+    """The kind of every line, given its element, and each element's parent (before it; -1: none), tag and mark.
+
+    Marks of wrappers are taken off first, from the outside in.
+    """
+    size = len(parent)
+    chars, told = [0] * size, [0] * size  # characters in an element, and of them in article or main
+    bare = [0] * size  # characters in an element outside marked ones in it
+    has_main, within, chrome = [False] * size, [-1] * size, [False] * size
+    total = free = 0  # characters of the page, and of them outside chrome as marked
+    for text, e in lines:
+        total += len(text)
+        if e >= 0:
+            chars[e] += len(text)
+            bare[e] += len(text)
+        else:
+            free += len(text)
+    all_told = 0
+    for e in range(size - 1, -1, -1):
+        if tags[e] in MAIN:
+            told[e] = chars[e]
+            has_main[e] |= tags[e] == "main" and chars[e] > 0
+        shown = 0 if marks[e] else bare[e]
+        if (up := parent[e]) >= 0:
+            chars[up] += chars[e]
+            told[up] += told[e]
+            bare[up] += shown
+            has_main[up] |= has_main[e]
+        else:
+            free += shown
+            all_told += told[e]
+    for e in range(size):
+        up = parent[e]
+        if up >= 0:  # the article or main that holds the element
+            within[e] = up if tags[up] in MAIN else within[up]
+        hidden = up >= 0 and chrome[up]
+        keeps = marks[e] == NONE
+        if not keeps and not hidden:
+            if within[e] >= 0:
+                keeps = marks[e] == WEAK and 2 * chars[e] > chars[within[e]]
+            elif has_main[e]:
+                keeps = True
+            elif told[e] and 2 * told[e] >= all_told:
+                keeps = told[e] > free
+            else:
+                keeps = marks[e] == WEAK and told[e] == all_told and 2 * chars[e] > total
+            if keeps:
+                free += bare[e]
+        chrome[e] = hidden or not keeps
+    return [OPEN_LINE if e < 0 else CHROME_LINE if chrome[e] else MAIN_LINE if tags[e] in MAIN or within[e] >= 0 else OPEN_LINE
+            for _, e in lines]
 
 
 def page_lines(source: str) -> list[tuple[str, int]]:
     """(text, kind) of every block of a page in order."""
-    lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, chrome, main: of the element and what holds it
+    lines: list[tuple[str, int]] = []  # text and element
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, silent and main (of the element and what holds it), element
+    parent: list[int] = []
+    tags: list[str] = []
+    marks: list[int] = []
     text: list[str] = []
 
     def flush() -> None:
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                _, _, chrome, main = stack[-1] if stack else ("", False, False, False)
-                lines.append((joined, CHROME_LINE if chrome else MAIN_LINE if main else OPEN_LINE))
+                lines.append((joined, stack[-1][3] if stack else -1))
             text.clear()
 
     at, size = 0, len(source)
@@ -139,14 +204,16 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                 _close_implied(stack, tag)
         if tag in VOID or m["rest"].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        _, silent, chrome, main = stack[-1] if stack else ("", False, False, False)
-        chrome = chrome or is_chrome(tag, m["rest"], main)
-        stack.append((tag, silent or tag in SILENT, chrome, main or tag in MAIN))
+        _, silent, main, up = stack[-1] if stack else ("", False, False, -1)
+        parent.append(up)
+        tags.append(tag)
+        marks.append(chrome_mark(tag, m["rest"], main))
+        stack.append((tag, silent or tag in SILENT, main or tag in MAIN, len(tags) - 1))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(source, at)
             at = end.start() if end else size
     flush()
-    return lines
+    return [(x, kind) for (x, _), kind in zip(lines, line_kinds(parent, tags, marks, lines))]
 
 
 def _close_implied(stack: list, tag: str) -> None:

@@ -86,3 +86,21 @@ def test_a_head_without_its_end_and_formulas():
     assert kept("<head><title>T</title><link rel=x></head><body>a") == ["a"] and kept("<head><title>T") == []
     formula = "<math><semantics><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='t'>E=m</annotation></semantics></math>"
     assert kept(f"<article><p>so {formula} holds</article>") == ["so E=m holds"]
+
+
+def test_chrome_words_on_wrappers_do_not_drop_the_page():
+    kept = lambda page: [x for x, k in P.page_lines(page) if k != P.CHROME_LINE]
+    article = "<nav>menu</nav><article><h1>Title</h1><p>long text of it</p></article><aside><article>teaser</article></aside>"
+    for wrap in ('<div class="site-content sidebar-right">', '<div class="no-sidebar">', '<div id="page" class="has-header">',
+                 '<form action="/">', '<div style="visibility: hidden">', '<div class="widget"><div role="form">'):
+        got = P.page_lines(f"<body>{wrap}{article}</div></form><footer>foot</footer>")
+        assert [x for x, k in got if k == P.MAIN_LINE] == ["Title", "long text of it"], wrap
+        assert [x for x, k in got if k == P.CHROME_LINE] == ["menu", "teaser", "foot"], wrap
+        plain = f"<body><p>top</p>{wrap.replace('style', 'id')}<p>a long text without an article</p><div class=share>s</div></div>"
+        assert P.page_lines(plain)[1] == ("a long text without an article", P.OPEN_LINE), wrap
+    # inside an article: the wrapper of most of it, but not its readers' comments
+    assert kept("<main><h1>T</h1><div class='content sidebar-left'><p>all the words of it</p></div></main>") == ["T", "all the words of it"]
+    assert kept("<article><p>short</p><div class=comments><article>a much longer remark</article></div></article>") == ["short"]
+    # teasers are not the page, whatever their element
+    assert kept("<p>the text of the page itself</p><div class=related><article>a teaser</article></div>") == ["the text of the page itself"]
+    assert kept("<div class=widget>" * 3000 + "<p>deep") == ["deep"]

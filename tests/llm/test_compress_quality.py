@@ -50,3 +50,27 @@ def test_training_without_labels_or_with_one_class(spark):
     assert C.score(docs, none).first().score == 0.5
     ones = C.train(docs, spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
     assert C.score(docs, ones).first().score > 0.99
+
+
+def test_long_texts_are_judged_as_well_as_short_ones(spark, scored):
+    _, model, docs, labels = scored
+    kinds = labels.groupBy("doc_id").agg(C.F.min("quality").alias("quality"))
+    rows = docs.join(kinds, "doc_id").where("quality in (0, 1) and text != ''").select("doc_id", "quality", "text").toPandas()
+    rows["held"] = [zlib.crc32(str(d).encode()) % 4 == 2 for d in rows.doc_id]
+    rng, texts, wanted = np.random.default_rng(5), [], []
+    for value in (0, 1):
+        some = rows[rows.held & (rows.quality == value)].text.tolist()
+        for size in (40_000, 200_000, 1_000_000):
+            for _ in range(8):
+                text = ""
+                while len(text) < size:
+                    text += some[rng.integers(len(some))] + "\n\n"
+                texts.append(text)
+                wanted.append(value)
+    got = model.score(C.features([t.encode() for t in texts], model.coders())) >= C.ACCEPT
+    assert (got == np.array(wanted)).all()
+    real = rows[rows.text.map(lambda t: len(t.encode())) > C.BLOCK]
+    right = (model.score(C.features([t.encode() for t in real.text], model.coders())) >= C.ACCEPT) == real.quality
+    assert right.mean() >= 0.95 and len(real) >= 20
+    told = C.error_by_length(C.score(docs, model), labels).collect()
+    assert sum(r.n for r in told) == rows.held.sum() and sum(r.wrong for r in told) <= 0.03 * rows.held.sum()

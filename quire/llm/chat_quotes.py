@@ -1,11 +1,13 @@
 r"""Chat formatting by quotation linking (operator 4).
 
 A line that begins with ``>`` marks is quoted; the number of marks (white space
-between them allowed) is its level.  Every quoted line is normalised (marks
-off, white space to one space, trimmed, lower case) and hashed, and so is every line that a
-message wrote itself.  A quoted line belongs to the message that wrote it first:
-in the same conversation at an earlier turn, else in the whole table.  A message
-replies to the message that owns most of its quoted lines of the lowest level that has
+between them allowed) is its level.  Consecutive lines of one level are a passage, whatever
+empty lines and line breaks it has.  A passage is normalised (marks off, white space to one space,
+trimmed, lower case) and cut into units: its runs of ``WINDOW`` words, its sentences and its lines.  So a
+quote is found if it was wrapped anew or quotes a part, as long as it shares a unit.  The units of quoted
+passages and of what messages wrote themselves are hashed.  A quoted unit belongs to the message that wrote it first:
+in the same conversation at an earlier turn, else in any other conversation.  A message
+replies to the message that owns most of its quoted units of the lowest level that has
 an owner (ties: the earliest); deeper levels are kept as links too.
 
 ``linked_messages`` returns one row per message without its quoted lines and
@@ -26,11 +28,20 @@ place in the tree; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize, running, table
+from quire.llm.common import materialize, mix64, running, table, word_hashes
 
+WINDOW = 6
+_MARKED = re.compile(r"[ \t]*(>[> \t]*)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*")
 MARKS = r"^[ \t]*(>[> \t]*)"
 
 
@@ -57,26 +68,77 @@ def parsed(messages: DataFrame) -> DataFrame:
     return out.withColumn("own", own).drop("_raw")
 
 
+def passages(text: str) -> list[tuple[int, list[str]]]:
+    """(level, normalised lines) of every passage in order; empty lines are left out."""
+    out: list[tuple[int, list[str]]] = []
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        m = _MARKED.match(line)
+        norm = " ".join(line[m.end() if m else 0 :].lower().split())
+        level = m[1].count(">") if m else 0
+        if norm and out and out[-1][0] == level:
+            out[-1][1].append(norm)
+        elif norm:
+            out.append((level, [norm]))
+    return out
+
+
+def unit_hashes(lines: list[str]) -> set[int]:
+    """Hashes of the units of a passage."""
+    whole = " ".join(lines)
+    out = {int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+           for x in {*lines, *_SENTENCE.split(whole)} if x}
+    words = word_hashes(whole.encode())[2]
+    if len(words) >= WINDOW:
+        runs = np.zeros(len(words) - WINDOW + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(WINDOW):
+                runs = mix64(runs * np.uint64(0x9E3779B97F4A7C15) + words[j : len(runs) + j])
+        out.update(runs.view(np.int64).tolist())
+    return out
+
+
+def units(messages: DataFrame, quoted: bool) -> DataFrame:
+    """``conv_id, turn, level, h``: the units a message quotes, or those it wrote itself."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 64):
+                rows, some = [], pdf.iloc[a : a + 64]
+                for i, text in enumerate(some["text"]):
+                    found = {(level, h) for level, lines in passages(text) if (level > 0) == quoted for h in unit_hashes(lines)}
+                    rows += [(i, level, h) for level, h in found]
+                at = np.array([r[0] for r in rows], np.int64)
+                yield pd.DataFrame({
+                    "conv_id": some["conv_id"].astype("Int64").take(at).array, "turn": some["turn"].astype("Int64").take(at).array,
+                    "level": np.array([r[1] for r in rows], np.int32), "h": np.array([r[2] for r in rows], np.int64)})
+
+    some = messages.where("text is not null")
+    if quoted:  # only messages with a mark come to Python
+        some = some.where(F.col("text").rlike(r"(^|[\r\n])[ \t]*>"))
+    return some.select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, level int, h long")
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, level, to_conv, to_turn, n_lines``: quoted lines by the message that wrote them first."""
-    lines = messages.select("conv_id", "turn", F.explode("lines").alias("line")).select(
-        "conv_id", "turn", "line.level", F.xxhash64("line.norm").alias("h"), (F.col("line.norm") != "").alias("full"))
-    lines = lines.where("full").drop("full")
-    quoted = lines.where("level > 0").groupBy("conv_id", "turn", "level", "h").agg(F.count("*").alias("times"))
-    quoted = materialize(quoted, "quoted")
+    """``conv_id, turn, level, to_conv, to_turn, n_units``: quoted units by the message that wrote them first."""
+    # repeated rows of a message quote alike
+    quoted = materialize(units(messages, True).distinct(), "quoted")
+    if quoted.isEmpty():
+        none = [F.lit(None).cast("long").alias(c) for c in ("to_conv", "to_turn", "n_units")]
+        return quoted.select("conv_id", "turn", "level", *none)
     asked = quoted.select("h").distinct()
-    written = lines.where("level = 0 and turn is not null").join(asked, "h", "left_semi")
-    here = written.where("conv_id is not null").groupBy("conv_id", "h").agg(F.min("turn").alias("here"))
-    anywhere = written.where("conv_id is not null").groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = quoted.join(here, ["conv_id", "h"], "left").join(anywhere, "h", "left")
+    written = units(messages.where("turn is not null and conv_id is not null"), False).join(asked, "h", "left_semi")
+    here = materialize(written.groupBy("conv_id", "h").agg(F.min("turn").alias("here")), "written")
+    spot = F.struct("conv_id", F.col("here").alias("turn"))
+    first = here.groupBy("h").agg(F.min(spot).alias("first"))
+    # the earliest writer in another conversation than the first one's, for quotes in that conversation
+    second = here.join(first, "h").where("conv_id != first.conv_id").groupBy("h").agg(F.min(spot).alias("second"))
+    found = quoted.join(here, ["conv_id", "h"], "left").join(first, "h", "left").join(second, "h", "left")
     inside = F.col("here") < F.col("turn")
-    other = F.col("first.conv_id") != F.coalesce("conv_id", F.col("first.conv_id") - 1)
+    outer = F.when(F.col("first.conv_id") == F.col("conv_id"), F.col("second")).otherwise(F.col("first"))
     found = found.select(
-        "conv_id", "turn", "level", "times",
-        F.when(inside, F.col("conv_id")).when(other, F.col("first.conv_id")).alias("to_conv"),
-        F.when(inside, F.col("here")).when(other, F.col("first.turn")).alias("to_turn"))
-    return found.where("to_turn is not null").groupBy("conv_id", "turn", "level", "to_conv", "to_turn").agg(
-        F.sum("times").alias("n_lines"))
+        "conv_id", "turn", "level", F.when(inside, F.struct(F.col("conv_id"), F.col("here").alias("turn"))).otherwise(outer).alias("to"))
+    return found.where("to is not null").groupBy(
+        "conv_id", "turn", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn")).agg(
+        F.count("*").alias("n_units"))
 
 
 def depths(replies: DataFrame) -> DataFrame:
@@ -104,8 +166,8 @@ def linked_messages(messages: DataFrame, part_turns: int = 1024) -> DataFrame:
     """``conv_id, turn, role, text, n_quoted, max_level, reply_to_conv, reply_to_turn, depth, position``."""
     named = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     split = parsed(named)
-    links = materialize(quote_links(split.select("conv_id", "turn", "lines")), "links")
-    best = F.min(F.struct("level", (-F.col("n_lines")).alias("n"), "to_conv", "to_turn")).alias("b")
+    links = materialize(quote_links(named), "links")
+    best = F.min(F.struct("level", (-F.col("n_units")).alias("n"), "to_conv", "to_turn")).alias("b")
     replies = materialize(links.where("turn is not null and conv_id is not null").groupBy("conv_id", "turn").agg(best).select(
         "conv_id", "turn", F.col("b.to_conv").alias("to_conv"), F.col("b.to_turn").alias("to_turn")), "replies")
     deep = depths(replies)

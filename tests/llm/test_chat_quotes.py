@@ -1,3 +1,5 @@
+import random
+import textwrap
 from collections import defaultdict
 
 from quire.llm import chat_quotes as Q
@@ -59,3 +61,35 @@ def test_conversations_without_quotes_stay_as_they_are(spark):
     got = by_key(Q.linked_messages(rows))
     for r in rows.collect():
         assert got[r.conv_id, r.turn].text == r.text.strip() and got[r.conv_id, r.turn].position == r.turn
+
+
+def test_rewrapped_and_partial_quotes_equal_brute_force(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("abcdefghijklmnopqrst") + str(rng.randrange(40)) for _ in range(n)).capitalize() + "."
+    rows, want, texts = [], {}, {}
+    for c in range(12):
+        for t in range(5):
+            own = "\n\n".join(" ".join(say(rng.randint(4, 25)) for _ in range(4)) for _ in range(2))
+            texts[c, t] = own
+            quote = ""
+            if t:
+                to = (c, rng.randrange(t)) if t % 2 or not c else (rng.randrange(c), rng.randrange(5))
+                kind = rng.randrange(3)
+                part = texts[to].split("\n\n")[rng.randrange(2)]
+                if kind == 1:
+                    part = part.split(". ")[1] + "."
+                if kind == 2:
+                    part = " ".join(part.split()[3:15])
+                quote = textwrap.fill(part, rng.choice((30, 72)), initial_indent="> ", subsequent_indent="> ") + "\n"
+                clean = lambda x: " ".join(x.lower().split())
+                holders = sorted(k for k, x in texts.items() if clean(part) in clean(x) and k != (c, t))
+                want[c, t] = min([k for k in holders if k[0] == c] or holders)
+            rows.append((c, t, "u", quote + own))
+    got = by_key(Q.linked_messages(spark.createDataFrame(rows, SCHEMA)))
+    assert {k: (got[k].reply_to_conv, got[k].reply_to_turn) for k in want} == want
+
+
+def test_a_later_turn_of_the_same_conversation_hides_no_other_writer(spark):
+    rows = [(1, 0, "u", "> shared words\nfirst"), (1, 1, "u", "shared words"), (2, 3, "u", "shared words"), (3, 0, "u", "Shared  words")]
+    got = by_key(Q.linked_messages(spark.createDataFrame(rows, SCHEMA)))
+    assert (got[1, 0].reply_to_conv, got[1, 0].reply_to_turn) == (2, 3)

@@ -10,7 +10,8 @@ last return the columns of ``docs``.
 4. mix       documents are repeated or left out so that sources meet their targets
 5. shards    documents get a shard and a gapless slot
 
-Rows that cannot be judged stay: a null ``doc_id`` has no class or leak of its own.
+Stages 2 and 3 judge rows by id and text, so one with a null ``doc_id``, or one of several texts of an id, is
+judged by its own text.  Rows equal in both count once; of a class the smallest id stays, a null id last.
 """
 
 from __future__ import annotations
@@ -31,20 +32,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return compress_quality.score(docs, model, "_score", "_good").where("_good = 1").select(*docs.columns)
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a hash of id and text (not negative)."""
+    return docs.withColumn("_row", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate class, once."""
-    classes = setsketch_dedup.near_duplicates(docs, width=5, percent=80)
-    drop = classes.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    """Keep the row with the smallest id of each near-duplicate class, once."""
+    rows = rows_of(docs)
+    classes = setsketch_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    classes = classes.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    named = rows.select("_row", "doc_id").distinct().join(classes, "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row")).alias("first")
+    keep = named.groupBy("component_id").agg(first).select("first._row")
     # Repeated rows of a document that stays: one of them.
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return rows.join(keep.distinct(), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    found = cgk_decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    found = found.where("doc_id is not null").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_drop"), "left_anti")
+    """Drop rows that hold a benchmark item."""
+    rows = rows_of(docs)
+    found = cgk_decontaminate.find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

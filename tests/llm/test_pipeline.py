@@ -39,3 +39,16 @@ def test_stages_on_an_empty_table(spark):
 def test_module_names_are_those_of_the_query():
     assert [n for n, _ in P.STAGES] == ["quality", "dedup", "leaks", "mix", "shards"]
     assert bin_pack.QUERIES and compress_quality.QUERIES
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = spark.read.parquet(f"{SF0001}/benchmark.parquet").orderBy("item_id").first().text
+    plain = "a row with enough words of its own to have a few shingles to compare with others"
+    other = "wholly different text that stands under the same number as another one does here"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda pairs: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in pairs], schema)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = make([(None, item), (1, plain), (2, other), (2, f"x {item} y"), (None, plain)])
+    assert left(P.leaks(spark, rows, SF0001)) == sorted([(1, plain), (2, other), (None, plain)], key=str)
+    rows = make([(None, plain), (5, plain), (5, plain), (5, other), (4, plain), (None, item), (None, item), (6, None), (7, "")])
+    assert left(P.dedup(spark, rows, SF0001)) == sorted([(4, plain), (5, other), (None, item), (6, None), (7, "")], key=str)

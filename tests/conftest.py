@@ -4,12 +4,10 @@ import tempfile
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-if ROOT not in sys.path:
-    sys.path.insert(0, ROOT)
-
-SF0001 = "/root/testdata/sf0.001"
-SF001 = "/root/testdata/sf0.01"
+HERE = os.path.dirname(os.path.abspath(__file__))
+for folder in (HERE, os.path.dirname(HERE)):
+    if folder not in sys.path:
+        sys.path.insert(0, folder)
 
 
 @pytest.fixture(scope="session")
@@ -33,7 +31,3 @@ def spark():
 
     ship_package(spark)
     yield spark
-
-
-def files_df(spark, rows):
-    return spark.createDataFrame(rows, "file_path string, content string")

@@ -3,7 +3,7 @@
 import duckdb
 
 import __spark_entry__ as E
-from conftest import SF0001
+from support import SF0001
 
 
 def test_entry_runs_on_smallest_tables(spark):

@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import files_df
+from support import files_df
 from quire.functions.frontmatter import parse_yaml_block
 from quire.operators.parse import parse_files
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001, files_df
+from support import SF0001, files_df
 from quire.operators import graph, maintain
 from quire.operators.parse import parse_files
 from quire.plans import index_run

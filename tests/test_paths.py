@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import files_df
+from support import files_df
 from quire.functions import paths
 
 

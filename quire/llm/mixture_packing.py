@@ -22,13 +22,17 @@ Defined results: a null or empty text has the end id alone; bytes that are no UT
 these tokens; a null source is a queue of its own; repeated rows are packed each; ids may be null and of any type; an empty table gives no rows; extra
 columns are ignored.
 
-Words are encoded apart: the tokenizer drops white space between words and joins nothing across it.
+Texts are cut at spaces where needed: the tokenizer drops white space between words and joins nothing across it.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize, running, table
-from quire.llm.tokens import WordIds, json_tokenizer, once, readable
+from quire.llm.tokens import RankedPairs, json_tokenizer, once, ranges, readable, slices, stable
 
 
 # ---------------------------------------------------------------- the schedule
@@ -135,12 +139,58 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 # ---------------------------------------------------------------- the operator
 
-def _encoder(tokenizer: str, kind: str) -> WordIds:
-    def make():
+class WordIds:
+    """Ids of texts under a tokenizer that lower-cases, drops white space and marks the ends of words.
+
+    Texts are cut at spaces and line ends only.  A file with another pipeline is run as it is.
+    """
+
+    SPACES = re.compile("[ \n]")
+
+    def __init__(self, tokenizer: str, most: int = 1 << 20):
         t = json_tokenizer(tokenizer, plain=False)
-        return WordIds(lambda word: t.encode(word, add_special_tokens=False).ids, kind)
+        self.most = most
+        self.whole = lambda text: t.encode(text, add_special_tokens=False).ids
+        pipeline = json.loads(t.to_str())
+        words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        known = ([n.get("type") for n in (pipeline["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+                 and ((pipeline["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern") == {"Regex": words})
+        self.cuts = known
+        self.ranked = RankedPairs(tokenizer, r"[^\x00]+\x00") if known else None
+        if not known or not self.ranked.usable:
+            self.ranked = None
+            return
+        kinds = stable()
+        letters, numbers, spaces = (ranges(kinds[k]) for k in "LNS")
+        # the tokenizer's own pattern over stable characters
+        self.pieces = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+        # what composes, is composed anew, or is lower-cased by its place goes through the file's own pipeline
+        every = {chr(c) for k in kinds.values() for c in k}
+        safe = [c for k in kinds.values() for c in k if c not in (0, 0x3A3) and not 0x1100 <= c < 0x1200 and every.issuperset(chr(c).lower())
+                and unicodedata.category(chr(c))[0] != "M" and unicodedata.normalize("NFC", chr(c)) == chr(c)]
+        special = "|".join(re.escape(a["content"]) for a in pipeline["added_tokens"])
+        self.unsafe = re.compile(f"[^{ranges(sorted(safe))}]" + (f"|{special}" if special else ""))
+
+    def by_rank(self, text: str) -> np.ndarray:
+        found = self.pieces.findall(text.lower())
+        return self.ranked.of("\x00".join(found) + "\x00") if found else np.empty(0, np.int64)
+
+    def of(self, text: str) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for part in slices(text, self.most, self.SPACES) if self.cuts else [text]:
+            if self.ranked is None:
+                out.append(np.array(self.whole(part), np.int64))
+            elif not self.unsafe.search(part):
+                out.append(self.by_rank(part))
+            else:
+                for odd, words in groupby(self.SPACES.split(part), lambda w: bool(self.unsafe.search(w))):
+                    run = " ".join(words)
+                    out.append(np.array(self.whole(run), np.int64) if odd else self.by_rank(run))
+        return out
+
 
-    return once(("words", tokenizer, kind), make)
+def _encoder(tokenizer: str) -> WordIds:
+    return once(("words", tokenizer), lambda: WordIds(tokenizer))
 
 
 def id_kind(tokenizer: str) -> str:
@@ -153,22 +203,23 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, ident: str = "doc_id
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _encoder(tokenizer, width)
-        end = np.array([end_id], width).tobytes()
+        words = _encoder(tokenizer)
+        end = np.array([end_id])
         seen: dict = {}
         part = TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 rows = batch.slice(at, 1000)
-                ids = [words.of(readable(t).replace("\n", " ").split(" ")) + end for t in rows.column(1).to_pylist()]
-                n = [len(i) // len(end) for i in ids]
+                ids = [np.concatenate([*words.of(readable(t)), end]).astype(width) for t in rows.column(1).to_pylist()]
+                n = [len(i) for i in ids]
                 before = []
                 for source, k in zip(rows.column(2).to_pylist(), n):
                     before.append(seen.get(source, 0))
                     seen[source] = before[-1] + k
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(2), pa.array(np.full(len(n), part), pa.int32()), pa.array(before, pa.int64()),
-                     pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["id", "source", "part", "before", "n", "ids"])
+                     pa.array(n, pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
+                    names=["id", "source", "part", "before", "n", "ids"])
 
     rows = docs.select(F.col(ident).alias("id"), F.col("text").cast("binary"), F.col("source").cast("string"))
     return rows.mapInArrow(run, f"id {kind}, source string, part int, before long, n long, ids binary")

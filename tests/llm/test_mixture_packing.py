@@ -146,3 +146,20 @@ def test_whole_table(spark):
             assert zlib.crc32(ids[start : start + length].tobytes()) == crc
     size = out.groupby("sequence_id")["length"].sum().to_numpy()
     assert ((size == 4096) | (size & (size - 1) == 0)).all() and (size == 4096).sum() == size.sum() // 4096
+
+
+def test_every_character_and_special_string_as_the_file_reads_it():
+    words = M._encoder(TOKENIZER)
+    whole = json_tokenizer(TOKENIZER, plain=False)
+    assert words.ranked is not None
+    for at in range(1, 0x11000, 256):
+        text = "".join(f"a{chr(c)}B {chr(c)} 1{chr(c)}'s{chr(c)}{chr(c)} " for c in range(at, at + 256) if not 0xD800 <= c < 0xE000)
+        assert np.concatenate(words.of(text)).tolist() == whole.encode(text, add_special_tokens=False).ids, at
+    for text in ("x<|endoftext|>y <|startoftext|> <|ENDOFTEXT|>", "ΟΔΟΣ Σ ΣΑ", "I\u0307 \u0130", "a\x00b \x00 c", "e\u0301 \u1100\u1161", ""):
+        assert [i for p in words.of(text) for i in p.tolist()] == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_slices_of_a_long_text_change_nothing():
+    words = M.WordIds(TOKENIZER, most=50)
+    text = " ".join(random.Random(4).choice(WORDS) for _ in range(900)) + "\n\n tail"
+    assert np.concatenate(words.of(text)).tolist() == whole_ids(text)[:-1]

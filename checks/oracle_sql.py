@@ -264,4 +264,21 @@ ORACLE.update(
     }
 )
 
+_LAST_RECORDS = with_concepts("SELECT slug, file_hash, source FROM concepts WHERE ((doc_id % 5) + 5) % 5 <> 4")
+ORACLE["stream_out_of_order"] = ORACLE["stream_after_batch"] = _LAST_RECORDS
+
+# Terms of the snapshot after the run, counted from its texts.
+ORACLE["index_refresh"] = _PAIR + f""", live AS (
+  SELECT doc_id, m, ds, lang, source, text FROM cf WHERE m <> 9
+  UNION ALL
+  SELECT p.doc_id, p.m, p.ds, p.lang, p.source, p.text FROM pf p
+  WHERE p.m <> 9 AND p.doc_id % 19 = 0 AND p.file_path NOT IN (SELECT file_path FROM cf WHERE m <> 9)),
+fields AS (
+  SELECT doc_id, CASE WHEN m <> 7 AND doc_id % 3 IN (0, 1) THEN 'Doc ' || ds ELSE '' END AS text FROM live
+  UNION ALL SELECT doc_id, CASE WHEN m <> 7 AND doc_id % 4 = 0 THEN 'About doc ' || ds ELSE '' END FROM live
+  UNION ALL SELECT doc_id, CASE WHEN m <> 7 AND doc_id % 4 IN (0, 1, 2) THEN CAST(to_json([lang, source]) AS VARCHAR) ELSE '' END FROM live
+  UNION ALL SELECT doc_id, text FROM live),
+tok AS (SELECT doc_id, unnest({_s.ftoks('text')}) AS term FROM fields)
+SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_occ FROM tok GROUP BY term"""
+
 ORACLE["conversation_search"] = _s.search_sql(default_queries=True, concepts_cte=_s.CONV_CONCEPTS_CTE)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.embedding import embed_udf
 from quire.functions.text import approx_tokens, snippet
 from quire.operators import fts, vector
+from quire.operators.search_index import SearchIndex, top_documents
 from quire.schema import CANDIDATE_FACTOR, MIN_CANDIDATES, SEARCH_DEFAULTS
 
 # Bound on one broadcast query batch: queries, total query characters (a
@@ -40,14 +41,20 @@ def with_defaults(queries: DataFrame) -> DataFrame:
     )
 
 
-def fts_candidates(concepts: DataFrame, q: DataFrame, index: fts.FtsIndex | None = None,
+def fts_candidates(concepts: DataFrame, q: DataFrame, index: SearchIndex | fts.FtsIndex | None = None,
                    broadcast: bool | None = None, k_max: int | None = None) -> DataFrame:
-    """BM25 candidates per query after the type filter and cut, normalised."""
-    index = fts.build_index(concepts) if index is None else index
-    phrases = fts.query_phrases(q.select("query_id", "query"))
-    ranked = fts.attach_docs(fts.bm25(index.postings, phrases, index.stats, index.docs, broadcast), index.docs)
-    ranked = ranked.join(fts._small(q.select("query_id", "cand", "types"), broadcast), on="query_id")
-    top = fts.top_by_rank(ranked, "cand", "types", k_max=k_max)
+    """BM25 candidates per query after the type filter and cut, normalised.
+
+    A stored index is read for the batch's terms only; without one all postings are made anew.
+    """
+    if isinstance(index, SearchIndex):
+        top = top_documents(index, q, k_max=k_max, broadcast=broadcast)
+    else:
+        index = fts.build_index(concepts) if index is None else index
+        phrases = fts.query_phrases(q.select("query_id", "query"))
+        ranked = fts.attach_docs(fts.bm25(index.postings, phrases, index.stats, index.docs, broadcast), index.docs)
+        ranked = ranked.join(fts._small(q.select("query_id", "cand", "types"), broadcast), on="query_id")
+        top = fts.top_by_rank(ranked, "cand", "types", k_max=k_max)
     w = Window.partitionBy("query_id")
     norm = 1 - F.abs(F.col("rank")) / F.greatest(F.max(F.abs(F.col("rank"))).over(w), F.lit(1.0))
     return top.select("query_id", "id", "rank", "fts_pos", norm.alias("fts_norm"))
@@ -112,7 +119,7 @@ def batch_chunks(queries: DataFrame) -> list[tuple[DataFrame, int, bool]]:
     return [(queries.where(bucket == i), k_max, False) for i in range(parts)]
 
 
-def search_batch(concepts: DataFrame, queries: DataFrame, index: fts.FtsIndex | None = None,
+def search_batch(concepts: DataFrame, queries: DataFrame, index: SearchIndex | fts.FtsIndex | None = None,
                  profile: str = "code") -> DataFrame:
     """H5 for a batch ``queries(query_id, query, type, tags, alpha, limit, offset)``.
 

@@ -72,21 +72,26 @@ def upsert_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], now, r
     ``id = xxhash64(slug)``.  Only new or changed files are parsed.
     """
     d = diff_snapshot(stored, scan, roots, removals) if diff is None else diff
-    changed = d.where(F.col("action").isin("added", "updated"))
+    replaced = d.where(F.col("action").isin("updated", "removed")).select("file_path")
+    carried = stored.join(_small_paths(replaced), on="file_path", how="left_anti")
+    return carried.select(*CONCEPT_COLUMNS).unionByName(fresh_rows(scan, d, roots, now))
+
+
+def fresh_rows(scan: DataFrame, diff: DataFrame, roots: list[str], now) -> DataFrame:
+    """The next rows of the files that a run adds or changes; only these are parsed."""
+    changed = diff.where(F.col("action").isin("added", "updated"))
     to_parse = scan.join(changed.select("file_path"), on="file_path", how="left_semi")
     # Only changed files are moved; of a path's copies the one that the diff compared.
     hashed = F.sha2(F.col("content"), 256)
     once = F.struct(*[F.col(c) for c in scan.columns if c != "file_path"])
     to_parse = to_parse.groupBy("file_path").agg(F.min_by(once, hashed).alias("_file")).select("file_path", "_file.*")
     fresh = parse_files(to_parse, roots, now=now)
-    replaced = d.where(F.col("action").isin("updated", "removed")).select("file_path")
-    carried = stored.join(_small_paths(replaced), on="file_path", how="left_anti")
     old = changed.where(F.col("action") == "updated").select(
         "file_path", F.col("id").alias("_id"), F.col("slug").alias("_slug"), F.col("source").alias("_source"),
         F.col("created_at").alias("_created"), F.col("last_synced_at").alias("_synced"),
     )
     merged = fresh.join(old, on="file_path", how="left")
-    updated = merged.select(
+    return merged.select(
         *[
             F.coalesce(F.col("_id"), F.col("id")).alias("id") if c == "id"
             else F.coalesce(F.col("_slug"), F.col("slug")).alias("slug") if c == "slug"
@@ -97,16 +102,16 @@ def upsert_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], now, r
             for c in CONCEPT_COLUMNS
         ]
     )
-    return carried.select(*CONCEPT_COLUMNS).unionByName(updated)
 
 
-def index_summary(diff: DataFrame, next_snapshot: DataFrame) -> DataFrame:
-    """One row ``(added, updated, removed, skipped, total)``."""
+def index_summary(diff: DataFrame, next_snapshot: DataFrame | int) -> DataFrame:
+    """One row ``(added, updated, removed, skipped, total)``; the next snapshot or its number of rows."""
     counts = diff.agg(
         *[F.sum(F.when(F.col("action") == a, 1).otherwise(0)).cast("long").alias(a)
           for a in ("added", "updated", "removed", "skipped")]
     )
-    total = next_snapshot.select(F.count(F.lit(1))).scalar()
+    known = isinstance(next_snapshot, int)
+    total = F.lit(next_snapshot).cast("long") if known else next_snapshot.select(F.count(F.lit(1))).scalar()
     return counts.select("added", "updated", "removed", "skipped", total.alias("total"))
 
 

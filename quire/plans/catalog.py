@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from quire.functions import paths, text
 from quire.functions.embedding import murmur3_udf
 from quire.functions.text import fts_tokens
-from quire.operators import browse, fts, graph, hybrid, maintain, parse, vector
+from quire.operators import browse, fts, graph, hybrid, maintain, parse, search_index, vector
 from quire.plans import index_run
-from quire.session import checkpoint_dir
+from quire.session import checkpoint_dir, materialize
 from quire.sources import snapshot
 from quire.sources.fixtures import (
     CHAT_ROOT,
@@ -39,7 +39,7 @@ def fixture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SNAPSHOTS: dict[tuple[str, str], str] = {}
 
 
-def fixture_concepts(spark: SparkSession, sf_dir: str, with_embedding: bool = True) -> DataFrame:
+def fixture_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The concept snapshot indexed from ``documents`` (built once per session).
 
     The index run (scan filter, parse, embed) writes a Parquet snapshot under
@@ -56,6 +56,11 @@ def fixture_concepts(spark: SparkSession, sf_dir: str, with_embedding: bool = Tr
     return spark.read.parquet(path)
 
 
+def parsed_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concepts as the parse operators make them from the files, nothing stored between."""
+    return parse.build_concepts(fixture_files(spark, sf_dir), FIXTURE_ROOTS, now="indexed_at", with_embedding=False)
+
+
 def _tags_json(c="tags"):
     return F.to_json(F.col(c)).alias(c)
 
@@ -63,7 +68,7 @@ def _tags_json(c="tags"):
 # --- parse / derive -------------------------------------------------------
 
 def q_parse_frontmatter(spark, sf_dir):
-    c = fixture_concepts(spark, sf_dir)
+    c = parsed_concepts(spark, sf_dir)
     deps = F.from_json(F.get_json_object("frontmatter", "$.dependencies"), "array<string>")
     return c.select(
         "slug", "title", "description", _tags_json(), "timestamp",
@@ -72,42 +77,42 @@ def q_parse_frontmatter(spark, sf_dir):
 
 
 def q_normalize_tags(spark, sf_dir):
-    c = fixture_concepts(spark, sf_dir)
+    c = parsed_concepts(spark, sf_dir)
     return c.select("slug", _tags_json(), F.size("tags").alias("n_tags"))
 
 
 def q_infer_type(spark, sf_dir):
-    return fixture_concepts(spark, sf_dir).select("file_path", "type")
+    return parsed_concepts(spark, sf_dir).select("file_path", "type")
 
 
 def q_derive_slug(spark, sf_dir):
-    return fixture_concepts(spark, sf_dir).select("file_path", "slug")
+    return parsed_concepts(spark, sf_dir).select("file_path", "slug")
 
 
 def q_resolve_status(spark, sf_dir):
-    return fixture_concepts(spark, sf_dir).select("slug", "type", "status")
+    return parsed_concepts(spark, sf_dir).select("slug", "type", "status")
 
 
 def q_project_metadata(spark, sf_dir):
-    return fixture_concepts(spark, sf_dir).select("slug", "title", "description", "timestamp", "resource")
+    return parsed_concepts(spark, sf_dir).select("slug", "title", "description", "timestamp", "resource")
 
 
 def q_content_hash(spark, sf_dir):
-    return fixture_concepts(spark, sf_dir).select("file_path", "file_hash")
+    return parsed_concepts(spark, sf_dir).select("file_path", "file_hash")
 
 
 def q_token_estimate(spark, sf_dir):
-    c = fixture_concepts(spark, sf_dir)
+    c = parsed_concepts(spark, sf_dir)
     return c.select("slug", "body_length", text.approx_tokens(F.col("body_length")).alias("approx_tokens"))
 
 
 def q_snippet(spark, sf_dir):
-    c = fixture_concepts(spark, sf_dir)
+    c = parsed_concepts(spark, sf_dir)
     return c.select("slug", text.snippet(F.col("description"), F.col("body")).alias("snippet"))
 
 
 def q_render_context(spark, sf_dir):
-    return parse.render_context(fixture_concepts(spark, sf_dir))
+    return parse.render_context(parsed_concepts(spark, sf_dir))
 
 
 def q_normalize_types(spark, sf_dir):
@@ -222,13 +227,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- search ------------------------------------------------------------------
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf_dir, concepts=None, name: str = "") -> search_index.SearchIndex:
+    """The stored full-text index of the fixture's concepts (built once per session)."""
+    key = (spark.sparkContext.applicationId, sf_dir + name)
+    if key not in _INDEXES:
+        base = index_run.scratch_base(spark, "quire-search")
+        search_index.build(fixture_concepts(spark, sf_dir) if concepts is None else concepts, base)
+        _INDEXES[key] = base
+    return search_index.open_index(spark, _INDEXES[key])
+
+
 def fixture_queries(spark, sf_dir):
     return search_queries(read_table(spark, sf_dir, "benchmark"))
 
 
 def q_hybrid_search_batch(spark, sf_dir):
     c = fixture_concepts(spark, sf_dir)
-    res = hybrid.search_batch(c, fixture_queries(spark, sf_dir))
+    res = hybrid.search_batch(c, fixture_queries(spark, sf_dir), index=stored_index(spark, sf_dir))
     return res.drop("id").withColumn("tags", F.to_json("tags"))
 
 
@@ -275,19 +293,25 @@ def q_fts_match(spark, sf_dir):
 
 
 def q_bm25_topk(spark, sf_dir):
-    c = fixture_concepts(spark, sf_dir)
     q = _q(spark, sf_dir)
-    idx = fts.build_index(c)
-    ranked = fts.attach_docs(fts.bm25(idx.postings, fts.query_phrases(q.select("query_id", "query")), idx.stats,
-                                      idx.docs), idx.docs)
     k_max = q.agg(F.max("cand")).first()[0]
-    qs = fts._small(q.select("query_id", "cand", "types"), None)
-    top = fts.top_by_rank(ranked.join(qs, on="query_id"), "cand", "types", k_max=k_max)
+    top = search_index.top_documents(stored_index(spark, sf_dir), q, k_max=k_max)
     return top.select("query_id", "slug", "fts_pos", F.round("rank", 6).alias("rank"))
 
 
+def q_index_refresh(spark, sf_dir):
+    """The index of the previous snapshot after one run: its terms, as counted from the maintained index."""
+    prev, cur = fixture_previous(spark, sf_dir), fixture_current_scan(spark, sf_dir)
+    diff = materialize(maintain.diff_snapshot(prev, cur, FIXTURE_ROOTS), "refresh-diff")
+    nxt = maintain.upsert_snapshot(prev, cur, FIXTURE_ROOTS, now="indexed_at", diff=diff)
+    base = index_run.scratch_base(spark, "quire-refresh")
+    search_index.build(prev, base)
+    gone, fresh = index_run.changed_rows(prev, nxt, diff)
+    return search_index.refresh(base, gone, fresh).term_counts()
+
+
 def q_embed_documents(spark, sf_dir):
-    c = fixture_concepts(spark, sf_dir)
+    c = parse.build_concepts(fixture_files(spark, sf_dir), FIXTURE_ROOTS, now="indexed_at")
     e = c.select("slug", F.posexplode("embedding").alias("bin", "value"))
     return e.where(F.col("value") != 0).select("slug", "bin", F.round(F.col("value").cast("double"), 6).alias("value"))
 
@@ -317,7 +341,7 @@ def q_knn_cosine(spark, sf_dir):
 def q_hybrid_merge(spark, sf_dir):
     c = fixture_concepts(spark, sf_dir)
     q = _q(spark, sf_dir)
-    m = hybrid.merge(hybrid.fts_candidates(c, q), hybrid.vector_candidates(c, q), q)
+    m = hybrid.merge(hybrid.fts_candidates(c, q, stored_index(spark, sf_dir)), hybrid.vector_candidates(c, q), q)
     return m.join(c.select("id", "slug"), on="id").select(
         "query_id", "slug", F.round("score", 6).alias("score"), F.round("fts_norm", 6).alias("fts_norm"),
         F.round("vec_norm", 6).alias("vec_norm"),
@@ -327,7 +351,8 @@ def q_hybrid_merge(spark, sf_dir):
 def q_hybrid_search(spark, sf_dir):
     """Default parameters, one query per benchmark item (its whole text)."""
     c = fixture_concepts(spark, sf_dir)
-    return hybrid.search_batch(c, _default_queries(spark, sf_dir)).drop("id").withColumn("tags", F.to_json("tags"))
+    found = hybrid.search_batch(c, _default_queries(spark, sf_dir), index=stored_index(spark, sf_dir))
+    return found.drop("id").withColumn("tags", F.to_json("tags"))
 
 
 QUERIES.update(
@@ -338,6 +363,7 @@ QUERIES.update(
         "parse_match_query": q_parse_match_query,
         "fts_match": q_fts_match,
         "bm25_topk": q_bm25_topk,
+        "index_refresh": q_index_refresh,
         "embed_documents": q_embed_documents,
         "murmur3_tokens": q_murmur3_tokens,
         "knn_cosine": q_knn_cosine,
@@ -493,6 +519,7 @@ QUERIES.update(
 
 
 STREAM_GROUPS = 4
+STREAM_FILES = 2  # of each group: a micro-batch takes a group's files
 
 
 def q_index_run(spark, sf_dir):
@@ -510,45 +537,81 @@ def q_index_run(spark, sf_dir):
 _STREAMS: dict[tuple[str, str], tuple[str, str]] = {}
 
 
-def _run_stream(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _run_stream(spark, sf_dir, name: str, records: DataFrame, before: DataFrame | None = None) -> tuple[str, str]:
+    """Stream ``records(file_path, content, seq, g)``, a group ``g`` at a time, into a snapshot; its folder and that of its runs.
+
+    ``before``: files that a batch run indexes first.  Once per session.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir + name)
     if key in _STREAMS:
         return _STREAMS[key]
     base = index_run.scratch_base(spark, "quire-stream")
     src, snap, runs, ckpt = base + "/source", base + "/snapshot", base + "/runs", base + "/checkpoint"
-    files = fixture_files(spark, sf_dir)
-    group = F.pmod(F.col("doc_id"), F.lit(STREAM_GROUPS))
-    records = files.select("file_path", "content", F.col("doc_id").alias("seq"), group.alias("g"))
+    if before is not None:
+        index_run.run_index(before, FIXTURE_ROOTS, snap, now=FIXTURE_EPOCH)
     jvm = spark.sparkContext._jvm
     for g in range(STREAM_GROUPS):
         out = f"{src}/g{g}"
-        records.where(F.col("g") == g).drop("g").coalesce(1).write.parquet(out)
+        records.where(F.col("g") == g).drop("g").repartition(STREAM_FILES).write.parquet(out)
         fs_path = jvm.org.apache.hadoop.fs.Path(out)
         fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for st in fs.listStatus(fs_path):
             fs.setTimes(st.getPath(), 1_700_000_000_000 + g * 1000, -1)
-    source = ingest.file_source(spark, f"{src}/*/*.parquet", max_files_per_trigger=1)
+    source = ingest.file_source(spark, f"{src}/*/*.parquet", max_files_per_trigger=STREAM_FILES)
     q = ingest.start_ingest(spark, source, FIXTURE_ROOTS, snap, runs, ckpt, now=FIXTURE_EPOCH)
     q.awaitTermination()
     _STREAMS[key] = (snap, runs)
     return snap, runs
 
 
+def _plain_stream(spark, sf_dir):
+    """Every file once, in groups by ``doc_id``."""
+    group = F.pmod(F.col("doc_id"), F.lit(STREAM_GROUPS))
+    files = fixture_files(spark, sf_dir)
+    return _run_stream(spark, sf_dir, "", files.select("file_path", "content", F.col("doc_id").alias("seq"), group.alias("g")))
+
+
 def q_stream_ingest(spark, sf_dir):
-    snap, _ = _run_stream(spark, sf_dir)
+    snap, _ = _plain_stream(spark, sf_dir)
     return snapshot.read_snapshot(spark, snap).select("slug", "file_hash", "source")
 
 
 def q_stream_run_summary(spark, sf_dir):
-    _, runs = _run_stream(spark, sf_dir)
+    _, runs = _plain_stream(spark, sf_dir)
     return ingest.read_runs(spark, runs).select("batch_id", "added", "updated", "removed", "total")
 
 
+def _histories(files: DataFrame) -> DataFrame:
+    """Every file's records in any order over the groups: an old text, a deletion, and, but for a fifth of the files, the text."""
+    old, gone = (F.concat("content", F.lit(" stale")), 1), (F.lit(None).cast("string"), 2)
+    records = F.array(*[F.struct(c.alias("content"), F.lit(n).cast("long").alias("seq")) for c, n in (old, gone, (F.col("content"), 3))])
+    rows = files.select("file_path", "doc_id", F.inline(records))
+    rows = rows.where((F.pmod("doc_id", F.lit(5)) != 4) | (F.col("seq") < 3))
+    group = F.pmod(F.xxhash64("file_path", "seq"), F.lit(STREAM_GROUPS))
+    return rows.select("file_path", "content", "seq", group.alias("g"))
+
+
+def q_stream_out_of_order(spark, sf_dir):
+    """Records that come late lose, deletions stay deleted: the streamed table equals the batch index."""
+    snap, _ = _run_stream(spark, sf_dir, "#order", _histories(fixture_files(spark, sf_dir)))
+    return snapshot.read_snapshot(spark, snap).select("slug", "file_hash", "source")
+
+
+def q_stream_after_batch(spark, sf_dir):
+    """The same over a snapshot that a batch run made of the even documents, with other texts."""
+    files = fixture_files(spark, sf_dir)
+    before = files.where("doc_id % 2 = 0").withColumn("content", F.concat("content", F.lit(" first")))
+    snap, _ = _run_stream(spark, sf_dir, "#after", _histories(files), before)
+    return snapshot.read_snapshot(spark, snap).select("slug", "file_hash", "source")
+
+
 QUERIES.update(
     {
         "index_run": q_index_run,
         "stream_ingest": q_stream_ingest,
         "stream_run_summary": q_stream_run_summary,
+        "stream_out_of_order": q_stream_out_of_order,
+        "stream_after_batch": q_stream_after_batch,
     }
 )
 
@@ -584,7 +647,9 @@ def _default_queries(spark, sf_dir):
 def q_conversation_search(spark, sf_dir):
     """Hybrid search with default parameters over the conversation corpus."""
     c = conversation_concepts(spark, sf_dir)
-    return hybrid.search_batch(c, _default_queries(spark, sf_dir)).drop("id").withColumn("tags", F.to_json("tags"))
+    index = stored_index(spark, sf_dir, c, "#conversations")
+    found = hybrid.search_batch(c, _default_queries(spark, sf_dir), index=index)
+    return found.drop("id").withColumn("tags", F.to_json("tags"))
 
 
 QUERIES["conversation_search"] = q_conversation_search

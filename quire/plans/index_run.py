@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import paths
-from quire.operators import maintain
+from quire.operators import maintain, search_index
 from quire.schema import CONCEPT_SCHEMA
 from quire.session import checkpoint_dir, materialize
-from quire.sources import snapshot
+from quire.sources import buckets, snapshot
 
 RUN_DDL = "run_id string, batch_id long, now long, added long, updated long, removed long, skipped long, total long"
 
@@ -32,14 +32,37 @@ def next_slugs(stored: DataFrame, diff: DataFrame) -> DataFrame:
     return live.unionByName(pathless)
 
 
+def _paths_of(diff: DataFrame, *actions: str) -> DataFrame:
+    return diff.where(F.col("action").isin(*actions)).select("file_path")
+
+
+def changed_rows(stored: DataFrame, nxt: DataFrame, diff: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored rows that a run replaces or removes, next rows that it adds or changes): what an index must follow."""
+    return (stored.join(_paths_of(diff, "updated", "removed"), "file_path", "left_semi"),
+            nxt.join(_paths_of(diff, "added", "updated"), "file_path", "left_semi"))
+
+
+# Rows are stored by path; rows without one by slug.
+STORE_KEYS = ["file_path", "slug"]
+
+
+def write_run(stored: DataFrame, scan: DataFrame, diff: DataFrame, roots: list[str], now, base: str, tag: str = "",
+              old: buckets.Version | None = None) -> tuple[buckets.Version, DataFrame]:
+    """The next version of the snapshot and its new and changed rows; only the buckets that change are written."""
+    fresh = materialize(maintain.fresh_rows(scan, diff, roots, now), "fresh")
+    return buckets.replace(base, _paths_of(diff, "updated", "removed"), fresh, STORE_KEYS, tag, old=old), fresh
+
+
 def run_index(files: DataFrame, roots: list[str], snapshot_base: str, now, runs_path: str | None = None,
               removals: bool = True, on_conflict: str = "fail", batch_id: int | None = None,
-              version: int | None = None, slugs_path: str | None = None) -> tuple[str, DataFrame]:
+              slugs_path: str | None = None,
+              index_base: str | None = None) -> tuple[str, DataFrame]:
     """Mirror ``files(file_path, content)`` found under ``roots`` into a new
     snapshot version; returns ``(version path, summary DataFrame)``.
 
     The run's ``(run_id, action, slug)`` of every added, updated and removed
-    concept is appended to ``slugs_path``, the summary row to ``runs_path``.
+    concept is appended to ``slugs_path``, the summary row to ``runs_path``; the
+    stored full-text index under ``index_base`` follows the run.
     """
     spark = files.sparkSession
     run_id = uuid.uuid4().hex
@@ -48,20 +71,21 @@ def run_index(files: DataFrame, roots: list[str], snapshot_base: str, now, runs_
     scan = files.where(paths.scan_keeps(F.col("file_path"), roots))
     diff = materialize(maintain.diff_snapshot(stored, scan, roots, removals), "diff")
     maintain.check_slug_conflicts(next_slugs(stored, diff), on_conflict)
-    nxt = maintain.upsert_snapshot(stored, scan, roots, now, removals, diff=diff)
-    path = snapshot.write_snapshot(nxt, snapshot_base, version=version)
-    written = spark.read.parquet(path)
-    summary = maintain.index_summary(diff, written).select(
+    written, fresh = write_run(stored, scan, diff, roots, now, snapshot_base)
+    summary = maintain.index_summary(diff, written.n_rows).select(
         F.lit(run_id).alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"),
         F.lit(now if isinstance(now, int) else None).cast("long").alias("now"),
         "added", "updated", "removed", "skipped", "total",
     )
+    if index_base:
+        gone = stored.join(_paths_of(diff, "updated", "removed"), "file_path", "left_semi")
+        search_index.refresh(index_base, gone, fresh, tag=run_id)
     if slugs_path:
         changed = diff.where(F.col("action").isin("added", "updated", "removed"))
         changed.select(F.lit(run_id).alias("run_id"), "action", "slug").write.mode("append").parquet(slugs_path)
     if runs_path:
         summary.write.mode("append").parquet(runs_path)
-    return path, summary
+    return written.path, summary
 
 
 def scratch_base(spark: SparkSession, name: str) -> str:

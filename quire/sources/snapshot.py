@@ -1,9 +1,9 @@
 """Versioned Parquet snapshots of the concept table.
 
-Plain Parquet has no row-level MERGE, so every index run writes a complete
-new version directory and readers pick the newest complete one; a version
+A version is a directory, and readers pick the newest complete one; a version
 being read is never overwritten.  A version is complete once Spark's commit
-protocol has written its ``_SUCCESS`` marker.
+protocol has written its ``_SUCCESS`` marker.  It holds all rows, or, for tables
+that runs change in part (``sources.buckets``), a manifest of the files that do.
 """
 
 from __future__ import annotations
@@ -70,8 +70,19 @@ def write_snapshot(df: DataFrame, base: str, version: int | None = None, tag: st
     return path
 
 
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The concept rows of a version: its own files, or those that its manifest names."""
+    from quire.schema import CONCEPT_SCHEMA
+    from quire.sources import buckets
+
+    base, _, name = path.rstrip("/").rpartition("/")
+    if buckets.is_bucketed(spark, base):
+        return buckets.open_version(spark, base, name).read(CONCEPT_SCHEMA)
+    return spark.read.parquet(path)
+
+
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
     versions = list_versions(spark, base)
     if not versions:
         raise FileNotFoundError(f"no complete snapshot under {base}")
-    return spark.read.parquet(f"{base.rstrip('/')}/{versions[-1]}")
+    return read_version(spark, f"{base.rstrip('/')}/{versions[-1]}")

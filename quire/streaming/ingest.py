@@ -1,40 +1,66 @@
 """Continuous ingest of Markdown file records with Structured Streaming.
 
 Records ``(file_path, content, seq)`` arrive as files in a folder (or any
-streaming source with that schema).  Each micro-batch keeps the latest record
-per path (highest ``seq``; null content deletes), upserts it into the concept
-snapshot as the next version, and appends one summary row per batch to the runs
-table.  The version's name carries the stream and batch it was written for, so a
-replayed batch neither writes twice nor mistakes another run's version for its own.
+streaming source with that schema), in any order.  For every path the record with the highest
+``seq`` wins, over all batches: a bucketed table of *heads* beside the snapshot keeps each path's
+newest record number, also of deleted paths (null content deletes), so a record that comes late
+or again changes nothing.  Records of equal ``seq`` are ordered too: content before a deletion, then the larger hash.
+A path that a batch run indexed has no head yet, and any record wins over it.
+
+Each micro-batch upserts its winners into the snapshot (only buckets that change are
+written), then writes their heads and one summary row.  Versions carry the stream and
+batch that they were written for, so a replayed batch starts from the versions that the first attempt started from
+and writes what is missing.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import maintain
-from quire.plans.index_run import RUN_DDL, current_or_empty, next_slugs
-from quire.sources import snapshot
+from quire.operators import maintain, search_index
+from quire.plans.index_run import RUN_DDL, empty_concepts, next_slugs, write_run
+from quire.schema import CONCEPT_SCHEMA
+from quire.sources import buckets, snapshot
 
 RECORD_DDL = "file_path string, content string, seq long"
 
 
+HEAD_DDL = "file_path string, seq long, live boolean, content_hash string"
+_LEAST = -(1 << 63)
+
+
 def latest_per_path(batch: DataFrame) -> DataFrame:
-    w = Window.partitionBy("file_path").orderBy(F.col("seq").desc())
-    return batch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """``file_path, content, seq, live, content_hash`` of the newest record of each path; partial maxima, so a hot path is no group."""
+    known = batch.select("file_path", "content", F.coalesce("seq", F.lit(_LEAST)).alias("seq"),
+                         F.col("content").isNotNull().alias("live"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("content_hash"))
+    newest = F.max_by(F.struct("content", "seq", "live", "content_hash"), F.struct("seq", "live", "content_hash"))
+    return known.groupBy("file_path").agg(newest.alias("r")).select("file_path", "r.*")
+
+
+def _buckets_of(records: DataFrame, table: buckets.Version) -> list[int]:
+    """The buckets of the records' paths: at most as many as the table has."""
+    return [r.b for r in records.select(buckets.bucket_of(["file_path"], table.buckets).alias("b")).distinct().collect()]
+
+
+def winners(latest: DataFrame, heads: buckets.Version | None) -> DataFrame:
+    """The records that are newer than the head of their path."""
+    if heads is None:
+        return latest
+    stored = heads.read(HEAD_DDL, _buckets_of(latest, heads)).select("file_path", F.struct("seq", "live", "content_hash").alias("head"))
+    joined = latest.join(stored, "file_path", "left")
+    return joined.where(F.col("head").isNull() | (F.struct("seq", "live", "content_hash") > F.col("head"))).drop("head")
 
 
 def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_base: str, runs_path: str,
-                  now=None, stream: str = "stream") -> None:
-    """Upsert one micro-batch as a new version and record its run.
+                  now=None, stream: str = "stream", index_base: str | None = None) -> None:
+    """Upsert one micro-batch as a new version and record its heads and its run.
 
-    ``(stream, batch_id)`` identifies the batch and is part of the version's
-    name, apart from its number, which follows whatever versions exist.  A
-    replay finds its version and writes only what is missing: the run row
-    if the first attempt ended between the two writes.
+    ``(stream, batch_id)`` identifies the batch and is part of the versions'
+    names, apart from their numbers, which follow whatever versions exist.  A
+    replay finds its versions and writes only what is missing.
     """
     spark = batch.sparkSession
     from quire.functions import paths
@@ -43,36 +69,49 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
     checkpoint_dir(spark)
     run_id = f"{stream}-{batch_id}"
     base = snapshot_base.rstrip("/")
-    versions = snapshot.list_versions(spark, snapshot_base)
-    mine = next((v for v in versions if snapshot.tag_of(v) == run_id), None)
-    if mine and _has_run(spark, runs_path, run_id):
+    heads_base = f"{base}-heads"
+    if _has_run(spark, runs_path, run_id):
         return
-    earlier = [v for v in versions if mine is None or v < mine]
-    stored = spark.read.parquet(f"{base}/{earlier[-1]}") if earlier else current_or_empty(spark, f"{base}/none")
-    latest = latest_per_path(batch)
-    latest = materialize(latest.where(paths.scan_keeps(F.col("file_path"), roots)), "stream-batch")
-    upserts = latest.where(F.col("content").isNotNull()).select("file_path", "content")
-    deletes = latest.where(F.col("content").isNull()).select("file_path")
-    diff = maintain.diff_snapshot(stored, upserts, roots, removals=False)
+    old = buckets.current(spark, base, before=run_id)
+    heads = buckets.current(spark, heads_base, before=run_id)
+    latest = latest_per_path(batch.where(paths.scan_keeps(F.col("file_path"), roots)))
+    latest = materialize(winners(materialize(latest, "stream-latest"), heads), "stream-batch")
+    # Only the buckets of the batch's paths are compared.
+    stored = old.read(CONCEPT_SCHEMA, _buckets_of(latest, old)) if old else empty_concepts(spark)
+    upserts = latest.where("live").select("file_path", "content")
+    deletes = latest.where("not live").select("file_path")
+    diff = maintain.diff_snapshot(stored, upserts, roots, removals=False).where("action <> 'kept'")
     gone = stored.join(deletes, on="file_path", how="left_semi").where(F.col("source") == maintain.LOCAL)
     diff = materialize(diff.join(gone.select("file_path"), on="file_path", how="left_anti").unionByName(
         gone.select("file_path", F.lit("removed").alias("action"), "slug", "id", "source", "created_at",
                     "last_synced_at")
     ), "stream-diff")
-    if mine:
-        path = f"{base}/{mine}"
-    else:
-        maintain.check_slug_conflicts(next_slugs(stored, diff))
+    mine = _tagged(spark, base, run_id)
+    if mine is None:
+        whole = old.read(CONCEPT_SCHEMA) if old else stored
+        untouched = whole.join(diff.select("file_path"), "file_path", "left_anti").select("file_path", "slug")
+        maintain.check_slug_conflicts(next_slugs(stored, diff).where("file_path is not null").unionByName(untouched))
         clock = now if now is not None else F.unix_timestamp()
-        nxt = maintain.upsert_snapshot(stored, upserts, roots, clock, removals=False, diff=diff)
-        path = snapshot.write_snapshot(nxt, snapshot_base, tag=run_id)
-    summary = maintain.index_summary(diff, spark.read.parquet(path)).select(
+        mine, _ = write_run(stored, upserts, diff, roots, clock, base, run_id, old)
+    if index_base:
+        fresh = mine.read(CONCEPT_SCHEMA).join(diff.where(F.col("action").isin("added", "updated")).select("file_path"), "file_path", "left_semi")
+        replaced = stored.join(diff.where(F.col("action").isin("updated", "removed")).select("file_path"), "file_path", "left_semi")
+        search_index.refresh(index_base, replaced, fresh, tag=run_id)
+    if _tagged(spark, heads_base, run_id) is None:
+        fresh_heads = latest.select("file_path", "seq", "live", "content_hash")
+        buckets.replace(heads_base, fresh_heads.select("file_path"), fresh_heads, ["file_path"], run_id, old=heads)
+    summary = maintain.index_summary(diff, mine.n_rows).select(
         F.lit(run_id).alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"),
         F.lit(None).cast("long").alias("now"), "added", "updated", "removed", "skipped", "total",
     )
     summary.write.mode("append").parquet(runs_path)
 
 
+def _tagged(spark: SparkSession, base: str, tag: str) -> buckets.Version | None:
+    name = next((v for v in buckets.versions(spark, base) if snapshot.tag_of(v) == tag), None)
+    return buckets.open_version(spark, base, name) if name else None
+
+
 def _has_run(spark: SparkSession, runs_path: str, run_id: str) -> bool:
     if not snapshot.exists(spark, runs_path):
         return False

@@ -119,3 +119,18 @@ def test_knn_query_blocks_match_brute_force(spark, monkeypatch):
         dist = {i: 1 - d64[i] @ q64[j] / (np.linalg.norm(d64[i]) * np.linalg.norm(q64[j])) for i in cand}
         want = sorted(cand, key=lambda i: (round(dist[i], 12), f"d{i:02d}"))[:4]
         assert [got[(j, p)] for p in range(1, 5)] == want
+
+
+SCRIPTS = ["हिन्दी में लिखा पाठ", "שָׁלוֹם עֲלֵיכֶם", "مَرْحَبًا بِكُمْ", "e\u0301tude cafe\u0301", "a\u0305b o\u031bn", "ΑΒΓ ἄνθρωπος", "ﬁn Straße İstanbul"]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_tokens_of_other_scripts_equal_fts5(spark, text):
+    from quire.functions.text import fts_tokens
+
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    con.execute("INSERT INTO t VALUES (?)", (text,))
+    want = [r[0] for r in con.execute("SELECT term FROM v ORDER BY offset")]
+    assert spark.createDataFrame([(text,)], "x string").select(fts_tokens(F.col("x"))).first()[0] == want

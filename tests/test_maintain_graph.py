@@ -6,6 +6,7 @@ from support import SF0001, files_df
 from quire.operators import graph, maintain
 from quire.operators.parse import parse_files
 from quire.plans import index_run
+from quire.sources import snapshot
 from quire.sources.fixtures import FIXTURE_ROOTS, files_from_documents, read_table
 
 
@@ -28,7 +29,7 @@ def test_index_twice_skips_everything_and_reindex_restores(spark):
     assert s3.first().removed > 0
     path, s4 = index_run.run_index(files, FIXTURE_ROOTS, base, now=400)
     assert s4.first().added == s3.first().removed and s4.first().total == first.total
-    snap = spark.read.parquet(path)
+    snap = snapshot.read_version(spark, path)
     assert snap.where(F.col("created_at") == 400).count() == s4.first().added
 
 

@@ -66,7 +66,27 @@ def test_a_path_scanned_twice_is_one_file(spark):
     files = files_df(spark, [("/kb/a.md", "one"), ("/kb/a.md", "one"), ("/kb/b.md", "x"), ("/kb/b.md", "y")])
     path, summary = index_run.run_index(files, ["/kb"], base + "/snap", now=1)
     assert summary.first().added == 2
-    rows = spark.read.parquet(path).collect()
+    rows = snapshot.read_version(spark, path).collect()
     assert sorted(r.file_path for r in rows) == ["/kb/a.md", "/kb/b.md"]
     _, again = index_run.run_index(files, ["/kb"], base + "/snap", now=2)
     assert (again.first().added, again.first().updated, again.first().skipped) == (0, 0, 2)
+
+
+def test_late_records_and_late_deletions_lose(spark):
+    base = index_run.scratch_base(spark, "t-late")
+    snap, runs = base + "/snap", base + "/runs"
+    batches = [
+        [("/kb/a.md", "new", 10), ("/kb/b.md", None, 7), ("/kb/c.md", "x", 1), ("/kb/d.md", "late", None)],
+        [("/kb/a.md", "old", 5), ("/kb/b.md", "before", 6), ("/kb/c.md", None, 1), ("/kb/d.md", "d", 0)],
+        [("/kb/a.md", None, 9), ("/kb/b.md", "after", 8), ("/kb/c.md", "y", 1), ("/kb/d.md", "d", 0), ("/kb/e.md", None, 3)],
+    ]
+    for order in ((0, 1, 2), (2, 0, 1), (1, 2, 0)):
+        here, note = f"{snap}{order}", f"{runs}{order}"
+        for n, i in enumerate(order):
+            for _ in range(2):  # every batch is replayed
+                ingest.process_batch(_batch(spark, batches[i]), n, ["/kb"], here, note, now=n)
+        final = {r.file_path: r.body for r in snapshot.read_snapshot(spark, here).collect()}
+        # of equal numbers content wins over a deletion, then the larger hash
+        assert {k: v for k, v in final.items() if k != "/kb/c.md"} == {"/kb/a.md": "new", "/kb/b.md": "after", "/kb/d.md": "d"}
+        assert final["/kb/c.md"] == max("xy", key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())
+        assert ingest.read_runs(spark, note).count() == 3

@@ -1,7 +1,8 @@
 """License scan by ordered signature rules (operator 6).
 
 Rules are regular expressions over the lower-cased text (A-Z only), in an order of
-priority, each gated by keywords: a rule is tried only on texts that hold one of
+priority: hand-written signatures of grants, notices, clauses, exceptions and references to files
+(``license_signatures``), then the names of license families in the ways licenses are named.  Each is gated by keywords: a rule is tried only on texts that hold one of
 its keywords, where white space and hyphens count as one space, so that no gate
 turns away a text that its rule matches.  All matches of all admitted rules are detections with an
 interval.  In order of priority (then length, then place) a detection is
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import ALNUM, table
+from quire.llm.license_signatures import SIGNATURES
 
 # Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -100,22 +102,9 @@ FORMS = [
     ("terms", r"(?:re)?distribut\w*\s+under\s+the\s+terms\s+of\s+(?:the\s+)?", r"", 0.97),
     ("notice", r"licen[sc]ed\s+(?:to\s+you\s+)?under\s+(?:the\s+)?", r"", 0.95),
     ("release", r"(?:released|published|available|provided|covered)\s+under\s+(?:the\s+)?", r"", 0.9),
-    ("heading", r"(?:^|\n)\s*licen[sc]e\s*:\s*(?:the\s+)?", r"", 0.9),
+    ("heading", r"(?m:^)[ \t]*licen[sc]e[ \t]*:\s*(?:the\s+)?", r"", 0.9),
     ("mention", r"", r"", 0.6),
 ]
-# Statements without a license's name: label, expression, keywords, confidence.
-STATEMENTS = [
-    ("mit", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy", ("hereby granted",), 0.95),
-    ("isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", ("permission to use",), 0.9),
-    ("bsd", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", ("redistribution and use",), 0.9),
-    ("zlib", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked\s+as\s+such", ("plainly marked",), 0.9),
-    ("unlicense", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain", ("unencumbered",), 0.95),
-    ("public-domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain", ("public domain",), 0.8),
-    ("proprietary", r"all\s+rights\s+reserved", ("rights reserved",), 0.5),
-    ("proprietary", r"proprietary\s+and\s+confidential", ("proprietary",), 0.8),
-]
-
-
 class Rule(NamedTuple):
     priority: int
     label: str
@@ -126,10 +115,8 @@ class Rule(NamedTuple):
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules by priority: statements, then every form of every family, binding forms first."""
-    out = []
-    for label, pattern, keys, sure in STATEMENTS:
-        out.append((label, pattern, keys, sure))
+    """All rules by priority: the hand-written signatures, then every form of every family's name, binding forms first."""
+    out = [(label, pattern.replace(" ", r"\s+"), keys, sure) for label, pattern, keys, sure in SIGNATURES]
     for _, before, after, sure in FORMS:
         for label, name, keys in FAMILIES:
             out.append((label, f"{before}(?:{name}){after}", keys, sure))
@@ -159,6 +146,8 @@ def detect(text: str) -> list[tuple[int, int, str, float, int]]:
         for m in rule.pattern.finditer(text):
             version = m.groupdict().get("v")
             label = f"{rule.label}-{version}" if version else rule.label
+            if rule.label == "spdx":  # the identifier itself
+                label = " ".join(m[0].split()[1:])
             found.append((m.start(), m.end(), label, rule.confidence, rule.priority))
     found.sort(key=lambda d: (d[4], d[0] - d[1], d[0]))
     return suppress(found)

@@ -8,7 +8,7 @@ All weights are shares of one shard's capacity (total / shards).
 
 The law that holds is ``bytes``: shards get near equal sizes.  A group heavier than one shard's capacity
 in some weight can't be placed whole under any law; it is cut into the fewest
-equal pieces that fit and its rows are dealt over them by a hash of the id.
+equal pieces of whole rows that fit and its rows are counted through and dealt over them in turn.
 
 Scale: groups heavier than ``heavy`` of the corpus in some weight are at most
 ``3 / heavy`` plus their pieces, a proven bound; they are placed first, on the
@@ -53,6 +53,8 @@ def pack(docs: DataFrame, shards: int = 16, heavy: float = 1 / 4000, per_packer:
     text = F.coalesce("text", F.lit(""))
     sized = docs.drop("size", "text_crc32", "shard", "slot").withColumn("size", (F.octet_length(text) + 1).cast("long"))
     sized = sized.withColumn("text_crc32", F.crc32(text.cast("binary"))).withColumn("_group", F.sha2(text, 256))
+    # where a row was read: tells equal rows apart when they are dealt
+    sized = sized.withColumn("_read", F.monotonically_increasing_id())
     tokens = F.regexp_count(text, F.lit(WORDS)).cast("long")
     groups = materialize(
         docs.groupBy(F.sha2(text, 256).alias("g")).agg(
@@ -61,7 +63,7 @@ def pack(docs: DataFrame, shards: int = 16, heavy: float = 1 / 4000, per_packer:
     total = groups.agg(*[F.sum(c).alias(c) for c in ("bytes", "tokens", "rows")], F.count("*").alias("n")).first()
     capacity = np.array([max(total[c] or 0, 1) / shards for c in ("bytes", "tokens", "rows")])
     share = [F.col(c) / F.lit(float(cap)) for c, cap in zip(("bytes", "tokens", "rows"), capacity)]
-    groups = groups.select("g", *[s.alias(c) for c, s in zip("btr", share)])
+    groups = groups.select("g", "rows", *[s.alias(c) for c, s in zip("btr", share)])
     top = F.greatest("b", "t", "r")
 
     # At most 3 / heavy groups.
@@ -69,7 +71,7 @@ def pack(docs: DataFrame, shards: int = 16, heavy: float = 1 / 4000, per_packer:
     pieces = []
     for row in big:
         w = np.array([row.b, row.t, row.r])
-        n = max(1, int(np.ceil(w.max() - 1e-9)))
+        n = min(row.rows, max(1, int(np.ceil(w.max() - 1e-9))))  # a row is in one piece
         pieces += [(w / n, row.g, i, n) for i in range(n)]
     pieces.sort(key=lambda p: (-p[0].max(), p[1], p[2]))
     room = np.ones((shards, 3))
@@ -93,17 +95,22 @@ def pack(docs: DataFrame, shards: int = 16, heavy: float = 1 / 4000, per_packer:
 
     # The few cut groups (at most 3 * shards) are looked up in a literal map; all rows then join by group and piece.
     cut = {p[1]: p[3] for p in pieces if p[3] > 1}
-    count = F.lit(1)
+    key = F.xxhash64("doc_id", "_read")
+    sized = sized.withColumn("_piece", F.lit(0))
     if cut:
         lookup = F.create_map(*reduce(lambda x, y: x + y, [[F.lit(g), F.lit(n)] for g, n in cut.items()]))
-        count = F.coalesce(F.try_element_at(lookup, F.col("_group")), F.lit(1))
-    key = F.xxhash64("doc_id", F.lit(5))
-    rows = sized.withColumn("_piece", F.pmod(key, count).cast("int"))
-    rows = rows.join(plan.select(F.col("g").alias("_group"), F.col("piece").alias("_piece"), "shard"), ["_group", "_piece"])
+        pieces_of = F.try_element_at(lookup, F.col("_group"))
+        # rows of a cut group are counted through, so that its pieces differ by one row at most
+        split = sized.where(pieces_of.isNotNull()).withColumn("_key", key)
+        per = parts_for(total["rows"] or 0, 65_536)
+        split = running(split, ["_group"], ["_key"], F.pmod("_key", F.lit(per)), F.lit(1), "_at").drop("_key")
+        split = split.withColumn("_piece", F.pmod("_at", pieces_of).cast("int")).drop("_at")
+        sized = sized.where(pieces_of.isNull()).unionByName(split)
+    rows = sized.join(plan.select(F.col("g").alias("_group"), F.col("piece").alias("_piece"), "shard"), ["_group", "_piece"])
     parts = parts_for(total["rows"] or 0, 4096 * shards)
     rows = running(rows.withColumn("_key", key), ["shard"], ["_key", "doc_id", "text_crc32", "size"],
                    F.pmod("_key", F.lit(parts)), F.lit(1), "slot")
-    return rows.drop("_group", "_piece", "_key")
+    return rows.drop("_group", "_piece", "_key", "_read")
 
 
 def op5_vector_bin_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,20 @@ def test_empty_table(spark):
     assert B.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     (r,) = B.pack(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
     assert (r.size, r.text_crc32, r.slot) == (1, 0, 0)
+
+
+def test_null_and_equal_ids_of_a_heavy_group_are_dealt_evenly(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 2 else 7, "hot text of many copies " * 5) for i in range(2000)]
+    rows += [(i, f"{i} " + "z" * rng.randint(1, 400)) for i in range(4000)]
+    rows += [(None, "x" * 3_000_000)]  # a text longer than all the rest of a shard
+    got = B.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), per_packer=1000).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+    size, slots = Counter(), defaultdict(list)
+    for r in got:
+        size[r.shard] += r.size if r.size < 10**6 else 0
+        slots[r.shard].append(r.slot)
+    lone = {r.shard for r in got if r.size > 10**6}
+    rest = [v for k, v in size.items() if k not in lone]
+    assert len(got) == 6001 and max(rest) < 1.05 * min(rest)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())

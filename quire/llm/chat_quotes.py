@@ -10,7 +10,7 @@ in the same conversation at an earlier turn, else in any other conversation.  A
 replies to the message that owns most of its quoted units of the lowest level that has
 an owner (ties: the earliest); deeper levels are kept as links too.
 
-``linked_messages`` returns one row per message without its quoted lines and
+``linked_messages`` returns one row per message without its quoted lines (they are given in ``quoted``) and
 without the attribution lines before them (``... wrote:``), with the message it
 replies to, its depth in the tree of replies, and its position in the
 conversation.  A message stands after the one it replies to: an owner in the
@@ -50,15 +50,11 @@ def level_of(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), r"[^>]", ""))
 
 
-def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), r"\s+", " ")))
-
-
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with ``lines``: level and normalised text, and ``own``, the text without quotes."""
+    """Messages with ``lines``: level and text, and ``own``, the text without quotes."""
     lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n")
     out = messages.withColumn("_raw", lines).withColumn(
-        "lines", F.transform("_raw", lambda x: F.struct(level_of(x).alias("level"), normalised(x).alias("norm"), x.alias("raw"))))
+        "lines", F.transform("_raw", lambda x: F.struct(level_of(x).alias("level"), x.alias("raw"))))
     # an attribution goes with the quoted line that follows it
     kept = F.filter(F.transform(F.col("lines"), lambda x, i: F.struct(
         x["raw"].alias("raw"), ((x["level"] == 0) & ~(x["raw"].rlike(r"(?i)\bwrote:\s*$") & (F.coalesce(
@@ -82,10 +78,10 @@ def passages(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def unit_hashes(lines: list[str]) -> set[int]:
-    """Hashes of the units of a passage."""
+def unit_hashes(lines: list[str]) -> dict[int, bool]:
+    """Hashes of the units of a passage, and whether a unit has ``WINDOW`` words."""
     whole = " ".join(lines)
-    out = {int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+    out = {int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True): len(x.split()) >= WINDOW
            for x in {*lines, *_SENTENCE.split(whole)} if x}
     words = word_hashes(whole.encode())[2]
     if len(words) >= WINDOW:
@@ -93,28 +89,33 @@ def unit_hashes(lines: list[str]) -> set[int]:
         with np.errstate(over="ignore"):
             for j in range(WINDOW):
                 runs = mix64(runs * np.uint64(0x9E3779B97F4A7C15) + words[j : len(runs) + j])
-        out.update(runs.view(np.int64).tolist())
+        out.update(dict.fromkeys(runs.view(np.int64).tolist(), True))
     return out
 
 
 def units(messages: DataFrame, quoted: bool) -> DataFrame:
-    """``conv_id, turn, level, h``: the units a message quotes, or those it wrote itself."""
+    """``conv_id, turn, level, h, long``: the units a message quotes, or those it wrote itself."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 64):
                 rows, some = [], pdf.iloc[a : a + 64]
                 for i, text in enumerate(some["text"]):
-                    found = {(level, h) for level, lines in passages(text) if (level > 0) == quoted for h in unit_hashes(lines)}
-                    rows += [(i, level, h) for level, h in found]
+                    found = {(level, h, long) for level, lines in passages(text) if (level > 0) == quoted
+                             for h, long in unit_hashes(lines).items()}
+                    rows += [(i, *unit) for unit in found]
                 at = np.array([r[0] for r in rows], np.int64)
                 yield pd.DataFrame({
-                    "conv_id": some["conv_id"].astype("Int64").take(at).array, "turn": some["turn"].astype("Int64").take(at).array,
-                    "level": np.array([r[1] for r in rows], np.int32), "h": np.array([r[2] for r in rows], np.int64)})
+                    "conv_id": some["conv_id"].take(at).array, "turn": some["turn"].take(at).array,
+                    "level": np.array([r[1] for r in rows], np.int32), "h": np.array([r[2] for r in rows], np.int64),
+                    "long": np.array([r[3] for r in rows], bool)})
 
     some = messages.where("text is not null")
     if quoted:  # only messages with a mark come to Python
         some = some.where(F.col("text").rlike(r"(^|[\r\n])[ \t]*>"))
-    return some.select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, level int, h long")
+    # ids are strings in Python: pandas turns whole numbers beside a null into floats
+    keyed = some.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "text")
+    out = keyed.mapInPandas(run, "conv_id string, turn string, level int, h long, long boolean")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
@@ -127,13 +128,11 @@ def quote_links(messages: DataFrame) -> DataFrame:
     asked = quoted.select("h").distinct()
     written = units(messages.where("turn is not null and conv_id is not null"), False).join(asked, "h", "left_semi")
     here = materialize(written.groupBy("conv_id", "h").agg(F.min("turn").alias("here")), "written")
-    spot = F.struct("conv_id", F.col("here").alias("turn"))
-    first = here.groupBy("h").agg(F.min(spot).alias("first"))
-    # the earliest writer in another conversation than the first one's, for quotes in that conversation
-    second = here.join(first, "h").where("conv_id != first.conv_id").groupBy("h").agg(F.min(spot).alias("second"))
-    found = quoted.join(here, ["conv_id", "h"], "left").join(first, "h", "left").join(second, "h", "left")
+    # the earliest writer of all; for a message of the same conversation there is no earlier one elsewhere
+    first = here.groupBy("h").agg(F.min(F.struct("conv_id", F.col("here").alias("turn"))).alias("first"))
+    found = quoted.join(here, ["conv_id", "h"], "left").join(first, "h", "left")
     inside = F.col("here") < F.col("turn")
-    outer = F.when(F.col("first.conv_id") == F.col("conv_id"), F.col("second")).otherwise(F.col("first"))
+    outer = F.when(F.col("long") & (F.col("first.conv_id") < F.col("conv_id")), F.col("first"))
     found = found.select(
         "conv_id", "turn", "level", F.when(inside, F.struct(F.col("conv_id"), F.col("here").alias("turn"))).otherwise(outer).alias("to"))
     return found.where("to is not null").groupBy(
@@ -144,12 +143,12 @@ def quote_links(messages: DataFrame) -> DataFrame:
 def depths(replies: DataFrame) -> DataFrame:
     """``conv_id, turn, depth`` of messages that reply to others, by pointer doubling.
 
-    ``replies``: conv_id, turn, to_conv, to_turn, one row per message.  A link to
-    another conversation that closes a circle has no end; it is given the depth at which doubling stops.
+    ``replies``: conv_id, turn, to_conv, to_turn, one row per message; a message replies to an earlier turn or an
+    earlier conversation, so every chain ends.
     """
     cur = replies.select("conv_id", "turn", "to_conv", "to_turn", F.lit(1).cast("long").alias("depth"))
     cur = materialize(cur, "depth")
-    for _ in range(40):
+    while True:
         nxt = cur.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("to_conv").alias("to_c"),
                          F.col("to_turn").alias("to_t"), F.col("depth").alias("more"))
         if nxt.join(cur, (F.col("c") == F.col("to_conv")) & (F.col("t") == F.col("to_turn")), "left_semi").isEmpty():
@@ -163,7 +162,7 @@ def depths(replies: DataFrame) -> DataFrame:
 
 
 def linked_messages(messages: DataFrame, part_turns: int = 1024) -> DataFrame:
-    """``conv_id, turn, role, text, n_quoted, max_level, reply_to_conv, reply_to_turn, depth, position``."""
+    """``conv_id, turn, role, text, quoted, n_quoted, max_level, reply_to_conv, reply_to_turn, depth, position``."""
     named = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     split = parsed(named)
     links = materialize(quote_links(named), "links")
@@ -174,6 +173,7 @@ def linked_messages(messages: DataFrame, part_turns: int = 1024) -> DataFrame:
     tree = replies.join(deep, ["conv_id", "turn"])
     rows = split.select(
         "conv_id", "turn", "role", F.col("own").alias("text"),
+        F.array_join(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["raw"]), "\n").alias("quoted"),
         F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"),
         F.array_max(F.transform("lines", lambda x: x["level"])).alias("max_level"))
     rows = rows.join(tree, ["conv_id", "turn"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
@@ -181,7 +181,7 @@ def linked_messages(messages: DataFrame, part_turns: int = 1024) -> DataFrame:
     rows = rows.withColumn("_late", F.col("turn").isNull())
     part = F.when(F.col("_late"), F.lit(1 << 62)).otherwise(F.floor(F.col("turn") / part_turns)).cast("long")
     rows = running(rows, ["_conv", "_null"], ["turn", "role", F.xxhash64("text")], part, F.lit(1), "position")
-    return rows.select("conv_id", "turn", "role", "text", "n_quoted", "max_level", F.col("to_conv").alias("reply_to_conv"),
+    return rows.select("conv_id", "turn", "role", "text", "quoted", "n_quoted", "max_level", F.col("to_conv").alias("reply_to_conv"),
                        F.col("to_turn").alias("reply_to_turn"), "depth", "position")
 
 

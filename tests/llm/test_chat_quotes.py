@@ -14,17 +14,19 @@ def by_key(df):
 def test_nested_quotes_link_to_their_messages(spark):
     rows = [
         (1, 0, "user", "How do I sort?\nIt is slow."),
-        (1, 1, "assistant", "ann wrote:\n> how do  I SORT?\nUse an index."),
-        (1, 2, "user", "On Monday bob wrote:\n> > How do I sort?\n> Use an index.\n\nThat works.\nThanks"),
+        (1, 1, "assistant", "ann wrote:\n> how do  I SORT?\nUse an index on the column."),
+        (1, 2, "user", "On Monday bob wrote:\n> > How do I sort?\n> Use an index on the column.\n\nThat works.\nThanks"),
         (1, 3, "user", ">It is slow.\n> nobody said this"),
         (1, 4, "user", "plain answer"),
-        (2, 0, "user", "> Use an index.\nIn another thread. He wrote:"),
+        (2, 0, "user", "> Use an index on the column.\nIn another thread. He wrote:"),
+        (2, 1, "user", "> Thanks\n> That works.\nShort lines say nothing about other threads."),
     ]
     got = by_key(Q.linked_messages(spark.createDataFrame(rows, SCHEMA)))
     reply = {k: (r.reply_to_conv, r.reply_to_turn, r.depth) for k, r in got.items()}
     assert reply == {(1, 0): (None, None, 0), (1, 1): (1, 0, 1), (1, 2): (1, 1, 2), (1, 3): (1, 0, 1),
-                     (1, 4): (None, None, 0), (2, 0): (1, 1, 2)}
-    assert got[1, 1].text == "Use an index." and got[1, 2].text == "That works.\nThanks" and got[1, 3].text == ""
+                     (1, 4): (None, None, 0), (2, 0): (1, 1, 2), (2, 1): (None, None, 0)}
+    assert got[2, 1].quoted == "> Thanks\n> That works." and got[1, 4].quoted == ""
+    assert got[1, 1].text == "Use an index on the column." and got[1, 2].text == "That works.\nThanks" and got[1, 3].text == ""
     assert got[2, 0].text == "In another thread. He wrote:"
     assert [got[1, t].position for t in range(5)] == list(range(5))
     assert (got[1, 2].n_quoted, got[1, 2].max_level) == (2, 2)
@@ -83,13 +85,22 @@ def test_rewrapped_and_partial_quotes_equal_brute_force(spark):
                 quote = textwrap.fill(part, rng.choice((30, 72)), initial_indent="> ", subsequent_indent="> ") + "\n"
                 clean = lambda x: " ".join(x.lower().split())
                 holders = sorted(k for k, x in texts.items() if clean(part) in clean(x) and k != (c, t))
-                want[c, t] = min([k for k in holders if k[0] == c] or holders)
+                far = [k for k in holders if k[0] < c] if len(part.split()) >= Q.WINDOW else []
+                want[c, t] = min([k for k in holders if k[0] == c] or far or [(None, None)])
             rows.append((c, t, "u", quote + own))
     got = by_key(Q.linked_messages(spark.createDataFrame(rows, SCHEMA)))
     assert {k: (got[k].reply_to_conv, got[k].reply_to_turn) for k in want} == want
 
 
 def test_a_later_turn_of_the_same_conversation_hides_no_other_writer(spark):
-    rows = [(1, 0, "u", "> shared words\nfirst"), (1, 1, "u", "shared words"), (2, 3, "u", "shared words"), (3, 0, "u", "Shared  words")]
+    line = "these are some shared words here"
+    rows = [(3, 0, "u", f"> {line}\nfirst"), (3, 1, "u", line), (2, 3, "u", line), (4, 0, "u", line.capitalize())]
     got = by_key(Q.linked_messages(spark.createDataFrame(rows, SCHEMA)))
-    assert (got[1, 0].reply_to_conv, got[1, 0].reply_to_turn) == (2, 3)
+    assert (got[3, 0].reply_to_conv, got[3, 0].reply_to_turn) == (2, 3)
+
+
+def test_messages_that_quote_each_other_close_no_circle(spark):
+    a, b = "one long line of the first thread", "another long line of the second thread"
+    got = by_key(Q.linked_messages(spark.createDataFrame([(1, 0, "u", f"> {b}\n{a}"), (2, 0, "u", f"> {a}\n{b}")], SCHEMA)))
+    assert {k: (r.reply_to_conv, r.depth) for k, r in got.items()} == {(1, 0): (None, 0), (2, 0): (1, 1)}
+    assert got[1, 0].quoted == f"> {b}"

@@ -268,7 +268,8 @@ def search(doc: np.ndarray, words: np.ndarray, index: Index) -> list[tuple[int,
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_items: int = 10_000,
                **options) -> DataFrame:
     """``doc_id, item_id, edits, similarity, first_word, n_words, n_spans``: the nearest span of every leaked item."""
-    schema = "doc_id long, item_id long, edits int, similarity double, first_word long, n_words long"
+    # ids are strings in Python: pandas turns whole numbers beside a null into floats
+    schema = "doc_id string, item_id string, edits int, similarity double, first_word long, n_words long"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     spark = docs.sparkSession
     blocks = parts_for(items.count(), block_items)
@@ -288,14 +289,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, b
                 for a, _, doc, words in words_of_many(texts, ALNUM):
                     for d, item, cost, first, end in search(doc, words, index):
                         n = len(index.words[item])
-                        out.append((idents[a + d], index.ids[item], cost, 1 - cost / n, first, end - first))
-                got = pd.DataFrame(out, columns=["doc_id", "item_id", "edits", "similarity", "first_word", "n_words"])
-                yield got.astype({"doc_id": "Int64", "item_id": "Int64"})
+                        ident = index.ids[item]
+                        out.append((idents[a + d], None if ident is None else str(ident), cost, 1 - cost / n, first, end - first))
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits", "similarity", "first_word", "n_words"])
 
-        found = found.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema))
+        found = found.union(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema))
     nearest = F.min(F.struct("edits", "first_word", "n_words", "similarity")).alias("best")
     out = found.groupBy("doc_id", "item_id").agg(nearest, F.countDistinct("first_word").alias("n_spans"))
-    return out.select("doc_id", "item_id", "best.edits", "best.similarity", "best.first_word", "best.n_words", "n_spans")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"), "best.edits", "best.similarity", "best.first_word", "best.n_words", "n_spans")
 
 
 def op2_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,8 +126,10 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 "doc_id": pdf["doc_id"], "n_shingles": sizes, "set_key": keys,
                 "regs": [r.tobytes() for r in regs], "bands": list(value)})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_shingles long, set_key binary, regs binary, bands array<long>")
+    # ids are strings in Python: pandas turns whole numbers beside a null into floats
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        run, "doc_id string, n_shingles long, set_key binary, regs binary, bands array<long>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class _Classes:
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     dealt = full.withColumn("chunk", chunk).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     bundle = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(
-        -F.abs(F.col("component")) - 1)
+        -F.pmod(F.xxhash64("component"), F.lit(1 << 62)) - 1)
     dealt = dealt.select(bundle.alias("bundle"), F.least("chunk", "other").alias("lo"),
                          F.greatest("chunk", "other").alias("hi"), "component", "chunk", "rep", "regs", "items")
 

@@ -110,6 +110,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_by
     # No more entries than words times orders.
     bits = max(2, int(np.ceil(np.log2(parts_for(corpus * order, range_entries)))))
     dealt = docs.select("doc_id", "text").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    # ids are strings in Python: pandas turns whole numbers beside a null into floats
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def distinct(texts: list):
         doc, words = chunk_words(texts)
@@ -152,11 +154,12 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_by
             places.append(at)
             numbers.append(back)
         total, size, full = log_scores(doc, len(own), totals, places, numbers, corpus, alpha)
-        return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "n_words": size, "log_score": total,
+        return pd.DataFrame({"doc_id": own["doc_id"], "n_words": size, "log_score": total,
                              "mean_log_score": total / np.maximum(size, 1), "full_order": full})
 
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        score, "doc_id long, n_words long, log_score double, mean_log_score double, full_order long")
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        score, "doc_id string, n_words long, log_score double, mean_log_score double, full_order long")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

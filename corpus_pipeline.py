@@ -11,12 +11,13 @@ last return the columns of ``docs``.
 5. shards    documents get a shard and a gapless slot
 
 Stages 2 and 3 judge rows by id and text, so one with a null ``doc_id``, or one of several texts of an id, is
-judged by its own text.  Rows equal in both count once; of a class the smallest id stays, a null id last.
+judged by its own text.  Rows equal in both count once; of a class the smallest id stays, a null id last.  Documents
+without a word have no share in the mix and leave there.  Columns of any other name pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import bin_pack, cgk_decontaminate, compress_quality, setsketch_dedup, source_mix
@@ -29,31 +30,58 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The labels say what good text is for these ids, so the model learns from the stage's own rows.
     """
     model = compress_quality.train(docs, table(spark, sf_dir, "labels"))
-    return compress_quality.score(docs, model, "_score", "_good").where("_good = 1").select(*docs.columns)
+    score, good = unused(docs, "score"), unused(docs, "good")
+    return compress_quality.score(docs, model, score, good).where(F.col(good) == 1).select(*docs.columns)
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a hash of id and text (not negative)."""
-    return docs.withColumn("_row", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    have = {c.lower() for c in docs.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+def rows_of(docs: DataFrame, name: str, bits: int = 63) -> DataFrame:
+    """``docs`` with the column ``name``, a whole number that tells (id, text) pairs apart.
+
+    It is a hash of the pair of ``bits`` bits.  Pairs that share their hash (about ``n * n / 2**64`` of n rows) are found by
+    a second, 128-bit hash and get negative numbers of their own.
+    """
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - bits)
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"),
+                    F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit("null")))
+    sign = unused(docs, "sign")
+    keyed = docs.withColumn(name, key)
+    pairs = docs.select(key.alias("k"), F.md5(text).alias("s")).distinct()
+    shared = pairs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    if shared.isEmpty():
+        return keyed
+    clash = materialize(pairs.join(shared, "k").select("k", "s", (-F.row_number().over(Window.orderBy("k", "s"))).cast("long").alias("own")), "clash")
+    keyed = keyed.withColumn(sign, F.md5(text))
+    out = keyed.join(clash, (F.col(name) == F.col("k")) & (F.col(sign) == F.col("s")), "left")
+    return out.withColumn(name, F.coalesce("own", name)).select(*docs.columns, name)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest id of each near-duplicate class, once."""
-    rows = rows_of(docs)
-    classes = setsketch_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
-    classes = classes.select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    named = rows.select("_row", "doc_id").distinct().join(classes, "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row")).alias("first")
-    keep = named.groupBy("component_id").agg(first).select("first._row")
+    row = unused(docs, "row_key")
+    rows = rows_of(docs, row)
+    classes = setsketch_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width=5, percent=80)
+    classes = classes.select(F.col("doc_id").alias(row), "component_id").distinct()
+    named = rows.select(row, "doc_id").distinct().join(classes, row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", row)).alias("first")
+    keep = named.groupBy("component_id").agg(first).select(F.col("first")[row].alias(row))
     # Repeated rows of a document that stays: one of them.
-    return rows.join(keep.distinct(), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return rows.join(keep.distinct(), row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows that hold a benchmark item."""
-    rows = rows_of(docs)
-    found = cgk_decontaminate.find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "row_key")
+    rows = rows_of(docs, row)
+    found = cgk_decontaminate.find_leaks(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,26 @@ def test_rows_are_judged_by_their_own_text(spark):
     assert left(P.leaks(spark, rows, SF0001)) == sorted([(1, plain), (2, other), (None, plain)], key=str)
     rows = make([(None, plain), (5, plain), (5, plain), (5, other), (4, plain), (None, item), (None, item), (6, None), (7, "")])
     assert left(P.dedup(spark, rows, SF0001)) == sorted([(4, plain), (5, other), (None, item), (6, None), (7, "")], key=str)
+
+
+def test_row_keys_tell_pairs_apart_even_where_hashes_meet(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, None), (2, None), (3, ""), (3, "null"), (1, "a"), (None, None)]
+    df = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, row_key int, sign int")
+    for bits in (63, 2, 1):
+        keyed = P.rows_of(df, "key", bits).collect()
+        by_key = {}
+        for r in keyed:
+            by_key.setdefault(r.key, set()).add((r.doc_id, r.text))
+            assert (r.row_key, r.sign) == (5, 6)
+        assert len(keyed) == len(rows) and len(by_key) == len(set(rows)) and all(len(v) == 1 for v in by_key.values())
+
+
+def test_input_columns_of_any_name_and_very_long_texts_pass_through(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    rows = [(i, f"a plain document number {i} that says something of its own in words {i * 7}", "s", 77, 1.5) for i in range(6)] + [(9, long, "s", 77, 1.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row_key long, score double")
+    for stage in (P.dedup, P.leaks):
+        assert sorted(map(tuple, stage(spark, df, SF0001).collect())) == sorted(rows)
+    assert {(r.row_key, r.score) for r in P.mix(spark, df, SF0001).collect()} == {(77, 1.5)}
+    got = P.shards(spark, df, SF0001).collect()
+    assert {(r.doc_id, r.row_key, r.score) for r in got} == {(r[0], 77, 1.5) for r in rows}

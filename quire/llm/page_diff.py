@@ -4,21 +4,22 @@ A page is cut into blocks of text (its lines).  Lines inside menus, page headers
 footers, sidebars, notices, adverts, forms, reader comments and other non-text elements are
 marked as chrome by their element, class or id, unless the element so marked wraps the page's
 ``article`` or ``main``, or most of the text of a page (or article) without any outside it.  What markup does not tell
-is told by the nearest page: pages of a host are ordered by URL path, each is paired with
-the neighbour that shares the longer path prefix, the lines of both are aligned by
-longest common subsequence, and aligned (shared) lines are template text and are deleted.
-
-Differencing alone would delete the article of a page whose neighbour is a copy
-of it.  So lines inside an ``article`` or ``main`` element are kept even if shared,
-and if all open lines of a page are shared with its neighbour, it is a copy and they stay.
-
-Pairing sorts narrow rows (path and line hashes) over range partitions; only the
-first and last row of each partition are looked up across partitions, so a host with a third of all
-pages is no task of its own.  The alignment is bit-parallel with
+(lines outside any ``article`` or ``main``, and inside them those of elements whose class merely contains a chrome word, as in
+``notice-board``) is told by the nearest page that is not a copy: pages of a host are ordered by URL path, each is paired with
+the neighbour on either side with other lines that shares the longer path prefix, the lines of both are aligned by
+longest common subsequence, and the aligned (shared) lines that are open are template text and are deleted.  If all
+text of a page is shared, the page is part of its neighbour, and stays.
+
+Tags are read as browsers read them, in linear time: quotes count only around attribute values, and
+a comment or tag that is never closed ends with the page.
+
+A page's lines are written once, compressed; only URLs and line hashes are ordered and
+joined.  Pairing sorts narrow rows over range partitions; only the first and last row of each partition are looked
+up across partitions, so a host with a third of all pages is no task of its own.  The alignment is bit-parallel with
 divide and conquer, exact at any length, in memory linear in the number of lines.
 
 Defined results: null or empty html gives an empty text; a null url has no host and is
-paired among such pages; repeated rows are paired like others (copies, see above); a host with one page
+paired among such pages; repeated rows are copies of each other and are compared with the next other page; a host with one page
 is told by markup alone; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,13 +27,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quire.llm.common import materialize, table
 
@@ -57,28 +62,36 @@ CHROME_WORDS = {
     "share", "sharing", "social", "related", "recommended", "widget", "comment", "comments", "respond", "disqus", "replies",
     "search", "pagination", "pager", "toolbar", "complementary", "contentinfo", "form", "skip", "copyright"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+# One attribute; an open quote without its end takes the rest of the page.
+_ATTRIBUTE = re.compile(
+    r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
+_TAG_END = re.compile(r"[\s/]*>")
+ATTRIBUTES = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 # A class that says which parts the page has, as in has-header or no-sidebar, is no mark.
 ABOUT = {"has", "no", "with", "without"}
 READERS = {"comment", "comments", "respond", "disqus", "replies"}
+# Words that say where or how a part is shown, and nothing of what it holds.
+SHAPE = {"area", "bar", "block", "body", "bottom", "box", "boxes", "btn", "button", "buttons", "card", "cell", "col", "column",
+         "container", "content", "desktop", "element", "float", "global", "group", "grid", "holder", "icon", "icons", "inline", "inner", "item",
+         "items", "large", "layout", "left", "link", "links", "list", "main", "medium", "mobile", "module", "nav", "outer", "overlay", "page",
+         "pane", "panel", "part", "post", "posts", "primary", "region", "right", "root", "row", "secondary", "section", "site", "slot",
+         "small", "sticky", "text", "title", "tools", "top", "unit", "view", "wrap", "wrapper", "zone"}
 CHROME_LINE, OPEN_LINE, MAIN_LINE = 0, 1, 2
-NONE, WEAK, STRONG = 0, 1, 2
+NONE, WEAK, STRONG, DOUBT = 0, 1, 2, 3
 
 
-def chrome_mark(tag: str, rest: str, in_main: bool) -> int:
-    """How surely an element is chrome: WEAK marks are also found on wrappers of whole pages."""
+def chrome_mark(tag: str, attributes: dict[str, str], in_main: bool) -> int:
+    """How surely an element is chrome: WEAK marks are also found on wrappers of whole pages, DOUBT leaves an article's part open."""
     if tag in CHROME and not (tag == "header" and in_main):
         return WEAK if tag in ("form", "header") else STRONG
-    if tag in ("html", "body") or tag in MAIN or not rest:
+    if tag in ("html", "body") or tag in MAIN or not attributes:
         return NONE
-    mark = NONE
-    for name, a, b, c in _ATTR.findall(rest):
-        name, value = name.lower(), (a or b or c).lower()
+    mark, doubt = NONE, False
+    for name, value in attributes.items():
+        value = value.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return STRONG
         if name == "style":
@@ -88,8 +101,11 @@ def chrome_mark(tag: str, rest: str, in_main: bool) -> int:
             for one in value.split():
                 words = _WORDS.findall(one)
                 if words and words[0] not in ABOUT and CHROME_WORDS.intersection(words):
-                    mark = max(mark, STRONG if in_main and READERS.intersection(words) else WEAK)
-    return mark
+                    if in_main and not all(w in CHROME_WORDS or w in SHAPE for w in words):
+                        doubt = True
+                    else:
+                        mark = max(mark, STRONG if in_main and READERS.intersection(words) else WEAK)
+    return DOUBT if mark == NONE and doubt else mark
 
 
 def line_kinds(parent: list[int], tags: list[str], marks: list[int], lines: list[tuple[str, int]]) -> list[int]:
@@ -98,6 +114,8 @@ def line_kinds(parent: list[int], tags: list[str], marks: list[int], lines: list
     Marks of wrappers are taken off first, from the outside in.
     """
     size = len(parent)
+    doubt = [m == DOUBT for m in marks]
+    marks = [NONE if m == DOUBT else m for m in marks]
     chars, told = [0] * size, [0] * size  # characters in an element, and of them in article or main
     bare = [0] * size  # characters in an element outside marked ones in it
     has_main, within, chrome = [False] * size, [-1] * size, [False] * size
@@ -127,6 +145,7 @@ def line_kinds(parent: list[int], tags: list[str], marks: list[int], lines: list
         up = parent[e]
         if up >= 0:  # the article or main that holds the element
             within[e] = up if tags[up] in MAIN else within[up]
+            doubt[e] |= doubt[up]
         hidden = up >= 0 and chrome[up]
         keeps = marks[e] == NONE
         if not keeps and not hidden:
@@ -141,8 +160,31 @@ def line_kinds(parent: list[int], tags: list[str], marks: list[int], lines: list
             if keeps:
                 free += bare[e]
         chrome[e] = hidden or not keeps
-    return [OPEN_LINE if e < 0 else CHROME_LINE if chrome[e] else MAIN_LINE if tags[e] in MAIN or within[e] >= 0 else OPEN_LINE
-            for _, e in lines]
+    return [OPEN_LINE if e < 0 else CHROME_LINE if chrome[e] else MAIN_LINE if (tags[e] in MAIN or within[e] >= 0) and not doubt[e]
+            else OPEN_LINE for _, e in lines]
+
+
+def read_tag(source: str, at: int) -> tuple[str, dict[str, str], bool, int]:
+    """(name, the attributes that matter, ends in a slash, place after it) of the tag whose name begins at ``at``."""
+    name = _TAG.match(source, at)
+    at, size = name.end(), len(source)
+    attributes: dict[str, str] = {}
+    while at < size:
+        if end := _TAG_END.match(source, at):
+            return name[0].lower(), attributes, source[end.end() - 2] == "/", end.end()
+        one = _ATTRIBUTE.match(source, at)
+        if not one:
+            break
+        if (key := one[1].lower()) in ATTRIBUTES:
+            attributes.setdefault(key, one[2] or one[3] or one[4] or "")
+        at = one.end()
+    return name[0].lower(), attributes, False, size
+
+
+def _after(source: str, text: str, at: int) -> int:
+    """The place after ``text``, or the end."""
+    found = source.find(text, at)
+    return found + len(text) if found >= 0 else len(source)
 
 
 def page_lines(source: str) -> list[tuple[str, int]]:
@@ -161,54 +203,69 @@ def page_lines(source: str) -> list[tuple[str, int]]:
                 lines.append((joined, stack[-1][3] if stack else -1))
             text.clear()
 
+    held: Counter = Counter()  # open elements by tag
+
+    def end_from(k: int) -> None:
+        for entry in stack[k:]:
+            held[entry[0]] -= 1
+        del stack[k:]
+
+    def end_last(tag: str) -> None:
+        if held[tag] > 0:
+            k = len(stack) - 1
+            while stack[k][0] != tag:
+                k -= 1
+            end_from(k)
+
     at, size = 0, len(source)
     while at < size:
         lt = source.find("<", at)
         if lt < 0:
             lt = size
         if lt > at and stack and stack[-1][0] == "head" and not source[at:lt].isspace():
-            stack.pop()
+            end_from(len(stack) - 1)
         if lt > at and not (stack and stack[-1][1]):
             text.append(source[at:lt])
         if lt == size:
             break
-        m = _TOKEN.match(source, lt)
-        if not m:
+        mark = source[lt + 1 : lt + 2]
+        close = mark == "/"
+        if mark == "!":
+            at = (_after(source, "-->", lt + 2) if source.startswith("<!--", lt) else _after(source, "]]>", lt)
+                  if source.startswith("<![CDATA[", lt) else _after(source, ">", lt))
+            continue
+        if mark == "?":
+            at = _after(source, ">", lt)
+            continue
+        if not _TAG.match(source, lt + 1 + close):
             if not (stack and stack[-1][1]):
                 text.append("<")
             at = lt + 1
             continue
-        at = m.end()
-        if m["tag"] is None:
-            continue
-        tag = m["tag"].lower()
-        if m["close"]:
+        tag, attributes, slash, at = read_tag(source, lt + 1 + close)
+        if close:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            end_last(tag)
             continue
-        if tag not in HEAD and stack and (stack[-1][0] == "head" or tag == "body"):
-            for k, entry in enumerate(stack):
-                if entry[0] == "head":
-                    del stack[k:]
-                    break
+        if tag not in HEAD and held["head"] > 0 and (stack[-1][0] == "head" or tag == "body"):
+            end_from(next(k for k, entry in enumerate(stack) if entry[0] == "head"))
         if tag == "br":
             text.append(" ")
             continue
         if tag in BLOCK:
             flush()
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th") or tag in BLOCK and stack and stack[-1][0] == "p":
-                _close_implied(stack, tag)
-        if tag in VOID or m["rest"].endswith("/") and tag not in BLOCK and tag not in RAW:
+                if (k := _implied_end(stack, tag)) >= 0:
+                    end_from(k)
+        if tag in VOID or slash and tag not in BLOCK and tag not in RAW:
             continue
         _, silent, main, up = stack[-1] if stack else ("", False, False, -1)
         parent.append(up)
         tags.append(tag)
-        marks.append(chrome_mark(tag, m["rest"], main))
+        marks.append(chrome_mark(tag, attributes, main))
         stack.append((tag, silent or tag in SILENT, main or tag in MAIN, len(tags) - 1))
+        held[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(source, at)
             at = end.start() if end else size
@@ -216,8 +273,8 @@ def page_lines(source: str) -> list[tuple[str, int]]:
     return [(x, kind) for (x, _), kind in zip(lines, line_kinds(parent, tags, marks, lines))]
 
 
-def _close_implied(stack: list, tag: str) -> None:
-    """End an open element that the start of ``tag`` ends: a paragraph, or an item of the same list or row.
+def _implied_end(stack: list, tag: str) -> int:
+    """Where the open element begins that the start of ``tag`` ends: a paragraph, or an item of the same list or row; else -1.
 
     Inline elements left open inside it end with it.
     """
@@ -225,10 +282,10 @@ def _close_implied(stack: list, tag: str) -> None:
             "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}.get(tag, {"p"})
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] in ends:
-            del stack[k:]
-            return
+            return k
         if stack[k][0] in BLOCK:
-            return
+            break
+    return -1
 
 
 def _row(a: list, b: list) -> np.ndarray:
@@ -271,67 +328,101 @@ def common(a: list, b: list) -> list[int]:
 
 
 def kept_lines(kinds: list[int], own: list, other: list | None) -> list[int]:
-    """Positions of the lines that are main text, given the line hashes of the nearest page."""
-    open_lines = [i for i, k in enumerate(kinds) if k == OPEN_LINE]
-    if other and open_lines:
+    """Positions of the lines that are main text, given the line hashes of the nearest other page."""
+    told = [i for i, k in enumerate(kinds) if k != CHROME_LINE]
+    if other and any(kinds[i] == OPEN_LINE for i in told):
         shared = set(common(own, other))
-        rest = [i for i in open_lines if i not in shared]
-        open_lines = rest or open_lines
-    return sorted(open_lines + [i for i, k in enumerate(kinds) if k == MAIN_LINE])
+        if not shared.issuperset(told):
+            return [i for i in told if kinds[i] == MAIN_LINE or i not in shared]
+    return told
+
+
+def line_hashes(lines: list[str]) -> bytes:
+    return b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines)
+
+
+def packed(lines: list[tuple[str, int]]) -> bytes:
+    """The lines and kinds of a page, compressed; no line holds a line end."""
+    body = bytes(k for _, k in lines) + "\n".join(x for x, _ in lines).encode("utf-8", "surrogatepass")
+    return len(lines).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def unpacked(data: bytes) -> tuple[list[str], list[int]]:
+    n = int.from_bytes(data[:4], "little")
+    body = zstandard.ZstdDecompressor().decompress(data[4:])
+    return body[n:].decode("utf-8", "surrogatepass").split("\n") if n else [], list(body[:n])
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, path, lines, kinds`` of every page."""
+    """``page_id, url, host, path, lines, hashes, sign`` of every page; ``lines`` is packed, ``sign`` tells pages of other lines."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cut = [page_lines(h or "") for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"],
-                                "lines": [[x for x, _ in c] for c in cut], "kinds": [[k for _, k in c] for c in cut]})
+            hashes = [line_hashes([x for x, _ in c]) for c in cut]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "lines": [packed(c) for c in cut], "hashes": hashes,
+                                "sign": [int.from_bytes(blake2b(h, digest_size=8).digest(), "little", signed=True) for h in hashes]})
 
-    out = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(
-        run, "page_id long, url string, lines array<string>, kinds array<int>")
+    # ids are strings in Python: pandas turns whole numbers beside a null into floats
+    out = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html").mapInPandas(
+        run, "page_id string, url string, lines binary, hashes binary, sign long")
     parts = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)", 0)
     host = F.lower(F.regexp_extract(parts, r"//([^/?#]*)", 1))
     path = F.when(parts == "", F.coalesce("url", F.lit(""))).otherwise(F.regexp_extract(parts, r"//[^/?#]*(.*)", 1))
     return out.withColumn("host", host).withColumn("path", path)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, n_shared`` of every row of ``pages``."""
-    cut = materialize(parse(pages), "lines").withColumn("row", F.monotonically_increasing_id())
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    narrow = cut.select("row", "host", "path", "page_id", hashes.alias("hashes"))
-    ranged = narrow.repartitionByRange("host", "path", "page_id", "row").withColumn("pid", F.spark_partition_id())
-    ranged = materialize(ranged, "ranged")
+@F.pandas_udf(IntegerType())
+def _shared_prefix(own: pd.Series, other: pd.Series) -> pd.Series:
+    """Characters that two paths share from the beginning; -1 without another path."""
+    return pd.Series([-1 if b is None else len(commonprefix([a, b])) for a, b in zip(own, other)], dtype="int32")
+
+
+def nearest(cut: DataFrame) -> DataFrame:
+    """``row, other``: of every page that has one, the nearest page of its host with other lines."""
+    ranged = cut.select("row", "host", "path", "page_id", "sign").repartitionByRange("host", "path", "page_id", "row")
+    ranged = materialize(ranged.withColumn("pid", F.spark_partition_id()), "ranged")
     order = ["host", "path", "page_id", "row"]
-    item = F.struct("host", "path", "hashes")
-    inside = Window.partitionBy("pid").orderBy(*order)
+    item = F.struct("host", "path", "sign", "row")
+    ahead = Window.partitionBy("pid").orderBy(*order)
+    back = Window.partitionBy("pid").orderBy(*[F.desc(c) for c in order])
     # First and last rows of the partitions: two rows each, whatever the number of pages.
     ends = ranged.groupBy("pid").agg(F.min_by(item, F.struct(*order)).alias("first"), F.max_by(item, F.struct(*order)).alias("last"))
     across = Window.orderBy("pid")
     ends = ends.select("pid", F.lag("last").over(across).alias("before"), F.lead("first").over(across).alias("after"))
-    near = ranged.withColumn("prev", F.lag(item).over(inside)).withColumn("next", F.lead(item).over(inside)).join(ends, "pid")
-    near = near.select("row", "host", "path", "hashes", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
-    side = lambda c: F.when(F.col(c)["host"] == F.col("host"), F.col(c))
+    # the page before a run of equal pages, carried through the run; the same backwards
+    near = ranged.withColumn("_prev", F.when(F.lag("sign").over(ahead) != F.col("sign"), F.lag(item).over(ahead)))
+    near = near.withColumn("_next", F.when(F.lag("sign").over(back) != F.col("sign"), F.lag(item).over(back)))
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("prev", F.last("_prev", ignorenulls=True).over(so_far(ahead)))
+    near = near.withColumn("next", F.last("_next", ignorenulls=True).over(so_far(back))).join(ends, "pid")
+    side = lambda c: F.when((F.col(c)["host"] == F.col("host")) & (F.col(c)["sign"] != F.col("sign")), F.col(c))
+    near = near.select("row", "path", "host", "sign", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
     near = near.withColumn("prev", side("prev")).withColumn("next", side("next"))
-    near = near.select("row", F.col("path").alias("own_path"), "hashes", F.col("prev.path").alias("prev_path"), F.col("prev.hashes").alias("prev_hashes"),
-                       F.col("next.path").alias("next_path"), F.col("next.hashes").alias("next_hashes"))
+    near = near.withColumn("b", _shared_prefix("path", F.col("prev.path"))).withColumn("a", _shared_prefix("path", F.col("next.path")))
+    return near.select("row", F.when(F.col("a") > F.col("b"), F.col("next.row")).otherwise(F.col("prev.row")).alias("other")).where("other is not null")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """``page_id, url, text, n_chars, n_shared`` of every row of ``pages``; ``n_shared`` counts lines that differencing deleted."""
+    cut = materialize(parse(pages).withColumn("row", F.monotonically_increasing_id()), "lines")
+    near = nearest(cut).join(cut.select(F.col("row").alias("other"), "hashes"), "other").select("row", "hashes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, shared = [], []
-            for r in pdf.itertuples(index=False):
-                ahead = -1 if r.next_path is None else len(commonprefix([r.own_path, r.next_path]))
-                back = -1 if r.prev_path is None else len(commonprefix([r.own_path, r.prev_path]))
-                other = None if max(ahead, back) < 0 else r.next_hashes if ahead > back else r.prev_hashes
-                keep = kept_lines(list(r.kinds), list(r.hashes), None if other is None else list(other))
-                texts.append("\n\n".join(r.lines[i] for i in keep))
-                shared.append(sum(k == OPEN_LINE for k in r.kinds) - sum(r.kinds[i] == OPEN_LINE for i in keep))
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts,
+            for data, hashes in zip(pdf["lines"], pdf["hashes"]):
+                lines, kinds = unpacked(data)
+                open_lines = OPEN_LINE in kinds
+                numbers = lambda x: np.frombuffer(x, np.int64).tolist()
+                keep = kept_lines(kinds, numbers(line_hashes(lines)) if open_lines else [], numbers(hashes) if open_lines and hashes else None)
+                texts.append("\n\n".join(lines[i] for i in keep))
+                shared.append(sum(k != CHROME_LINE for k in kinds) - len(keep))
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts,
                                 "n_chars": [len(t) for t in texts], "n_shared": shared})
 
-    both = cut.select("row", "page_id", "url", "lines", "kinds").join(near, "row")
-    return both.mapInPandas(run, "page_id long, url string, text string, n_chars long, n_shared long")
+    both = cut.select("row", "page_id", "url", "lines").join(near, "row", "left").select("page_id", "url", "lines", "hashes")
+    out = both.mapInPandas(run, "page_id string, url string, text string, n_chars long, n_shared long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def op1_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +105,57 @@ def test_chrome_words_on_wrappers_do_not_drop_the_page():
     # teasers are not the page, whatever their element
     assert kept("<p>the text of the page itself</p><div class=related><article>a teaser</article></div>") == ["the text of the page itself"]
     assert kept("<div class=widget>" * 3000 + "<p>deep") == ["deep"]
+
+
+def told(page):
+    return [x for x, k in P.page_lines(page) if k != P.CHROME_LINE]
+
+
+def test_attributes_are_read_as_browsers_read_them():
+    assert told("<article><p data-x=it's>Kept text here</p><p>more</p><p>I don't know</p></article>") == ["Kept text here", "more", "I don't know"]
+    assert told('<p title="a hidden gem">shown</p><p alt=\'x class=ad\'>too</p><p data-class=ad>three</p>') == ["shown", "too", "three"]
+    assert told('<p hidden>no</p><p class="ad">no</p><p CLASS = ad>no</p><p class=a id=x>yes</p><p class=a class=ad>first counts</p>') == ["yes", "first counts"]
+    assert told("<p a=b/>one</p>x<br/>y<p/>two<a href=x>link</a> end") == ["one", "x y", "twolink end"]
+    assert told("one<p class=\"never closed>two") == ["one"] and told("x <!-- never closed <p>y") == ["x"]
+    assert told("a < b <3 </> c<!-->d<!x>e<?y?>f") == ["a < b <3 </> cdef"]
+
+
+def test_malformed_pages_take_linear_time():
+    start = time.process_time()
+    for page in ("<a " * 1_700_000 + '"', "<a \"" * 1_000_000, "<b>" * 200_000 + "</i>" * 200_000, "<p " + " " * 5_000_000 + ">x", "<!" * 1_000_000,
+                 "<p" + " a" * 1_000_000 + ">x", "<a x=" * 500_000, "<body>" * 100_000 + "<p>x" * 100_000):
+        P.page_lines(page)
+    assert time.process_time() - start < 120
+
+
+def test_class_words_inside_an_article_leave_it_open(spark):
+    page = lambda n, own: (f"<article><h1>Title {n}</h1><p>first text of {n}</p><div class='form-of-life'><p>{own}</p></div>"
+                           f"<h4 class=notice-board>Board {n}</h4><div class='search-results'>found {n}</div><p class=share-box>tell {n}</p></article>")
+    lines = dict(P.page_lines(page(1, "x")))
+    assert lines["x"] == lines["found 1"] == P.OPEN_LINE and lines["Board 1"] != P.CHROME_LINE and lines["tell 1"] == P.CHROME_LINE
+    rows = [(i, f"http://h/a/{i}", page(i, "Share this with all your friends" if i else "said once")) for i in range(4)]
+    got = {r.page_id: r for r in P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].text == "Title 0\n\nfirst text of 0\n\nsaid once\n\nBoard 0\n\nfound 0"
+    # the neighbour with the same line tells that it is template text
+    assert "Share this" not in got[2].text and got[2].n_shared == 1 and got[2].text.endswith("Board 2\n\nfound 2")
+
+
+def test_copies_are_compared_with_the_next_other_page(spark):
+    page = lambda t: f"<body><p>Welcome</p><p>{t}</p><p>Imprint</p></body>"
+    rows = [(i, f"http://c/{i:03d}", page("copied" if 3 <= i < 30 else f"own {i}")) for i in range(33)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in P.main_text(df).collect()}
+    lone = [i for i, t in got.items() if t not in ("copied", f"own {i}")]
+    # at a partition's border a whole run of copies may have no other page in sight
+    assert len(lone) <= 27 and all(got[i] == f"own {i}" for i in (0, 1, 31, 32))
+    one = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert {r.page_id: r.text for r in P.main_text(one).collect()} == {i: "copied" if 3 <= i < 30 else f"own {i}" for i in range(33)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_packed_lines_come_back():
+    for lines in ([], [("", 1)], [("a", 0), ("é \u2028 x", 2)]):
+        assert P.unpacked(P.packed(lines)) == ([x for x, _ in lines], [k for _, k in lines])

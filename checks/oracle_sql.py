@@ -114,6 +114,17 @@ pre AS (
 _EDGES = """
 edges AS (
   SELECT slug AS src, unnest(deps) AS dst, generate_subscripts(deps, 1) - 1 AS ord FROM concepts WHERE deps IS NOT NULL)"""
+# Concepts reachable through dependencies, by shortest depth.
+_REACH = """
+live AS (SELECT DISTINCT e.src, e.dst FROM edges e JOIN concepts c ON c.slug = e.dst),
+reach AS (
+  WITH RECURSIVE r(root, slug, depth) USING KEY (root, slug) AS (
+    SELECT src, dst, 1 FROM live WHERE dst <> src
+    UNION
+    SELECT r.root, e.dst, r.depth + 1 FROM r JOIN live e ON e.src = r.slug
+    LEFT JOIN recurring.r AS prev ON prev.root = r.root AND prev.slug = e.dst
+    WHERE prev.slug IS NULL AND e.dst <> r.root)
+  SELECT * FROM r)"""
 
 ORACLE.update(
     {
@@ -134,6 +145,22 @@ ORACLE.update(
             "," + _EDGES + "\nSELECT DISTINCT e.dst AS slug, e.src AS dependent_slug, s.title AS dependent_title "
             "FROM edges e JOIN concepts t ON t.slug = e.dst JOIN concepts s ON s.slug = e.src"
         ).replace(")\n,\nedges AS", "),\nedges AS"),
+        "get_concept_tree": with_concepts(
+            "," + _EDGES + """,
+live AS (SELECT e.src, e.dst, lpad(CAST(min(e.ord) AS VARCHAR), 6, '0') AS place FROM edges e JOIN concepts c ON c.slug = e.dst
+         WHERE e.src <> e.dst GROUP BY 1, 2),
+r AS (
+  WITH RECURSIVE r(root, slug, parent, key) USING KEY (root, slug) AS (
+    SELECT DISTINCT src, src, NULL::VARCHAR, '' FROM live
+    UNION
+    SELECT r.root, e.dst, arg_min(r.slug, r.key || e.place), min(r.key || e.place)
+    FROM r JOIN live e ON e.src = r.slug LEFT JOIN recurring.r AS had ON had.root = r.root AND had.slug = e.dst
+    WHERE e.dst <> r.root AND (had.slug IS NULL OR r.key || e.place < had.key)
+    GROUP BY r.root, e.dst)
+  SELECT * FROM r)
+SELECT r.root, row_number() OVER (PARTITION BY r.root ORDER BY r.key) - 1 AS position, r.slug, r.parent,
+  CAST(length(r.key) / 6 AS INTEGER) AS depth, c.title, c.type FROM r JOIN concepts c ON c.slug = r.slug"""
+        ).replace(")\n,\nedges AS", "),\nedges AS"),
         "resolve_dependencies": with_concepts(
             "," + _EDGES + """,
 live AS (SELECT DISTINCT e.src, e.dst FROM edges e JOIN concepts c ON c.slug = e.dst),
@@ -148,7 +175,7 @@ r AS (
 SELECT root, slug, CAST(depth AS INTEGER) AS depth FROM r"""
         ).replace(")\n,\nedges AS", "),\nedges AS"),
         "get_concept": with_concepts(
-            "," + _PREFIXES + "," + _EDGES + """
+            "," + _PREFIXES + "," + _EDGES + "," + _REACH + """
 SELECT slug, 'self' AS relation, slug AS other_slug, 0 AS ord, title, type, description,
   CAST(to_json(tags) AS VARCHAR) AS tags, status, source, timestamp, resource, body_length,
   CAST(floor((body_length + 2) / 4) AS BIGINT) AS approx_tokens, body FROM concepts
@@ -160,7 +187,10 @@ SELECT c.child_slug AS slug, 'referenced_by' AS relation, c.prefix AS other_slug
 FROM pre c JOIN concepts a ON a.slug = c.prefix
 UNION ALL BY NAME
 SELECT e.src AS slug, 'dependency' AS relation, e.dst AS other_slug, CAST(e.ord AS INTEGER) AS ord, c.title
-FROM edges e LEFT JOIN concepts c ON c.slug = e.dst"""
+FROM edges e LEFT JOIN concepts c ON c.slug = e.dst
+UNION ALL BY NAME
+SELECT r.root AS slug, 'resolved' AS relation, r.slug AS other_slug, CAST(r.depth AS INTEGER) AS ord, c.title, c.type
+FROM reach r JOIN concepts c ON c.slug = r.slug"""
         ).replace(")\n,\npre AS", "),\npre AS"),
     }
 )

@@ -9,7 +9,7 @@ the visited set, each level written to the checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import approx_tokens
@@ -158,6 +158,62 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def positions(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in its group under ``order``.
+
+    A range sort over all groups, counts per group and partition, and the rows counted
+    inside each: no group meets in one task.
+    """
+    ranged = df.repartitionByRange(group, *order).withColumn("_pid", F.spark_partition_id())
+    ranged = materialize(ranged, "positions")  # written, so that counts and places see the same partitions
+    counts = ranged.groupBy(group, "_pid").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, "_pid").orderBy(*order)
+    placed = ranged.withColumn("_at", F.row_number().over(inside) - 1).join(starts, [group, "_pid"])
+    return placed.withColumn(out, (F.col("_start") + F.col("_at")).cast("long")).drop("_pid", "_at", "_start")
+
+
+# Digits of a dependency's place in its list, in a path key.
+_PLACE_DIGITS = 6
+
+
+def dependency_tree(concepts: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """The nested depth-first tree of every root (of the key batch ``roots(slug)``, else of all concepts with dependencies).
+
+    ``root, position, slug, parent, depth``: what a depth-first walk with one visited set per root
+    reaches, in the order in which it is entered (the root at 0).  Dependencies are walked in their declared order; missing slugs and those
+    entered before are left out, so cycles end.
+
+    The walk enters every concept by the path whose places in the dependency lists come first lexicographically (any
+    concept that a smaller path could use is still unentered when the walk gets there).  So the tree needs no walk: each
+    round extends the paths that became smaller by one edge and keeps the smallest per root and slug.  Only improved paths
+    travel; a round is written to the checkpoint folder, and rounds end when no path gets smaller.
+    """
+    spark = concepts.sparkSession
+    checkpoint_dir(spark)
+    existing = concepts.select(F.col("slug").alias("dst")).distinct()
+    e = edges(concepts).where("src <> dst").groupBy("src", "dst").agg(F.min("ord").alias("ord")).join(existing, "dst", "left_semi")
+    e = materialize(e.select("src", "dst", F.lpad(F.col("ord").cast("string"), _PLACE_DIGITS, "0").alias("place")), "tree-edges")
+    starts = _keyed(concepts.select("slug"), roots).distinct()
+    starts = starts if roots is not None else starts.join(e.select(F.col("src").alias("slug")).distinct(), "slug", "left_semi")
+    first = starts.select(F.col("slug").alias("root"), "slug", F.lit(None).cast("string").alias("parent"), F.lit("").alias("key"))
+    best = fresh = materialize(first, "tree")
+    smallest = F.min(F.struct("key", "parent")).alias("s")
+    while True:
+        step = fresh.join(e, fresh["slug"] == e["src"]).where("dst <> root").select(
+            "root", F.col("dst").alias("slug"), F.col("src").alias("parent"), F.concat("key", "place").alias("key"))
+        step = step.groupBy("root", "slug").agg(smallest).select("root", "slug", "s.parent", "s.key")
+        known = best.select("root", "slug", F.col("key").alias("had"))
+        fresh = materialize(step.join(known, ["root", "slug"], "left").where("had IS NULL OR key < had").drop("had"), "tree-step")
+        if fresh.isEmpty():
+            break
+        kept = best.join(fresh.select("root", "slug"), ["root", "slug"], "left_anti")
+        best = materialize(kept.unionByName(fresh), "tree")
+    tree = positions(best, "root", ["key", "slug"], "position")
+    return tree.select("root", "position", "slug", "parent", (F.length("key") / _PLACE_DIGITS).cast("int").alias("depth"))
+
+
 # Columns of the concept itself, on the 'self' rows of a record.
 RECORD_COLUMNS = ["id", "description", "tags", "status", "source", "timestamp", "resource", "body_length", "approx_tokens",
                   "frontmatter", "body"]

@@ -397,8 +397,14 @@ def q_resolve_dependencies(spark, sf_dir):
     return graph.resolve_dependencies(fixture_concepts(spark, sf_dir))
 
 
+def q_get_concept_tree(spark, sf_dir):
+    c = fixture_concepts(spark, sf_dir)
+    tree = graph.dependency_tree(c)
+    return tree.join(c.select("slug", "title", "type"), "slug").select("root", "position", "slug", "parent", "depth", "title", "type")
+
+
 def q_get_concept(spark, sf_dir):
-    record = graph.concept_record(fixture_concepts(spark, sf_dir))
+    record = graph.concept_record(fixture_concepts(spark, sf_dir), resolve=True)
     return record.drop("id", "frontmatter").withColumn("tags", F.to_json("tags"))
 
 
@@ -410,6 +416,7 @@ QUERIES.update(
         "dependents": q_dependents,
         "resolve_dependencies": q_resolve_dependencies,
         "get_concept": q_get_concept,
+        "get_concept_tree": q_get_concept_tree,
     }
 )
 

@@ -160,3 +160,38 @@ def test_path_diff_and_deindex(spark):
     assert left(slugs=key, prefixes=["/kb/"]) == (slugs[1:], slugs[:1])
     stay, gone = left(prefixes=["/KB/n/"])
     assert len(stay) == 2 and len(gone) == 2
+
+
+def depth_first(deps, root):
+    """(position, slug, parent, depth) of a recursive walk with one visited set."""
+    out, seen = [], set()
+
+    def enter(slug, parent, depth):
+        seen.add(slug)
+        out.append((root, len(out), slug, parent, depth))
+        for d in deps[slug]:
+            if d in deps and d not in seen:
+                enter(d, slug, depth + 1)
+
+    enter(root, None, 0)
+    return out
+
+
+def test_dependency_tree_equals_a_depth_first_walk(spark):
+    import json
+    import random
+
+    rows, want, batches = [], [], []
+    for g in range(6):  # one table of several random graphs, cycles and missing slugs included
+        rng = random.Random(g)
+        names = [f"g{g}n{i}" for i in range(rng.randint(1, 12))]
+        deps = {n: [rng.choice(names + [f"ghost{g}"]) for _ in range(rng.randint(0, 4))] for n in names}
+        rows += [(n, json.dumps({"dependencies": d})) for n, d in deps.items()]
+        for n in names:
+            want += depth_first(deps, n) if set(deps[n]) & set(names) - {n} else []
+        batches.append((names[0], depth_first(deps, names[0])))
+    concepts = spark.createDataFrame(rows, "slug string, frontmatter string")
+    assert sorted(map(tuple, graph.dependency_tree(concepts).collect()), key=str) == sorted(want, key=str)
+    keys = spark.createDataFrame([(n,) for n, _ in batches] + [("missing",)], "slug string")
+    got = sorted(map(tuple, graph.dependency_tree(concepts, keys).collect()), key=str)
+    assert got == sorted([r for _, w in batches for r in w], key=str)

@@ -1,11 +1,16 @@
 """Vector side: exact cosine KNN (V3) with distance normalisation (V4).
 
-The query batch (size-checked) is broadcast as a numpy matrix; every
-partition of the corpus computes its distances with one matrix product and
-emits only its per-query top-k (ties at the cut kept), and a window limit
-takes the global top-k.  No step emits all (query, row) pairs and nothing of
-the corpus passes through the driver.  A batch larger than the broadcast
-bound is processed in bounded chunks.
+A query batch of up to ``MAX_QUERY_CHUNK`` vectors is broadcast as a numpy matrix; every
+partition of the corpus computes its distances with matrix products, keeps a running
+top-k per query (ties at the cut kept) and emits it once.  A window limit takes the global top-k.
+
+A larger query table never passes through the driver.  Corpus and queries are both partitioned by
+*pivots*, corpus vectors that stand for cells: a vector belongs to the cell of its nearest pivot, and a cell knows
+the largest distance of a member to its pivot.  A query first searches the nearest cells that hold enough
+vectors; its k-th distance there bounds what is left: by the triangle inequality a cell farther than that bound plus the cell's radius, and in a cell a vector
+whose distance to the pivot differs from the query's by more, can't hold a neighbour.  Cells are cut into chunks of
+bounded size, so a dense region is many tasks.  On vectors without clusters in many dimensions, no bound prunes, and
+the search compares all pairs, in bounded blocks.
 """
 
 from __future__ import annotations
@@ -16,13 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import ship_package
+from quire.session import materialize, ship_package
 
 # Queries per broadcast chunk (x dims x 4 bytes: 256 dims -> ~4 MB per 4096).
 MAX_QUERY_CHUNK = 4096
 TIE_EPS = 1e-12
-# Per-query cut table (query_id, k) broadcast up to this many queries.
-MAX_BROADCAST_QUERIES = 2_000_000
+
 
 def _cand_schema(key_type: T.DataType) -> T.StructType:
     return T.StructType(
@@ -58,11 +62,37 @@ def _block_topk(emb, norms, valid, types, qv, qn, ks, qtypes_cols):
     return rows, cols, dist[rows, cols]
 
 
+class _Best:
+    """The running top-k of every query of a batch: cells kept so far, cut down now and then."""
+
+    def __init__(self, ks: np.ndarray, most: int = 2_000_000):
+        self.ks, self.most, self.held, self.n = ks, most, [], 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, keys: np.ndarray, distance: np.ndarray) -> None:
+        self.held.append((query, ids, keys, distance))
+        self.n += len(query)
+        if self.n > self.most:
+            self.held = [self.cut()]
+            self.n = len(self.held[0][0])
+            self.most = max(self.most, 2 * self.n)
+
+    def cut(self) -> tuple:
+        query, ids, keys, distance = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((distance, query))
+        query, distance = query[order], distance[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        first = np.searchsorted(query, np.arange(len(self.ks)))
+        count = np.bincount(query, minlength=len(self.ks))
+        last = np.minimum(first + np.minimum(self.ks, count) - 1, len(query) - 1)
+        keep = (rank < self.ks[query]) | (distance <= distance[last][query] + TIE_EPS)
+        return query[keep], ids[order][keep], keys[order][keep], distance[keep]
+
+
 def _partition_topk(bq):
     def run(batches):
         q = bq.value
         qv, qn, qids, ks, qtypes = q["vecs"], q["norms"], q["ids"], q["k"], q["types"]
-        block = q["block"]
+        best = _Best(ks)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -71,35 +101,36 @@ def _partition_topk(bq):
             valid = norms > 0
             types = pdf["type"].values if qtypes is not None else None
             ids, keys = pdf["id"].values, pdf["_key"].values
-            for start in range(0, len(qids), block):
-                sl = slice(start, start + block)
+            for start in range(0, len(qids), QUERY_BLOCK):
+                sl = slice(start, start + QUERY_BLOCK)
                 groups = []
                 if qtypes is not None:
                     for allowed, cols in qtypes.items():
-                        local = cols[(cols >= start) & (cols < start + block)] - start
+                        local = cols[(cols >= start) & (cols < start + QUERY_BLOCK)] - start
                         if len(local):
                             groups.append((allowed, local))
                 rows, cols, d = _block_topk(emb, norms, valid, types, qv[sl], qn[sl], ks[sl], groups)
-                yield pd.DataFrame(
-                    {
-                        "query_id": qids[sl][cols].astype(np.int64),
-                        "id": ids[rows].astype(np.int64),
-                        "_key": keys[rows],
-                        "distance": d,
-                    }
-                )
+                best.add(start + cols, ids[rows], keys[rows], d)
+        if best.n:
+            query, ids, keys, d = best.cut()
+            for at in range(0, len(query), 100_000):
+                part = slice(at, at + 100_000)
+                yield pd.DataFrame({"query_id": qids[query[part]].astype(np.int64), "id": ids[part].astype(np.int64),
+                                    "_key": keys[part], "distance": d[part]})
 
     return run
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str | None = None,
-        id_col: str = "id", key_col: str = "slug", k_max: int | None = None) -> DataFrame:
+        id_col: str = "id", key_col: str = "slug", k_max: int | None = None, partitioned: bool | None = None,
+        cell_rows: int = 4096, max_cells: int = 1024) -> DataFrame:
     """Exact cosine KNN for a batch of query vectors.
 
     corpus: ``(id, <key_col>, embedding[, type])``; queries: ``(query_id,
     qvec, k[, types])``.  Returns ``(query_id, id, distance, vec_pos)`` with
     vec_pos 1..k by distance then ``key_col``.  Zero vectors on either side
-    are left out (cosine undefined).
+    are left out (cosine undefined).  ``partitioned`` (else: where the query table is larger than
+    one broadcast) searches by pivots.
     """
     spark = corpus.sparkSession
     ship_package(spark)
@@ -108,28 +139,23 @@ def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str
     if types_col:
         cols.append(F.col("type"))
     body = corpus.select(*cols)
-    qcols = ["query_id", "qvec", k_col] + ([types_col] if types_col else [])
-    q = queries.select(*qcols)
-    chunks = _query_chunks(q, k_col, types_col)
-    parts = []
-    n_queries = 0
-    for chunk in chunks:
-        n_queries += len(chunk["ids"])
-        if len(chunk["ids"]) == 0:
-            continue
+    qcols = ["query_id", "qvec", F.col(k_col).alias("k")] + ([F.col(types_col).alias("types")] if types_col else [])
+    q = queries.select(*qcols).where("qvec is not null")
+    rows = q.limit(MAX_QUERY_CHUNK + 1).collect() if partitioned is None or not partitioned else []
+    if partitioned is None:
+        partitioned = len(rows) > MAX_QUERY_CHUNK
+    if partitioned:
+        cand = _by_pivots(body, q, key_type, cell_rows, max_cells, bool(types_col))
+        kq = q.select("query_id", F.greatest("k", F.lit(1)).alias("_k"))
+    else:
+        chunk = _pack(rows, "k", "types" if types_col else None) if rows else None
+        if chunk is None or not len(chunk["ids"]):
+            return spark.createDataFrame([], "query_id long, id long, distance double, vec_pos int")
         top_k = int(chunk["k"].max())
         k_max = top_k if k_max is None else max(k_max, top_k)
-        bq = spark.sparkContext.broadcast(chunk)
-        parts.append(body.mapInPandas(_partition_topk(bq), _cand_schema(key_type)))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, distance double, vec_pos int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        cand = body.mapInPandas(_partition_topk(spark.sparkContext.broadcast(chunk)), _cand_schema(key_type))
+        kq = F.broadcast(q.select("query_id", F.col("k").alias("_k")))  # at most MAX_QUERY_CHUNK rows
     # The key travels with each candidate: no join back to the corpus.
-    kq = q.select("query_id", F.col(k_col).alias("_k"))
-    if n_queries <= MAX_BROADCAST_QUERIES:  # counted while collecting the chunks
-        kq = F.broadcast(kq)
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 12), F.col("_key"))
     ranked = cand.withColumn("vec_pos", F.row_number().over(w))
     if k_max is not None:  # literal bound: partial top-k before the shuffle
@@ -138,23 +164,126 @@ def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str
     return ranked.where(F.col("vec_pos") <= F.col("_k")).select("query_id", "id", "distance", "vec_pos")
 
 
-def _query_chunks(q: DataFrame, k_col: str, types_col: str | None):
-    """Collect the query batch in bounded chunks for broadcasting.
+# ---------------------------------------------------------------- pivots
 
-    A query batch is driver-sized by construction (it is a list of user
-    queries); chunking bounds every broadcast regardless of the batch size.
-    """
-    # The sort's shuffle lets AQE coalesce the (small) batch into few
-    # partitions, so the iterator runs few jobs.
-    rows = q.where(F.col("qvec").isNotNull()).orderBy("query_id").toLocalIterator()
-    chunk: list = []
-    for r in rows:
-        chunk.append(r)
-        if len(chunk) >= MAX_QUERY_CHUNK:
-            yield _pack(chunk, k_col, types_col)
-            chunk = []
-    if chunk:
-        yield _pack(chunk, k_col, types_col)
+_SLACK = 1e-9
+
+
+def _units(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, which rows are not zero)."""
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1.0)[:, None], norm > 0
+
+
+def _gaps(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors to pivots; half their square is the cosine distance."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
+
+
+def reachable(gap: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Which cells may hold a vector within ``bound`` (a distance) of each query: queries x cells."""
+    return gap - radius[None, :] <= bound[:, None] + _SLACK
+
+
+def _by_pivots(body: DataFrame, q: DataFrame, key_type: T.DataType, cell_rows: int, max_cells: int, typed: bool) -> DataFrame:
+    """Candidates ``query_id, id, _key, distance``, the nearest k of every query among them."""
+    n = body.count()
+    cells = int(min(max_cells, max(1, n // cell_rows)))
+    # a bounded, deterministic choice: the vectors whose ids hash lowest
+    some = body.where(F.exists("embedding", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(cells).collect()
+    spark = body.sparkSession
+    empty = spark.createDataFrame([], _cand_schema(key_type))
+    if not some:
+        return empty
+    pivots, _ = _units([r["embedding"] for r in some])
+
+    def assign(batches):
+        for pdf in batches:
+            x, known = _units(pdf["embedding"]) if len(pdf) else (np.empty((0, 1)), np.empty(0, bool))
+            if not known.any():
+                continue
+            gap = _gaps(x[known], pivots)
+            pdf = pdf[known].assign(cell=gap.argmin(axis=1).astype(np.int32), gap=gap.min(axis=1))
+            yield pdf
+
+    names = body.columns
+    fields = [*body.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]
+    placed = materialize(body.mapInPandas(assign, T.StructType(fields)).select(*names, "cell", "gap"), "knn-cells")
+    # a row per cell
+    stats = {r.cell: r for r in placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).collect()}
+    radius = np.array([stats[c].radius if c in stats else -np.inf for c in range(len(pivots))])
+    size = np.array([stats[c].n if c in stats else 0 for c in range(len(pivots))])
+    chunks = np.maximum(1, -(-size // cell_rows))
+    per_cell = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("cell") + 1)
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), per_cell).cast("int"))
+
+    def ask(first: bool):
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, known = _units(pdf["qvec"])
+                pdf, x = pdf[known], x[known]
+                for at in range(0, len(pdf), QUERY_BLOCK):
+                    part, gap = pdf.iloc[at : at + QUERY_BLOCK], _gaps(x[at : at + QUERY_BLOCK], pivots)
+                    near = np.argsort(gap, axis=1, kind="stable")
+                    # cells until they hold k vectors
+                    before = np.cumsum(size[near], axis=1) - size[near]
+                    probed = np.zeros(gap.shape, bool)
+                    np.put_along_axis(probed, near, before < np.maximum(part["k"].to_numpy(), 1)[:, None], axis=1)
+                    if first:
+                        take, bound = probed, np.full(len(part), np.inf)
+                    else:
+                        bound = np.sqrt(2 * np.nan_to_num(part["theta"].to_numpy(float), nan=np.inf))
+                        take = reachable(gap, radius, bound) & ~probed
+                    row, cell = np.nonzero(take & (size > 0)[None, :])
+                    many = chunks[cell]
+                    row, cell = np.repeat(row, many), np.repeat(cell, many)
+                    chunk = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    out = part.iloc[row].assign(cell=cell.astype(np.int32), chunk=chunk.astype(np.int32), gap=gap[row, cell], bound=bound[row])
+                    yield out[[*part.columns.drop("theta", errors="ignore"), "cell", "chunk", "gap", "bound"]]
+
+        fields = [*q.schema.fields] + [T.StructField(c, t) for c, t in (("cell", T.IntegerType()), ("chunk", T.IntegerType()),
+                                                                        ("gap", T.DoubleType()), ("bound", T.DoubleType()))]
+        return run, T.StructType(fields)
+
+    def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "_key": rows["_key"].iloc[:0], "distance": np.empty(0)})
+        if not len(rows) or not len(asks):
+            return none
+        rows, asks = rows.sort_values("gap"), asks.sort_values("gap")
+        emb, _ = _units(rows["embedding"])
+        types = rows["type"].to_numpy() if typed else None
+        gap, out = rows["gap"].to_numpy(), []
+        for at in range(0, len(asks), QUERY_BLOCK):
+            part = asks.iloc[at : at + QUERY_BLOCK]
+            bound, own = part["bound"].to_numpy(), part["gap"].to_numpy()
+            # vectors whose distance to the pivot fits some query of the block
+            lo = np.searchsorted(gap, (own - bound).min() - _SLACK)
+            hi = np.searchsorted(gap, (own + bound).max() + _SLACK, side="right")
+            if lo == hi:
+                continue
+            vecs, _ = _units(part["qvec"])
+            groups = [(k, v) for k, v in _group_types(list(part["types"])).items()] if typed else []
+            ones = np.ones(hi - lo)
+            r, c, d = _block_topk(emb[lo:hi], ones, ones > 0, types[lo:hi] if typed else None, vecs, np.ones(len(part)),
+                                  np.maximum(part["k"].to_numpy(), 1), groups)
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[c], "id": rows["id"].to_numpy()[lo:hi][r],
+                                     "_key": rows["_key"].to_numpy()[lo:hi][r], "distance": d}))
+        return pd.concat(out) if out else none
+
+    def found(asks: DataFrame) -> DataFrame:
+        return placed.groupBy("cell", "chunk").cogroup(asks.groupBy("cell", "chunk")).applyInPandas(search, _cand_schema(key_type))
+
+    run, schema = ask(True)
+    first = materialize(found(q.mapInPandas(run, schema)), "knn-first")
+    place = Window.partitionBy("query_id").orderBy("distance")
+    limit = first.withColumn("pos", F.row_number().over(place)).join(q.select("query_id", "k"), "query_id")
+    limit = limit.where(F.col("pos") == F.greatest("k", F.lit(1))).select("query_id", F.col("distance").alias("theta"))
+    run, schema = ask(False)
+    rest = q.join(limit, "query_id", "left").select(*q.columns, "theta").mapInPandas(run, schema)
+    return first.unionByName(found(rest))
 
 
 def _pack(rows, k_col, types_col):
@@ -168,7 +297,6 @@ def _pack(rows, k_col, types_col):
         "ids": np.array([r["query_id"] for r in rows], dtype=np.int64),
         "k": np.array([max(int(r[k_col]), 1) for r in rows], dtype=np.int64),
         "types": _group_types([r[types_col] for r in rows]) if types_col else None,
-        "block": QUERY_BLOCK,
     }
 
 
@@ -176,7 +304,7 @@ def _group_types(lists):
     """{allowed type tuple: query columns} for queries that filter by type."""
     groups: dict[tuple, list[int]] = {}
     for j, t in enumerate(lists):
-        if t:
+        if t is not None and len(t):
             groups.setdefault(tuple(t), []).append(j)
     return {k: np.array(v, dtype=np.int64) for k, v in groups.items()}
 

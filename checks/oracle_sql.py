@@ -51,6 +51,7 @@ ORACLE = {
         "FROM files WHERE m <> 9 GROUP BY 1 UNION ALL SELECT '/kb/house-rules.md', 1"
     ),
     "list_concepts": _list("status = 'draft'", 50, 20),
+    "list_concepts_deep": _list("true", 130, 437),
     "list_tags_like": _list(
         "CAST(to_json(tags) AS VARCHAR) ILIKE '%\"EN\"%' AND CAST(to_json(tags) AS VARCHAR) ILIKE '%\"src1_\"%'",
         50, 0,

@@ -18,7 +18,7 @@ from quire.functions.text import fts_tokens
 from quire.operators import browse, fts, graph, hybrid, maintain, parse, search_index, vector
 from quire.plans import index_run
 from quire.session import checkpoint_dir, materialize
-from quire.sources import snapshot
+from quire.sources import snapshot, sorted_copy
 from quire.sources.fixtures import (
     CHAT_ROOT,
     FIXTURE_EPOCH,
@@ -150,6 +150,13 @@ def q_list_concepts(spark, sf_dir):
     return _list_out(browse.list_concepts(c, status="draft", limit=50, offset=20))
 
 
+def q_list_concepts_deep(spark, sf_dir):
+    """A deep page of all concepts, read from their sorted copy."""
+    path = index_run.scratch_base(spark, "quire-sorted")
+    sorted_copy.write_sorted(fixture_concepts(spark, sf_dir), path, file_rows=100)
+    return _list_out(sorted_copy.page(spark, path, limit=130, offset=437))
+
+
 def q_list_tags_like(spark, sf_dir):
     c = fixture_concepts(spark, sf_dir)
     return _list_out(browse.list_concepts(c, tags=["EN", "src1_"], limit=50, offset=0))
@@ -207,6 +214,7 @@ QUERIES = {
     "scan_filter": q_scan_filter,
     "scan_roots": q_scan_roots,
     "list_concepts": q_list_concepts,
+    "list_concepts_deep": q_list_concepts_deep,
     "list_tags_like": q_list_tags_like,
     "filter_tags_all": q_filter_tags_all,
     "filter_type_in": q_filter_type_in,

@@ -78,6 +78,7 @@ def test_read_markdown_tree(spark, tmp_path):
 
 def test_index_a_real_tree_then_edit_it(spark, tmp_path):
     from quire.plans import index_run
+    from quire.sources import snapshot
     from quire.sources.markdown import read_markdown
 
     root = tmp_path / "kb"
@@ -95,7 +96,7 @@ def test_index_a_real_tree_then_edit_it(spark, tmp_path):
     path, s2 = index_run.run_index(read_markdown(spark, roots), roots, base, now=2)
     r = s2.first()
     assert (r.added, r.updated, r.removed, r.total) == (1, 1, 1, 2)
-    rows = {x.slug: x for x in spark.read.parquet(path).collect()}
+    rows = {x.slug: x for x in snapshot.read_version(spark, path).collect()}
     assert set(rows) == {"agents/helper", "agents/new"}
     assert rows["agents/helper"].status == "stable" and rows["agents/helper"].created_at == 1
     assert rows["agents/helper"].updated_at == 2 and rows["agents/helper"].type == "agent"
@@ -119,3 +120,20 @@ def test_walk_keeps_hidden_files_and_underscore_names(spark, tmp_path):
     _, again = index_run.run_index(read_markdown(spark, roots), roots, base, now=2, slugs_path=slugs)
     assert (again.first().removed, again.first().total) == (0, 6)
     assert sorted(r.action for r in spark.read.parquet(slugs).collect()) == ["added"] * 6
+
+
+def test_a_store_is_walked_by_tasks_and_keeps_every_name(spark, tmp_path):
+    from quire.sources.markdown import read_markdown, read_store
+
+    root = tmp_path / "kb with space"
+    names = ["a.md", "_b.md", ".c.md", "_drafts/d.md", "sub/deep/100% é.md", ".git/x.md", "node_modules/y.md", "sub/README.md", "z.txt"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"text of {name}")
+    (root / "bin.md").write_bytes(b"ok \xff")
+    uri = f"file://{root}"
+    got = {r.file_path.removeprefix(uri + "/"): r.content for r in read_store(spark, [uri + "/", f"{uri}/sub/deep/100% é.md"]).collect()}
+    want = {n: f"text of {n}" for n in names[:5]} | {"bin.md": "ok \ufffd"}
+    assert got == want
+    mounted = {r.file_path.removeprefix(f"{root}/"): r.content for r in read_markdown(spark, [str(root)]).collect()}
+    assert mounted == want

@@ -110,44 +110,65 @@ def get_deps(concepts: DataFrame, slugs: DataFrame | None = None) -> DataFrame:
     return deps.unionByName(users)
 
 
+# The table of short walks may have this many times as many rows as the edges.
+STRIDE_GROWTH = 16
+
+
 def resolve_dependencies(concepts: DataFrame, max_rounds: int | None = None,
                          partitions: int | None = None, roots: DataFrame | None = None) -> DataFrame:
     """Every existing concept reachable from each root (of the key batch
     ``roots(slug)``, else from every concept) through declared dependencies, with its shortest depth; cycles safe, the root never listed,
     missing slugs omitted.
 
-    Breadth-first: each round joins the frontier with the edges, drops pairs
-    already visited (anti join), and checkpoints, so lineage stays one round
-    deep and a lost executor recomputes one round at most.
+    Breadth-first by strides: short walks (pairs up to 2, 4, ... edges apart) are joined to longer ones while their table stays
+    within ``STRIDE_GROWTH`` times the edges (a bound on the work, checked before each join; results don't depend on it).  A round then joins the frontier, the pairs at exactly the depth reached, with
+    these walks, so it covers as many levels as the stride, and drops pairs already visited (anti join).  Every round
+    is written to the checkpoint folder: lineage stays one round deep and a lost executor recomputes one round at most.
     """
     spark = concepts.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     existing = concepts.select(F.col("slug").alias("dst"))
-    e = edges(concepts).select("src", "dst").distinct().join(existing, on="dst", how="left_semi")
-    e = materialize(e.repartition(n, "src"), "edges")
-    frontier = materialize(
-        _keyed(e.where(F.col("src") != F.col("dst")), roots, "src")
-        .select(F.col("src").alias("root"), F.col("dst").alias("slug"), F.lit(1).alias("depth")),
-        "closure-level",
-    )
-    levels = [frontier]
-    depth = 1
+    e = edges(concepts).select("src", "dst").distinct().join(existing, on="dst", how="left_semi").where("src <> dst")
+    walks = materialize(e.withColumn("hops", F.lit(1)).repartition(n, "src"), "edges")
+    limit, stride = STRIDE_GROWTH * max(walks.count(), 1), 1
+    while max_rounds is None or 2 * stride <= max_rounds:
+        # rows of the join, from the walks that end and begin at each concept: known before it runs
+        ends = walks.groupBy(F.col("dst").alias("slug")).agg(F.count("*").alias("a"))
+        begins = walks.groupBy(F.col("src").alias("slug")).agg(F.count("*").alias("b"))
+        work = ends.join(begins, "slug").agg(F.sum(F.col("a").cast("decimal(38,0)") * F.col("b"))).first()[0]
+        if (work or 0) > limit:
+            break
+        far = walks.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("hops").alias("more"))
+        longer = walks.join(far, "dst").where("src <> end").select("src", F.col("end").alias("dst"), (F.col("hops") + F.col("more")).alias("hops"))
+        longer = walks.unionByName(longer).groupBy("src", "dst").agg(F.min("hops").alias("hops"))
+        longer = materialize(longer, "walks")
+        reach = longer.agg(F.max("hops")).first()[0]
+        walks = longer
+        if reach is None or reach <= stride:  # nothing farther: the walks are the closure
+            break
+        stride *= 2
+    level = walks if max_rounds is None else walks.where(F.col("hops") <= max_rounds)
+    level = _keyed(level, roots, "src").select(F.col("src").alias("root"), F.col("dst").alias("slug"), F.col("hops").alias("depth"))
+    levels = [materialize(level, "closure-level")]
+    depth = stride
     while max_rounds is None or depth < max_rounds:
-        # The visited set is the union of the checkpointed levels: lineage
+        frontier = levels[-1].where(F.col("depth") == depth)
+        # The visited set is the union of the written levels: lineage
         # stays one level deep without writing the whole set every round.
         visited = _union(levels)
-        step = frontier.join(e, frontier["slug"] == e["src"]).select(
-            "root", F.col("dst").alias("slug"), (F.col("depth") + 1).alias("depth")
+        step = frontier.join(walks, frontier["slug"] == walks["src"]).select(
+            "root", F.col("dst").alias("slug"), (F.col("depth") + F.col("hops")).alias("depth")
         )
-        step = step.where(F.col("slug") != F.col("root")).dropDuplicates(["root", "slug"])
+        step = step.where(F.col("slug") != F.col("root")).groupBy("root", "slug").agg(F.min("depth").alias("depth"))
+        if max_rounds is not None:
+            step = step.where(F.col("depth") <= max_rounds)
         nxt = step.join(visited.select("root", "slug"), on=["root", "slug"], how="left_anti")
         nxt = materialize(nxt, "closure-level")
+        depth += stride
         if nxt.isEmpty():
             break
         levels.append(nxt)
-        frontier = nxt
-        depth += 1
     return _union(levels)
 
 

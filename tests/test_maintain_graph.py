@@ -195,3 +195,30 @@ def test_dependency_tree_equals_a_depth_first_walk(spark):
     keys = spark.createDataFrame([(n,) for n, _ in batches] + [("missing",)], "slug string")
     got = sorted(map(tuple, graph.dependency_tree(concepts, keys).collect()), key=str)
     assert got == sorted([r for _, w in batches for r in w], key=str)
+
+
+def test_closure_by_strides_equals_breadth_first_search(spark, monkeypatch):
+    import json
+    import random
+
+    rows, want, limited = [], set(), set()
+    for g in range(8):
+        rng = random.Random(g)
+        names = [f"g{g}n{i}" for i in range(rng.randint(1, 25))]
+        deps = {n: [rng.choice(names + ["ghost"]) for _ in range(rng.choice([0, 1, 1, 2]))] for n in names}
+        if g == 0:  # a long chain
+            deps = {n: [m] for n, m in zip(names, names[1:] + ["ghost"])}
+        rows += [(n, json.dumps({"dependencies": d})) for n, d in deps.items()]
+        for root in names:
+            seen, level, depth = {root}, [root], 0
+            while level:
+                depth += 1
+                level = sorted({d for n in level for d in deps[n] if d in deps} - seen)
+                seen |= set(level)
+                want |= {(root, n, depth) for n in level}
+                limited |= {(root, n, depth) for n in level if depth <= 3}
+    concepts = spark.createDataFrame(rows, "slug string, frontmatter string")
+    for growth in (16, 2, 0):
+        monkeypatch.setattr(graph, "STRIDE_GROWTH", growth)
+        assert {tuple(r) for r in graph.resolve_dependencies(concepts).collect()} == want
+    assert {tuple(r) for r in graph.resolve_dependencies(concepts, max_rounds=3).collect()} == limited

@@ -28,7 +28,16 @@ def _fold_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
-FOLD_FROM, FOLD_TO = _fold_table()
+def _variants() -> tuple[str, str]:
+    """Letters whose case folding is another letter than their lower case (final sigma, long s, ...) -> that letter."""
+    known = unicodedata.ucd_3_2_0.category
+    base = dict(zip(*_fold_table()))
+    found = [c for c in map(chr, (*range(0x80, 0x1300), *range(0x1E00, 0x2000)))
+             if known(c)[0] == "L" and len(c.casefold()) == 1 and c.casefold() != c.lower()]
+    return "".join(found), "".join(base.get(c.casefold(), c.casefold()) for c in found)
+
+
+FOLD_FROM, FOLD_TO = (a + b for a, b in zip(_variants(), _fold_table()))
 
 # The combining marks that the tokeniser takes as part of the letter before them and drops.  All
 # other marks separate tokens.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import approx_tokens
 from quire.operators.parse import dependency_slugs
-from quire.session import checkpoint_dir, materialize
+from quire.session import checkpoint_dir, discard, materialize
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -144,6 +144,7 @@ def resolve_dependencies(concepts: DataFrame, max_rounds: int | None = None,
         longer = walks.unionByName(longer).groupBy("src", "dst").agg(F.min("hops").alias("hops"))
         longer = materialize(longer, "walks")
         reach = longer.agg(F.max("hops")).first()[0]
+        discard(walks)
         walks = longer
         if reach is None or reach <= stride:  # nothing farther: the walks are the closure
             break
@@ -226,11 +227,13 @@ def dependency_tree(concepts: DataFrame, roots: DataFrame | None = None) -> Data
             "root", F.col("dst").alias("slug"), F.col("src").alias("parent"), F.concat("key", "place").alias("key"))
         step = step.groupBy("root", "slug").agg(smallest).select("root", "slug", "s.parent", "s.key")
         known = best.select("root", "slug", F.col("key").alias("had"))
-        fresh = materialize(step.join(known, ["root", "slug"], "left").where("had IS NULL OR key < had").drop("had"), "tree-step")
-        if fresh.isEmpty():
+        nearer = materialize(step.join(known, ["root", "slug"], "left").where("had IS NULL OR key < had").drop("had"), "tree-step")
+        if nearer.isEmpty():
             break
-        kept = best.join(fresh.select("root", "slug"), ["root", "slug"], "left_anti")
-        best = materialize(kept.unionByName(fresh), "tree")
+        kept = best.join(nearer.select("root", "slug"), ["root", "slug"], "left_anti")
+        merged = materialize(kept.unionByName(nearer), "tree")
+        discard(best, fresh)
+        best, fresh = merged, nearer
     tree = positions(best, "root", ["key", "slug"], "position")
     return tree.select("root", "position", "slug", "parent", (F.length("key") / _PLACE_DIGITS).cast("int").alias("depth"))
 

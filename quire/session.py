@@ -93,4 +93,16 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._quire_folder = path
+    return out
+
+
+def discard(*frames) -> None:
+    """Delete what ``materialize`` wrote for these DataFrames, once nothing that reads them will run again."""
+    for df in frames:
+        path = getattr(df, "_quire_folder", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)

@@ -64,7 +64,7 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
     """
     spark = batch.sparkSession
     from quire.functions import paths
-    from quire.session import checkpoint_dir, materialize
+    from quire.session import checkpoint_dir, discard, materialize
 
     checkpoint_dir(spark)
     run_id = f"{stream}-{batch_id}"
@@ -74,8 +74,8 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
         return
     old = buckets.current(spark, base, before=run_id)
     heads = buckets.current(spark, heads_base, before=run_id)
-    latest = latest_per_path(batch.where(paths.scan_keeps(F.col("file_path"), roots)))
-    latest = materialize(winners(materialize(latest, "stream-latest"), heads), "stream-batch")
+    newest = materialize(latest_per_path(batch.where(paths.scan_keeps(F.col("file_path"), roots))), "stream-latest")
+    latest = materialize(winners(newest, heads), "stream-batch")
     # Only the buckets of the batch's paths are compared.
     stored = old.read(CONCEPT_SCHEMA, _buckets_of(latest, old)) if old else empty_concepts(spark)
     upserts = latest.where("live").select("file_path", "content")
@@ -92,7 +92,8 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
         untouched = whole.join(diff.select("file_path"), "file_path", "left_anti").select("file_path", "slug")
         maintain.check_slug_conflicts(next_slugs(stored, diff).where("file_path is not null").unionByName(untouched))
         clock = now if now is not None else F.unix_timestamp()
-        mine, _ = write_run(stored, upserts, diff, roots, clock, base, run_id, old)
+        mine, written = write_run(stored, upserts, diff, roots, clock, base, run_id, old)
+        discard(written)
     if index_base:
         fresh = mine.read(CONCEPT_SCHEMA).join(diff.where(F.col("action").isin("added", "updated")).select("file_path"), "file_path", "left_semi")
         replaced = stored.join(diff.where(F.col("action").isin("updated", "removed")).select("file_path"), "file_path", "left_semi")
@@ -105,6 +106,7 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
         F.lit(None).cast("long").alias("now"), "added", "updated", "removed", "skipped", "total",
     )
     summary.write.mode("append").parquet(runs_path)
+    discard(newest, latest, diff)
 
 
 def _tagged(spark: SparkSession, base: str, tag: str) -> buckets.Version | None:

@@ -122,12 +122,12 @@ def _has_run(spark: SparkSession, runs_path: str, run_id: str) -> bool:
 
 def start_ingest(spark: SparkSession, source: DataFrame, roots: list[str], snapshot_base: str, runs_path: str,
                  checkpoint_location: str, available_now: bool = True, processing_time: str | None = None,
-                 now=None):
-    """Start the ingest query over a streaming ``source`` with RECORD_DDL columns."""
+                 now=None, index_base: str | None = None):
+    """Start the ingest query over a streaming ``source`` with RECORD_DDL columns; the stored index under ``index_base`` follows it."""
     # The checkpoint location is what identifies a stream over restarts.
     stream = "stream-" + hashlib.sha1(checkpoint_location.rstrip("/").encode()).hexdigest()[:10]
     writer = source.writeStream.foreachBatch(
-        lambda df, bid: process_batch(df, bid, roots, snapshot_base, runs_path, now, stream)
+        lambda df, bid: process_batch(df, bid, roots, snapshot_base, runs_path, now, stream, index_base)
     ).option("checkpointLocation", checkpoint_location)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -97,3 +97,27 @@ def test_empty_index_and_empty_queries(spark):
     assert index.n_docs == 5 and search_index.top_documents(index, queries(spark).limit(0)).collect() == []
     index = search_index.refresh(base, concepts(spark, 5), concepts(spark, 0))
     assert index.n_docs == 0 and search_index.top_documents(index, queries(spark)).collect() == []
+
+
+def test_runs_and_streams_keep_the_index(spark):
+    import quire
+    from support import files_df
+    from quire.plans import index_run
+    from quire.sources import snapshot
+    from quire.streaming import ingest
+
+    base = folder(spark)
+    snap, idx = base + "/concepts", base + "/search"
+
+    def found(word):
+        concepts = snapshot.read_snapshot(spark, snap)
+        return sorted(r.slug for r in quire.search(concepts, word, alpha=0.0, index=quire.open_index(spark, idx)).collect())
+
+    index_run.run_index(files_df(spark, [("/kb/a.md", "old spark text"), ("/kb/b.md", "other text")]), ["/kb"], snap, now=1, index_base=idx)
+    assert found("spark") == ["kb/a"] and found("text") == ["kb/a", "kb/b"]
+    index_run.run_index(files_df(spark, [("/kb/a.md", "plain text"), ("/kb/c.md", "spark tree")]), ["/kb"], snap, now=2, index_base=idx)
+    assert found("spark") == ["kb/c"] and found("text") == ["kb/a"]
+    batch = spark.createDataFrame([("/kb/c.md", None, 4), ("/kb/d.md", "spark again", 4)], ingest.RECORD_DDL)
+    for _ in range(2):
+        ingest.process_batch(batch, 0, ["/kb"], snap, base + "/runs", now=3, index_base=idx)
+    assert found("spark") == ["kb/d"] and quire.open_index(spark, idx).n_docs == 2

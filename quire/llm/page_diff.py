@@ -13,8 +13,9 @@ text of a page is shared, the page is part of its neighbour, and stays.
 Tags are read as browsers read them, in linear time: quotes count only around attribute values, and
 a comment or tag that is never closed ends with the page.
 
-A page's lines are written once, compressed; only URLs and line hashes are ordered and
-joined.  Pairing sorts narrow rows over range partitions; only the first and last row of each partition are looked
+Pages are parsed twice: once for their line hashes, which are written, and once for their lines, which go, compressed, straight to the
+hashes of the nearest page.  Rows are told apart by a hash of all they hold, so both passes agree whatever the input's partitions.  Pairing
+sorts narrow rows over range partitions; only the first and last row of each partition are looked
 up across partitions, so a host with a third of all pages is no task of its own.  The alignment is bit-parallel with
 divide and conquer, exact at any length, in memory linear in the number of lines.
 
@@ -353,22 +354,26 @@ def unpacked(data: bytes) -> tuple[list[str], list[int]]:
     return body[n:].decode("utf-8", "surrogatepass").split("\n") if n else [], list(body[:n])
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, path, lines, hashes, sign`` of every page; ``lines`` is packed, ``sign`` tells pages of other lines."""
+def named(pages: DataFrame) -> DataFrame:
+    """``key, page_id, url, html``: ids as strings, since pandas turns whole numbers beside a null into floats."""
+    ident = F.col("page_id").cast("long").cast("string")
+    parts = [F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in (ident, F.col("url"), F.col("html"))]
+    return pages.select(F.unhex(F.md5(F.concat_ws("\x00", *parts))).alias("key"), ident.alias("page_id"), "url", "html")
+
+
+def signed(pages: DataFrame) -> DataFrame:
+    """``key, page_id, host, path, hashes, sign`` of pages with a ``key``; ``sign`` tells pages of other lines."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cut = [page_lines(h or "") for h in pdf["html"]]
-            hashes = [line_hashes([x for x, _ in c]) for c in cut]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "lines": [packed(c) for c in cut], "hashes": hashes,
+            hashes = [line_hashes([x for x, _ in page_lines(h or "")]) for h in pdf["html"]]
+            yield pd.DataFrame({"key": pdf["key"], "page_id": pdf["page_id"], "url": pdf["url"], "hashes": hashes,
                                 "sign": [int.from_bytes(blake2b(h, digest_size=8).digest(), "little", signed=True) for h in hashes]})
 
-    # ids are strings in Python: pandas turns whole numbers beside a null into floats
-    out = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html").mapInPandas(
-        run, "page_id string, url string, lines binary, hashes binary, sign long")
+    out = pages.mapInPandas(run, "key binary, page_id string, url string, hashes binary, sign long")
     parts = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)", 0)
     host = F.lower(F.regexp_extract(parts, r"//([^/?#]*)", 1))
     path = F.when(parts == "", F.coalesce("url", F.lit(""))).otherwise(F.regexp_extract(parts, r"//[^/?#]*(.*)", 1))
-    return out.withColumn("host", host).withColumn("path", path)
+    return out.withColumn("host", host).withColumn("path", path).drop("url")
 
 
 @F.pandas_udf(IntegerType())
@@ -378,11 +383,11 @@ def _shared_prefix(own: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def nearest(cut: DataFrame) -> DataFrame:
-    """``row, other``: of every page that has one, the nearest page of its host with other lines."""
-    ranged = cut.select("row", "host", "path", "page_id", "sign").repartitionByRange("host", "path", "page_id", "row")
+    """``key, other``: of every page that has one, the nearest page of its host with other lines."""
+    ranged = cut.select("key", "host", "path", "page_id", "sign").repartitionByRange("host", "path", "page_id", "key")
     ranged = materialize(ranged.withColumn("pid", F.spark_partition_id()), "ranged")
-    order = ["host", "path", "page_id", "row"]
-    item = F.struct("host", "path", "sign", "row")
+    order = ["host", "path", "page_id", "key"]
+    item = F.struct("host", "path", "sign", "key")
     ahead = Window.partitionBy("pid").orderBy(*order)
     back = Window.partitionBy("pid").orderBy(*[F.desc(c) for c in order])
     # First and last rows of the partitions: two rows each, whatever the number of pages.
@@ -396,16 +401,24 @@ def nearest(cut: DataFrame) -> DataFrame:
     near = near.withColumn("prev", F.last("_prev", ignorenulls=True).over(so_far(ahead)))
     near = near.withColumn("next", F.last("_next", ignorenulls=True).over(so_far(back))).join(ends, "pid")
     side = lambda c: F.when((F.col(c)["host"] == F.col("host")) & (F.col(c)["sign"] != F.col("sign")), F.col(c))
-    near = near.select("row", "path", "host", "sign", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
+    near = near.select("key", "path", "host", "sign", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
     near = near.withColumn("prev", side("prev")).withColumn("next", side("next"))
     near = near.withColumn("b", _shared_prefix("path", F.col("prev.path"))).withColumn("a", _shared_prefix("path", F.col("next.path")))
-    return near.select("row", F.when(F.col("a") > F.col("b"), F.col("next.row")).otherwise(F.col("prev.row")).alias("other")).where("other is not null")
+    other = F.when(F.col("a") > F.col("b"), F.col("next.key")).otherwise(F.col("prev.key"))
+    return near.select("key", other.alias("other")).where("other is not null").dropDuplicates(["key"])  # repeated rows have one
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, n_shared`` of every row of ``pages``; ``n_shared`` counts lines that differencing deleted."""
-    cut = materialize(parse(pages).withColumn("row", F.monotonically_increasing_id()), "lines")
-    near = nearest(cut).join(cut.select(F.col("row").alias("other"), "hashes"), "other").select("row", "hashes")
+    rows = named(pages)
+    cut = materialize(signed(rows), "signs")
+    known = cut.select(F.col("key").alias("other"), "hashes").dropDuplicates(["other"])
+    near = nearest(cut).join(known, "other").select("key", "hashes")
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "page_id": pdf["page_id"], "url": pdf["url"],
+                                "lines": [packed(page_lines(h or "")) for h in pdf["html"]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -420,7 +433,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts,
                                 "n_chars": [len(t) for t in texts], "n_shared": shared})
 
-    both = cut.select("row", "page_id", "url", "lines").join(near, "row", "left").select("page_id", "url", "lines", "hashes")
+    full = rows.mapInPandas(lines, "key binary, page_id string, url string, lines binary")
+    both = full.join(near, "key", "left").select("page_id", "url", "lines", "hashes")
     out = both.mapInPandas(run, "page_id string, url string, text string, n_chars long, n_shared long")
     return out.withColumn("page_id", F.col("page_id").cast("long"))
 

@@ -85,3 +85,24 @@ def test_snippet_counts_utf16_units(spark):
     rows = [("😀" * 300,), ("a" + "😀" * 300,), ("é" * 300,), ("x" * 199 + "😀",), (None,)]
     got = [r.s for r in spark.createDataFrame(rows, "b string").select(snippet(F.lit(""), F.col("b")).alias("s")).collect()]
     assert got == ["😀" * 100, "a" + "😀" * 99, "é" * 200, "x" * 199, ""]
+
+
+def test_vectors_do_not_depend_on_the_pieces_and_memory_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    from quire.functions.embedding import _pieces
+
+    texts = ["a b a", None, "", "c", "a b " * 300, "it's x_1 " * 50, "d e"]
+    whole = embed_many(texts)
+    for most in (2, 3, 100, 601):
+        assert all(len(toks) <= most for _, _, toks, _ in _pieces(texts, most))
+        assert (embed_many(texts, most) == whole).all()
+    assert (whole[4] == embed_many([texts[4]])[0]).all() and not whole[1].any()
+
+    rng = np.random.default_rng(1)
+    batch = [" ".join(f"w{i}" for i in rng.integers(0, 5000, size=1000)) for _ in range(3000)]
+    tracemalloc.start()
+    embed_many(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # the batch in one piece: about 1 GB

@@ -44,6 +44,7 @@ FAN = 4
 DIRECT_RANGES = 64
 PROBE = 4
 HEADER = -1  # the folder of the header rows
+FILE_RANGES = 64  # ranges in a file of a folder
 
 BLOCK_DDL = ("rng long, term string, n int, max_f double, min_len int, slots array<int>, f array<double>, at array<long>, "
              "ids array<long>, slugs array<string>, types array<string>, lens array<int>")
@@ -135,9 +136,11 @@ def blocks_of(concepts: DataFrame, first_range: int, ranges: int) -> DataFrame:
 
 def _write_segment(blocks: DataFrame, path: str, ranges: int) -> None:
     stored = blocks.withColumn("tb", F.when(F.col("term").isNull(), F.lit(HEADER)).otherwise(term_bucket("term")))
-    # A folder's blocks go to one file per 256 ranges: a frequent term is spread over them.
-    splits = max(1, ranges // 256)
-    stored = stored.repartition((BUCKETS + 1) * splits, "tb", F.pmod("rng", F.lit(splits)))
+    # A folder's blocks go to one file per ``FILE_RANGES`` ranges: a frequent term is spread over them.  A file is a
+    # task by its number, not by its hash, so no task takes several.
+    splits = -(-ranges // FILE_RANGES)
+    file = (F.col("tb") - F.lit(HEADER)) * splits + F.pmod("rng", F.lit(splits))
+    stored = stored.repartitionById((BUCKETS + 1) * splits, file.cast("int"))
     stored.sortWithinPartitions("tb", "term", "rng").write.partitionBy("tb").parquet(path)
 
 

@@ -121,3 +121,19 @@ def test_runs_and_streams_keep_the_index(spark):
     for _ in range(2):
         ingest.process_batch(batch, 0, ["/kb"], snap, base + "/runs", now=3, index_base=idx)
     assert found("spark") == ["kb/d"] and quire.open_index(spark, idx).n_docs == 2
+
+
+def test_a_task_writes_one_file_of_bounded_ranges(spark):
+    from quire.operators.search_index import FILE_RANGES, STORED_DDL, _write_segment
+    from quire.plans.index_run import scratch_base
+
+    ranges = 150
+    blocks = spark.range(ranges * 40).selectExpr("id % 150 AS rng", "concat('t', id div 150) AS term", "1 AS n", "1D AS max_f", "1 AS min_len",
+                                                 "array(0) AS slots", "array(1D) AS f", "array(0L) AS at")
+    path = scratch_base(spark, "t-files")
+    _write_segment(blocks, path, ranges)
+    stored = spark.read.schema(STORED_DDL).parquet(path).select("tb", "rng", F.col("_metadata.file_path").alias("file"))
+    files = stored.groupBy("tb", "file").agg(F.count_distinct("rng").alias("n"), F.count("*").alias("rows")).collect()
+    assert max(r.n for r in files) <= FILE_RANGES and sum(r.rows for r in files) == ranges * 40
+    tasks = [r.file.rsplit("/", 1)[1].split("-")[1] for r in files]
+    assert len(set(tasks)) == len(tasks)  # the task's number: none wrote two folders' files

@@ -32,9 +32,11 @@ def diff_snapshot(stored: DataFrame, scan: DataFrame, roots: list[str], removals
     the identity columns of existing rows ride along so that the upsert
     never joins the full snapshot again.  Only narrow columns of the
     snapshot are read (path, hash, identity), never bodies or embeddings.
+    A scan may hold ``content_hash`` in place of its content.
     """
     # A path that the scan holds twice is one file: the copy with the smallest hash.
-    s = scan.groupBy("file_path").agg(F.min(F.sha2(F.col("content"), 256)).alias("new_hash"))
+    hashed = F.col("content_hash") if "content_hash" in scan.columns else F.sha2(F.col("content"), 256)
+    s = scan.groupBy("file_path").agg(F.min(hashed).alias("new_hash"))
     t = stored.select(
         "file_path", F.col("file_hash").alias("old_hash"), F.col("slug").alias("old_slug"), "id", "source",
         "created_at", "last_synced_at",

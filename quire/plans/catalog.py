@@ -534,7 +534,7 @@ QUERIES.update(
 
 
 STREAM_GROUPS = 4
-STREAM_FILES = 2  # of each group: a micro-batch takes a group's files
+STREAM_FILES = 1 << 20  # more than a group has
 
 
 def q_index_run(spark, sf_dir):
@@ -552,6 +552,11 @@ def q_index_run(spark, sf_dir):
 _STREAMS: dict[tuple[str, str], tuple[str, str]] = {}
 
 
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture files, not dealt over the cluster yet: a stream's source files are."""
+    return files_from_documents(read_table(spark, sf_dir, "documents"), spread=False)
+
+
 def _run_stream(spark, sf_dir, name: str, records: DataFrame, before: DataFrame | None = None) -> tuple[str, str]:
     """Stream ``records(file_path, content, seq, g)``, a group ``g`` at a time, into a snapshot; its folder and that of its runs.
 
@@ -564,17 +569,11 @@ def _run_stream(spark, sf_dir, name: str, records: DataFrame, before: DataFrame
     src, snap, runs, ckpt = base + "/source", base + "/snapshot", base + "/runs", base + "/checkpoint"
     if before is not None:
         index_run.run_index(before, FIXTURE_ROOTS, snap, now=FIXTURE_EPOCH)
-    jvm = spark.sparkContext._jvm
     for g in range(STREAM_GROUPS):
-        out = f"{src}/g{g}"
-        records.where(F.col("g") == g).drop("g").repartition(STREAM_FILES).write.parquet(out)
-        fs_path = jvm.org.apache.hadoop.fs.Path(out)
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for st in fs.listStatus(fs_path):
-            fs.setTimes(st.getPath(), 1_700_000_000_000 + g * 1000, -1)
-    source = ingest.file_source(spark, f"{src}/*/*.parquet", max_files_per_trigger=STREAM_FILES)
-    q = ingest.start_ingest(spark, source, FIXTURE_ROOTS, snap, runs, ckpt, now=FIXTURE_EPOCH)
-    q.awaitTermination()
+        records.where(F.col("g") == g).drop("g").write.parquet(f"{src}/g{g}")
+        # The stream goes on with what has arrived: a micro-batch takes all files of a group.
+        source = ingest.file_source(spark, f"{src}/*/*.parquet", max_files_per_trigger=STREAM_FILES)
+        ingest.start_ingest(spark, source, FIXTURE_ROOTS, snap, runs, ckpt, now=FIXTURE_EPOCH).awaitTermination()
     _STREAMS[key] = (snap, runs)
     return snap, runs
 
@@ -582,7 +581,7 @@ def _run_stream(spark, sf_dir, name: str, records: DataFrame, before: DataFrame
 def _plain_stream(spark, sf_dir):
     """Every file once, in groups by ``doc_id``."""
     group = F.pmod(F.col("doc_id"), F.lit(STREAM_GROUPS))
-    files = fixture_files(spark, sf_dir)
+    files = stream_files(spark, sf_dir)
     return _run_stream(spark, sf_dir, "", files.select("file_path", "content", F.col("doc_id").alias("seq"), group.alias("g")))
 
 
@@ -608,13 +607,13 @@ def _histories(files: DataFrame) -> DataFrame:
 
 def q_stream_out_of_order(spark, sf_dir):
     """Records that come late lose, deletions stay deleted: the streamed table equals the batch index."""
-    snap, _ = _run_stream(spark, sf_dir, "#order", _histories(fixture_files(spark, sf_dir)))
+    snap, _ = _run_stream(spark, sf_dir, "#order", _histories(stream_files(spark, sf_dir)))
     return snapshot.read_snapshot(spark, snap).select("slug", "file_hash", "source")
 
 
 def q_stream_after_batch(spark, sf_dir):
     """The same over a snapshot that a batch run made of the even documents, with other texts."""
-    files = fixture_files(spark, sf_dir)
+    files = stream_files(spark, sf_dir)
     before = files.where("doc_id % 2 = 0").withColumn("content", F.concat("content", F.lit(" first")))
     snap, _ = _run_stream(spark, sf_dir, "#after", _histories(files), before)
     return snapshot.read_snapshot(spark, snap).select("slug", "file_hash", "source")

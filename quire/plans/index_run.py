@@ -48,9 +48,11 @@ STORE_KEYS = ["file_path", "slug"]
 
 def write_run(stored: DataFrame, scan: DataFrame, diff: DataFrame, roots: list[str], now, base: str, tag: str = "",
               old: buckets.Version | None = None) -> tuple[buckets.Version, DataFrame]:
-    """The next version of the snapshot and its new and changed rows; only the buckets that change are written."""
-    fresh = materialize(maintain.fresh_rows(scan, diff, roots, now), "fresh")
-    return buckets.replace(base, _paths_of(diff, "updated", "removed"), fresh, STORE_KEYS, tag, old=old), fresh
+    """The next version of the snapshot and its new and changed rows, which are parsed once, as they are stored."""
+    n_fresh = _paths_of(diff, "added", "updated").count()
+    written = buckets.replace(base, _paths_of(diff, "updated", "removed"), maintain.fresh_rows(scan, diff, roots, now), STORE_KEYS, tag,
+                              old=old, n_rows=n_fresh)
+    return written, written.fresh(CONCEPT_SCHEMA)
 
 
 def run_index(files: DataFrame, roots: list[str], snapshot_base: str, now, runs_path: str | None = None,

@@ -78,7 +78,7 @@ def _path(d, m, k):
     )
 
 
-def files_from_documents(documents: DataFrame, with_house_rules: bool = True) -> DataFrame:
+def files_from_documents(documents: DataFrame, with_house_rules: bool = True, spread: bool = True) -> DataFrame:
     """``files(doc_id, file_path, content, indexed_at)`` rendered from documents."""
     d = F.col("doc_id")
     m = d % 10
@@ -99,6 +99,8 @@ def files_from_documents(documents: DataFrame, with_house_rules: bool = True) ->
             "doc_id long, file_path string, content string, indexed_at long",
         )
         files = files.unionByName(extra)
+    if not spread:
+        return files
     # The driver tables are single Parquet files: spread the rendered files
     # over the cluster by key before the per-file (Python) work.
     return files.repartition(spread_partitions(documents.sparkSession), "doc_id")

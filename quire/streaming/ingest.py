@@ -7,8 +7,9 @@ newest record number, also of deleted paths (null content deletes), so a record
 or again changes nothing.  Records of equal ``seq`` are ordered too: content before a deletion, then the larger hash.
 A path that a batch run indexed has no head yet, and any record wins over it.
 
-Each micro-batch upserts its winners into the snapshot (only buckets that change are
-written), then writes their heads and one summary row.  Versions carry the stream and
+Each micro-batch upserts its winners into the snapshot (new rows are added to their buckets; other rows are written again
+only where some are replaced), then writes their heads and one summary row.  Its records are read more than once, so a
+source must give the same records each time, as files and other replayable sources do.  Versions carry the stream and
 batch that they were written for, so a replayed batch starts from the versions that the first attempt started from
 and writes what is missing.
 """
@@ -33,11 +34,17 @@ _LEAST = -(1 << 63)
 
 
 def latest_per_path(batch: DataFrame) -> DataFrame:
-    """``file_path, content, seq, live, content_hash`` of the newest record of each path; partial maxima, so a hot path is no group."""
-    known = batch.select("file_path", "content", F.coalesce("seq", F.lit(_LEAST)).alias("seq"),
+    """``file_path, seq, live, content_hash`` of the newest record of each path; partial maxima, so a hot path is no group."""
+    known = batch.select("file_path", F.coalesce("seq", F.lit(_LEAST)).alias("seq"),
                          F.col("content").isNotNull().alias("live"), F.coalesce(F.sha2("content", 256), F.lit("")).alias("content_hash"))
-    newest = F.max_by(F.struct("content", "seq", "live", "content_hash"), F.struct("seq", "live", "content_hash"))
-    return known.groupBy("file_path").agg(newest.alias("r")).select("file_path", "r.*")
+    return known.groupBy("file_path").agg(F.max(F.struct("seq", "live", "content_hash")).alias("r")).select("file_path", "r.*")
+
+
+def contents_of(records: DataFrame, upserts: DataFrame) -> DataFrame:
+    """``file_path, content`` of ``upserts(file_path, content_hash)``: a record of the path with that hash."""
+    found = records.select("file_path", "content").join(upserts, "file_path")
+    same = F.sha2("content", 256) == F.col("content_hash")
+    return found.groupBy("file_path").agg(F.max_by("content", same).alias("content"))
 
 
 def _buckets_of(records: DataFrame, table: buckets.Version) -> list[int]:
@@ -45,11 +52,12 @@ def _buckets_of(records: DataFrame, table: buckets.Version) -> list[int]:
     return [r.b for r in records.select(buckets.bucket_of(["file_path"], table.buckets).alias("b")).distinct().collect()]
 
 
-def winners(latest: DataFrame, heads: buckets.Version | None) -> DataFrame:
-    """The records that are newer than the head of their path."""
+def winners(latest: DataFrame, heads: buckets.Version | None, records: DataFrame | None = None) -> DataFrame:
+    """The records that are newer than the head of their path; ``records`` has the same paths, and only they are read of it."""
     if heads is None:
         return latest
-    stored = heads.read(HEAD_DDL, _buckets_of(latest, heads)).select("file_path", F.struct("seq", "live", "content_hash").alias("head"))
+    known = _buckets_of(latest if records is None else records, heads)
+    stored = heads.read(HEAD_DDL, known).select("file_path", F.struct("seq", "live", "content_hash").alias("head"))
     joined = latest.join(stored, "file_path", "left")
     return joined.where(F.col("head").isNull() | (F.struct("seq", "live", "content_hash") > F.col("head"))).drop("head")
 
@@ -74,11 +82,12 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
         return
     old = buckets.current(spark, base, before=run_id)
     heads = buckets.current(spark, heads_base, before=run_id)
-    newest = materialize(latest_per_path(batch.where(paths.scan_keeps(F.col("file_path"), roots))), "stream-latest")
-    latest = materialize(winners(newest, heads), "stream-batch")
+    records = batch.where(paths.scan_keeps(F.col("file_path"), roots))
+    latest = materialize(winners(latest_per_path(records), heads, records), "stream-batch")
     # Only the buckets of the batch's paths are compared.
     stored = old.read(CONCEPT_SCHEMA, _buckets_of(latest, old)) if old else empty_concepts(spark)
-    upserts = latest.where("live").select("file_path", "content")
+    # Until the changes are known, only hashes move; then the contents of changed paths do, once.
+    upserts = latest.where("live").select("file_path", "content_hash")
     deletes = latest.where("not live").select("file_path")
     diff = maintain.diff_snapshot(stored, upserts, roots, removals=False).where("action <> 'kept'")
     gone = stored.join(deletes, on="file_path", how="left_semi").where(F.col("source") == maintain.LOCAL)
@@ -92,21 +101,20 @@ def process_batch(batch: DataFrame, batch_id: int, roots: list[str], snapshot_ba
         untouched = whole.join(diff.select("file_path"), "file_path", "left_anti").select("file_path", "slug")
         maintain.check_slug_conflicts(next_slugs(stored, diff).where("file_path is not null").unionByName(untouched))
         clock = now if now is not None else F.unix_timestamp()
-        mine, written = write_run(stored, upserts, diff, roots, clock, base, run_id, old)
-        discard(written)
+        mine, _ = write_run(stored, contents_of(records, upserts), diff, roots, clock, base, run_id, old)
     if index_base:
         fresh = mine.read(CONCEPT_SCHEMA).join(diff.where(F.col("action").isin("added", "updated")).select("file_path"), "file_path", "left_semi")
         replaced = stored.join(diff.where(F.col("action").isin("updated", "removed")).select("file_path"), "file_path", "left_semi")
         search_index.refresh(index_base, replaced, fresh, tag=run_id)
     if _tagged(spark, heads_base, run_id) is None:
         fresh_heads = latest.select("file_path", "seq", "live", "content_hash")
-        buckets.replace(heads_base, fresh_heads.select("file_path"), fresh_heads, ["file_path"], run_id, old=heads)
+        buckets.replace(heads_base, fresh_heads.select("file_path").limit(0), fresh_heads, ["file_path"], run_id, old=heads)
     summary = maintain.index_summary(diff, mine.n_rows).select(
         F.lit(run_id).alias("run_id"), F.lit(batch_id).cast("long").alias("batch_id"),
         F.lit(None).cast("long").alias("now"), "added", "updated", "removed", "skipped", "total",
     )
     summary.write.mode("append").parquet(runs_path)
-    discard(newest, latest, diff)
+    discard(latest, diff)
 
 
 def _tagged(spark: SparkSession, base: str, tag: str) -> buckets.Version | None:

@@ -90,3 +90,11 @@ def test_late_records_and_late_deletions_lose(spark):
         assert {k: v for k, v in final.items() if k != "/kb/c.md"} == {"/kb/a.md": "new", "/kb/b.md": "after", "/kb/d.md": "d"}
         assert final["/kb/c.md"] == max("xy", key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())
         assert ingest.read_runs(spark, note).count() == 3
+
+
+def test_only_the_contents_of_winners_move(spark):
+    records = _batch(spark, [("/kb/a.md", "old", 1), ("/kb/a.md", "new", 2), ("/kb/a.md", "new", 2), ("/kb/b.md", "x", 1), ("/kb/b.md", None, 2)])
+    latest = ingest.latest_per_path(records)
+    assert "content" not in latest.columns
+    found = ingest.contents_of(records, latest.where("live").select("file_path", "content_hash"))
+    assert [(r.file_path, r.content) for r in found.collect()] == [("/kb/a.md", "new")]

@@ -103,11 +103,15 @@ def files_from_documents(documents: DataFrame, with_house_rules: bool = True, sp
         return files
     # The driver tables are single Parquet files: spread the rendered files
     # over the cluster by key before the per-file (Python) work.
-    return files.repartition(spread_partitions(documents.sparkSession), "doc_id")
+    return files.repartition(spread_partitions(documents), "doc_id")
 
 
-def spread_partitions(spark: SparkSession) -> int:
-    return max(int(spark.sparkContext.defaultParallelism), 1)
+SPREAD = 4  # partitions per input split: rendered files are larger than their compressed rows
+
+
+def spread_partitions(table: DataFrame) -> int:
+    """A partition per core at least, and more as the table has more splits, so that a task's part does not grow with it."""
+    return max(int(table.sparkSession.sparkContext.defaultParallelism), SPREAD * table.rdd.getNumPartitions())
 
 
 def snapshot_pair(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +193,7 @@ def files_from_conversations(conversations: DataFrame) -> DataFrame:
         path.alias("file_path"), F.col("text").alias("content"),
         (F.lit(FIXTURE_EPOCH) + 60 * F.col("conv_id") + F.col("turn")).cast("long").alias("indexed_at"),
     )
-    return files.repartition(spread_partitions(conversations.sparkSession), "file_path")
+    return files.repartition(spread_partitions(conversations), "file_path")
 
 
 CHAT_ROOT = "/chat"

@@ -37,3 +37,13 @@ def test_counts_come_largest_first(spark):
     df = spark.createDataFrame([("a", ["x"]), ("b", ["x", "y"]), ("b", ["z", "x"])], "type string, tags array<string>")
     assert [(r.type, r["count"]) for r in browse.stats_by_type(df).collect()] == [("b", 2), ("a", 1)]
     assert [r.name for r in browse.tag_counts(df).collect()] == ["x", "y", "z"]
+
+
+def test_files_are_dealt_over_more_partitions_where_the_table_has_more_splits(spark):
+    from quire.sources.fixtures import SPREAD, files_from_conversations, files_from_documents
+
+    docs = spark.range(30).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'src1' AS source")
+    turns = spark.range(30).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "'t' AS text")
+    for table, render in ((docs, lambda d: files_from_documents(d, False)), (turns, files_from_conversations)):
+        files = render(table.repartition(20))
+        assert files.rdd.getNumPartitions() == 20 * SPREAD and files.count() == 30

@@ -8,9 +8,10 @@ A larger query table never passes through the driver.  Corpus and queries are bo
 *pivots*, corpus vectors that stand for cells: a vector belongs to the cell of its nearest pivot, and a cell knows
 the largest distance of a member to its pivot.  A query first searches the nearest cells that hold enough
 vectors; its k-th distance there bounds what is left: by the triangle inequality a cell farther than that bound plus the cell's radius, and in a cell a vector
-whose distance to the pivot differs from the query's by more, can't hold a neighbour.  Cells are cut into chunks of
-bounded size, so a dense region is many tasks.  On vectors without clusters in many dimensions, no bound prunes, and
-the search compares all pairs, in bounded blocks.
+whose distance to the pivot differs from the query's by more, can't hold a neighbour.  Cells are put into groups, and groups meet parts of the
+query table, both of bounded size: a row is moved once per group or part, not once per cell, and a task keeps a running top-k.
+On vectors without clusters in many dimensions, no bound prunes, and the search compares all pairs, in bounded blocks: single-precision
+products pick what may be near enough, with room for their rounding, and only that is measured in double precision.
 """
 
 from __future__ import annotations
@@ -166,7 +167,10 @@ def knn(corpus: DataFrame, queries: DataFrame, k_col: str = "k", types_col: str
 
 # ---------------------------------------------------------------- pivots
 
-_SLACK = 1e-9
+# Room for the rounding of distances: that of a vector to itself may come out near 3e-8.
+_SLACK = 1e-7
+GROUP_CELLS = 16  # cells of ``cell_rows`` vectors that a task takes at most
+ROW_BLOCK = 4096  # vectors whose products with a block of queries are held at a time
 
 
 def _units(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +190,61 @@ def reachable(gap: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> np.ndar
     return gap - radius[None, :] <= bound[:, None] + _SLACK
 
 
+def _groups(size: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first group, number of groups) of every cell: small cells share a group of about ``rows`` vectors, a large one is cut."""
+    start, parts = np.zeros(len(size), np.int64), np.maximum(1, -(-size // rows))
+    group, held = 0, 0
+    for c, n in enumerate(size):
+        if held and held + n > rows:
+            group, held = group + 1, 0
+        start[c], held = group, held + n
+        if parts[c] > 1:
+            group, held = group + parts[c], 0
+    return start, parts
+
+
+def _nearest(x: np.ndarray, q: np.ndarray, ks: np.ndarray, least: np.ndarray, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, distance) of vectors ``x`` that may be among the ``ks`` nearest of unit vectors ``q``.
+
+    ``least``: a distance per query beyond which nothing is asked for.  Products in single precision pick the vectors that
+    are near enough, with room for their rounding; their distances are then taken in double precision.
+    """
+    x32, q32 = x.astype(np.float32), q.astype(np.float32)
+    room = (x.shape[1] + 8) * 2.0**-22
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    for at in range(0, len(x), ROW_BLOCK):
+        sims = q32 @ x32[at : at + ROW_BLOCK].T
+        for cols, ok in allowed or ():
+            sims[np.ix_(cols, ~ok[at : at + ROW_BLOCK])] = -np.inf
+        floor = 1.0 - least - room - TIE_EPS
+        loose = np.flatnonzero(np.isinf(floor))
+        if len(loose):  # no distance known yet: the k-th of this block
+            k = np.minimum(ks[loose], sims.shape[1])
+            top = np.partition(sims[loose], sims.shape[1] - np.unique(k), axis=1)
+            floor[loose] = top[np.arange(len(loose)), sims.shape[1] - k] - 2 * room - TIE_EPS
+        floor = np.nextafter(np.maximum(floor, -4.0).astype(np.float32), np.float32(-np.inf))
+        query, row = np.divmod(np.flatnonzero(sims >= floor[:, None]), sims.shape[1])
+        if not len(query):
+            continue
+        row += at
+        far = np.empty(len(row))
+        for i in range(0, len(row), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            far[part] = 1.0 - np.einsum("ij,ij->i", x[row[part]], q[query[part]])
+        keep = far <= least[query] + TIE_EPS
+        row, query, far = (np.concatenate([h, v[keep]]) for h, v in zip(held, (row, query, far)))
+        order = np.lexsort((far, query))
+        row, query, far = row[order], query[order], far[order]
+        count = np.bincount(query, minlength=len(q))
+        first = np.cumsum(count) - count
+        full = np.flatnonzero(count >= ks)
+        least = least.copy()
+        least[full] = np.minimum(least[full], far[first[full] + ks[full] - 1])
+        near = far <= least[query] + TIE_EPS
+        held = [row[near], query[near], far[near]]
+    return tuple(held)
+
+
 def _by_pivots(body: DataFrame, q: DataFrame, key_type: T.DataType, cell_rows: int, max_cells: int, typed: bool) -> DataFrame:
     """Candidates ``query_id, id, _key, distance``, the nearest k of every query among them."""
     n = body.count()
@@ -214,76 +273,97 @@ def _by_pivots(body: DataFrame, q: DataFrame, key_type: T.DataType, cell_rows: i
     stats = {r.cell: r for r in placed.groupBy("cell").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).collect()}
     radius = np.array([stats[c].radius if c in stats else -np.inf for c in range(len(pivots))])
     size = np.array([stats[c].n if c in stats else 0 for c in range(len(pivots))])
-    chunks = np.maximum(1, -(-size // cell_rows))
-    per_cell = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("cell") + 1)
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), per_cell).cast("int"))
-
-    def ask(first: bool):
-        def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, known = _units(pdf["qvec"])
-                pdf, x = pdf[known], x[known]
-                for at in range(0, len(pdf), QUERY_BLOCK):
-                    part, gap = pdf.iloc[at : at + QUERY_BLOCK], _gaps(x[at : at + QUERY_BLOCK], pivots)
-                    near = np.argsort(gap, axis=1, kind="stable")
-                    # cells until they hold k vectors
-                    before = np.cumsum(size[near], axis=1) - size[near]
-                    probed = np.zeros(gap.shape, bool)
-                    np.put_along_axis(probed, near, before < np.maximum(part["k"].to_numpy(), 1)[:, None], axis=1)
-                    if first:
-                        take, bound = probed, np.full(len(part), np.inf)
-                    else:
-                        bound = np.sqrt(2 * np.nan_to_num(part["theta"].to_numpy(float), nan=np.inf))
-                        take = reachable(gap, radius, bound) & ~probed
-                    row, cell = np.nonzero(take & (size > 0)[None, :])
-                    many = chunks[cell]
-                    row, cell = np.repeat(row, many), np.repeat(cell, many)
-                    chunk = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                    out = part.iloc[row].assign(cell=cell.astype(np.int32), chunk=chunk.astype(np.int32), gap=gap[row, cell], bound=bound[row])
-                    yield out[[*part.columns.drop("theta", errors="ignore"), "cell", "chunk", "gap", "bound"]]
-
-        fields = [*q.schema.fields] + [T.StructField(c, t) for c, t in (("cell", T.IntegerType()), ("chunk", T.IntegerType()),
-                                                                        ("gap", T.DoubleType()), ("bound", T.DoubleType()))]
-        return run, T.StructType(fields)
+    # Groups of cells meet parts of the queries: a row is moved once per group or part that it meets, not once per cell,
+    # and neither side of a task grows with its table.
+    n_asks = q.count()
+    side = (n * n_asks / (4 * spark.sparkContext.defaultParallelism)) ** 0.5
+    side = int(min(max(side, cell_rows), GROUP_CELLS * cell_rows))
+    start, parts = _groups(size, side)
+    ask_parts = max(1, -(-n_asks // side))
+    of_cell = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
+    placed = placed.withColumn("group", (of_cell(start) + F.pmod(F.xxhash64("id", F.lit(5)), of_cell(parts))).cast("int"))
+    dealt = q.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(ask_parts)).cast("int"))
+
+    def wanted(x, asks):
+        """(queries x cells to search, largest distance asked for); without ``theta`` the nearest cells that hold k vectors."""
+        gap = _gaps(x, pivots)
+        if "theta" in asks:
+            theta = asks["theta"].to_numpy(float)
+            theta = np.where(np.isnan(theta), np.inf, theta)
+            # room for ties, and for copies, whose distance may round below 0
+            take = reachable(gap, radius, np.sqrt(2 * np.maximum(theta, 0.0) + 4 * TIE_EPS))
+        else:
+            theta, take = np.full(len(asks), np.inf), np.zeros(gap.shape, bool)
+            near = np.argsort(gap, axis=1, kind="stable")
+            before = np.cumsum(size[near], axis=1) - size[near]
+            np.put_along_axis(take, near, before < np.maximum(asks["k"].to_numpy(), 1)[:, None], axis=1)
+        return take & (size > 0)[None, :], theta, gap
+
+    def ask(batches):
+        """A row per query and group that holds a cell to search."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, known = _units(pdf["qvec"])
+            pdf, x = pdf[known], x[known]
+            for at in range(0, len(pdf), QUERY_BLOCK):
+                part = pdf.iloc[at : at + QUERY_BLOCK]
+                take, _, _ = wanted(x[at : at + QUERY_BLOCK], part)
+                row, cell = np.nonzero(take)
+                many = parts[cell]
+                row, first = np.repeat(row, many), np.repeat(start[cell], many)
+                group = first + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                row, group = np.unique(np.stack([row, group]), axis=1)
+                yield part.iloc[row].assign(group=group.astype(np.int32))
 
     def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "_key": rows["_key"].iloc[:0], "distance": np.empty(0)})
         if not len(rows) or not len(asks):
             return none
-        rows, asks = rows.sort_values("gap"), asks.sort_values("gap")
+        rows = rows.sort_values(["cell", "gap"])
         emb, _ = _units(rows["embedding"])
-        types = rows["type"].to_numpy() if typed else None
-        gap, out = rows["gap"].to_numpy(), []
+        cell, gap = rows["cell"].to_numpy(), rows["gap"].to_numpy()
+        here, first = np.unique(cell, return_index=True)
+        last = np.append(first[1:], len(cell))
+        vecs, _ = _units(asks["qvec"])
+        # queries of a block should want the same cells
+        order = np.argsort(_gaps(vecs, pivots[here]).argmin(axis=1), kind="stable")
+        asks, vecs, out = asks.iloc[order], vecs[order], []
         for at in range(0, len(asks), QUERY_BLOCK):
-            part = asks.iloc[at : at + QUERY_BLOCK]
-            bound, own = part["bound"].to_numpy(), part["gap"].to_numpy()
-            # vectors whose distance to the pivot fits some query of the block
-            lo = np.searchsorted(gap, (own - bound).min() - _SLACK)
-            hi = np.searchsorted(gap, (own + bound).max() + _SLACK, side="right")
-            if lo == hi:
+            part, x = asks.iloc[at : at + QUERY_BLOCK], vecs[at : at + QUERY_BLOCK]
+            take, least, own = wanted(x, part)
+            chord = np.sqrt(2 * np.maximum(least, 0.0) + 4 * TIE_EPS)
+            pick = []
+            for c, lo, hi in zip(here, first, last):
+                some = take[:, c]
+                if some.any():
+                    # vectors whose distance to the pivot fits some query of the block
+                    a = np.searchsorted(gap[lo:hi], (own[some, c] - chord[some]).min() - _SLACK)
+                    b = np.searchsorted(gap[lo:hi], (own[some, c] + chord[some]).max() + _SLACK, side="right")
+                    pick.append(np.arange(lo + a, lo + b))
+            pick = np.concatenate(pick) if pick else np.empty(0, np.int64)
+            if not len(pick):
                 continue
-            vecs, _ = _units(part["qvec"])
-            groups = [(k, v) for k, v in _group_types(list(part["types"])).items()] if typed else []
-            ones = np.ones(hi - lo)
-            r, c, d = _block_topk(emb[lo:hi], ones, ones > 0, types[lo:hi] if typed else None, vecs, np.ones(len(part)),
-                                  np.maximum(part["k"].to_numpy(), 1), groups)
-            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[c], "id": rows["id"].to_numpy()[lo:hi][r],
-                                     "_key": rows["_key"].to_numpy()[lo:hi][r], "distance": d}))
+            types = rows["type"].to_numpy()[pick] if typed else None
+            allowed = [(v, np.isin(types, list(k))) for k, v in _group_types(list(part["types"])).items()] if typed else None
+            row, query, far = _nearest(emb[pick], x, np.maximum(part["k"].to_numpy(), 1), least, allowed)
+            row = pick[row]
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[query], "id": rows["id"].to_numpy()[row],
+                                     "_key": rows["_key"].to_numpy()[row], "distance": far}))
         return pd.concat(out) if out else none
 
     def found(asks: DataFrame) -> DataFrame:
-        return placed.groupBy("cell", "chunk").cogroup(asks.groupBy("cell", "chunk")).applyInPandas(search, _cand_schema(key_type))
+        fields = [*asks.schema.fields, T.StructField("group", T.IntegerType())]
+        asked = asks.mapInPandas(ask, T.StructType(fields))
+        # every part of the queries takes a copy of the groups
+        copies = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ask_parts - 1))))
+        return copies.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInPandas(search, _cand_schema(key_type))
 
-    run, schema = ask(True)
-    first = materialize(found(q.mapInPandas(run, schema)), "knn-first")
+    first = materialize(found(dealt), "knn-first")
     place = Window.partitionBy("query_id").orderBy("distance")
     limit = first.withColumn("pos", F.row_number().over(place)).join(q.select("query_id", "k"), "query_id")
     limit = limit.where(F.col("pos") == F.greatest("k", F.lit(1))).select("query_id", F.col("distance").alias("theta"))
-    run, schema = ask(False)
-    rest = q.join(limit, "query_id", "left").select(*q.columns, "theta").mapInPandas(run, schema)
-    return first.unionByName(found(rest))
+    return found(dealt.join(limit, "query_id", "left").select(*dealt.columns, "theta"))
 
 
 def _pack(rows, k_col, types_col):

@@ -63,3 +63,28 @@ def test_empty_tables(spark):
     for way in (True, False):
         assert vector.knn(corpus, asks, partitioned=way).collect() == []
         assert vector.knn(spark.createDataFrame([(1, "a", [1.0, 0.0])], corpus.schema), asks.limit(0), partitioned=way).collect() == []
+
+
+def test_a_query_keeps_few_candidates_however_many_cells_it_meets(spark):
+    x = np.random.default_rng(4).standard_normal((600, 32)).astype(np.float32).astype(float)
+    body = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "id long, _key long, embedding array<float>")
+    asks = body.selectExpr("id as query_id", "embedding as qvec", "5 as k")
+    found = vector._by_pivots(body, asks, body.schema["_key"].dataType, 20, 1024, False).groupBy("query_id").count().collect()
+    assert len(found) == 600
+    assert sum(r["count"] for r in found) < 600 * 5 * 6  # five of every one of the 30 cells before
+
+
+@pytest.mark.parametrize("bound", [np.inf, 0.4])
+def test_nearest_equals_brute_force(bound):
+    rng = np.random.default_rng(5)
+    x, _ = vector._units(rng.standard_normal((9000, 8)))
+    x[5000:5020] = x[10]
+    q, ks = x[:40], 1 + np.arange(40) % 15
+    row, query, far = vector._nearest(x, q, ks, np.full(40, bound))
+    d = 1 - q @ x.T
+    for i, k in enumerate(ks):
+        cut = min(np.partition(d[i], k - 1)[k - 1], bound)
+        mine = row[query == i]
+        assert set(np.flatnonzero(d[i] <= cut - 1e-13)) <= set(mine) and (d[i, mine] <= cut + 2e-12).all()
+        assert np.abs(far[query == i] - d[i, mine]).max() < 1e-14
+    assert set(range(5000, 5020)) <= set(row[query == 10])

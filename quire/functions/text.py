@@ -47,8 +47,13 @@ FOLDED_MARKS = "".join(map(chr, [
 
 
 def fold(text: Column) -> Column:
-    """Lowercase, drop the folded marks and strip single diacritics from Latin letters, in one pass."""
-    return F.translate(F.lower(text), FOLD_FROM + FOLDED_MARKS, FOLD_TO)
+    """Lowercase, drop the folded marks and strip single diacritics from Latin letters, in one pass.
+
+    A text of ASCII alone (as many bytes as characters) has nothing to replace and is not walked letter by letter.
+    """
+    low = F.lower(text)
+    folded = F.translate(low, FOLD_FROM + FOLDED_MARKS, FOLD_TO)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(folded)
 
 
 def fts_tokens(text: Column) -> Column:

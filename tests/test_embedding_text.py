@@ -106,3 +106,14 @@ def test_vectors_do_not_depend_on_the_pieces_and_memory_does_not_grow_with_the_b
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150e6  # the batch in one piece: about 1 GB
+
+
+def test_folding_is_the_same_for_ascii_and_other_texts(spark):
+    from quire.functions.text import FOLDED_MARKS, fold, fts_tokens
+
+    texts = ["", "Tip-TOP x1_a", "Kİ État", "Áb", "STRASSE Σς", "\x00\x7fZ", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fold("t").alias("f"), fts_tokens(F.col("t")).alias("k"))
+    rows = {r.i: (r.f, r.k) for r in got.collect()}
+    assert [rows[i][0] for i in range(7)] == ["", "tip-top x1_a", "ki etat", "ab", "strasse σσ", "\x00\x7fz", None]
+    assert rows[1][1] == ["tip", "top", "x1", "a"] and rows[2][1] == ["ki", "etat"] and rows[6][1] == []
+    assert not any(m.isascii() for m in FOLDED_MARKS)

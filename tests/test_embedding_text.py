@@ -108,6 +108,28 @@ def test_vectors_do_not_depend_on_the_pieces_and_memory_does_not_grow_with_the_b
     assert peak < 150e6  # the batch in one piece: about 1 GB
 
 
+def test_a_batch_is_embedded_in_slices_and_is_never_whole_in_python():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quire.functions.embedding import SLICE_TEXTS, _embed_batch
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 500, size=400)) for _ in range(8 * SLICE_TEXTS)] + [None, "", "a b"]
+    batch = pa.array(texts)
+    tracemalloc.start()
+    got = _embed_batch(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(texts) and got.null_count == 0
+    some = [0, SLICE_TEXTS - 1, SLICE_TEXTS, 5 * SLICE_TEXTS + 7, len(texts) - 3, len(texts) - 2, len(texts) - 1]
+    assert (np.array(got.take(pa.array(some)).to_pylist(), np.float32) == embed_many([texts[i] for i in some])).all()
+    # the vectors, 4 bytes an entry, and what a slice and a piece take; before, the whole batch was held three times in double precision
+    assert peak < 256 * 4 * len(texts) + 25e6
+    assert len(_embed_batch(batch.slice(0, 0))) == 0
+
+
 def test_folding_is_the_same_for_ascii_and_other_texts(spark):
     from quire.functions.text import FOLDED_MARKS, fold, fts_tokens
 

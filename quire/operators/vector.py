@@ -40,16 +40,18 @@ def _cand_schema(key_type: T.DataType) -> T.StructType:
     )
 
 
-# Queries scored together inside one Arrow batch: bounds the distance matrix
-# to rows x QUERY_BLOCK doubles (about 40 MB for a 10,000-row batch).
+# Rows of an Arrow batch and queries scored together: bounds the distance matrix
+# to SCAN_ROWS x QUERY_BLOCK doubles (about 8 MB), however many rows a batch has.
 QUERY_BLOCK = 512
+SCAN_ROWS = 2048
 
 
-def _block_topk(emb, norms, valid, types, qv, qn, ks, qtypes_cols):
-    """Distances of one row block to one query block, and the kept cells."""
+def _block_topk(emb, norms, valid, types, qv, qn, ks, qtypes_cols, least):
+    """Distances of one row block to one query block, and the kept cells: none beyond ``least``, a distance per query."""
     sims = (emb @ qv.T) / np.where(valid, norms, 1.0)[:, None] / qn[None, :]
     dist = 1.0 - sims
     dist[~valid, :] = np.inf
+    dist[np.isnan(dist)] = np.inf
     for allowed, cols in qtypes_cols:
         dist[np.ix_(~np.isin(types, list(allowed)), cols)] = np.inf
     n = dist.shape[0]
@@ -57,17 +59,21 @@ def _block_topk(emb, norms, valid, types, qv, qn, ks, qtypes_cols):
     top = min(int(kk.max()), n)
     part = np.partition(dist, top - 1, axis=0)[:top] if top < n else dist.copy()
     part.sort(axis=0)
-    thr = part[kk - 1, np.arange(len(ks))]
+    thr = np.minimum(part[kk - 1, np.arange(len(ks))], least)
     mask = np.isfinite(dist) & (dist <= thr[None, :] + TIE_EPS)
     rows, cols = np.nonzero(mask)
     return rows, cols, dist[rows, cols]
 
 
 class _Best:
-    """The running top-k of every query of a batch: cells kept so far, cut down now and then."""
+    """The running top-k of every query of a batch: cells kept so far, cut down now and then.
 
-    def __init__(self, ks: np.ndarray, most: int = 2_000_000):
+    ``least``: the distance of every query beyond which nothing is wanted any more, as of the last cut.
+    """
+
+    def __init__(self, ks: np.ndarray, most: int = 1 << 18):
         self.ks, self.most, self.held, self.n = ks, most, [], 0
+        self.least = np.full(len(ks), np.inf)
 
     def add(self, query: np.ndarray, ids: np.ndarray, keys: np.ndarray, distance: np.ndarray) -> None:
         self.held.append((query, ids, keys, distance))
@@ -85,6 +91,8 @@ class _Best:
         first = np.searchsorted(query, np.arange(len(self.ks)))
         count = np.bincount(query, minlength=len(self.ks))
         last = np.minimum(first + np.minimum(self.ks, count) - 1, len(query) - 1)
+        full = count >= self.ks
+        self.least[full] = distance[last[full]]
         keep = (rank < self.ks[query]) | (distance <= distance[last][query] + TIE_EPS)
         return query[keep], ids[order][keep], keys[order][keep], distance[keep]
 
@@ -94,9 +102,7 @@ def _partition_topk(bq):
         q = bq.value
         qv, qn, qids, ks, qtypes = q["vecs"], q["norms"], q["ids"], q["k"], q["types"]
         best = _Best(ks)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
+        for pdf in (batch.iloc[at : at + SCAN_ROWS] for batch in batches for at in range(0, len(batch), SCAN_ROWS)):
             emb = np.stack([np.asarray(e, dtype=np.float64) for e in pdf["embedding"].values])
             norms = np.sqrt((emb * emb).sum(axis=1))
             valid = norms > 0
@@ -110,7 +116,7 @@ def _partition_topk(bq):
                         local = cols[(cols >= start) & (cols < start + QUERY_BLOCK)] - start
                         if len(local):
                             groups.append((allowed, local))
-                rows, cols, d = _block_topk(emb, norms, valid, types, qv[sl], qn[sl], ks[sl], groups)
+                rows, cols, d = _block_topk(emb, norms, valid, types, qv[sl], qn[sl], ks[sl], groups, best.least[sl])
                 best.add(start + cols, ids[rows], keys[rows], d)
         if best.n:
             query, ids, keys, d = best.cut()

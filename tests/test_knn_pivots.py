@@ -88,3 +88,31 @@ def test_nearest_equals_brute_force(bound):
         assert set(np.flatnonzero(d[i] <= cut - 1e-13)) <= set(mine) and (d[i, mine] <= cut + 2e-12).all()
         assert np.abs(far[query == i] - d[i, mine]).max() < 1e-14
     assert set(range(5000, 5020)) <= set(row[query == 10])
+
+
+def test_a_scan_takes_bounded_blocks_of_rows_and_queries_and_keeps_the_nearest():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((12_000, 8)).astype(np.float32)
+    x[7000:7020] = x[10]
+    x[3] = 0
+    q = x[[10, *range(100, 800)]].astype(float)
+    ks = 1 + np.arange(len(q)) % 15
+    asked = {"vecs": q, "norms": np.sqrt((q * q).sum(axis=1)), "ids": np.arange(len(q)), "k": ks, "types": None}
+    pdf = pd.DataFrame({"id": np.arange(len(x)), "_key": np.arange(len(x)), "embedding": list(x)})
+    tracemalloc.start()
+    got = pd.concat(vector._partition_topk(SimpleNamespace(value=asked))(iter([pdf[:10_000], pdf[:0], pdf[10_000:]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6  # a whole batch at a time: about 130 MB
+    d = 1 - (q / asked["norms"][:, None]) @ (x / np.maximum(np.linalg.norm(x.astype(float), axis=1), 1e-30)[:, None]).T
+    d[:, 3] = np.inf
+    cut = np.array([np.partition(d[i], k - 1)[k - 1] for i, k in enumerate(ks)])
+    mine = set(zip(got["query_id"], got["id"]))
+    assert {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= cut[:, None] - 1e-12))} <= mine
+    assert (d[got["query_id"], got["id"]] <= cut[got["query_id"]] + 2e-12).all()
+    assert {(0, j) for j in range(7000, 7020)} <= mine

@@ -517,7 +517,7 @@ def _score_range(avg_len: float):
     return run
 
 
-def _bounded(queries: list[dict], unit: dict, n: np.ndarray, most: int = 1 << 21) -> Iterator[list[dict]]:
+def _bounded(queries: list[dict], unit: dict, n: np.ndarray, most: int = 1 << 18) -> Iterator[list[dict]]:
     """Queries in parts whose documents, counted per phrase, stay near ``most``."""
     part, load = [], 0
     for r in queries:

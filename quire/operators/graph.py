@@ -9,12 +9,16 @@ the visited set, each level written to the checkpoint folder.
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import approx_tokens
 from quire.operators.parse import dependency_slugs
-from quire.session import checkpoint_dir, discard, materialize
+from quire.session import checkpoint_dir, discard, materialize, ship_package
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -199,26 +203,141 @@ def positions(df: DataFrame, group: str, order: list[str], out: str) -> DataFram
 # Digits of a dependency's place in its list, in a path key.
 _PLACE_DIGITS = 6
 
+# A walk holds the whole graph as numbers in every Python worker (8 bytes per edge, 8 per concept): up to so many edges.
+MAX_WALK_EDGES = 8_000_000
+
+# Rows of a tree that a walk gathers before it hands them on.
+_WALK_ROWS = 1 << 16
 
-def dependency_tree(concepts: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+
+def dependency_tree(concepts: DataFrame, roots: DataFrame | None = None, max_walk_edges: int | None = None) -> DataFrame:
     """The nested depth-first tree of every root (of the key batch ``roots(slug)``, else of all concepts with dependencies).
 
     ``root, position, slug, parent, depth``: what a depth-first walk with one visited set per root
     reaches, in the order in which it is entered (the root at 0).  Dependencies are walked in their declared order; missing slugs and those
-    entered before are left out, so cycles end.
+    entered before are left out, so cycles end.  Concepts that several rows of one slug declare at the same place are entered
+    together, by slug, before what they depend on.
 
-    The walk enters every concept by the path whose places in the dependency lists come first lexicographically (any
-    concept that a smaller path could use is still unentered when the walk gets there).  So the tree needs no walk: each
-    round extends the paths that became smaller by one edge and keeps the smallest per root and slug.  Only improved paths
-    travel; a round is written to the checkpoint folder, and rounds end when no path gets smaller.
+    Up to ``max_walk_edges`` edges (``MAX_WALK_EDGES``, counted first) the roots are dealt over the cluster and every task walks its
+    own, so the work is the size of the trees, in one stage however deep they are.  A larger graph, which no
+    worker may hold, is solved by rounds of joins.
     """
     spark = concepts.sparkSession
     checkpoint_dir(spark)
     existing = concepts.select(F.col("slug").alias("dst")).distinct()
     e = edges(concepts).where("src <> dst").groupBy("src", "dst").agg(F.min("ord").alias("ord")).join(existing, "dst", "left_semi")
-    e = materialize(e.select("src", "dst", F.lpad(F.col("ord").cast("string"), _PLACE_DIGITS, "0").alias("place")), "tree-edges")
+    e = materialize(e.select("src", "dst", "ord"), "tree-edges")
     starts = _keyed(concepts.select("slug"), roots).distinct()
     starts = starts if roots is not None else starts.join(e.select(F.col("src").alias("slug")).distinct(), "slug", "left_semi")
+    limit = MAX_WALK_EDGES if max_walk_edges is None else max_walk_edges
+    return _walked_tree(e, starts) if e.count() <= limit else _relaxed_tree(e, starts)
+
+
+def _walked_tree(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """The trees of ``starts(slug)`` by a walk per root over ``e(src, dst, ord)``."""
+    spark = e.sparkSession
+    ship_package(spark)
+    slugs = e.select(F.col("src").alias("slug")).union(e.select("dst")).distinct()
+    # Numbers in the order of the slugs, without gaps.
+    nodes = positions(slugs.withColumn("_all", F.lit(0)), "_all", ["slug"], "id")
+    nodes = materialize(nodes.select(F.col("id").cast("int").alias("id"), "slug"), "tree-nodes")
+
+    def named(id_name: str, slug_name: str) -> DataFrame:
+        return nodes.select(F.col("id").alias(id_name), F.col("slug").alias(slug_name))
+
+    numbered = e.join(named("s", "src"), "src").join(named("d", "dst"), "dst").select("s", F.col("ord").cast("int").alias("ord"), "d")
+    lists = numbered.orderBy("s", "ord", "d").toArrow()
+    s, places, targets = (lists[c].to_numpy() for c in ("s", "ord", "d"))
+    first = np.searchsorted(s, np.arange(nodes.count() + 1)).astype(np.int32)
+    sent = spark.sparkContext.broadcast(tuple(a.astype(np.int32).tobytes() for a in (first, places, targets)))
+
+    def walk(batches):
+        return walk_trees(sent.value, batches)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * int(spark.sparkContext.defaultParallelism))
+    begun = starts.join(named("id", "slug"), "slug").repartition(tasks, "slug")
+    walked = materialize(begun.mapInArrow(walk, "root string, position long, node int, up int, depth int"), "tree")
+    tree = walked.join(named("node", "slug"), "node").join(named("up", "above"), "up")
+    parent = F.when(F.col("position") > 0, F.col("above"))
+    tree = tree.select("root", "position", "slug", parent.alias("parent"), "depth")
+    alone = starts.join(nodes, "slug", "left_anti")
+    return tree.unionByName(alone.select(
+        F.col("slug").alias("root"), F.lit(0).cast("long").alias("position"), "slug", F.lit(None).cast("string").alias("parent"),
+        F.lit(0).alias("depth")))
+
+
+def walk_trees(graph: tuple[bytes, bytes, bytes], batches):
+    """Arrow batches ``(slug, id)`` of roots -> batches ``(root, position, node, up, depth)``, ``up`` being the node itself for a root.
+
+    ``graph``: as 4-byte numbers, where each node's edges begin, and the edges' places and targets, by node, place and target.
+    """
+    first, places, targets = (memoryview(part).cast("i") for part in graph)
+    seen = array("i", bytes(4 * (len(first) - 1)))
+    stamp = 0
+    root_rows, position, node, up, depth = [], [], [], [], []
+
+    def rows():
+        names = pa.DictionaryArray.from_arrays(
+            pa.array([i for i, (_, n) in enumerate(root_rows) for _ in range(n)], pa.int32()), pa.array([r for r, _ in root_rows], pa.string()))
+        out = pa.RecordBatch.from_arrays(
+            [names.cast(pa.string()), pa.array(position, pa.int64()), pa.array(node, pa.int32()), pa.array(up, pa.int32()),
+             pa.array(depth, pa.int32())], ["root", "position", "node", "up", "depth"])
+        for column in (root_rows, position, node, up, depth):
+            column.clear()
+        return out
+
+    for batch in batches:
+        for root, start in zip(batch.column("slug").to_pylist(), batch.column("id").to_pylist()):
+            stamp += 1
+            seen[start] = stamp
+            entered, told = 1, 0  # rows of this root: all, and those handed on
+            position.append(0), node.append(start), up.append(start), depth.append(0)
+            # Open lists of edges: their places, targets and sources (one number if it is one node), from where to where, depth of the targets.
+            stack = [(places, targets, start, first[start], first[start + 1], 1)]
+            while stack:
+                place, target, source, at, end, level = stack.pop()
+                while at < end and seen[target[at]] == stamp:
+                    at += 1
+                if at == end:
+                    continue
+                group, p = [], place[at]  # the targets at one place: one, unless rows of one slug differ
+                while at < end and place[at] == p:
+                    new = target[at]
+                    if seen[new] != stamp:
+                        seen[new] = stamp
+                        group.append(new)
+                        position.append(entered), node.append(new), depth.append(level)
+                        up.append(source if type(source) is int else source[at])
+                        entered += 1
+                    at += 1
+                if at < end:
+                    stack.append((place, target, source, at, end, level))
+                if len(group) == 1:
+                    new = group[0]
+                    stack.append((places, targets, new, first[new], first[new + 1], level + 1))
+                else:
+                    merged = sorted((places[i], targets[i], g) for g in group for i in range(first[g], first[g + 1]))
+                    if merged:
+                        stack.append((*map(list, zip(*merged)), 0, len(merged), level + 1))
+                if len(position) >= _WALK_ROWS:
+                    root_rows.append((root, entered - told))
+                    told = entered
+                    yield rows()
+            if entered > told:
+                root_rows.append((root, entered - told))
+    if position:
+        yield rows()
+
+
+def _relaxed_tree(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """The same by rounds.
+
+    The walk enters every concept by the path whose places in the dependency lists come first lexicographically (any
+    concept that a smaller path could use is still unentered when the walk gets there).  So the tree needs no walk: each
+    round extends the paths that became smaller by one edge and keeps the smallest per root and slug.  Only improved paths
+    travel; a round is written to the checkpoint folder, and rounds end when no path gets smaller.
+    """
+    e = e.select("src", "dst", F.lpad(F.col("ord").cast("string"), _PLACE_DIGITS, "0").alias("place"))
     first = starts.select(F.col("slug").alias("root"), "slug", F.lit(None).cast("string").alias("parent"), F.lit("").alias("key"))
     best = fresh = materialize(first, "tree")
     smallest = F.min(F.struct("key", "parent")).alias("s")

@@ -197,6 +197,45 @@ def test_dependency_tree_equals_a_depth_first_walk(spark):
     assert got == sorted([r for _, w in batches for r in w], key=str)
 
 
+def test_dependency_tree_of_a_long_chain_takes_few_steps(spark, monkeypatch):
+    """As many stages for a deep tree as for a flat one, and the same rows as by rounds of joins."""
+    import json
+
+    n = 12
+    deps = {f"c{i}": [f"c{i + 1}", f"c{i - 3}", "ghost"] for i in range(n)}
+    concepts = spark.createDataFrame([(s, json.dumps({"dependencies": d})) for s, d in deps.items()], "slug string, frontmatter string")
+    steps, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name="stage": steps.append(name) or write(df, name))
+    root = spark.createDataFrame([("c0",)], "slug string")
+    got = sorted(map(tuple, graph.dependency_tree(concepts, root).collect()))
+    assert got == depth_first(deps, "c0") and got[-1][-1] == n - 1
+    assert len(steps) < 6
+    assert sorted(map(tuple, graph.dependency_tree(concepts, root, max_walk_edges=0).collect())) == got
+
+
+def test_dependency_trees_walked_equal_those_by_rounds(spark, monkeypatch):
+    """Also where rows of one slug declare other lists, roots have no dependencies, and trees are handed on in parts."""
+    import json
+    import random
+
+    monkeypatch.setattr(graph, "_WALK_ROWS", 3)
+    rows = []
+    for g in range(12):
+        rng = random.Random(g)
+        names = [f"g{g}n{i}" for i in range(rng.randint(1, 10))]
+        for n in names + rng.sample(names, len(names) // 2):
+            rows.append((n, json.dumps({"dependencies": [rng.choice(names + ["ghost", None]) for _ in range(rng.randint(0, 4))]})))
+    rows += [(None, json.dumps({"dependencies": ["g1n0"]})), ("none", None), ("text", "{\"dependencies\": \"g1n0\"}")]
+    concepts = spark.createDataFrame(rows, "slug string, frontmatter string")
+    for roots in (None, concepts.select("slug").where("slug IS NULL OR slug LIKE '%n%'")):
+        walked, relaxed = (graph.dependency_tree(concepts, roots, n) for n in (None, 0))
+        assert walked.schema.simpleString() == relaxed.schema.simpleString()
+        assert sorted(map(tuple, walked.collect()), key=str) == sorted(map(tuple, relaxed.collect()), key=str)
+    plain = concepts.where("slug = 'none'")
+    assert graph.dependency_tree(plain).count() == 0
+    assert list(map(tuple, graph.dependency_tree(plain, plain).collect())) == [("none", 0, "none", None, 0)]
+
+
 def test_closure_by_strides_equals_breadth_first_search(spark, monkeypatch):
     import json
     import random

@@ -134,3 +134,51 @@ def test_tokens_of_other_scripts_equal_fts5(spark, text):
     con.execute("INSERT INTO t VALUES (?)", (text,))
     want = [r[0] for r in con.execute("SELECT term FROM v ORDER BY offset")]
     assert spark.createDataFrame([(text,)], "x string").select(fts_tokens(F.col("x"))).first()[0] == want
+
+
+def _occurrences_by_hand(rows, phrases):
+    """(phrase, id, field) -> occurrences: starts with as many postings of the phrase's tokens as it has tokens."""
+    out = {}
+    for name, toks in phrases.items():
+        votes = {}
+        for i, field, pos, term in rows:
+            for j, t in enumerate(toks):
+                if t == term:
+                    votes[i, field, pos - j] = votes.get((i, field, pos - j), 0) + 1
+        for (i, field, _), k in votes.items():
+            if k == len(toks):
+                out[name, i, field] = out.get((name, i, field), 0) + 1
+    return out
+
+
+def test_phrase_hits_vote_by_neighbours(spark, monkeypatch):
+    """The hits of token votes, ids of several rows included, while only neighbours are joined and tasks stay bounded."""
+    import random
+
+    rng = random.Random(5)
+    words = ["the", "of", "a", "tip", "Été"]
+    docs = [(n % 17, f"s{n % 17}", "note", "the tip", None, ["of", "a"] if n % 3 else None,
+             " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for n in range(19)]
+    docs += [docs[4], (99, "empty", "note", None, None, [], "")]
+    schema = "id long, slug string, type string, title string, description string, tags array<string>, body string"
+    concepts = spark.createDataFrame(docs, schema)
+    monkeypatch.setattr(fts, "MATCH_DOCUMENTS", 2)
+    n = fts.match_partitions(concepts)
+    assert n == 11
+    postings = fts.build_postings(concepts, n)
+    assert postings.rdd.getNumPartitions() == 11
+    queries = spark.createDataFrame(
+        [(1, "the"), (2, "the-of the the"), (3, "a-a-a ete"), (4, "tip-the-of-a"), (5, "  "), (6, "none-the"), (None, "of-\u00e9t\u00e9")],
+        "query_id long, query string")
+    phrases = fts.query_phrases(queries)
+    kinds = {(r.query_id, r.phrase_idx): r.toks for r in phrases.collect()}
+    rows = [(r.id, r.field, r.pos, r.term) for r in postings.collect()]
+    want = sorted((str(q), p, i, f, k) for ((q, p), i, f), k in _occurrences_by_hand(rows, kinds).items())
+    for stored in (postings, postings.drop("prev", "repeated")):  # as a table without them votes with every token
+        hits = fts.phrase_hits(stored, phrases)
+        assert sorted((str(r.query_id), r.phrase_idx, r.id, r.field, r.occ) for r in hits.collect()) == want
+    pair = fts.query_phrases(spark.createDataFrame([(1, "the-the")], "query_id long, query string"))
+    keys = fts._phrase_keys(pair)
+    plan = fts.phrase_occurrences(postings, keys, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(prev#" in plan and "Window" in plan
+    assert "Window" not in postings.select("id", "term")._jdf.queryExecution().optimizedPlan().toString()
